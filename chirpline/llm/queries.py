@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: name -> module of this package
+#: query -> module of this package
 QUERIES = {
     "op1_token_id_files": "token_files",
     "op2_decontamination": "decontaminate",
     "op7_prefix_token_counts": "token_counts",
+    "op8_hamming_top_k": "hamming",
+    "op9_poisson_mixing": "mixing",
+    "op10_perspective_rotation": "chat",
 }
+#: query -> name of its SQL in the module
+SQL = {"op8_hamming_top_k": "OP8_SQL", "op9_poisson_mixing": "OP9_SQL", "op10_perspective_rotation": "OP10_SQL"}
 
 
 def _query(name: str):
@@ -24,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"{__package__}.{QUERIES[name]}"), sql) for name, sql in SQL.items()}
