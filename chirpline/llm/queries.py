@@ -8,6 +8,8 @@ from importlib import import_module
 QUERIES = {
     "op1_token_id_files": "token_files",
     "op2_decontamination": "decontaminate",
+    "op4_secret_scan": "secrets",
+    "op6_neighbour_quality": "quality",
     "op7_prefix_token_counts": "token_counts",
     "op8_hamming_top_k": "hamming",
     "op9_poisson_mixing": "mixing",
