@@ -9,6 +9,7 @@ QUERIES = {
     "op1_token_id_files": "token_files",
     "op2_decontamination": "decontaminate",
     "op4_secret_scan": "secrets",
+    "op5_jaccard_join": "neardup",
     "op6_neighbour_quality": "quality",
     "op7_prefix_token_counts": "token_counts",
     "op8_hamming_top_k": "hamming",
