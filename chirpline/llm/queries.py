@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "op1_token_id_files": "token_files",
     "op2_decontamination": "decontaminate",
+    "op3_html_main_text": "extract",
     "op4_secret_scan": "secrets",
     "op5_jaccard_join": "neardup",
     "op6_neighbour_quality": "quality",
