@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scoring",)
+
+
+def _plans():
+    return [import_module(f"chirpline.plans.{m}") for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _plans() for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _plans() for name, sql in m.O.items()}
