@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "curves")
+MODULES = ("scoring", "curves", "tables")
 
 
 def _plans():
