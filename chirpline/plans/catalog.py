@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "curves", "tables")
+MODULES = ("scoring", "curves", "tables", "signals")
 
 
 def _plans():
