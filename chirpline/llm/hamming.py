@@ -7,7 +7,8 @@ whose k-th verified distance isn't covered yet; the search ends when all are, wh
 
 Equal codes are searched once: vectors collapse to distinct codes (with their k lowest ids, more
 can't be among k results) before they are indexed, and so do the queries. A pair of codes is taken
-in the round of its nearest segment and from the first such segment only, so no pair comes twice.
+in the round of its nearest segment and from the first such segment only, so no pair comes twice,
+and only if it is no further than the k-th nearest so far.
 Ties are in order of vec_id. A query finds itself at distance 0.
 
 Nulls: a null vector, or one of another length, has no code: it is neither found nor answers. A
@@ -65,21 +66,25 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = cut(queries.select(F.col("code").alias("q")).distinct(), "query-codes")
     want = min(k, distinct.agg(F.sum("rows")).first()[0] or 0)
     ranked = Window.partitionBy("q").orderBy("hamming", F.col("low_id").asc_nulls_last(), "code")
-    open_, best, r = asked, None, 0
+    open_, best, r = asked.withColumn("bound", F.lit(DIMS)), None, 0
     while want and r <= BITS:
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda x: F.bit_count(x) == r)  # folded to comb(16, r) values
-        probes = by_segment(open_, "q").withColumn("flip", F.explode(masks)).select("q", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        masks = F.split(F.lit(",".join(str(x) for x in range(1 << BITS) if x.bit_count() == r)), ",").cast("array<int>")  # comb(16, r) values, a constant
+        asking = open_.repartition(codes.sparkSession.sparkContext.defaultParallelism, "q")
+        probes = by_segment(asking, "q").withColumn("flip", F.explode(masks)).select("q", "bound", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         met = probes.join(index.hint("shuffle_hash"), ["seg", "value"])
         near = segment_distances(F.col("q"), F.col("code"))
         first = F.array_position(F.array(*near), r) - 1  # the first segment at this radius
-        found = met.where((F.least(*near) == r) & (F.col("seg") == first)).select("q", "code", "low_id", "rows", distance(F.col("q"), F.col("code")).alias("hamming"))
+        useful = distance(F.col("q"), F.col("code")) <= F.col("bound")  # no further than the k-th so far
+        found = met.where((F.least(*near) == r) & (F.col("seg") == first) & useful).select("q", "code", "low_id", "rows", distance(F.col("q"), F.col("code")).alias("hamming"))
         old = best
         if old is not None:
             found = found.unionByName(old)
         best = cut(found.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k).drop("n"), f"best-{r}")
         sure = SEGMENTS * (r + 1) - 1
-        enough = best.where(F.col("hamming") <= sure).groupBy("q").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= want)
-        open_ = cut(asked.join(enough, "q", "left_anti"), f"open-{r}") if sure < DIMS else open_.limit(0)
+        so_far = best.groupBy("q").agg(F.sum(F.when(F.col("hamming") <= sure, F.col("rows")).otherwise(0)).alias("sure"), F.sum("rows").alias("rows"), F.max("hamming").alias("last"))
+        left = asked.join(so_far, "q", "left").where(F.coalesce("sure", F.lit(0)) < want)
+        open_ = left.select("q", F.when(F.col("rows") >= want, F.col("last")).otherwise(DIMS).alias("bound"))
+        open_ = cut(open_, f"open-{r}") if sure < DIMS else open_.limit(0)
         if old is not None:
             drop_cut(old)
         if open_.isEmpty():
