@@ -21,8 +21,8 @@ Every pair of classes that could link is either met, in one component, or ruled
 components are exact. Distances are computed from whole sets of 64-bit shingle hashes.
 
 The frequency order comes from a sketch of fixed size that counts all shingles of all documents;
-its errors change the cost, never the result. Text is read three times (statistics, margins, sets
-of the classes that share a region); no group is gathered in one task or on the driver.
+its errors change the cost, never the result. Text is read for the statistics, for the margins, and in
+each round for the sets of the classes that meet; no group is gathered in one task or on the driver.
 
 Nulls: a null or wordless text has the empty set and links with nothing, not even its copies. A
 null doc_id takes part and never names a component, unless all its members are null. Repeated rows
@@ -37,38 +37,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, table, text_bytes
+from .hashing import BASES, chunk_hashes, mix
 
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
-SLOT_BITS = 18
+SLOT_BITS = 20
 SKETCH_PARTS = 64
 #: Classes that a task remembers to have sent (copies sent again are harmless).
 REMEMBERED = 1_000_000
+#: Classes whose keys are broadcast to pick their texts out of all (about 100 bytes each).
+BROADCAST_CLASSES = 500_000
 #: Pivots per region and round grow by this factor.
 MORE_PIVOTS = 4
 _GROUP_BYTES = 1_500_000
 
-_M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _word_hashes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the words in an array of bytes, and a 64-bit hash of each."""
-    blank = (a == 32) | ((a >= 9) & (a <= 13))
-    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    lengths = np.diff(np.append(starts, len(a)))
-    place = np.arange(starts[0], len(a)) - np.repeat(starts, lengths)
-    power = np.cumprod(np.full(int(lengths.max()) + 1, _BASE, np.uint64))
-    values = np.where(blank[starts[0] :], np.uint64(0), a[starts[0] :].astype(np.uint64) + np.uint64(1))
-    return starts, _mix(np.add.reduceat(values * power[place], starts - starts[0]))
+_BASE = np.uint64(BASES[0])
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS):
@@ -84,20 +68,20 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
 
 def _shingles(texts: list[bytes], words: int):
     a = np.frombuffer(b" ".join(texts).lower(), np.uint8)
-    starts, h = _word_hashes(a)
+    starts, _, h = chunk_hashes(a, 1)
     ends = np.cumsum([len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, np.concatenate(([0], ends)))
     n = max(0, len(h) - words + 1)
     g = np.full(n, words, np.uint64)
     for k in range(words):
-        g = _mix(g * np.uint64(_BASE) + h[k : k + n])
+        g = mix(g * _BASE + h[k : k + n])
     for i, j in zip(cuts, cuts[1:]):
         if j - i >= words:
             yield np.unique(g[i : j - words + 1].view(np.int64))
         elif j > i:
             x = np.full(1, j - i, np.uint64)
             for k in range(i, j):
-                x = _mix(x * np.uint64(_BASE) + h[k : k + 1])
+                x = mix(x * _BASE + h[k : k + 1])
             yield x.view(np.int64)
         else:
             yield np.empty(0, np.int64)
@@ -156,13 +140,16 @@ def margin_length(n: int, percent: int) -> int:
 
 
 def regions(docs: DataFrame, sketch: np.ndarray, text: str, words: int, percent: int) -> DataFrame:
-    """t, fp, n: the classes in the region of each shingle t that at least two classes share."""
+    """t, fp, n, pos: the classes in the region of each shingle t that at least two classes share.
+
+    ``pos`` is the shingle's place in the class's order of shingles.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SLOT_BITS counts, whatever the input
 
     def run(batches):
         counts, sent = shared.value, set()
         for b in batches:
-            t, fp, n = [], [], []
+            t, fp, n, pos = [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), words):
                 if not len(s) or (c := class_id(s)) in sent:
                     continue
@@ -174,44 +161,66 @@ def regions(docs: DataFrame, sketch: np.ndarray, text: str, words: int, percent:
                 t.append(s[np.lexsort((s, rare))[:k]])
                 fp.append(c)
                 n.append(len(s))
+                pos.append(np.arange(k, dtype=np.int32))
             k = np.array([len(x) for x in t], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t) if t else np.empty(0, np.int64)), pa.array(np.repeat(np.array(fp, np.int64), k)), pa.array(np.repeat(np.array(n, np.int32), k))], ["t", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t) if t else np.empty(0, np.int64)), pa.array(np.repeat(np.array(fp, np.int64), k)), pa.array(np.repeat(np.array(n, np.int32), k)), pa.array(np.concatenate(pos) if pos else np.empty(0, np.int32))], ["t", "fp", "n", "pos"])
 
-    rows = docs.select(text_bytes(text).alias("text")).mapInArrow(run, "t long, fp long, n int")
+    rows = docs.select(text_bytes(text).alias("text")).mapInArrow(run, "t long, fp long, n int, pos int")
     same = Window.partitionBy("t")
     rows = rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).where("low < high")
-    rows = cut(rows.select("t", "fp", "n").distinct(), "shingle-regions")
-    # regions of equal membership: keep the first of each
+    rows = cut(rows.select("t", "fp", "n", "pos").distinct(), "shingle-regions")
+    # regions of equal membership become one, in which a member has its earliest place
     marks = rows.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("b"))
-    first = marks.groupBy("size", "a", "b").agg(F.min("t").alias("t")).select("t")
-    rank = F.row_number().over(Window.partitionBy("t").orderBy("fp"))
-    kept = cut(rows.join(first, "t", "left_semi").withColumn("rank", rank), "regions")
+    one = marks.withColumn("region", F.min("t").over(Window.partitionBy("size", "a", "b"))).select("t", "region")
+    merged = rows.join(one, "t").groupBy(F.col("region").alias("t"), "fp").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    kept = cut(merged.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("fp"))), "regions")
     drop_cut(rows)
     return kept
 
 
-def class_sets(docs: DataFrame, scanned: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """fp, shingles: the whole set of each class, from one document of it."""
-    chosen = scanned.join(classes, "fp", "left_semi").groupBy("fp").agg(F.min("rid").alias("rid")).select("rid")
+def class_rows(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+    """fp, rid: one document of each class."""
+    return cut(scanned.join(classes, "fp", "left_semi").groupBy("fp").agg(F.min("rid").alias("rid")), "class-rows")
+
+
+def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``wanted`` (rid, fp, tags) with shingles: the whole set of each class, made from its text.
+
+    Only the wanted documents are cut into shingles. Up to ``BROADCAST_CLASSES`` of them are found
+    by a broadcast; more, by a shuffle of the texts.
+    """
 
     def run(batches):
         for b in batches:
+            fp = b.column("fp").to_pylist()
             sets = list(shingle_sets(b.column("text").to_pylist(), words))
+            # a row that repeats the doc_id with another text is of another class
+            stay = [i for i, s in enumerate(sets) if len(s) and class_id(s) == fp[i]]
+            sets = [sets[i] for i in stay]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "shingles"])
+            at = pa.array(stay, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("fp").take(at), b.column("tags").take(at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "tags", "shingles"])
+
+    few = wanted.count() <= BROADCAST_CLASSES
+    rows = docs.select(_row_key(key, text).alias("rid"), text_bytes(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "rid")
+    return rows.select("fp", "tags", "text").mapInArrow(run, "fp long, tags array<long>, shingles array<long>")
 
-    rows = docs.select(_row_key(key, text).alias("rid"), text_bytes(text).alias("text")).join(chosen, "rid", "left_semi")
-    return cut(rows.select("text").mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"]), "class-sets")
 
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """x, p, both, all: shared and all shingles of each pair of classes.
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, p, similarity (as shared and all shingles) of each pair of classes."""
-    left = sets.select(F.col("fp").alias("x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("fp").alias("p"), F.col("shingles").alias("sp"))
-    met = pairs.select("x", "p").join(left, "x").join(right, "p")
-    met = met.select("x", "p", F.size(F.array_intersect("sx", "sp")).alias("both"), (F.size("sx") + F.size("sp")).alias("sum"))
-    return met.select("x", "p", "both", (F.col("sum") - F.col("both")).alias("all"))
+    The members' sets travel once, to their pivots; a busy pivot's members may be split over tasks.
+    """
+    members = cut(pairs.groupBy(F.col("x").alias("fp")).agg(F.collect_set("p").alias("tags")).join(rows, "fp"), "wanted-members")
+    pivots = cut(pairs.select(F.col("p").alias("fp")).distinct().join(rows, "fp").withColumn("tags", F.array().cast("array<long>")), "wanted-pivots")
+    left = with_sets(docs, members, key, text, words).select(F.col("fp").alias("x"), F.explode("tags").alias("p"), F.col("shingles").alias("sx"))
+    right = with_sets(docs, pivots, key, text, words).select(F.col("fp").alias("p"), F.col("shingles").alias("sp"))
+    met = left.join(right, "p").select("x", "p", F.size(F.array_intersect("sx", "sp")).alias("both"), (F.size("sx") + F.size("sp")).alias("sum"))
+    met = cut(met.select("x", "p", "both", (F.col("sum") - F.col("both")).alias("all")).distinct(), "met")
+    drop_cut(members)
+    drop_cut(pivots)
+    return met
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -241,8 +250,8 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cut(moved.unionByName(fresh.select("fp", "label")), "components")
 
 
-def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """fp, label of all classes that link with another, by rounds of pivots."""
+def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
+    """fp, label of all classes that link with another, by rounds of pivots. ``meet`` verifies pairs."""
     labels, near, last = None, None, 0
     upto = 1
     deepest = members.agg(F.max("rank")).first()[0] or 0
@@ -258,16 +267,19 @@ def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             here = here.join(near, ["t", "fp"], "left")
         else:
             here = here.withColumn("far", F.lit(None).cast("double"))
-        here = cut(here.select("t", "fp", "n", "rank", "label", "far"), "open-regions")
+        here = cut(here.select("t", "fp", "n", "pos", "rank", "label", "far"), "open-regions")
         if here.isEmpty():
             break
-        pivots = here.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("t", *(F.col(c).alias(f"p_{c}") for c in ("fp", "n", "rank", "label", "far")))
+        pivots = here.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("t", *(F.col(c).alias(f"p_{c}") for c in ("fp", "n", "pos", "rank", "label", "far")))
         both = here.join(pivots, "t").where((F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label")))
         sizes = 100 * F.least("n", "p_n").cast("long") >= percent * F.greatest("n", "p_n").cast("long")
+        # in the region of their first common shingle, what follows it must suffice for the shared part that a link needs
+        left = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
+        places = (100 + percent) * left.cast("long") >= percent * (F.col("n") + F.col("p_n")).cast("long")
         window = F.abs(F.col("far") - F.col("p_far")) <= (100 - percent) / 100 + 1e-9
-        both = both.where(sizes & F.coalesce(window, F.lit(True)))
+        both = both.where(sizes & places & F.coalesce(window, F.lit(True)))
         pairs = cut(both.select(F.col("fp").alias("x"), F.col("p_fp").alias("p")).distinct(), "pairs")
-        met = cut(verify(pairs, sets), "met")
+        met = meet(pairs)
         if near is None:
             first = members.where("rank = 1").select("t", F.col("fp").alias("p"))
             near = members.join(first, "t").join(met.select(F.col("x").alias("fp"), "p", (1 - F.col("both") / F.col("all")).alias("far")), ["fp", "p"])
@@ -288,9 +300,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = regions(docs, sketch, "text", words, percent)
     labels = None
     if not members.isEmpty():
-        sets = class_sets(docs, scanned, members.select("fp").distinct(), "doc_id", "text", words)
-        labels = link_classes(members, sets, percent)
-        drop_cut(sets)
+        rows = class_rows(scanned, members.select("fp").distinct())
+        labels = link_classes(members, lambda pairs: verify(pairs, docs, rows, "doc_id", "text", words), percent)
+        drop_cut(rows)
     drop_cut(members)
     classes = scanned.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
     if labels is None:
@@ -317,3 +329,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n
+  having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach as (
+  select doc_id, doc_id as other from documents
+  union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, r.component_id
+from documents d left join sizes s on s.doc_id = d.doc_id
+join (select doc_id, min(other) as component_id from reach group by doc_id) r on r.doc_id = d.doc_id
+"""
