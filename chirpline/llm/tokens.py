@@ -5,16 +5,25 @@ every run of white space to one blank and its split pattern takes no white space
 and special strings hold none. So the ids of a text are the ids of its chunks in order, and a
 chunk seen before need not be encoded again. Chunks are cut at ASCII white space only; other
 white space stays inside a chunk and is left to the library.
+
+Chunks are told apart by two 64-bit hashes, computed for all bytes of a group of texts at once,
+so that the texts' chunks never become Python objects; only chunks that are new do.
 """
 
 from __future__ import annotations
 
 import os
+from unicodedata import normalize
 
 import numpy as np
 
-#: Chunks kept in each of the two generations of a worker's cache.
-CACHE_CHUNKS = 300_000
+from .hashing import chunk_hashes
+
+#: Chunks and letter runs that a worker's tables hold (about 60 and 200 bytes each).
+CACHE_CHUNKS, CACHE_RUNS = 1_500_000, 250_000
+#: ASCII punctuation that starts a piece of its own after a letter (all but the apostrophe).
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_GROUP_BYTES = 1_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,10 +32,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: ASCII punctuation that starts a piece of its own after a letter (all but the apostrophe).
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 class Generations:
     """A table of bounded size in two generations.
 
@@ -50,28 +55,25 @@ class Generations:
         return new
 
 
-class ChunkEncoder:
-    """Ids of chunks as little-endian unsigned 32-bit bytes, cached in bounded memory.
+class Library:
+    """Ids of new chunks.
 
-    A new chunk of letters followed by ASCII punctuation is the letters' ids, then the
-    punctuation's: the split pattern always cuts there. Letter runs are encoded many to a call
-    and told apart by the word-end tokens; if a run gives more than one piece (a letter whose
-    lower case holds a mark) the runs of that call are encoded one by one.
+    A chunk of letters followed by ASCII punctuation is the letters' ids, then the punctuation's:
+    the split pattern always cuts there (the letters must stay letters when normalised). Letter runs are encoded many to a call and told apart by
+    the word-end tokens; if a run gives more than one piece (a letter whose lower case holds a
+    mark) the runs of that call are encoded one by one.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.chunks, self.runs, self.tails = Generations(limit), Generations(limit), Generations(limit)
+        self.runs, self.tails = Generations(CACHE_RUNS), Generations(10_000)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def vocab_size(self) -> int:
-        return len(self.ends)
-
     def _each(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
@@ -89,52 +91,115 @@ class ChunkEncoder:
             raw, at = ids.tobytes(), (stops * 4).tolist()
             table.update((r, raw[i:j]) for r, i, j in zip(part, [0, *at], at))
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """A table that has every chunk of ``chunks``."""
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        """For each chunk its ids as little-endian u32 bytes."""
+        out: list = [b""] * len(chunks)
         split, odd = [], []
-        for c in self.chunks.missing(chunks):
+        for i, c in enumerate(chunks):
             s = c.lower().decode("utf-8", "replace")
             run = s.rstrip(TAIL)
-            if run.isalpha():
-                split.append((c, run, s[len(run) :]))
+            if run.isascii() and run.isalpha() or normalize("NFC", run).lower().isalpha():
+                split.append((i, run, s[len(run) :]))
             else:
-                odd.append(c)
-        table = self.chunks.young
+                odd.append(i)
         if split:
             self._runs(self.runs.missing({x[1] for x in split}))
             tails = self.tails.missing({x[2] for x in split})
             self.tails.young.update(zip(tails, self._each(tails)))
             runs, tails = self.runs.young, self.tails.young
-            table.update((c, runs[r] + tails[t]) for c, r, t in split)
-        if odd:
-            table.update(zip(odd, self._each([c.decode("utf-8", "replace") for c in odd])))
-        return table
+            for i, r, t in split:
+                out[i] = runs[r] + tails[t]
+        for i, x in zip(odd, self._each([chunks[i].decode("utf-8", "replace") for i in odd])):
+            out[i] = x
+        return out
+
+
+class ChunkEncoder:
+    """Encodes groups of texts by a table of chunks in sorted numpy arrays, of bounded size."""
+
+    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
+        self.library, self.limit, self.clock = Library(path), limit, 0
+        self.keys, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))
+        self.flat = np.empty(0, "<u4")
+
+    def vocab_size(self) -> int:
+        return len(self.library.ends)
 
     def ids(self, texts: list[bytes]):
         """For each text the ids as little-endian u32 bytes."""
-        for got in self._looked_up(texts):
-            yield b"".join(got)
+        for group in _groups(texts):
+            cuts, rows, inverse = self._look_up(group)
+            counts = self.count[rows][inverse]
+            ends = np.cumsum(counts)
+            total = int(ends[-1]) if len(ends) else 0
+            source = np.repeat(self.at[rows][inverse] - (ends - counts), counts) + np.arange(total)
+            raw = memoryview(self.flat[source].tobytes())
+            places = np.concatenate(([0], ends))[cuts] * 4
+            for i, j in zip(places.tolist(), places[1:].tolist()):
+                yield bytes(raw[i:j])
 
     def chunk_counts(self, texts: list[bytes]):
         """For each text the number of tokens of each of its chunks."""
-        for got in self._looked_up(texts):
-            yield np.fromiter(map(len, got), np.int64, len(got)) >> 2
-
-    def _looked_up(self, texts: list[bytes]):
         for group in _groups(texts):
-            words = [t.split() for t in group]
-            get = self.chunks.young.get
-            found = [list(map(get, w)) for w in words]
-            new = {c for w, got in zip(words, found) if None in got for c, x in zip(w, got) if x is None}
-            if new:
-                get = self.learn(new).get
-            for w, got in zip(words, found):
-                if None in got:
-                    got = [get(c) if x is None else x for c, x in zip(w, got)]
-                yield got
-
-def _groups(texts: list[bytes], limit: int = 4_000_000):
-    """Runs of texts of about ``limit`` bytes, so that a group's new chunks are few."""
+            cuts, rows, inverse = self._look_up(group)
+            counts = self.count[rows][inverse]
+            for i, j in zip(cuts, cuts[1:]):
+                yield counts[i:j]
+
+    def _look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts' chunks begin and end, the table rows of the distinct chunks, and each chunk's place among those."""
+        joined = b" ".join(texts)
+        starts, stops, h, check = chunk_hashes(np.frombuffer(joined, np.uint8))
+        cuts = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if not (check[first][inverse] == check).all():  # two chunks of one hash: tell them by the other
+            keys, first, inverse = np.unique(h ^ (check << np.uint64(1)), return_index=True, return_inverse=True)
+        self.clock += 1
+        if len(self.keys) > self.limit:
+            self._forget()
+        place, known = self._find(keys, check[first])
+        new = np.flatnonzero(~known)
+        if len(new):
+            where = first[new]
+            got = self.library.ids([joined[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist())])
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+            into = np.searchsorted(self.keys, keys[new])
+            at = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), "<u4")))
+            for name, values in (("keys", keys[new]), ("check", check[where]), ("at", at), ("count", sizes), ("used", np.zeros(len(new), np.int64))):
+                setattr(self, name, np.insert(getattr(self, name), into, values))
+            place, known = self._find(keys, check[first])
+        self.used[place] = self.clock
+        return cuts, place, inverse
+
+    def _find(self, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[place] == keys
+        clash = np.flatnonzero(known & (self.check[place] != check))
+        if len(clash):  # another chunk of the same hash is in the table: it makes room
+            stay = np.ones(len(self.keys), bool)
+            stay[place[clash]] = False
+            self._keep(stay)
+            return self._find(keys, check)
+        return place, known
+
+    def _forget(self) -> None:
+        """Keep the half of the table that was used last."""
+        self._keep(self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+
+    def _keep(self, stay: np.ndarray) -> None:
+        at, count = self.at[stay], self.count[stay]
+        ends = np.cumsum(count)
+        source = np.repeat(at - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+        self.flat, self.at, self.count = self.flat[source], ends - count, count
+        self.keys, self.check, self.used = self.keys[stay], self.check[stay], self.used[stay]
+
+
+def _groups(texts: list[bytes], limit: int = _GROUP_BYTES):
+    """Runs of texts of about ``limit`` bytes, so that a group's arrays are small."""
     group, size = [], 0
     for t in texts:
         group.append(t)
