@@ -173,3 +173,28 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items_sha256().alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+OP2_SQL = """
+with dw as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  from documents),
+bw as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  from benchmark where item_id is not null),
+wins as (
+  select distinct item_id, least(13, len(w)) as size, array_to_string(list_slice(w, i, i + 12), ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) as i from bw where len(w) > 0)),
+sizes as (select distinct size from wins),
+places as (
+  select doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as s
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from dw, sizes where len(w) >= size)),
+hits as (select p.doc_id, p.i, p.size, w.item_id from places p join wins w on w.size = p.size and w.s = p.s),
+covered as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + size)) as j from hits) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(c.n_hit, 0) as bigint) as n_hit, cast(coalesce(i.n_items, 0) as bigint) as n_items,
+       sha256(coalesce(i.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= len(d.w) as contaminated
+from dw d left join covered c on c.doc_id = d.doc_id left join items i on i.doc_id = d.doc_id
+"""

@@ -18,7 +18,7 @@ QUERIES = {
     "op10_perspective_rotation": "chat",
 }
 #: query -> name of its SQL in the module
-SQL = {"op8_hamming_top_k": "OP8_SQL", "op9_poisson_mixing": "OP9_SQL", "op10_perspective_rotation": "OP10_SQL"}
+SQL = {"op2_decontamination": "OP2_SQL", "op5_jaccard_join": "OP5_SQL", "op8_hamming_top_k": "OP8_SQL", "op9_poisson_mixing": "OP9_SQL", "op10_perspective_rotation": "OP10_SQL"}
 
 
 def _query(name: str):
