@@ -220,3 +220,36 @@ def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_ar
 def detect(frames: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30) -> DataFrame:
     """Components with the reason of the gates (``keep`` or why not): the whole detection job."""
     return segment(frames, keep, percentile, min_area).withColumns({"centroid_hz": F.lit(None).cast("double"), "flatness": F.lit(None).cast("double")}).withColumn("reason", gates)
+
+
+def feature_table(detections: DataFrame, gt: DataFrame, chunks: DataFrame, chunk_us: int) -> DataFrame:
+    """Detections with their TP/FP label and the band's spectral features (columns f_low_hz, f_high_hz)."""
+    from chirpline.operators.scoring import label_detections
+
+    labelled = label_detections(detections, gt)
+    keep = [c for c in labelled.columns if c not in ("f_low_hz", "f_high_hz")]
+    return spectral_features(attach_audio(labelled, chunks, chunk_us), [*keep, "f_low_hz", "f_high_hz"])
+
+
+def flatness_variants(frames: DataFrame, keep: list[str], magnitude: str = "magnitude", mask: str = "mask") -> DataFrame:
+    """keep and flatness of magnitudes, averaged over frames, four ways.
+
+    ``rect``: all bins of the band (``in_band``); ``kept``: the mask's bins only; ``zeroed``: bins
+    outside the mask set to the least value, over the band; ``zeroed_full``: the same over all bins.
+    """
+
+    def flat(values):
+        logs = F.aggregate(F.transform(values, lambda v: F.log(v + EPS)), F.lit(0.0), lambda s, v: s + v) / F.size(values)
+        mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v + EPS) / F.size(values)
+        return F.when(F.size(values) > 0, F.exp(logs) / mean)
+
+    bins = F.arrays_zip(F.col(magnitude).alias("m"), F.col(mask).alias("k"), F.col("in_band").alias("b"))
+    pick = lambda test, value: F.transform(F.filter(bins, test), value)
+    inside = lambda x: F.when(x["k"] == 1, x["m"]).otherwise(0.0)
+    ways = {
+        "rect": pick(lambda x: x["b"] == 1, lambda x: x["m"]),
+        "kept": pick(lambda x: x["k"] == 1, lambda x: x["m"]),
+        "zeroed": pick(lambda x: x["b"] == 1, inside),
+        "zeroed_full": F.transform(bins, inside),
+    }
+    return frames.select(*keep, *(flat(v).alias(n) for n, v in ways.items())).groupBy(*keep).agg(*(F.avg(n).alias(n) for n in ways))

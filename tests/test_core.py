@@ -302,3 +302,10 @@ def test_streams(spark, tmp_path):
     g, p = _stream(spark, tmp_path, [[(100, 102), (150, 151)]], "g"), _stream(spark, tmp_path, [[(101, 103), (151, 152)]], "p")
     met = _run(spark, live.live_matches(g, p, ["session"]).select("g_event_id", "p_event_id"), "met_live")
     assert [tuple(m) for m in met] == [(0, 0)]
+
+
+def test_flatness_variants(spark):
+    rows = [(1, [1.0, 1.0, 1.0, 1.0], [0, 1, 1, 0], [1, 1, 1, 0]), (1, [4.0, 1.0, 1.0, 9.0], [0, 1, 1, 0], [1, 1, 1, 0])]
+    got = signal.flatness_variants(spark.createDataFrame(rows, "id int, magnitude array<double>, mask array<int>, in_band array<int>"), ["id"]).first()
+    assert math.isclose(got.kept, 1.0, rel_tol=1e-6) and math.isclose(got.rect, (1 + 4 ** (1 / 3) / 2) / 2, rel_tol=1e-6)
+    assert got.zeroed < 0.01 and got.zeroed_full < got.zeroed
