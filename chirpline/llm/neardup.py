@@ -50,7 +50,7 @@ REMEMBERED = 1_000_000
 BROADCAST_CLASSES = 500_000
 #: Pivots per region and round grow by this factor.
 MORE_PIVOTS = 4
-_GROUP_BYTES = 1_500_000
+_GROUP_BYTES = 750_000
 
 _BASE = np.uint64(BASES[0])
 
