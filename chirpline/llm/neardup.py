@@ -100,12 +100,12 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _row_key(key: str, text: str):
-    """doc_id, or where that is null a hash of the text."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
+    """A hash of doc_id and text: only rows that repeat both share it."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
 def scan(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """A row per document (doc_id, n, fp), and how often each sketch slot's shingles occur."""
+    """A row per document (doc_id, rid, n, fp), and how often each sketch slot's shingles occur."""
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -194,7 +194,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: in
         for b in batches:
             fp = b.column("fp").to_pylist()
             sets = list(shingle_sets(b.column("text").to_pylist(), words))
-            # a row that repeats the doc_id with another text is of another class
+            # a row of another class has met the row key by chance
             stay = [i for i, s in enumerate(sets) if len(s) and class_id(s) == fp[i]]
             sets = [sets[i] for i in stay]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -293,9 +293,8 @@ def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+def link_documents(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, rid, n, fp of every document, and the labels of the classes that link (None if none do)."""
     scanned, sketch = scan(docs, "doc_id", "text", words)
     members = regions(docs, sketch, "text", words, percent)
     labels = None
@@ -304,27 +303,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         labels = link_classes(members, lambda pairs: verify(pairs, docs, rows, "doc_id", "text", words), percent)
         drop_cut(rows)
     drop_cut(members)
-    classes = scanned.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
+    return scanned, labels
+
+
+def lowest(scanned: DataFrame, labels: DataFrame | None, value) -> DataFrame:
+    """fp, low: for each class the least ``value`` among the documents of its component."""
+    classes = scanned.where("n > 0").groupBy("fp").agg(F.min(value).alias("low"))
     if labels is None:
-        classes = classes.select("fp", F.col("low").alias("component_id"))
-    else:
-        classes = cut(classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "low"), "classes")
-        lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-        classes = classes.join(lowest, "label").select("fp", "component_id")
+        return classes
+    classes = cut(classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "low"), "classes")
+    return classes.select("fp", "label").join(classes.groupBy("label").agg(F.min("low").alias("low")), "label").select("fp", "low")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    scanned, labels = link_documents(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
+    classes = lowest(scanned, labels, F.col("doc_id")).withColumnRenamed("low", "component_id")
     rows = scanned.join(classes, "fp", "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one of lowest doc_id; all columns stay."""
-    got = near_duplicates(docs, key, text, words, percent)
-    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(stay, docs[key].eqNullSafe(stay[key]), "left_semi")
-    if docs.groupBy(key).count().where("count > 1").isEmpty():
+    """One row of each component, the one of lowest doc_id, null ids last; all columns stay.
+
+    Rows are told apart by doc_id and text, so rows that share a null or repeated doc_id are judged
+    each by its own text. Wordless rows link with nothing and all stay.
+    """
+    scanned, labels = link_documents(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
+    repeats = scanned.groupBy("doc_id", "rid", "n", "fp").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "copies")
+    stay = lowest(repeats, labels, first).select("low.doc_id", "low.rid", "low.copies").distinct()
+    wordless = scanned.where("n = 0").select("doc_id", "rid", F.lit(1).cast("long").alias("copies")).distinct()
+    stay = cut(stay.unionByName(wordless).select(F.col("doc_id").alias("__doc_id"), F.col("rid").alias("__rid"), "copies"), "stay")
+
+    def rows(of: DataFrame) -> DataFrame:
+        same = (_row_key(key, text) == F.col("__rid")) & F.col(key).cast("long").eqNullSafe(F.col("__doc_id"))
+        return docs.join(of.drop("copies"), same, "left_semi")
+
+    again = stay.where("copies > 1")
+    n_again = again.count()
+    kept = rows(stay.where("copies = 1"))
+    if not n_again:
         return kept
-    # rows that repeat a doc_id: the first by text stays
-    order = Window.partitionBy(key).orderBy(text)
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    # rows that repeat doc_id and text: the first by the other columns stays
+    order = [c for c, kind in docs.dtypes if c not in (key, text) and "map<" not in kind] or [text]
+    number = F.row_number().over(Window.partitionBy(key, _row_key(key, text)).orderBy(*(f"`{c}`" for c in order)))
+    repeated = rows(F.broadcast(again) if n_again <= BROADCAST_CLASSES else again)
+    return kept.unionByName(repeated.withColumn("__n", number).where("__n = 1").drop("__n"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -229,6 +229,18 @@ def test_jaccard_join(spark):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    r = random.Random(8)
+    base, b, c, d, e, hot = (prose(r, 40, 9999) for _ in range(6))
+    rows = [(3, base, "s"), (5, base, "s"), (5, b, "s"), (None, c, "s"), (None, d, "s"), (None, base + " tail", "s"), (7, e, "u"), (7, e, "s"), (None, hot, "v"), (None, hot, "s"), (None, None, "s"), (None, " ", "s"), (None, " ", "s"), (9, "", "s"), (9, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, neardup.keep_one(df).collect()), key=str)
+    want = [(3, base, "s"), (5, b, "s"), (None, c, "s"), (None, d, "s"), (7, e, "s"), (None, hot, "s"), (None, None, "s"), (None, " ", "s"), (None, " ", "s"), (9, "", "s"), (9, "", "s")]
+    assert got == sorted(want, key=str)
+    alone = df.where("source = 's' and text = ' ' or doc_id = 3")  # no class links
+    assert sorted(map(tuple, neardup.keep_one(alone).collect()), key=str) == sorted([(3, base, "s"), (None, " ", "s"), (None, " ", "s")], key=str)
+
+
 def test_quality(spark):
     r = random.Random(1)
     good = [" ".join(f"w{r.randrange(300)}" for _ in range(60)).capitalize() + "." for _ in range(120)]
