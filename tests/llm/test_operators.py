@@ -50,6 +50,32 @@ def test_prefix_counts(spark):
         assert len(tok.encode(cut.decode(), add_special_tokens=False).ids) <= 5
 
 
+def test_prefixes_inside_long_chunks(spark):
+    tok = tokens.encoder(tokens.tokenizer_path()).library.tok
+    count = lambda raw: len(tok.encode(raw.decode(), add_special_tokens=False).ids)
+    texts = ["你好,世界!这是一个很长的句子。没有空格的文本" * 2, "aGVsbG8gd29ybGQ/x9+Zz0" * 4, " see https://a.b/c?d=e's&f=İİ-c\u0308e\u0301é-ﬁ　ok!<|endoftext|>don't!!<|startoftext|>x then more ", "q" * 60]
+    for r, text in zip(token_counts.prefix_tokens(docs(spark, texts), keep=["doc_id"]).orderBy("doc_id").collect(), texts):
+        raw = text.encode()
+        table = token_counts.all_borders(r.chunk_ends, r.prefix_tokens, r.piece_ends, r.piece_tokens)
+        edges = [len(text[:k].encode()) for k in range(len(text) + 1)]
+        counts = {at: count(raw[:at]) for at in edges}
+        assert all(token_counts.tokens_upto(raw, *table, at) == n for at, n in counts.items())
+        assert len(r.piece_ends) > 5 or text[0] == "q"
+        for budget in range(counts[len(raw)] + 2):
+            want = max(at for at, n in counts.items() if n <= budget)
+            for t in (table, (r.chunk_ends, r.prefix_tokens)):
+                assert token_counts.truncate(raw, *t, budget).rstrip().decode().rstrip() == raw[:want].decode().rstrip()
+
+
+def test_prefix_query_reads_its_table(spark, tmp_path):
+    docs(spark, EDGE).write.parquet(str(tmp_path / "documents.parquet"))
+    got = token_counts.op7_prefix_token_counts(spark, str(tmp_path), 5)
+    assert any("prefix-table" in f for f in got.inputFiles())
+    tok = tokens.encoder(tokens.tokenizer_path()).library.tok
+    n = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(EDGE)}
+    assert {(x.doc_id, x.n_tokens, x.over_limit) for x in got.collect()} == {(i, k, k > 5) for i, k in n.items()}
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << min(bits, 31), 1001).astype("<u4")
