@@ -217,9 +217,25 @@ def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_ar
     return images.mapInPandas(run, f"{schema}, {COMPONENT}")
 
 
-def detect(frames: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30) -> DataFrame:
-    """Components with the reason of the gates (``keep`` or why not): the whole detection job."""
-    return segment(frames, keep, percentile, min_area).withColumns({"centroid_hz": F.lit(None).cast("double"), "flatness": F.lit(None).cast("double")}).withColumn("reason", gates)
+def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0) -> DataFrame:
+    """Components with the reason of the gates (``keep`` or why not): the whole detection job.
+
+    ``keep`` identifies a chunk (columns ``samples`` and ``sr``). Components that fail the stage-1
+    gates (aspect, or no bin up to ``min_hz``) are none; the others get the centroid and flatness
+    of their band and span of samples, on which the spectral gates act.
+    """
+    from chirpline.operators.gates import stage1_ok
+
+    found = segment(spectrogram(chunks, keep, size, hop), keep, percentile, min_area)
+    columns = found.columns
+    met = found.join(chunks.select(*(F.col(k).alias(f"__{k}") for k in keep), "samples", "sr"), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keep])
+    top, bin_hz = F.col("y_px") + F.col("h_px") - 1, F.col("sr") / size
+    # stage1_ok counts rows from the highest bin, components from the lowest
+    met = met.withColumns({"__y": F.col("y_px"), "y_px": size // 2 - top}).where(stage1_ok(min_area, max_row=F.floor(size // 2 - F.lit(min_hz) / bin_hz))).withColumn("y_px", F.col("__y"))
+    span = F.slice("samples", F.col("x_px") * hop + 1, (F.col("w_px") - 1) * hop + size)
+    met = met.select(*columns, span.alias("samples"), "sr", ((F.col("y_px") - 1) * bin_hz).alias("f_low_hz"), (top * bin_hz).alias("f_high_hz"))
+    got = spectral_features(met, columns, ["centroid", "flatness"])
+    return got.select(*columns, F.col("centroid_mean").alias("centroid_hz"), F.col("flatness_mean").alias("flatness")).withColumn("reason", gates)
 
 
 def feature_table(detections: DataFrame, gt: DataFrame, chunks: DataFrame, chunk_us: int) -> DataFrame:

@@ -50,5 +50,6 @@ def spectral_features(spark, d):
 
 @query
 def ridge_detections(spark, d):
-    fr = X.spectrogram(_chunks(spark, d), ["session", "chunk"], 64, 16)
-    return X.detect(fr, ["session", "chunk"], G.reason(min_cols=3, min_sweep_frac=0.0), 90.0, 4)
+    # the gates' frequencies are for 125 kHz audio: the same shares of this signal's rate
+    gates = G.reason(min_cols=3, min_sweep_frac=0.0, min_centroid_hz=25000.0 * SR / 125000)
+    return X.detect(_chunks(spark, d), ["session", "chunk"], gates, 90.0, 4, 64, 16, min_hz=20000.0 * SR / 125000)

@@ -277,6 +277,24 @@ def test_audio(spark, tmp_path):
     assert signal.label_components(np.array([[1, 0, 1], [0, 1, 0], [0, 0, 0]], bool)).max() == 1
 
 
+def test_detect_gates_on_samples(spark):
+    sr, t = 8000, np.arange(4096) / 8000
+    tone = lambda hz: np.sin(2 * np.pi * hz * t) * (np.abs(t - 0.25) < 0.09)
+    rows = [(i, 0, x.tolist(), sr) for i, x in enumerate((tone(500), tone(3000)))]
+    chunks = spark.createDataFrame(rows, "chunk int, channel int, samples array<double>, sr int")
+
+    def reasons(min_hz=0.0, **k):
+        got = signal.detect(chunks, ["chunk", "channel"], gates.reason(min_cols=10, min_sweep_frac=0.0, **k), 95.0, 10, 256, 64, min_hz).collect()
+        assert got and all(r.centroid_hz is not None and r.flatness is not None for r in got)
+        long = [r for r in got if r.n_cols >= 10 and r.y_px <= (16, 96)[r.chunk] < r.y_px + r.h_px]  # the tone's bin
+        assert all(abs(r.centroid_hz - (500, 3000)[r.chunk]) < 400 for r in long)
+        return {(r.chunk, r.reason) for r in long}
+
+    assert reasons(min_centroid_hz=2000.0) == {(0, "low_centroid"), (1, "keep")}
+    assert reasons(min_centroid_hz=None, max_flatness=1e-9) == {(0, "high_flatness"), (1, "high_flatness")}
+    assert {c for c, _ in reasons(min_hz=2000.0, min_centroid_hz=None)} == {1}
+
+
 def _stream(spark, tmp_path, batches, name):
     src = tmp_path / name
     for i, rows in enumerate(batches):
