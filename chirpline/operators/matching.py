@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chirpline.functions.intervals import box_area, box_containment, iou_1d
 from chirpline.functions.metrics import matching_metrics
-from chirpline.operators.intervals import tag_merged
+from chirpline.operators.intervals import overlap_join
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Bucket of the join for candidate pairs: 10 minutes, so that dense time lines have small buckets.
+MATCH_BUCKET_US = 600_000_000
 
 
-def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id") -> DataFrame:
+def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int = MATCH_BUCKET_US) -> DataFrame:
     """by, gt id, pred id, iou of the pairs chosen best first; ties go to the higher place in time.
 
-    Intervals are first parted into stretches of time that no interval leaves, so a group holds
-    only intervals that hang together, however long the time line is.
+    Candidate pairs come from the bucketed join. Each round takes all pairs that are the best of
+    both their ends and drops the pairs of used ends, which gives the same pairs as one by one;
+    every round takes at least the best pair left. No stretch of time is gathered in one task.
     """
-    both = gt.select(*by, F.lit("g").alias("side"), F.col(key).alias("id"), "t0_us", "t1_us").unionByName(pred.select(*by, F.lit("p").alias("side"), F.col(key).alias("id"), "t0_us", "t1_us"))
-    both = tag_merged(both.where("t1_us > t0_us"), by, strict=True, order=["side", "id"])
-    place = F.row_number().over(Window.partitionBy(*by, "event_no", "side").orderBy("t0_us", "t1_us", "id"))
-    both = both.withColumn("place", place)
-    # stretches with one side only hold no pair
-    mixed = F.size(F.collect_set("side").over(Window.partitionBy(*by, "event_no"))) == 2
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        g, p = rows[rows.side == "g"], rows[rows.side == "p"]
-        pairs = g.merge(p, how="cross", suffixes=("", "_p"))
-        inter = pairs[["t1_us", "t1_us_p"]].min(axis=1) - pairs[["t0_us", "t0_us_p"]].max(axis=1)
-        pairs["iou"] = inter / (pairs[["t1_us", "t1_us_p"]].max(axis=1) - pairs[["t0_us", "t0_us_p"]].min(axis=1))
-        pairs = pairs[(inter > 0) & (pairs.iou > iou)].sort_values(["iou", "place", "place_p"], ascending=False)
-        used_g, used_p, keep = set(), set(), []
-        for i, a, b in zip(pairs.index, pairs.id, pairs.id_p):
-            if a not in used_g and b not in used_p:
-                used_g.add(a)
-                used_p.add(b)
-                keep.append(i)
-        out = pairs.loc[keep, [*by, "id", "id_p", "iou"]]
-        return out.rename(columns={"id": "gt_id", "id_p": "pred_id"})
-
-    schema = ", ".join(f"{c} {dict(both.dtypes)[c]}" for c in by) + ", gt_id long, pred_id long, iou double"
-    return both.withColumn("__mixed", mixed).where("__mixed").drop("__mixed").groupBy(*by, "event_no").applyInPandas(choose, schema)
+    from chirpline.llm.common import cut, drop_cut
+
+    side = lambda df: df.select(*by, F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
+    end = lambda x: F.struct(*(F.col(f"{x}{c}").alias(c) for c in ("t0_us", "t1_us", "id")))
+    pairs = overlap_join(side(gt), side(pred), by, bucket_us, iou)
+    left = cut(pairs.select(*by, iou_of().alias("iou"), end("").alias("g"), end("b_").alias("p")).distinct(), "pairs")
+    of_g, of_p, chosen = Window.partitionBy(*by, "g"), Window.partitionBy(*by, "p"), []
+    while not left.isEmpty():
+        rank = F.struct("iou", "g", "p")
+        best = left.withColumn("__g", F.max(rank).over(of_g)).withColumn("__p", F.max(rank).over(of_p))
+        best = best.withColumn("__take", (rank == F.col("__g")) & (rank == F.col("__p"))).drop("__g", "__p")
+        used = F.max("__take").over(of_g) | F.max("__take").over(of_p)
+        done = cut(best.withColumn("__used", used), "match-round")
+        chosen.append(cut(done.where("__take").select(*left.columns), "matches"))
+        rest = cut(done.where("not __used").select(*left.columns), "pairs")
+        drop_cut(left)
+        drop_cut(done)
+        left = rest
+    out = reduce(DataFrame.unionByName, chosen, left)
+    return out.select(*by, F.col("g.id").alias("gt_id"), F.col("p.id").alias("pred_id"), "iou")
 
 
 def matching_score(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0) -> DataFrame:

@@ -295,6 +295,24 @@ def test_detect_gates_on_samples(spark):
     assert {c for c, _ in reasons(min_hz=2000.0, min_centroid_hz=None)} == {1}
 
 
+def test_matching_in_rounds(spark):
+    r = random.Random(5)
+    rows = lambda n: [(a := r.randrange(400) / 4, a + r.randrange(1, 30)) for _ in range(n)]
+    g, p = rows(80), rows(90)
+    iou = lambda a, b: (min(a[1], b[1]) - max(a[0], b[0])) / (max(a[1], b[1]) - min(a[0], b[0]))
+    want, used_g, used_p = set(), set(), set()
+    for _, (_, i), (_, j) in sorted(((iou(a, b), (a, i), (b, j)) for i, a in enumerate(g) for j, b in enumerate(p) if iou(a, b) > 0.1), reverse=True):
+        if i not in used_g and j not in used_p:
+            want.add((i, j))
+            used_g.add(i)
+            used_p.add(j)
+    got = matching.greedy_match(iv(spark, g), iv(spark, p), ["session"], 0.1)
+    assert {(x.gt_id, x.pred_id) for x in got.collect()} == want and len(want) > 20
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # no stretch of time is one group
+    assert matching.greedy_match(iv(spark, g), iv(spark, [(900, 901)]), ["session"]).count() == 0
+
+
 def _stream(spark, tmp_path, batches, name):
     src = tmp_path / name
     for i, rows in enumerate(batches):
