@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chirpline.functions.intervals import natural_key, session_key
+from chirpline.functions.intervals import session_key
 from chirpline.operators import intervals as I
+from chirpline.operators import matching as M
 from chirpline.operators import scoring as S
 from chirpline.plans import views as V
 from chirpline.plans.views import METRICS_SQL, SQL, hit_sql, merged_sql
@@ -211,8 +212,6 @@ def chunk_outcomes(spark, d):
 
 @query("select c_custkey, c_name, row_number() over (order by regexp_extract(c_name, '\\D*(\\d+)', 1)::bigint, c_name) as place, 'experiment_' || (c_custkey % 7) || '/idx_' || lpad(cast(c_custkey % 5 as varchar), 3, '0') as session from customer qualify place <= 100")
 def natural_sort(spark, d):
-    """Customers by the number in their name, with a session key."""
-    from pyspark.sql import Window
-
-    c = V.table(spark, d, "customer").withColumn("k", natural_key("c_name")).orderBy("k", "c_name").limit(100)
-    return c.select("c_custkey", "c_name", F.row_number().over(Window.orderBy("k", "c_name")).cast("long").alias("place"), session_key(F.col("c_custkey") % 7, F.col("c_custkey") % 5).alias("session"))
+    """Customers by the number in their name, with a session key; of all places its SQL keeps the first 100."""
+    c = M.natural_order(V.table(spark, d, "customer"), "c_name").where("place <= 100")
+    return c.select("c_custkey", "c_name", "place", session_key(F.col("c_custkey") % 7, F.col("c_custkey") % 5).alias("session"))

@@ -295,6 +295,12 @@ def test_detect_gates_on_samples(spark):
     assert {c for c, _ in reasons(min_hz=2000.0, min_centroid_hz=None)} == {1}
 
 
+def test_natural_order_places_all_rows(spark):
+    df = spark.range(1500).selectExpr("id", "concat('c', id * 7 % 1500) as name").repartition(5)
+    got = matching.natural_order(df, "name").collect()
+    assert sorted((x.place, x.name) for x in got) == [(i + 1, f"c{i}") for i in range(1500)]
+
+
 def test_matching_in_rounds(spark):
     r = random.Random(5)
     rows = lambda n: [(a := r.randrange(400) / 4, a + r.randrange(1, 30)) for _ in range(n)]
