@@ -7,8 +7,8 @@ jump is 0 the block's bucket holds the patterns whose m-th word ends there, and
 directly with the document's words.
 
 The tables are broadcast in parts of at most ``PART_WINDOWS`` windows each, whatever the size of
-the benchmark: a larger benchmark takes more parts, each of which is one more pass over a batch
-of documents within the same task, with no shuffle and nothing dropped.
+the benchmark: a larger benchmark takes more parts, each of which is one more pass over the
+documents, written in between, so that a worker and the driver hold one part at a time.
 
 Nulls: a null text has no words and is clean; an item with a null or wordless text has no window.
 A null item_id is skipped, as it can't be named. Repeated rows give repeated results.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import cut, drop_cut, table, text_bytes
 
 WINDOW = 13
 PART_WINDOWS = 200_000
@@ -86,16 +86,16 @@ def _matchers(patterns: dict[tuple, list]) -> list[WuManber]:
 _built: dict = {}
 
 
-def _tables(key: str, parts) -> list[WuManber]:
-    """The matchers of all broadcast parts, built once in a worker."""
+def _tables(key: str, part) -> list[WuManber]:
+    """The matchers of a broadcast part, built once in a worker; those of the part before go."""
     if key not in _built:
         _built.clear()
-        _built[key] = [m for p in parts for m in _matchers(p.value)]
+        _built[key] = _matchers(part.value)
     return _built[key]
 
 
-def benchmark_parts(benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> list:
-    """Broadcast window tables, ``part_windows`` windows at most in each.
+def benchmark_parts(benchmark: DataFrame, size: int = WINDOW, part_windows: int | None = None):
+    """Broadcast window tables, about ``part_windows`` windows in each (``PART_WINDOWS`` if None), and whether it is the last.
 
     Windows are made on the executors and grouped there; the driver fetches one part at a time.
     """
@@ -108,13 +108,13 @@ def benchmark_parts(benchmark: DataFrame, size: int = WINDOW, part_windows: int
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text"))
     grouped = items.mapInArrow(cut_windows, "item_id string, window binary").groupBy("window").agg(F.collect_set("item_id").alias("items")).cache()
-    n_parts = -(-grouped.count() // part_windows) or 0
-    parts = []
+    n_parts = -(-grouped.count() // (part_windows or PART_WINDOWS))
     for k in range(n_parts):
         rows = grouped if n_parts == 1 else grouped.where(F.pmod(F.xxhash64("window"), F.lit(n_parts)) == k)
-        parts.append(spark.sparkContext.broadcast({tuple(bytes(r.window).split(b"\0")): r["items"] for r in rows.toLocalIterator()}))
+        yield spark.sparkContext.broadcast({tuple(bytes(r.window).split(b"\0")): r["items"] for r in rows.toLocalIterator()}), k == n_parts - 1
+    if not n_parts:
+        yield spark.sparkContext.broadcast({}), True
     grouped.unpersist()
-    return parts
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -122,15 +122,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     All columns of ``docs`` are kept; a column of one of these names is replaced.
     """
-    parts, key = benchmark_parts(benchmark, size), uuid.uuid4().hex
+    made = {"n_words", "n_hit", "item_ids", "spans", "__text"}
+    rows = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in made), text_bytes(text).alias("__text"))
+    before = None
+    for part, last in benchmark_parts(benchmark, size):
+        rows = _search(rows, part, last)
+        if not last:
+            rows = cut(rows, "contamination-part")
+            part.destroy()
+            if before is not None:
+                drop_cut(before)
+            before = rows
+    return rows
+
+
+def _search(rows: DataFrame, part, last: bool) -> DataFrame:
+    """One pass: a part's hits joined with those of the passes before; the last pass drops the text."""
+    key, found = uuid.uuid4().hex, ("n_words", "n_hit", "item_ids", "spans")
+    again = "spans" in rows.columns
+    kept = [f for f in rows.schema.fields if f.name not in found and not (last and f.name == "__text")]
 
     def run(batches):
-        matchers = _tables(key, parts)
+        matchers = _tables(key, part)
         for b in batches:
+            texts = b.column("__text").to_pylist()
+            old = zip(b.column("spans").to_pylist(), b.column("item_ids").to_pylist()) if again else (((), ()) for _ in texts)
             n_words, n_hit, items, spans = [], [], [], []
-            for t in b.column("__text").to_pylist():
+            for t, (was_hit, was_seen) in zip(texts, old):
                 ws = words(t)
-                ranges, seen = [], set()
+                ranges, seen = [tuple(x) for x in was_hit], set(was_seen)
                 for m in matchers:
                     for at, to, value in m.search(ws):
                         ranges.append((at, to))
@@ -145,14 +165,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 n_hit.append(sum(q - p for p, q in merged))
                 items.append(sorted(seen))
                 spans.append(merged)
-            cols = [b.column(i) for i, f in enumerate(b.schema) if f.name != "__text"]
-            names = [f.name for f in b.schema if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*names, "n_words", "n_hit", "item_ids", "spans"])
+            cols = [b.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*(f.name for f in kept), *found])
 
-    made = {"n_words", "n_hit", "item_ids", "spans", "__text"}
-    rows = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in made), text_bytes(text).alias("__text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kept + "n_words long, n_hit long, item_ids array<string>, spans array<array<int>>")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return rows.mapInArrow(run, schema + "n_words long, n_hit long, item_ids array<string>, spans array<array<int>>")
 
 
 def is_contaminated():

@@ -150,6 +150,13 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_benchmark_parts_follow_the_module(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WINDOWS", 7)
+    bench = spark.createDataFrame([(i, f"only{i}") for i in range(20)], "item_id long, text string")
+    parts = [(len(p.value), last) for p, last in decontaminate.benchmark_parts(bench)]
+    assert len(parts) == 3 and sum(n for n, _ in parts) == 20 and [x for _, x in parts] == [False, False, True]
+
+
 def test_main_text(spark):
     pages = [
         "<html><body><nav><a href=/>Home</a></nav><article><h1>A&amp;B  title</h1><p><b>One <i>two</i><br>three<p>Four &lt; five&nbsp;six &am</article><footer>&copy; x</footer>",
