@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chirpline.functions.intervals import box_area, box_containment, iou_1d, natural_key
 from chirpline.functions.metrics import matching_metrics
 from chirpline.operators.intervals import overlap_join
+from chirpline.sources.shared import cut, drop_cut
 
 BOX = ("x1", "y1", "x2", "y2")
 #: Bucket of the join for candidate pairs: 10 minutes, so that dense time lines have small buckets.
@@ -23,8 +24,6 @@ def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0
     both their ends and drops the pairs of used ends, which gives the same pairs as one by one;
     every round takes at least the best pair left. No stretch of time is gathered in one task.
     """
-    from chirpline.llm.common import cut, drop_cut
-
     side = lambda df: df.select(*by, F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
     end = lambda x: F.struct(*(F.col(f"{x}{c}").alias(c) for c in ("t0_us", "t1_us", "id")))
     pairs = overlap_join(side(gt), side(pred), by, bucket_us, iou)
