@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
