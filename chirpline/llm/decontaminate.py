@@ -11,7 +11,10 @@ the benchmark: a larger benchmark takes more parts, each of which is one more pa
 documents, written in between, so that a worker and the driver hold one part at a time.
 
 Nulls: a null text has no words and is clean; an item with a null or wordless text has no window.
-A null item_id is skipped, as it can't be named. Repeated rows give repeated results.
+A null item_id is skipped, as it can't be named. Repeated rows give repeated results. An empty
+benchmark hits nothing, an empty table gives an empty result. :func:`find_contamination` replaces
+columns named as those it makes; :func:`decontaminate` returns the documents' own columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table, text_bytes
+from .common import cut, drop_cut, map_arrow, own_columns, table, text_bytes
+from .workers import kept as kept_in_worker
 
 WINDOW = 13
-PART_WINDOWS = 200_000
+#: Windows of a part: about 50 MB in a worker.
+PART_WINDOWS = 100_000
 #: Class limits of pattern length: a short item must not shorten the jumps of the long windows.
 CLASSES = (1, 2, 4, 8)
 
@@ -83,15 +88,9 @@ def _matchers(patterns: dict[tuple, list]) -> list[WuManber]:
     return [WuManber(c) for _, c in sorted(classes.items())]
 
 
-_built: dict = {}
-
-
 def _tables(key: str, part) -> list[WuManber]:
     """The matchers of a broadcast part, built once in a worker; those of the part before go."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = _matchers(part.value)
-    return _built[key]
+    return kept_in_worker(("windows", key), lambda: _matchers(part.value))
 
 
 def benchmark_parts(benchmark: DataFrame, size: int = WINDOW, part_windows: int | None = None):
@@ -107,11 +106,13 @@ def benchmark_parts(benchmark: DataFrame, size: int = WINDOW, part_windows: int
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["item_id", "window"])
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text"))
-    grouped = items.mapInArrow(cut_windows, "item_id string, window binary").groupBy("window").agg(F.collect_set("item_id").alias("items")).cache()
+    grouped = map_arrow(items, cut_windows, "item_id string, window binary").groupBy("window").agg(F.collect_set("item_id").alias("items")).cache()
     n_parts = -(-grouped.count() // (part_windows or PART_WINDOWS))
     for k in range(n_parts):
         rows = grouped if n_parts == 1 else grouped.where(F.pmod(F.xxhash64("window"), F.lit(n_parts)) == k)
-        yield spark.sparkContext.broadcast({tuple(bytes(r.window).split(b"\0")): r["items"] for r in rows.toLocalIterator()}), k == n_parts - 1
+        once: dict = {}  # windows share their words
+        found = {tuple(once.setdefault(w, w) for w in bytes(r.window).split(b"\0")): r["items"] for r in rows.toLocalIterator()}
+        yield spark.sparkContext.broadcast(found), k == n_parts - 1
     if not n_parts:
         yield spark.sparkContext.broadcast({}), True
     grouped.unpersist()
@@ -169,7 +170,7 @@ def _search(rows: DataFrame, part, last: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*(f.name for f in kept), *found])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return rows.mapInArrow(run, schema + "n_words long, n_hit long, item_ids array<string>, spans array<array<int>>")
+    return map_arrow(rows, run, schema + "n_words long, n_hit long, item_ids array<string>, spans array<array<int>>")
 
 
 def is_contaminated():
@@ -179,7 +180,9 @@ def is_contaminated():
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    return find_contamination(docs, benchmark).where(~is_contaminated()).select(*(f"`{c}`" for c in docs.columns))
+    made, names = own_columns(docs, "__doc")
+    text = next(k for k, c in names.items() if c == "text")
+    return find_contamination(made, benchmark, text).where(~is_contaminated()).select(*(F.col(k).alias(c) for k, c in names.items()))
 
 
 def items_sha256(ids: str = "item_ids"):
@@ -187,6 +190,7 @@ def items_sha256(ids: str = "item_ids"):
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Words, words hit, items and the verdict of every row of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items_sha256().alias("items_sha256"), is_contaminated().alias("contaminated"))

@@ -6,6 +6,11 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Bytes whose wide arrays exist at once.
+BLOCK = 1 << 18
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -14,25 +19,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _power(base: int) -> np.ndarray:
+    if base not in _powers:
+        _powers[base] = np.cumprod(np.full(BLOCK, base, np.uint64))
+    return _powers[base]
+
+
 def chunk_hashes(a: np.ndarray, hashes: int = 2) -> tuple[np.ndarray, ...]:
     """Starts and stops of the chunks in an array of bytes, and ``hashes`` 64-bit hashes of each.
 
-    Chunks are cut at ASCII white space. A hash is a polynomial of the bytes, mixed.
+    Chunks are cut at ASCII white space. A hash is a polynomial of the bytes, mixed. It is summed
+    block by block, so a text of any length, or a chunk of any length, needs little memory.
     """
-    blank = (a == 32) | ((a >= 9) & (a <= 13))
-    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    if not len(starts):
-        none = np.empty(0, np.uint64)
-        return starts, starts, *([none] * hashes)
-    stops = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-    if len(stops) < len(starts):
-        stops = np.append(stops, len(a))
-    begin = int(starts[0])
-    place = np.arange(begin, len(a), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-    values = np.where(blank[begin:], np.uint8(0), a[begin:]).astype(np.uint64)
-    longest = int(np.diff(np.append(starts, len(a))).max())
-    out = []
-    for base in BASES[:hashes]:
-        power = np.cumprod(np.full(longest + 1, base, np.uint64))
-        out.append(mix(np.add.reduceat(values * power[place], starts - begin) + (stops - starts).astype(np.uint64)))
-    return starts, stops, *out
+    blank = _BLANK[a]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(a) and not blank[0]:
+        edges = np.concatenate(([0], edges))
+    if len(edges) % 2:
+        edges = np.append(edges, len(a))
+    starts, stops = edges[::2], edges[1::2]
+    sums = [np.zeros(len(starts), np.uint64) for _ in range(hashes)]
+    for low in range(0, len(a), BLOCK):
+        high = min(low + BLOCK, len(a))
+        i, j = int(np.searchsorted(stops, low, "right")), int(np.searchsorted(starts, high))
+        if i == j:  # blanks only
+            continue
+        here = np.maximum(starts[i:j], low)
+        begin = int(here[0])
+        place = np.arange(high - begin) - np.repeat(here - begin, np.diff(np.append(here, high)))
+        values = np.where(blank[begin:high], np.uint8(0), a[begin:high]).astype(np.uint64)
+        before = begin - int(starts[i])  # bytes of the first chunk in blocks before
+        for out, base in zip(sums, BASES):
+            part = np.add.reduceat(values * _power(base)[place], here - begin)
+            if before:
+                part[:1] *= np.uint64(pow(base, before, 1 << 64))
+            out[i:j] += part
+    return starts, stops, *(mix(x + (stops - starts).astype(np.uint64)) for x in sums)

@@ -10,7 +10,10 @@ with weights that grow with the cosine.
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 isn't 0. A score reads the text
 and nothing else. Nulls: rows without a doc_id or quality teach nothing; null and empty texts have
 no direction and get the share of label 1 in the sample; a null doc_id is not held out. Repeated
-labels of a document count once (the lowest). Without any label every score is 0.5.
+labels of a document count once (the lowest), and so do rows that repeat a doc_id (the text of
+lowest crc32). Without any label every score is 0.5. Repeated rows
+are scored alike; an empty table gives an empty result. :func:`score_documents` replaces a column
+named score (in any case), :func:`keep_good` returns the documents' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import map_arrow, own_columns, table, text_bytes
 
 REFERENCES = 4096
 DIMS = 48
@@ -35,7 +38,8 @@ TERMS = 1024
 WORD_TERMS = 512
 WORD_WEIGHT = 0.35
 THRESHOLD = 0.3
-BLOCK = 512
+#: Rows whose cosines exist at once.
+BLOCK = 256
 
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"([^\s])\1+")
@@ -113,18 +117,24 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, references: int = REFERENCES, label: str = "quality") -> LatentSpace:
-    """Fit on at most ``references`` labelled rows outside the held-out fold."""
+    """Fit on at most ``references`` labelled rows outside the held-out fold.
+
+    Terms are counted where the rows lie; rows of 4 KB, not texts, are put in order of their hash.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * references)
     rows = docs.select("doc_id", text_bytes().alias("__text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "__text").limit(references)
 
     def run(batches):
         for b in batches:
-            x = term_matrix(b.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("__label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+            texts = b.column("__text").to_pylist()
+            x = [r.tobytes() for r in term_matrix(texts)]
+            order = pa.array([zlib.crc32(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), order, b.column("__label").cast(pa.int32()), pa.array(x, pa.binary())], ["doc_id", "tie", "label", "x"])
 
-    got = rows.mapInArrow(run, "label int, x binary").collect()  # at most `references` rows of 4 KB
+    counted = map_arrow(rows, run, "doc_id long, tie long, label int, x binary")
+    once = counted.groupBy("doc_id", "label").agg(F.min(F.struct("tie", "x"))["x"].alias("x"))
+    got = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(references).collect()  # at most `references` rows of 4 KB
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), TERMS)
     return LatentSpace(x, np.array([r.label for r in got], np.float32))
 
@@ -142,17 +152,19 @@ def score_documents(docs: DataFrame, space: LatentSpace, text: str = "text") ->
 
     rows = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in ("score", "__text")), text_bytes(text).alias("__text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kept + "score double")
+    return map_arrow(rows, run, kept + "score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
-    scored = score_documents(docs.withColumnRenamed("score", "__own_score") if "score" in docs.columns else docs, fit(docs, labels))
-    kept = scored.where(F.col("score") >= threshold).drop("score")
-    return (kept.withColumnRenamed("__own_score", "score") if "score" in docs.columns else kept).select(*(f"`{c}`" for c in docs.columns))
+    made, names = own_columns(docs, "__doc")
+    text = next(k for k, c in names.items() if c == "text")
+    scored = score_documents(made, fit(docs, labels), text)
+    return scored.where(F.col("score") >= threshold).select(*(F.col(k).alias(c) for k, c in names.items()))
 
 
 def op6_neighbour_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,6 +18,7 @@ Shards are written with ``pyarrow.fs`` to the folder the session shares (local,
 
 Nulls: a null text is empty and has the end id only; a null doc_id is kept and comes first.
 Repeated doc_ids are separate documents, in order of text. Empty tables give an empty manifest.
+A text of any length is encoded part by part. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table, text_bytes
+from .common import cut, map_arrow, shared_dir, table, text_bytes
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"CHIRPTOK"
@@ -164,7 +165,7 @@ def write_token_shards(df: DataFrame, key: str = "doc_id", text: str = "text", p
     # the row number parts even repeated rows, so no value can fill a range alone
     rows = df.select(F.col(key).cast("long").alias("key"), text_bytes(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange("key", "tie", "row").sortWithinPartitions("key", "tie", "row").select("key", "text")
-    manifest = cut(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = cut(map_arrow(rows, run, "shard int, path string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumns({f"{n}_start": F.coalesce(F.sum(f"n_{n}s").over(before), F.lit(0)) for n in ("id", "doc")})
 
@@ -192,7 +193,7 @@ def read_token_shards(manifest: DataFrame, summary: bool = False) -> DataFrame:
 
     n = max(1, manifest.count())
     shards = manifest.select("path", "id_start").repartition(n)
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if summary else "ids array<int>"))
+    return map_arrow(shards, run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if summary else "ids array<int>"))
 
 
 def token_files(docs: DataFrame) -> DataFrame:
@@ -201,4 +202,5 @@ def token_files(docs: DataFrame) -> DataFrame:
 
 
 def op1_token_id_files(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every text of ``documents``, read back from its shards."""
     return token_files(table(spark, sf_dir, "documents"))

@@ -18,12 +18,15 @@ from unicodedata import normalize
 import numpy as np
 
 from .hashing import chunk_hashes
+from .workers import kept
 
-#: Chunks and letter runs that a worker's tables hold (about 60 and 200 bytes each).
-CACHE_CHUNKS, CACHE_RUNS = 1_500_000, 250_000
+#: Chunks and letter runs that a worker's tables hold (about 60 bytes each; twice 200 bytes each).
+CACHE_CHUNKS, CACHE_RUNS = 400_000, 150_000
 #: ASCII punctuation that starts a piece of its own after a letter (all but the apostrophe).
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_GROUP_BYTES = 1_500_000
+#: Bytes that are looked up at once; a longer text is looked up part by part.
+_GROUP_BYTES = 500_000
+_BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -117,8 +120,8 @@ class Library:
 class ChunkEncoder:
     """Encodes groups of texts by a table of chunks in sorted numpy arrays, of bounded size."""
 
-    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
-        self.library, self.limit, self.clock = Library(path), limit, 0
+    def __init__(self, path: str, limit: int | None = None, library: Library | None = None):
+        self.library, self.limit, self.clock = library or Library(path), limit or CACHE_CHUNKS, 0
         self.keys, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.at, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))
         self.flat = np.empty(0, "<u4")
@@ -128,24 +131,31 @@ class ChunkEncoder:
 
     def ids(self, texts: list[bytes]):
         """For each text the ids as little-endian u32 bytes."""
-        for group in _groups(texts):
-            cuts, rows, inverse = self._look_up(group)
-            counts = self.count[rows][inverse]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            source = np.repeat(self.at[rows][inverse] - (ends - counts), counts) + np.arange(total)
-            raw = memoryview(self.flat[source].tobytes())
-            places = np.concatenate(([0], ends))[cuts] * 4
-            for i, j in zip(places.tolist(), places[1:].tolist()):
-                yield bytes(raw[i:j])
-
-    def chunk_counts(self, texts: list[bytes]):
-        """For each text the number of tokens of each of its chunks."""
-        for group in _groups(texts):
-            cuts, rows, inverse = self._look_up(group)
-            counts = self.count[rows][inverse]
-            for i, j in zip(cuts, cuts[1:]):
-                yield counts[i:j]
+        return self._whole(texts)
+
+    #: The same for a library that gives other numbers than ids.
+    payloads = ids
+
+    def _whole(self, texts: list[bytes]):
+        """The ids of each text, joined over the parts of a long one."""
+        waiting = []
+        for group, ends in _groups(texts):
+            for got, end in zip(self._group_ids(group), ends):
+                waiting.append(got)
+                if end:
+                    yield waiting[0] if len(waiting) == 1 else b"".join(waiting)
+                    waiting = []
+
+    def _group_ids(self, group: list[bytes]):
+        cuts, rows, inverse = self._look_up(group)
+        counts = self.count[rows][inverse]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        source = np.repeat(self.at[rows][inverse] - (ends - counts), counts) + np.arange(total)
+        raw = memoryview(self.flat[source].tobytes())
+        places = np.concatenate(([0], ends))[cuts] * 4
+        for i, j in zip(places.tolist(), places[1:].tolist()):
+            yield bytes(raw[i:j])
 
     def _look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the texts' chunks begin and end, the table rows of the distinct chunks, and each chunk's place among those."""
@@ -198,24 +208,34 @@ class ChunkEncoder:
         self.keys, self.check, self.used = self.keys[stay], self.check[stay], self.used[stay]
 
 
-def _groups(texts: list[bytes], limit: int = _GROUP_BYTES):
-    """Runs of texts of about ``limit`` bytes, so that a group's arrays are small."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _parts(text: bytes, limit: int):
+    """A text cut at blanks into parts of about ``limit`` bytes; a longer chunk stays whole."""
+    at = 0
+    while len(text) - at > limit:
+        to = max(text.rfind(c, at + 1, at + limit) for c in _BLANKS)
+        if to < 0:
+            to = min((i for c in _BLANKS if (i := text.find(c, at + limit)) >= 0), default=len(text))
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+def _groups(texts: list[bytes], limit: int | None = None):
+    """Groups of texts of about ``limit`` bytes (``_GROUP_BYTES`` if None), and which of them end their text."""
+    limit, group, ends, size = limit or _GROUP_BYTES, [], [], 0
+    for t in texts:
+        parts = [t] if len(t) <= limit else list(_parts(t, limit))
+        for i, part in enumerate(parts):
+            group.append(part)
+            ends.append(i == len(parts) - 1)
+            size += len(part)
+            if size >= limit:
+                yield group, ends
+                group, ends, size = [], [], 0
+    if group:
+        yield group, ends
 
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file (kept between the tasks of a worker)."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: ChunkEncoder(path))
