@@ -19,18 +19,12 @@ BLOCKS = frozenset(
     "form fieldset blockquote pre figure figcaption address details summary dialog menu center hgroup search button select option label hr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object audio video canvas".split())
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
 PARAGRAPH_ENDS = BLOCKS - {"button", "select", "option", "label"}
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form header menu dialog button select option label fieldset address search".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td figcaption".split())
-# fixed values: words in class, id and role attributes
-GOOD_WORDS = frozenset("article post content entry body main story text prose hentry maincontent articlebody".split())
-BAD_WORDS = frozenset(
-    "nav navbar navigation menu sidebar side rail aside ad ads advert advertisement adslot sponsor sponsored promo promotion banner comment comments respond reply "
-    "replies disqus discussion cookie cookies consent notice gdpr alert footer foot header masthead topbar breadcrumb breadcrumbs share sharing social related "
-    "recommended newsletter subscribe signup login search form widget popup modal overlay pagination pager tags copyright legal disclaimer toolbar links hidden".split()
-)
 SAME_END = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 
@@ -40,7 +34,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _STOPS = re.compile(r"[.,;:!?。，]")
 
 FEATURES = (
-    "good_tag bad_tag prose_tag above_bad_tags above_good_tags bad_words good_words above_bad_words above_good_words log_chars link_share density "
+    "good_tag bad_tag prose_tag above_bad_tags above_good_tags words_against words_for above_against above_for log_chars link_share density "
     "depth siblings place parent_share stops words_per_run log_sibling_chars before prose_share page_share bad_share heading item text_run"
 ).split()
 
@@ -64,33 +58,74 @@ def attribute_words(raw: str) -> tuple[list[str], str | None]:
     return words, mark
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so that no search walks the stack.
+
+    An inline element that ends out of turn leaves an empty place behind. Every place is pushed and
+    popped once, so reading is linear in the page.
+    """
+
+    def __init__(self):
+        self.tags: list = ["#root"]
+        self.blocks = [(0, 0)]  # place and node of the open blocks
+        self.at: dict[str, list[int]] = {}
+        self.links = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if node >= 0:
+            self.blocks.append((len(self.tags), node))
+        self.tags.append(tag)
+        self.links += tag == "a"
+
+    def place(self, *tags: str) -> int:
+        """The highest place of any of the tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def pop_to(self, place: int) -> bool:
+        """Close the element at a place and all above it; was a block among them?"""
+        for tag in reversed(self.tags[place:]):
+            if tag is not None:
+                self.at[tag].pop()
+                self.links -= tag == "a"
+        del self.tags[place:]
+        closed = False
+        while self.blocks[-1][0] >= place:
+            self.blocks.pop()
+            closed = True
+        return closed
+
+    def drop(self, place: int) -> None:
+        """Close an inline element alone."""
+        tag, self.tags[place] = self.tags[place], None
+        self.at[tag].pop()
+        self.links -= tag == "a"
+        while self.tags[-1] is None:
+            self.tags.pop()
+
+    def top(self) -> str:
+        return self.tags[-1]
+
+
 def read(page: str) -> list[Node]:
-    """The nodes of a page in page order; the first is the root."""
-    root = Node("#root", -1, 0)
-    nodes, stack = [root], [("#root", 0)]  # the stack also holds inline elements, with node -1
-    block, run, links, at, end = 0, None, 0, 0, len(page)
+    """The nodes of a page in page order; the first is the root. Time is linear in the page."""
+    nodes, stack = [Node("#root", -1, 0)], _Stack()
+    run, at, end = None, 0, len(page)
 
     def text(s):
         nonlocal run
         if not s or (run is None and s.isspace()):
             return
         if run is None:
+            block = stack.blocks[-1][1]
             run = Node("#text", block, nodes[block].depth + 1)
             run.parts = []
             nodes[block].kids.append(len(nodes))
             nodes.append(run)
         run.parts.append(s)
-        if links:
+        if stack.links:
             run.linked += len(s)
 
-    def pop_to(i):
-        nonlocal block, run, links
-        if any(n >= 0 for _, n in stack[i:]):
-            run = None
-        links -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
-        block = next(n for _, n in reversed(stack) if n >= 0)
-
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -105,14 +140,11 @@ def read(page: str) -> list[Node]:
         if m[1]:
             if tag in BLOCKS:
                 run = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1] >= 0:
-                        pop_to(i)
-                    else:
-                        links -= tag == "a"
-                        del stack[i]
-                    break
+            if place := stack.place(tag):
+                if tag in BLOCKS:
+                    stack.pop_to(place)
+                else:
+                    stack.drop(place)
             continue
         if tag == "br":
             text(" ") if run is not None else None
@@ -126,31 +158,21 @@ def read(page: str) -> list[Node]:
             continue
         if tag in BLOCKS:
             run = None
-            if tag in PARAGRAPH_ENDS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][1] >= 0:
-                        break
-            if tag in SAME_END:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SAME_END[tag]:
-                        break
-                    if stack[i][0] in SAME.get(tag, (tag,)):
-                        pop_to(i)
-                        if tag != "tr" or nodes and stack[-1][0] != "tr":
-                            break
+            if tag in PARAGRAPH_ENDS and stack.tags[stack.blocks[-1][0]] == "p":
+                stack.pop_to(stack.blocks[-1][0])
+            while tag in SAME_END and (place := stack.place(*SAME.get(tag, (tag,)))) > stack.place(*SAME_END[tag]):
+                stack.pop_to(place)
+                if tag != "tr" or stack.top() != "tr":
+                    break
             if tag == "hr":
                 continue
             words, mark = attribute_words(m[3]) if m[3] else ((), None)
+            block = stack.blocks[-1][1]
             nodes[block].kids.append(len(nodes))
             nodes.append(Node(tag, block, nodes[block].depth + 1, words, mark))
-            block = len(nodes) - 1
-            stack.append((tag, block))
+            stack.push(tag, len(nodes) - 1)
         elif not m[3].rstrip().endswith("/"):
-            stack.append((tag, -1))
-            links += tag == "a"
+            stack.push(tag, -1)
     return nodes
 
 
@@ -158,8 +180,8 @@ def block_text(node: Node) -> str:
     return " ".join("".join(node.parts).split())
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row of FEATURES for each node."""
+def features(nodes: list[Node], weights: dict[str, float]) -> np.ndarray:
+    """A row of FEATURES for each node. ``weights``: log-odds of attribute words, as learnt."""
     n = len(nodes)
     chars, linked, stops, words, runs, prose, bad, elements = ([0] * n for _ in range(8))
     before = [0] * n
@@ -175,11 +197,12 @@ def features(nodes: list[Node]) -> np.ndarray:
             runs[i] = 1
             prose[i] = len(s) if nodes[v.parent].tag in PROSE_TAGS else 0
             seen += len(s)
-    own_bad = [sum(w in BAD_WORDS for w in v.words) for v in nodes]
-    own_good = [sum(w in GOOD_WORDS for w in v.words) for v in nodes]
+    odds = [[weights.get(w, 0.0) for w in v.words] for v in nodes]
+    against = [-sum(x for x in o if x < 0) for o in odds]
+    support = [sum(x for x in o if x > 0) for o in odds]
     for i in range(n - 1, 0, -1):
         v, p = nodes[i], nodes[i].parent
-        if own_bad[i] or v.tag in BAD_TAGS:
+        if against[i] > 1 or v.tag in BAD_TAGS:
             bad[i] = chars[i]
         for x in (chars, linked, stops, words, runs, prose, bad):
             x[p] += x[i]
@@ -195,11 +218,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i, v in enumerate(nodes):
         t = v.tag
         a = above[v.parent] if i else (0, 0, 0, 0)
-        above[i] = a = (a[0] + (t in BAD_TAGS), a[1] + (t in GOOD_TAGS), a[2] + own_bad[i], a[3] + own_good[i])
+        above[i] = a = (a[0] + (t in BAD_TAGS), a[1] + (t in GOOD_TAGS), a[2] + against[i], a[3] + support[i])
         p = nodes[v.parent] if i else v
         c = max(1, chars[i])
         out[i] = (
-            t in GOOD_TAGS, t in BAD_TAGS, t in PROSE_TAGS, a[0], a[1], own_bad[i], own_good[i], a[2], a[3], log1p(chars[i]), linked[i] / c, log1p(chars[i] / (elements[i] + 1)),
+            t in GOOD_TAGS, t in BAD_TAGS, t in PROSE_TAGS, a[0], a[1], against[i], support[i], a[2], a[3], log1p(chars[i]), linked[i] / c, log1p(chars[i] / (elements[i] + 1)),
             v.depth, len(p.kids), place[i], chars[i] / max(1, chars[v.parent if i else 0]), stops[i] / c, words[i] / max(1, runs[i]),
             log1p(chars[v.parent if i else 0] / max(1, len(p.kids))), before[i] / total, prose[i] / c, chars[i] / total, bad[i] / c, t[0] == "h" and len(t) == 2, t == "li", v.parts is not None,
         )

@@ -1,7 +1,8 @@
 """Operator 3: main text of web pages by gradient-boosted trees over DOM-node features.
 
 Every node of a page gets the log-odds that it belongs to the article, from boosted trees over its
-subtree's density, its attribute words, its depth and its siblings (``dom.FEATURES``). Decoding is
+subtree's density, its attribute words, its depth and its siblings (``dom.FEATURES``). Attribute words
+count by log-odds that are learnt with the trees. Decoding is
 hierarchical: of all labellings in which nothing below a dropped node stays, the likeliest is
 taken, so an ancestor never contradicts a descendant.
 
@@ -10,8 +11,9 @@ at random from a seed: article containers of many kinds between menus, headers,
 bars, notices, adverts, forms and reader comments. The given pages carry no labels. The model is a
 few kilobytes and is broadcast; pages are read and scored one Arrow batch at a time, no shuffle.
 
-Nulls: a null page is empty and has an empty text. Repeated rows give repeated results. Cut pages
-are read up to the cut. Only the key, the address and the page are read.
+Nulls: a null page is empty and has an empty text. Repeated rows give repeated results, an empty
+table an empty one. Cut pages are read up to the cut; time is linear in a page's length. Only the
+key, the address and the page are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,11 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dom
-from .common import table
+from .common import map_arrow, table
 
 TRAINING_PAGES = 500
 TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
+#: Nodes that must carry an attribute word before its odds count.
+WORD_NODES = 8
+#: Bytes of pages that are scored at once.
+GROUP_BYTES = 1_000_000
 SEED = 3
+# fixed values: names that sites give to the parts of a page, for the laid-out pages
+NAMES = {
+    "article": "content post article-body entry-content story main-text post-content hentry prose main article text body-content".split(),
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs share-links sharing related recommended pagination pager toolbar tags".split(),
+    "advert": "ad ads advert advertisement adslot sponsor sponsored promo-box promotion banner popup modal overlay".split(),
+    "notice": "cookie-notice cookies consent notice newsletter alert legal-disclaimer copyright gdpr subscribe signup login".split(),
+    "comments": "comments comment-list replies reply respond disqus-thread discussion".split(),
+    "side": "sidebar side-rail aside widget social footer-links footer foot site-header header masthead topbar search hidden".split(),
+}
 
 
 def training_pages(n: int = TRAINING_PAGES, seed: int = SEED):
@@ -60,23 +75,23 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED):
         if kind == 0:
             return f'<nav data-mark="0">{links(r.randint(2, 9))}</nav>'
         if kind == 1:
-            return f'<div data-mark="0"{attr("menu", "navbar", "breadcrumbs", "share-links", "related", "pagination")}>{links(r.randint(2, 8))}</div>'
+            return f'<div data-mark="0"{attr(*NAMES["menu"])}>{links(r.randint(2, 8))}</div>'
         if kind == 2:
             return f'<header data-mark="0"><a href="/">{word()}</a> {sentence(1, 8)}{links(r.randint(0, 5))}</header>'
         if kind == 3:
             return f'<footer data-mark="0">&copy; {word()}.example &middot; {prose(1, 3)}</footer>'
         if kind == 4:
-            return f'<aside data-mark="0"{r.choice(("", attr("sidebar", "widget")))}><h3>{sentence(1, 3)}</h3>{r.choice((links(4), f"<p>{prose(1, 4)}</p>"))}</aside>'
+            return f'<aside data-mark="0"{r.choice(("", attr(*NAMES["side"])))}><h3>{sentence(1, 3)}</h3>{r.choice((links(4), f"<p>{prose(1, 4)}</p>"))}</aside>'
         if kind == 5:
-            return f'<div data-mark="0"{attr("ad", "ads", "advert", "sponsored", "promo-box", "banner")}>{r.choice((prose(1, 2), f"<p>{prose(1, 3)}</p>"))}</div>'
+            return f'<div data-mark="0"{attr(*NAMES["advert"])}>{r.choice((prose(1, 2), f"<p>{prose(1, 3)}</p>"))}</div>'
         if kind == 6:
-            return f'<div data-mark="0"{attr("cookie-notice", "consent", "notice", "newsletter", "alert", "legal-disclaimer")}>{r.choice((prose(1, 3), f"<p>{prose(1, 3)}</p><button>OK</button>"))}</div>'
+            return f'<div data-mark="0"{attr(*NAMES["notice"])}>{r.choice((prose(1, 3), f"<p>{prose(1, 3)}</p><button>OK</button>"))}</div>'
         if kind == 7:
             return f'<form data-mark="0"><label>{word()}</label><input name="q"><button>{word()}</button></form>'
         if kind == 8:
             items = "".join(r.choice((f'<div class="comment"><b>{word()}</b> <p>{prose(1, 4)}</p></div>', f"<li><p>{prose(1, 5)}</p></li>")) for _ in range(r.randint(1, 6)))
-            return f'<{(t := r.choice(("div", "section", "ol")))} data-mark="0"{attr("comments", "comment-list", "replies", "disqus-thread")}>{items}</{t}>'
-        return f'<div data-mark="0"{attr("sidebar", "side-rail", "widget", "social", "footer-links", "site-header", "topbar")}><p>{prose(1, 3)}</p>{links(r.randint(1, 5))}</div>'
+            return f'<{(t := r.choice(("div", "section", "ol")))} data-mark="0"{attr(*NAMES["comments"])}>{items}</{t}>'
+        return f'<div data-mark="0"{attr(*NAMES["side"])}><p>{prose(1, 3)}</p>{links(r.randint(1, 5))}</div>'
 
     def article():
         blocks = [f"<h1>{sentence(2, 9)}</h1>"] if r.random() < 0.8 else []
@@ -102,7 +117,7 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED):
             return f'<article data-mark="1">{inner}</article>'
         if k < 0.55:
             return f'<main data-mark="1">{inner}</main>'
-        return f'<{(t := r.choice(("div", "section")))} data-mark="1"{attr("content", "post", "article-body", "entry-content", "story", "main-text", "post-content")}>{inner}</{t}>'
+        return f'<{(t := r.choice(("div", "section")))} data-mark="1"{attr(*NAMES["article"])}>{inner}</{t}>'
 
     for _ in range(n):
         above = "".join(boiler() for _ in range(r.randint(0, 3)))
@@ -174,22 +189,55 @@ class BoostedTrees:
         return f
 
 
-_model: list[BoostedTrees] = []
+def word_weights(pages: list[list[dom.Node]], labels: list[np.ndarray]) -> dict[str, float]:
+    """Log-odds that a node with an attribute word is of the article, against all nodes with words."""
+    seen: dict[str, list[int]] = {}
+    for nodes, ys in zip(pages, labels):
+        for v, y in zip(nodes, ys):
+            for w in set(v.words):
+                seen.setdefault(w, [0, 0])[int(y)] += 1
+    no, yes = (sum(c[k] for c in seen.values()) + 1 for k in (0, 1))
+    return {w: float(np.log((b + 1) / (a + 1)) - np.log(yes / no)) for w, (a, b) in seen.items() if a + b >= WORD_NODES}
 
 
-def model() -> BoostedTrees:
-    """The trained trees (trained once in a process)."""
+class Extractor:
+    """The trees and the weights of attribute words."""
+
+    def __init__(self, pages: list[str]):
+        read = [dom.read(p) for p in pages]
+        labels = [training_labels(p) for p in read]
+        self.words = word_weights(read, labels)
+        self.trees = BoostedTrees(np.concatenate([self.features(p) for p in read]), np.concatenate(labels))
+
+    def features(self, nodes: list[dom.Node]) -> np.ndarray:
+        return dom.features(nodes, self.words).astype(np.float64)
+
+    def texts(self, pages: list[str]) -> list[str]:
+        read = [dom.read(p) for p in pages]
+        sizes = np.cumsum([0, *map(len, read)])
+        logits = self.trees.logits(np.concatenate([self.features(p) for p in read])) if read else np.empty(0)
+        return [dom.main_text(p, dom.decode(p, logits[i:j])) for p, i, j in zip(read, sizes, sizes[1:])]
+
+
+_model: list[Extractor] = []
+
+
+def model() -> Extractor:
+    """The trained extractor (trained once in a process)."""
     if not _model:
-        pages = [dom.read(p) for p in training_pages()]
-        _model.append(BoostedTrees(np.concatenate([dom.features(p) for p in pages]).astype(np.float64), np.concatenate([training_labels(p) for p in pages])))
+        _model.append(Extractor(list(training_pages())))
     return _model[0]
 
 
-def extract_pages(pages: list[str], trees: BoostedTrees) -> list[str]:
-    read = [dom.read(p) for p in pages]
-    sizes = np.cumsum([0, *map(len, read)])
-    logits = trees.logits(np.concatenate([dom.features(p) for p in read])) if read else np.empty(0)
-    return [dom.main_text(p, dom.decode(p, logits[i:j])) for p, i, j in zip(read, sizes, sizes[1:])]
+def extract_pages(pages: list[str], trained: Extractor):
+    """The main text of each page; pages are scored in groups of ``GROUP_BYTES``."""
+    group, size = [], 0
+    for i, p in enumerate(pages):
+        group.append(p)
+        size += len(p)
+        if size >= GROUP_BYTES or i == len(pages) - 1:
+            yield from trained.texts(group)
+            group, size = [], 0
 
 
 def extract_main_text(df: DataFrame, page: str = "html", keep: list[str] = ("page_id", "url")) -> DataFrame:
@@ -200,13 +248,14 @@ def extract_main_text(df: DataFrame, page: str = "html", keep: list[str] = ("pag
     def run(batches):
         for b in batches:
             pages = b.column("__page").to_pylist()
-            texts = [t for i in range(0, len(pages), 256) for t in extract_pages(pages[i : i + 256], shared.value)]
+            texts = list(extract_pages(pages, shared.value))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     rows = df.select(*keep, F.coalesce(F.col(page), F.lit("")).alias("__page"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, kept + "text string")
+    return map_arrow(rows, run, kept + "text string")
 
 
 def op3_html_main_text(spark, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every row of ``pages``."""
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
