@@ -6,9 +6,13 @@ a dynamic programme finds the cheapest way to guess the value as a sequence of w
 repeats, keyboard walks and brute-force characters. A value that costs at least ``GUESS_BITS`` bits
 is a span of kind ``guess``. Base spans stay whatever their values cost.
 
-Spans are ``kind:start:stop`` in code points, in order of start, then kind as listed. One pass over
-the rows, no shuffle; whole texts are searched. Nulls: a null text is empty and has no span.
-Repeated rows give repeated results. Only the key and the text are read.
+Words are common password words, then the ``DICTIONARY`` most frequent words of all the documents
+themselves, by rank: what a corpus says everywhere is no secret.
+
+Spans are ``kind:start:stop`` in code points, in order of start, then kind as listed. Words are
+counted by one aggregation; the scan is one pass over the rows, no shuffle; whole texts are
+searched. Nulls: a null text is empty and has no span. Repeated rows give repeated results, an empty
+table an empty one. Only the key and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import map_arrow, table, text_bytes
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 40.0
@@ -29,12 +34,13 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_GUESS = 8, 16, 32, 6
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # a run of [0-9a-f]+ always starts a match, so short runs fail alone
+# a lookahead: a keyword that stands where another's value would be starts a match of its own
 CONTEXT = re.compile(
-    rb"""(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|passcode|pass|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|authorization|bearer|login)"""
-    rb"""["']?(?:[\x20\t]{1,4}(?:is|was)[\x20\t]{1,4}|[\x20\t]{0,4}(?::=|=>|[:=])[\x20\t]{0,4}(?:bearer[\x20\t]{1,4})?|(?<=bearer)[\x20\t]{1,4})["']?([^\s"'<>,;]+)""",
+    rb"""(?=(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|passcode|pass|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|authorization|bearer|login)"""
+    rb"""["']?(?:[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]*(?::=|=>|[:=])[\x20\t]*|(?<=bearer)[\x20\t]+)["']?(?:(?:basic|bearer|digest|apikey)[\x20\t]+)?["']?([^\s"'<>,;]+))""",
     re.I,
 )
-URL = re.compile(rb"://[^\s/:@]+:([^\s/@]+)@")
+URL = re.compile(rb"://[^\s/:@]*:([^\s/@]+)@")
 ASSIGN_HINTS = (b"pass", b"secret", b"token", b"key")
 CONTEXT_HINTS = (*ASSIGN_HINTS, b"pwd", b"credential", b"bearer", b"login", b"authoriz")
 
@@ -51,66 +57,122 @@ staple temp demo foo bar baz abc xyz one two three four five new old
 """.split()
 # fixed values: rows of keys and runs of characters that walks follow
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujm", "1qaz2wsx3edc4rfv5tgb")
+DATES = ((10, 16.2), (9, 16.2), (8, 16.2), (4, 6.9))  # lengths of dates with their bits
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
-_RANK = {w: math.log2(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
-#: Longest repeat or walk that may start anywhere; one that starts where its run starts may be of any length.
-_SPAN = 64
-_PART = 1.0  # bits for where a segment ends
+#: Most frequent words of the documents that count as words of a value, and their lengths.
+DICTIONARY, SHORTEST, LONGEST = 10_000, 3, 24
+#: Longest period of a repeat.
+PERIODS = 8
+WALK_BITS = 5.6  # where a walk begins, and its way
+PART_BITS = 1.0  # that a segment ends here
+
+
+class Words:
+    """Bits of each word by its rank."""
+
+    def __init__(self, more: list[str] = ()):
+        self.bits: dict[str, float] = {}
+        for i, w in enumerate([*WORDS, *more]):
+            self.bits.setdefault(w, math.log2(i + 2))
+        self.longest = max(map(len, self.bits))
+
+
+def common_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) -> Words:
+    """The fixed words and the ``n`` most frequent words of all texts (ties by the word)."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(n)
+    return Words([r.w for r in top.collect()])  # n short words
 
 
 def _alphabet(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.islower() and c.isascii() else 26 if c.isupper() and c.isascii() else 33 if c.isascii() else 1000)
 
 
-def guess_cost(value: str) -> float:
-    """Bits of the cheapest guess: the minimum over all segmentations of the sum of their costs."""
-    n, low = len(value), value.lower()
-    if len(low) != n:
+def word_cost(value: str, low: str, plain: str, i: int, j: int, bits: dict[str, float]) -> float | None:
+    """Bits of value[i:j] as a word, in another case or with look-alike characters; None if it is none."""
+    word, part = low[i:j], value[i:j]
+    cost = bits.get(word)
+    if cost is None and (cost := bits.get(plain[i:j])) is not None:
+        cost += 2
+    if cost is None:
+        return None
+    return cost + (0 if part == word else 1 if part.istitle() or part.isupper() else min(len(word), 4))
+
+
+def lower_forms(value: str) -> tuple[str, str]:
+    """The value in lower case, and with look-alike characters as letters; both as long as the value."""
+    low = value.lower()
+    if len(low) != len(value):
         low = "".join(c.lower()[:1] or c for c in value)
-    plain = low.translate(LEET)
+    return low, low.translate(LEET)
+
+
+def guess_cost(value: str, words: Words | None = None, enough: float = math.inf) -> float:
+    """Bits of the cheapest guess: the minimum over all segmentations of the sum of their costs.
+
+    A repeat costs its block, a walk ``WALK_BITS``, and either log2(len(value)) for its length; so
+    the best start of one is a running minimum over the run, and the whole costs len(value) steps.
+    The search ends once every way on costs ``enough``.
+    """
+    words = words or _fixed_words()
+    n, (low, plain) = len(value), lower_forms(value)
+    bits, longest = words.bits, words.longest
+    alphabet = [_alphabet(c) for c in value]
+    upto = [0.0]  # brute force of each prefix
+    for a in alphabet:
+        upto.append(upto[-1] + a)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        for size, bits in ((10, 16.2), (9, 16.2), (8, 16.2), (4, 6.9)):
-            m = DATE.fullmatch(low, i, min(n, i + size)) if i + size <= n else None
-            if m:
-                dates.setdefault(i + size, []).append((i, bits))
-    runs = [0] * 9  # for period p: characters up to here that repeat the p before them
-    walk = 0
+    any_length = math.log2(n) if n else 0.0
+    runs, starts = [0] * (PERIODS + 1), [math.inf] * (PERIODS + 1)  # for period p: characters that repeat the p before them; cheapest start
+    walk, walk_start = 0, math.inf
     for j in range(1, n + 1):
         c = value[j - 1]
-        cost = best[j - 1] + _alphabet(c) + (_PART if j == 1 else 0)
-        for i in range(max(0, j - _LONGEST), j - 1):
-            word = low[i:j]
-            bits = _RANK.get(word)
-            if bits is None and (bits := _RANK.get(plain[i:j])) is not None:
-                bits += 2
-            if bits is not None:
-                part = value[i:j]
-                bits += 0 if part == word else 1 if part.istitle() or part.isupper() else min(len(word), 4)
-                cost = min(cost, best[i] + bits + _PART)
-        for i, bits in dates.get(j, ()):
-            cost = min(cost, best[i] + bits + _PART)
-        for p in range(1, 9):
-            runs[p] = runs[p] + 1 if j > p and value[j - 1 - p] == c else 0
-            if runs[p] >= max(2, p):
-                block = sum(map(_alphabet, value[j - p : j]))
-                longest = runs[p] + p
-                for size in (*range(max(3, 2 * p), min(longest, _SPAN) + 1), longest):
-                    cost = min(cost, best[j - size] + block + math.log2(size) + _PART)
-        walk = walk + 1 if j > 1 and (low[j - 2], low[j - 1]) in _NEXT else 0
-        if walk >= 2:
-            for size in (*range(3, min(walk + 1, _SPAN) + 1), walk + 1):
-                cost = min(cost, best[j - size] + 5.6 + math.log2(size) + _PART)
+        cost = best[j - 1] + alphabet[j - 1] + (PART_BITS if j == 1 else 0)
+        for i in range(max(0, j - longest), j - 1):
+            if (got := word_cost(value, low, plain, i, j, bits)) is not None:
+                cost = min(cost, best[i] + got + PART_BITS)
+        for size, got in DATES:
+            if size <= j and value[j - 1].isdigit() and DATE.fullmatch(low, j - size, j):
+                cost = min(cost, best[j - size] + got + PART_BITS)
+        for p in range(1, PERIODS + 1):
+            if j > p and value[j - 1 - p] == c:
+                runs[p] += 1
+                if runs[p] >= max(2, p):
+                    starts[p] = min(starts[p], best[j - max(3, 2 * p)])
+                    cost = min(cost, starts[p] + upto[j] - upto[j - p] + any_length + PART_BITS)
+            else:
+                runs[p], starts[p] = 0, math.inf
+        if j > 1 and (low[j - 2], low[j - 1]) in _NEXT:
+            walk += 1
+            if walk >= 2:
+                walk_start = min(walk_start, best[j - 3])
+                cost = min(cost, walk_start + WALK_BITS + any_length + PART_BITS)
+        else:
+            walk, walk_start = 0, math.inf
         best[j] = cost
+        if cost >= enough and min(*best[max(0, j - _reach(longest)) : j + 1], *starts, walk_start) >= enough:
+            return enough
     return best[n]
 
 
-def spans(text: bytes) -> list[tuple[int, str, int]]:
+def _reach(longest: int) -> int:
+    """How far back a segment may begin that is no repeat or walk under way."""
+    return max(longest, DATES[0][0], 2 * PERIODS, 3)
+
+
+_fixed: list[Words] = []
+
+
+def _fixed_words() -> Words:
+    if not _fixed:
+        _fixed.append(Words())
+    return _fixed[0]
+
+
+def spans(text: bytes, words: Words | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, stop) of all spans, in bytes, in order."""
     found = []
     low = text.lower()
@@ -127,7 +189,7 @@ def spans(text: bytes) -> list[tuple[int, str, int]]:
         values |= {m.span(1) for m in URL.finditer(text)}
     for a, b in values:
         value = text[a:b].decode("utf-8", "replace")
-        if len(value) >= MIN_GUESS and guess_cost(value) >= GUESS_BITS:
+        if len(value) >= MIN_GUESS and guess_cost(value, words, GUESS_BITS) >= GUESS_BITS:
             found.append((a, "guess", b))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
@@ -141,17 +203,21 @@ def in_code_points(text: bytes, found: list[tuple[int, str, int]]) -> list[tuple
     return [(place[a], kind, place[b]) for a, kind, b in found]
 
 
-def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the key and ``secrets``, an array of (start, kind, stop) in code points."""
+def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", words: Words | None = None) -> DataFrame:
+    """Per row the key and ``secrets``, an array of (start, kind, stop) in code points.
+
+    ``words`` price the values; without them only the fixed words do.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(words or Words())  # at most DICTIONARY short words
 
     def run(batches):
         for b in batches:
-            rows = [[{"start": s, "kind": k, "stop": e} for s, k, e in in_code_points(t, spans(t))] for t in b.column("text").to_pylist()]
+            rows = [[{"start": s, "kind": k, "stop": e} for s, k, e in in_code_points(t, spans(t, shared.value))] for t in b.column("text").to_pylist()]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(rows, kind)], [key, "secrets"])
 
     rows = df.select(df[key].alias("key"), text_bytes(text).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, secrets array<struct<start:bigint,kind:string,stop:bigint>>")
+    return map_arrow(rows, run, f"`{key}` {dict(df.dtypes)[key]}, secrets array<struct<start:bigint,kind:string,stop:bigint>>")
 
 
 def digest(found) -> str:
@@ -163,9 +229,9 @@ def sha256_of(found) -> str:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    got = find_secrets(table(spark, sf_dir, "documents"))
+    """Counts of base spans, their digest and all spans of every row of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    got = find_secrets(docs, words=common_words(docs))
 
     def joined(a):
         return F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
