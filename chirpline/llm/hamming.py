@@ -11,9 +11,14 @@ in the round of its nearest segment and from the first such segment only, so no
 and only if it is no further than the k-th nearest so far.
 Ties are in order of vec_id. A query finds itself at distance 0.
 
+A bucket (segment and value) of more than ``BUCKET_ROWS`` codes is dealt over several salts, and its
+probes are copied to each: buckets that a third of all codes share are many tasks' work. There are at
+most 4 * 2 ** 16 buckets, which bounds the table of salts that is broadcast.
+
 Nulls: a null vector, or one of another length, has no code: it is neither found nor answers. A
 null component counts as not positive. A null vec_id is never a query and comes last in ties.
-With fewer than k vectors all of them are returned. Repeated rows are separate results.
+With fewer than k vectors all of them are returned. Repeated rows are separate results; an empty
+table gives an empty result. Only the key and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ DIMS, BITS = 64, 16
 SEGMENTS = DIMS // BITS
 K = 10
 EVERY = 50
+#: Codes of a bucket that one task probes.
+BUCKET_ROWS = 50_000
 
 
 def sign_codes(df: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -57,12 +64,20 @@ def by_segment(df: DataFrame, code: str) -> DataFrame:
     return df.withColumn("cell", F.explode(cells)).select("*", "cell.seg", "cell.value").drop("cell")
 
 
+def salted(index: DataFrame, bucket_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index with a salt in each row, and seg, value, salts of the buckets with more than one."""
+    sizes = index.groupBy("seg", "value").agg(F.ceil(F.count(F.lit(1)) / (bucket_rows or BUCKET_ROWS)).cast("int").alias("salts"))
+    hot = cut(sizes.where("salts > 1"), "hot-buckets")  # at most SEGMENTS * 2 ** BITS rows
+    dealt = index.join(F.broadcast(hot), ["seg", "value"], "left")
+    return dealt.withColumn("salt", F.pmod(F.xxhash64("code"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"), hot
+
+
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, hamming: the k nearest of ``codes`` for each row of ``queries``."""
     lowest = Window.partitionBy("code").orderBy(F.col("vec_id").asc_nulls_last())
     ids = cut(codes.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= k).select("code", "vec_id"), "code-ids")
     distinct = cut(ids.groupBy("code").agg(F.min("vec_id").alias("low_id"), F.count(F.lit(1)).alias("rows")), "codes")
-    index = by_segment(distinct, "code")
+    index, hot = salted(by_segment(distinct, "code"))
     asked = cut(queries.select(F.col("code").alias("q")).distinct(), "query-codes")
     want = min(k, distinct.agg(F.sum("rows")).first()[0] or 0)
     ranked = Window.partitionBy("q").orderBy("hamming", F.col("low_id").asc_nulls_last(), "code")
@@ -71,7 +86,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         masks = F.split(F.lit(",".join(str(x) for x in range(1 << BITS) if x.bit_count() == r)), ",").cast("array<int>")  # comb(16, r) values, a constant
         asking = open_.repartition(codes.sparkSession.sparkContext.defaultParallelism, "q")
         probes = by_segment(asking, "q").withColumn("flip", F.explode(masks)).select("q", "bound", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(index.hint("shuffle_hash"), ["seg", "value"])
+        probes = probes.join(F.broadcast(hot), ["seg", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        met = probes.join(index.hint("shuffle_hash"), ["seg", "value", "salt"])
         near = segment_distances(F.col("q"), F.col("code"))
         first = F.array_position(F.array(*near), r) - 1  # the first segment at this radius
         useful = distance(F.col("q"), F.col("code")) <= F.col("bound")  # no further than the k-th so far
@@ -92,6 +108,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         r += 1
     if best is None:
         return queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).alias("hamming")).limit(0)
+    drop_cut(hot)
     nearest = best.select("q", "code", "hamming").join(ids, "code")
     per_code = Window.partitionBy("q").orderBy("hamming", F.col("vec_id").asc_nulls_last())
     rows = nearest.withColumn("rank", F.row_number().over(per_code)).where(F.col("rank") <= k)
