@@ -9,7 +9,8 @@ table of a row per source, one shuffle of the copies.
 
 Nulls: a null source is a source of its own; null doc_ids draw as the text "null". Rows that
 repeat a doc_id draw alike. Sources without a given weight get weight 0 and no copies. An empty
-table gives an empty result. A column of ``docs`` named as a made one is replaced.
+table gives an empty result. :func:`mix_sources` replaces columns named as those it makes,
+:func:`resample` returns the documents' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, own_columns, table
 
 SEED = 20
 #: Share of a source in the target, from its count n: n ** TEMPERATURE, made to sum to one.
@@ -80,7 +81,15 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", se
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def resample(docs: DataFrame, source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The copies with the documents' own columns only, in shuffled order."""
+    made, names = own_columns(docs, "__doc")
+    own = {c: k for k, c in names.items()}
+    return mix_sources(made, own[source], own[key], **how).select(*(F.col(k).alias(c) for k, c in names.items()))
+
+
 def op9_poisson_mixing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, source and text of every copy, with n_copies, copy and shuffle_key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs)
 
