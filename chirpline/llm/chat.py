@@ -10,7 +10,9 @@ piece. Turns are in order of (turn, speaker, text).
 
 Nulls: a null role is the speaker ``unknown``, a null text is empty, a null turn comes first, and
 turns with a null conv_id form one conversation with a null id. Repeated turns are all rendered.
-A conversation of system turns alone has no participant and so no rendering.
+A conversation of system turns alone has no participant and so no rendering; an empty table gives an
+empty result. Names are quoted, so that no two speakers share one. Other columns of ``turns`` are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 def rotate_perspectives(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
     """conv_id, perspective, piece, n_turns, start, text, mask (array of start, stop).
 
-    The turns are shuffled once by conversation and block of turns; pieces meet the participants
-    in a second shuffle by conversation.
+    The turns are shuffled once by conversation and block of turns. Only sizes meet the participants
+    and are summed along a conversation; texts meet the starts by piece, so that a conversation that
+    holds a third of all turns is dealt over its pieces.
     """
     t = turns.select(
         "conv_id",
@@ -45,17 +48,24 @@ def rotate_perspectives(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> Dat
     people = turns.select(F.col("conv_id").alias("p_conv"), F.coalesce("role", F.lit("unknown")).alias("perspective")).where("perspective <> 'system'").distinct()
 
     def named(speaker):
-        return F.regexp_replace(speaker, "[^A-Za-z0-9_-]", "_")
+        """The speaker in quotes, with backslash, quote and line break escaped."""
+        for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            speaker = F.replace(speaker, F.lit(raw), F.lit(escaped))
+        return F.concat(F.lit('"'), speaker, F.lit('"'))
 
-    def head(s, me):
-        who = F.when(s["speaker"] == me, "assistant").when(s["speaker"] == "system", "system").otherwise(F.concat(F.lit("user name="), named(s["speaker"])))
+    def head(speaker, me):
+        who = F.when(speaker == me, "assistant").when(speaker == "system", "system").otherwise(F.concat(F.lit("user name="), named(speaker)))
         return F.concat(F.lit(START), who, F.lit("\n"))
 
-    both = pieces.join(people, pieces.conv_id.eqNullSafe(people.p_conv)).drop("p_conv")
-    both = both.withColumn("lines", F.transform("said", lambda s: F.struct(head(s, F.col("perspective")).alias("head"), F.concat(s["text"], F.lit(END)).alias("body"), (s["speaker"] == F.col("perspective")).alias("own"))))
-    both = both.select("conv_id", "perspective", "block", "part", "lines", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x["head"]) + F.length(x["body"])).alias("size"))
+    # starts come from rows of sizes alone: texts are in no window over a whole conversation
+    sizes = pieces.select("conv_id", "block", "part", F.transform("said", lambda s: F.struct(s["speaker"].alias("speaker"), (F.length(s["text"]) + len(END)).alias("n"))).alias("lines"))
+    sizes = sizes.join(people, sizes.conv_id.eqNullSafe(people.p_conv)).drop("p_conv")
+    sizes = sizes.select("conv_id", "perspective", "block", "part", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(head(x["speaker"], F.col("perspective"))) + x["n"]).alias("size"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("block", "part")
-    both = both.withColumn("piece", F.row_number().over(before) - 1).withColumn("start", F.sum("size").over(before) - F.col("size"))
+    starts = sizes.select(F.col("conv_id").alias("s_conv"), "perspective", F.col("block").alias("s_block"), F.col("part").alias("s_part"), (F.row_number().over(before) - 1).alias("piece"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+
+    same = pieces.conv_id.eqNullSafe(starts.s_conv) & (pieces.block == starts.s_block) & (pieces.part == starts.s_part)
+    both = pieces.join(starts, same).withColumn("lines", F.transform("said", lambda s: F.struct(head(s["speaker"], F.col("perspective")).alias("head"), F.concat(s["text"], F.lit(END)).alias("body"), (s["speaker"] == F.col("perspective")).alias("own"))))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
 
     def step(acc, x):
@@ -69,6 +79,7 @@ def rotate_perspectives(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> Dat
 
 
 def op10_perspective_rotation(spark, sf_dir: str) -> DataFrame:
+    """Every rendering of every conversation of ``conversations``; masks as start:stop."""
     got = rotate_perspectives(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"))), ",")
     return got.withColumn("mask", spans)
@@ -85,7 +96,7 @@ people as (select distinct conv_id as p_conv, speaker as perspective from t wher
 lines as (
   select conv_id, perspective, block, part, turn, speaker, text, speaker = perspective as own,
          '<|im_start|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then 'system'
-           else 'user name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') end || chr(10) as head,
+           else 'user name="' || replace(replace(replace(speaker, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"' end || chr(10) as head,
          text || '<|im_end|>' || chr(10) as body
   from placed join people on conv_id is not distinct from p_conv),
 places as (
