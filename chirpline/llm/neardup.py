@@ -1,56 +1,71 @@
 """Operator 5: exact n-gram Jaccard join of documents by metric-space pivots.
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more,
-that is, when their Jaccard distance, a metric, is 0.2 or less.
-
-Plain Voronoi cells of document pivots can't part such sets: unrelated documents are all at
-distance 1 from every pivot, so each would lie on every boundary. Regions are therefore seeded by
-shingles: shingles are ordered from rare to frequent, and linked documents always share one of the
-first ``n - ceil(0.8 n) + 1`` of either, so each document stands, replicated, in the region of
-each shingle of that margin. Within the regions the join is by pivots:
-
-* Documents of one set are one class from the start; only classes are joined.
-* A region's first pivot meets all its members; members within 0.2 fall into the pivot's cell.
-* A region is settled when its members are all in one component, or all have been pivots.
-  Otherwise four times as many pivots follow, recursively. A member meets a pivot only if they are
-  in different components, their sizes allow a link, and their distances to the first pivot
-  differ by at most 0.2: the triangle inequality rules out the others.
-* Regions of equal membership are joined once, and so is a pair that shares several regions.
-
-Every pair of classes that could link is either met, in one component, or ruled out, so the
-components are exact. Distances are computed from whole sets of 64-bit shingle hashes.
-
-The frequency order comes from a sketch of fixed size that counts all shingles of all documents;
-its errors change the cost, never the result. Text is read for the statistics, for the margins, and in
-each round for the sets of the classes that meet; no group is gathered in one task or on the driver.
+that is, when their Jaccard distance, a metric, is at most t = 0.2. Documents of one set are one
+class from the start; only classes are joined.
+
+1. **Voronoi regions.** Pivots are a bounded sample of classes, any two of them further than 4 t
+   apart. Every class knows its distance to every pivot exactly. If the nearest is within 2 t, it lies
+   in that pivot's region.
+2. **Windows.** By the triangle inequality a class whose nearest pivot is at d may link with one in
+   the region of another pivot only if it is within d + 2 t of that pivot, and within 3 t: it is
+   replicated there. Classes further than t from all pivots also lie in the *outer region*, where those
+   are that no pivot is within 2 t of. So two classes that link meet in a region.
+3. **Recursion.** Shingle sets are sparse: unrelated documents are at distance 1 from every pivot, on
+   each other's boundary, and most lie in the outer region. Every region is therefore parted by
+   shingles, in an order from rare to frequent, in which classes that link share one of the first
+   ``n - ceil(0.8 n) + 1`` of either, and the parts are joined by pivots of their own, in rounds: a
+   part's first pivot meets all its members; a part is settled when its members are all in one
+   component, or all have been pivots; else four times as many pivots follow. A member meets a pivot
+   only if they are in different components, their sizes and places in the order allow a link, and
+   their distances to the first pivot differ by at most t.
+
+Parts of equal membership are joined once, and so is a pair that shares several parts. Every pair of
+classes that could link is either met, in one component, or ruled out, so the components are exact.
+Distances are computed from whole sets of 64-bit shingle hashes. What is exact up to hashes: two
+shingles, or two sets, of one 64-bit hash count as one (expected once in 2 ** 32 different ones).
+
+A part of more than ``PART_ROWS`` members is dealt over several salts, to each of which its pivots are
+copied; margins of very frequent shingles are salted before they are shuffled. The frequency order comes
+from a sketch of fixed size that counts all shingles of all documents; its errors, and the choice of
+pivots, change the cost, never the result. Text is read for the statistics, for the margins, and in each
+round for the sets of the classes that meet; no group is gathered in one task or on the driver.
 
 Nulls: a null or wordless text has the empty set and links with nothing, not even its copies. A
 null doc_id takes part and never names a component, unless all its members are null. Repeated rows
-and rows that repeat a doc_id are separate documents.
+and rows that repeat a doc_id are separate documents. An empty table gives an empty result. Only the
+key and the text are read; :func:`keep_one` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table, text_bytes
+from .common import cut, drop_cut, map_arrow, own_columns, table, text_bytes
 from .hashing import BASES, chunk_hashes, mix
 
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
 SLOT_BITS = 20
-SKETCH_PARTS = 64
+SKETCH_PARTS, SKETCH_SALTS = 64, 16
+#: Pivots of the Voronoi regions at most, shingles of one at most, and how many classes a task offers.
+PIVOTS, PIVOT_SHINGLES, OFFERED = 2_048, 512, 32
 #: Classes that a task remembers to have sent (copies sent again are harmless).
-REMEMBERED = 1_000_000
-#: Classes whose keys are broadcast to pick their texts out of all (about 100 bytes each).
-BROADCAST_CLASSES = 500_000
-#: Pivots per region and round grow by this factor.
+REMEMBERED = 200_000
+#: Bytes of a table of classes that is broadcast to pick their texts out of all.
+BROADCAST_BYTES = 32 << 20
+#: Members of a part that one task joins, and rows of a shingle that one task compares.
+PART_ROWS, SHINGLE_ROWS = 2_000, 20_000
+#: Pivots per part and round grow by this factor.
 MORE_PIVOTS = 4
-_GROUP_BYTES = 750_000
+_GROUP_BYTES = 500_000
+_STEP = 1 << 17
 
 _BASE = np.uint64(BASES[0])
 
@@ -72,9 +87,12 @@ def _shingles(texts: list[bytes], words: int):
     ends = np.cumsum([len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, np.concatenate(([0], ends)))
     n = max(0, len(h) - words + 1)
-    g = np.full(n, words, np.uint64)
-    for k in range(words):
-        g = mix(g * _BASE + h[k : k + n])
+    g = np.empty(n, np.uint64)
+    for i in range(0, n, _STEP):
+        part = np.full(min(_STEP, n - i), words, np.uint64)
+        for k in range(words):
+            part = mix(part * _BASE + h[i + k : i + k + len(part)])
+        g[i : i + len(part)] = part
     for i, j in zip(cuts, cuts[1:]):
         if j - i >= words:
             yield np.unique(g[i : j - words + 1].view(np.int64))
@@ -104,52 +122,115 @@ def _row_key(key: str, text: str):
     return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
-def scan(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """A row per document (doc_id, rid, n, fp), and how often each sketch slot's shingles occur."""
+class Pivots:
+    """Pivots of the Voronoi regions, by their shingles; ``reach`` is the distance of a link."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.reach = (100 - percent) / 100
+        self.home = min(2 * self.reach, 0.99 - self.reach)  # so that a set within home + reach shares a shingle
+        kept: list[np.ndarray] = []
+        owner: dict[int, list[int]] = {}
+        for s in sets:
+            common: dict[int, int] = {}
+            for x in s.tolist():
+                for k in owner.get(x, ()):
+                    common[k] = common.get(k, 0) + 1
+            if all(1 - c / (len(s) + len(kept[k]) - c) > 4 * self.reach for k, c in common.items()):
+                for x in s.tolist():
+                    owner.setdefault(x, []).append(len(kept))
+                kept.append(s)
+        self.sizes = np.array([len(s) for s in kept], np.int64)
+        self.keys = np.array(sorted(owner), np.int64)
+        lists = [owner[k] for k in self.keys.tolist()]
+        self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        self.owners = np.array([k for x in lists for k in x], np.int32)
+
+    def regions(self, s: np.ndarray) -> list[int]:
+        """The regions of a set, its own first; -1 is the outer one."""
+        if not len(self.keys):
+            return [-1]
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        at = at[self.keys[at] == s]
+        if not len(at):
+            return [-1]
+        first, n = self.offsets[at], np.diff(self.offsets)[at]
+        ends = np.cumsum(n)
+        common = np.bincount(self.owners[np.repeat(first - ends + n, n) + np.arange(ends[-1])], minlength=len(self.sizes))
+        met = np.flatnonzero(common)
+        far = 1 - common[met] / (len(s) + self.sizes[met] - common[met])
+        least, out = far.min(), []
+        if least <= self.home:
+            out = met[far <= min(least + 2 * self.reach, self.home + self.reach) + 1e-9].tolist()
+        if least > self.home - self.reach - 1e-9:
+            out.append(-1)
+        return out
+
+
+def scan(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, np.ndarray, Pivots]:
+    """A row per document (doc_id, rid, n, fp), how often each sketch slot's shingles occur, and pivots."""
+    names = ["doc_id", "rid", "n", "fp", "part", "counts"]
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        offered: list[tuple[int, bytes]] = []  # the classes of lowest hash, the highest first
+        known: set[int] = set()
         none = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc_id", "rid", "n", "fp", "part", "counts"]
+
+        def extra(fp, part, raw):
+            k = len(part)
+            return pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), pa.array(fp, pa.int64()), pa.array(part, pa.int32()), pa.array(raw, pa.binary())], names)
+
         for b in batches:
             n, fp = [], []
             for s in shingle_sets(b.column("text").to_pylist(), words):
                 n.append(len(s))
-                fp.append(class_id(s))
+                fp.append(c := class_id(s))
                 np.add.at(counts, _slots(s), 1)
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
+                if 0 < len(s) <= PIVOT_SHINGLES and c not in known and (len(offered) < OFFERED or -c > offered[0][0]):
+                    known.add(c)
+                    heapq.heappush(offered, (-c, s.tobytes()))
+                    if len(offered) > OFFERED:
+                        known.discard(-heapq.heappop(offered)[0])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), none(len(n), pa.int32()), none(len(n), pa.binary())], names)
         if counts.any():
-            k = SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(k, -1)], pa.binary())], names)
+            yield extra([None] * SKETCH_PARTS, range(SKETCH_PARTS), [c.tobytes() for c in counts.reshape(SKETCH_PARTS, -1)])
+            yield extra([-c for c, _ in offered], [-1] * len(offered), [s for _, s in offered])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _row_key(key, text).alias("rid"), text_bytes(text).alias("text"))
-    both = cut(rows.mapInArrow(run, "doc_id long, rid long, n int, fp long, part int, counts binary"), "shingle-scan")
-
-    def add(rows):
-        total = sum((np.frombuffer(c, np.uint32).astype(np.uint64) for c in rows.counts), np.uint64(0))
-        return rows.iloc[:1].assign(counts=[np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()])
+    both = cut(map_arrow(rows, run, "doc_id long, rid long, n int, fp long, part int, counts binary"), "shingle-scan")
 
-    parts = both.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").orderBy("part").collect()
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
+                totals[part] = np.minimum(totals.get(part, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64), 0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
+
+    # summed in streams and at two levels: a task's share doesn't grow with the number of scan tasks
+    sums = both.where("part >= 0").select("part", "counts", (F.spark_partition_id() % SKETCH_SALTS).alias("salt")).repartition("part", "salt").select("part", "counts")
+    sums = map_arrow(map_arrow(sums, add, "part int, counts binary").repartition("part"), add, "part int, counts binary")
+    parts = sums.orderBy("part").collect()  # SKETCH_PARTS rows of 64 KB
     sketch = np.frombuffer(b"".join(bytes(p.counts) for p in parts), np.uint32) if parts else np.zeros(1 << SLOT_BITS, np.uint32)
-    return both.where("part is null").select("doc_id", "rid", "n", "fp"), sketch
+    offers = both.where("part = -1").select("fp", "counts").dropDuplicates(["fp"]).orderBy("fp").limit(PIVOTS).collect()
+    return both.where("part is null").select("doc_id", "rid", "n", "fp"), sketch, Pivots([np.frombuffer(bytes(o.counts), np.int64) for o in offers], percent)
 
 
 def margin_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def regions(docs: DataFrame, sketch: np.ndarray, text: str, words: int, percent: int) -> DataFrame:
-    """t, fp, n, pos: the classes in the region of each shingle t that at least two classes share.
+def parts(docs: DataFrame, sketch: np.ndarray, pivots: Pivots, text: str, words: int, percent: int) -> DataFrame:
+    """t, salts, salt, fp, n, pos: the classes in each part that at least two classes share.
 
-    ``pos`` is the shingle's place in the class's order of shingles.
+    A part t is a region and a shingle; ``pos`` is the shingle's place in the class's order of shingles.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SLOT_BITS counts, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, pivots))  # of bounded size, whatever the input
+    many = max(SHINGLE_ROWS, 16 * int(sketch.mean()))
 
     def run(batches):
-        counts, sent = shared.value, set()
+        (counts, near), sent = shared.value, set()
         for b in batches:
-            t, fp, n, pos = [], [], [], []
+            t, salt, fp, n, pos = [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), words):
                 if not len(s) or (c := class_id(s)) in sent:
                     continue
@@ -158,22 +239,28 @@ def regions(docs: DataFrame, sketch: np.ndarray, text: str, words: int, percent:
                 sent.add(c)
                 k = margin_length(len(s), percent)
                 rare = counts[_slots(s)]
-                t.append(s[np.lexsort((s, rare))[:k]])
-                fp.append(c)
-                n.append(len(s))
-                pos.append(np.arange(k, dtype=np.int32))
+                first = np.lexsort((s, rare))[:k]
+                hot = rare[first] // many  # an upper bound of the shingle's rows
+                for region in near.regions(s):
+                    x = s[first] if region < 0 else mix(s[first].view(np.uint64) ^ mix(np.full(1, region + 1, np.uint64))).view(np.int64)
+                    t.append(x)
+                    salt.append(np.where(hot > 0, c % (hot.astype(np.int64) + 1), -1).astype(np.int32))
+                    fp.append(c)
+                    n.append(len(s))
+                    pos.append(np.arange(k, dtype=np.int32))
             k = np.array([len(x) for x in t], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t) if t else np.empty(0, np.int64)), pa.array(np.repeat(np.array(fp, np.int64), k)), pa.array(np.repeat(np.array(n, np.int32), k)), pa.array(np.concatenate(pos) if pos else np.empty(0, np.int32))], ["t", "fp", "n", "pos"])
-
-    rows = docs.select(text_bytes(text).alias("text")).mapInArrow(run, "t long, fp long, n int, pos int")
-    same = Window.partitionBy("t")
-    rows = rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).where("low < high")
-    rows = cut(rows.select("t", "fp", "n", "pos").distinct(), "shingle-regions")
-    # regions of equal membership become one, in which a member has its earliest place
-    marks = rows.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("b"))
-    one = marks.withColumn("region", F.min("t").over(Window.partitionBy("size", "a", "b"))).select("t", "region")
-    merged = rows.join(one, "t").groupBy(F.col("region").alias("t"), "fp").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    kept = cut(merged.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("fp"))), "regions")
+            flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0, kind))
+            yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(salt, np.int32), pa.array(np.repeat(np.array(fp, np.int64), k)), pa.array(np.repeat(np.array(n, np.int32), k)), flat(pos, np.int32)], ["t", "salt", "fp", "n", "pos"])
+
+    rows = map_arrow(docs.select(text_bytes(text).alias("text")), run, "t long, salt int, fp long, n int, pos int")
+    same = Window.partitionBy("t", "salt")
+    rows = rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).where("low < high or salt >= 0")
+    rows = cut(rows.select("t", "fp", "n", "pos").distinct(), "shingle-parts")
+    # parts of equal membership become one, in which a member has its earliest place
+    marks = rows.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("b")).where("size > 1")
+    one = marks.withColumn("part", F.min("t").over(Window.partitionBy("size", "a", "b"))).select("t", "part", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("salts"))
+    merged = rows.join(one, "t").groupBy(F.col("part").alias("t"), "fp").agg(F.max("salts").alias("salts"), F.max("n").alias("n"), F.min("pos").alias("pos"))
+    kept = cut(merged.withColumn("salt", F.pmod(F.xxhash64("fp"), "salts").cast("int")), "parts")
     drop_cut(rows)
     return kept
 
@@ -186,7 +273,7 @@ def class_rows(scanned: DataFrame, classes: DataFrame) -> DataFrame:
 def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``wanted`` (rid, fp, tags) with shingles: the whole set of each class, made from its text.
 
-    Only the wanted documents are cut into shingles. Up to ``BROADCAST_CLASSES`` of them are found
+    Only the wanted documents are cut into shingles. Up to ``BROADCAST_BYTES`` of them are found
     by a broadcast; more, by a shuffle of the texts.
     """
 
@@ -202,9 +289,10 @@ def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: in
             at = pa.array(stay, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("fp").take(at), b.column("tags").take(at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "tags", "shingles"])
 
-    few = wanted.count() <= BROADCAST_CLASSES
+    size = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("tags")), F.lit(0)).alias("tags")).first()
+    few = 40 * size["rows"] + 8 * size["tags"] <= BROADCAST_BYTES
     rows = docs.select(_row_key(key, text).alias("rid"), text_bytes(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "rid")
-    return rows.select("fp", "tags", "text").mapInArrow(run, "fp long, tags array<long>, shingles array<long>")
+    return map_arrow(rows.select("fp", "tags", "text"), run, "fp long, tags array<long>, shingles array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -218,8 +306,7 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: s
     right = with_sets(docs, pivots, key, text, words).select(F.col("fp").alias("p"), F.col("shingles").alias("sp"))
     met = left.join(right, "p").select("x", "p", F.size(F.array_intersect("sx", "sp")).alias("both"), (F.size("sx") + F.size("sp")).alias("sum"))
     met = cut(met.select("x", "p", "both", (F.col("sum") - F.col("both")).alias("all")).distinct(), "met")
-    drop_cut(members)
-    drop_cut(pivots)
+    drop_cut(members, pivots)
     return met
 
 
@@ -250,53 +337,67 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cut(moved.unionByName(fresh.select("fp", "label")), "components")
 
 
+def in_salts(rows: DataFrame) -> DataFrame:
+    """``rows`` of parts with a copy for each salt of the part."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
     """fp, label of all classes that link with another, by rounds of pivots. ``meet`` verifies pairs."""
-    labels, near, last = None, None, 0
-    upto = 1
-    deepest = members.agg(F.max("rank")).first()[0] or 0
-    while last < deepest - 1:
-        here = members
+    labels, near, n_pivots = None, None, 1
+    left = members
+    while True:
+        here = left
         if labels is not None:
             here = here.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            open_ = here.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("rank").alias("size")).where((F.col("low") < F.col("high")) & (F.col("size") > last + 1)).select("t")
-            here = here.join(open_, "t", "left_semi")
         else:
             here = here.withColumn("label", F.col("fp"))
+        open_ = here.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("salts").alias("salts")).where("low < high")
+        here = here.join(in_salts(open_).select("t", "salt"), ["t", "salt"], "left_semi")
         if near is not None:
-            here = here.join(near, ["t", "fp"], "left")
+            here = here.join(near, ["t", "salt", "fp"], "left")
         else:
             here = here.withColumn("far", F.lit(None).cast("double"))
-        here = cut(here.select("t", "fp", "n", "pos", "rank", "label", "far"), "open-regions")
+        here = cut(here.select("t", "salts", "salt", "fp", "n", "pos", "label", "far"), "open-parts")
+        if left is not members:
+            drop_cut(left)
         if here.isEmpty():
+            drop_cut(here)
             break
-        pivots = here.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("t", *(F.col(c).alias(f"p_{c}") for c in ("fp", "n", "pos", "rank", "label", "far")))
-        both = here.join(pivots, "t").where((F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label")))
+        # the next pivots are those of lowest hash, found in each task before the shuffle
+        lowest_first = Window.partitionBy("t").orderBy("fp")
+        pivots = here.withColumn("r", F.row_number().over(lowest_first)).where(F.col("r") <= n_pivots)
+        pivots = cut(in_salts(pivots.select("t", "salts", *(F.col(c).alias(f"p_{c}") for c in ("fp", "n", "pos", "label", "far")))), "part-pivots")
+        both = here.join(pivots.drop("salts"), ["t", "salt"]).where((F.col("fp") > F.col("p_fp")) & (F.col("label") != F.col("p_label")))
         sizes = 100 * F.least("n", "p_n").cast("long") >= percent * F.greatest("n", "p_n").cast("long")
-        # in the region of their first common shingle, what follows it must suffice for the shared part that a link needs
-        left = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
-        places = (100 + percent) * left.cast("long") >= percent * (F.col("n") + F.col("p_n")).cast("long")
+        # in the part of their first common shingle, what follows it must suffice for the shared shingles that a link needs
+        rest = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
+        places = (100 + percent) * rest.cast("long") >= percent * (F.col("n") + F.col("p_n")).cast("long")
         window = F.abs(F.col("far") - F.col("p_far")) <= (100 - percent) / 100 + 1e-9
         both = both.where(sizes & places & F.coalesce(window, F.lit(True)))
         pairs = cut(both.select(F.col("fp").alias("x"), F.col("p_fp").alias("p")).distinct(), "pairs")
         met = meet(pairs)
         if near is None:
-            first = members.where("rank = 1").select("t", F.col("fp").alias("p"))
-            near = members.join(first, "t").join(met.select(F.col("x").alias("fp"), "p", (1 - F.col("both") / F.col("all")).alias("far")), ["fp", "p"])
-            near = cut(near.select("t", "fp", "far").unionByName(first.select("t", F.col("p").alias("fp"), F.lit(0.0).alias("far"))), "first-distances")
+            first = here.join(pivots.select("t", "salt", F.col("p_fp").alias("p")), ["t", "salt"]).select("t", "salt", "fp", "p")
+            near = cut(first.join(met.select(F.col("x").alias("fp"), "p", (1 - F.col("both") / F.col("all")).alias("far")), ["fp", "p"]).select("t", "salt", "fp", "far"), "first-distances")
+        done = pivots.groupBy("t", "salt").agg(F.max("p_fp").alias("done"))
+        left = cut(here.join(done, ["t", "salt"]).where("fp > done").select(*members.columns), "parts-left")
         links = met.where(100 * F.col("both").cast("long") >= percent * F.col("all").cast("long"))
         if not links.isEmpty():
-            labels = components(links, labels)
-        for done in (pairs, here, met):
-            drop_cut(done)
-        last, upto = upto, upto + MORE_PIVOTS * max(1, upto - last)
+            old, labels = labels, components(links, labels)
+            if old is not None:
+                drop_cut(old)
+        drop_cut(pairs, here, met, pivots)
+        n_pivots *= MORE_PIVOTS
+    if near is not None:
+        drop_cut(near)
     return labels
 
 
 def link_documents(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, rid, n, fp of every document, and the labels of the classes that link (None if none do)."""
-    scanned, sketch = scan(docs, "doc_id", "text", words)
-    members = regions(docs, sketch, "text", words, percent)
+    scanned, sketch, pivots = scan(docs, "doc_id", "text", words, percent)
+    members = parts(docs, sketch, pivots, "text", words, percent)
     labels = None
     if not members.isEmpty():
         rows = class_rows(scanned, members.select("fp").distinct())
@@ -329,30 +430,32 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     Rows are told apart by doc_id and text, so rows that share a null or repeated doc_id are judged
     each by its own text. Wordless rows link with nothing and all stay.
     """
-    scanned, labels = link_documents(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
+    made, names = own_columns(docs, "__doc")
+    own = {c: k for k, c in names.items()}
+    key, text = own[key], own[text]
+    scanned, labels = link_documents(made.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
     repeats = scanned.groupBy("doc_id", "rid", "n", "fp").agg(F.count(F.lit(1)).alias("copies"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "copies")
     stay = lowest(repeats, labels, first).select("low.doc_id", "low.rid", "low.copies").distinct()
     wordless = scanned.where("n = 0").select("doc_id", "rid", F.lit(1).cast("long").alias("copies")).distinct()
-    stay = cut(stay.unionByName(wordless).select(F.col("doc_id").alias("__doc_id"), F.col("rid").alias("__rid"), "copies"), "stay")
+    stay = cut(stay.unionByName(wordless), "stay")
 
     def rows(of: DataFrame) -> DataFrame:
-        same = (_row_key(key, text) == F.col("__rid")) & F.col(key).cast("long").eqNullSafe(F.col("__doc_id"))
-        return docs.join(of.drop("copies"), same, "left_semi")
+        same = (_row_key(key, text) == F.col("rid")) & F.col(key).cast("long").eqNullSafe(F.col("doc_id"))
+        return made.join(of.drop("copies"), same, "left_semi")
 
     again = stay.where("copies > 1")
-    n_again = again.count()
     kept = rows(stay.where("copies = 1"))
-    if not n_again:
-        return kept
-    # rows that repeat doc_id and text: the first by the other columns stays
-    order = [c for c, kind in docs.dtypes if c not in (key, text) and "map<" not in kind] or [text]
-    number = F.row_number().over(Window.partitionBy(key, _row_key(key, text)).orderBy(*(f"`{c}`" for c in order)))
-    repeated = rows(F.broadcast(again) if n_again <= BROADCAST_CLASSES else again)
-    return kept.unionByName(repeated.withColumn("__n", number).where("__n = 1").drop("__n"))
+    if not again.isEmpty():
+        # rows that repeat doc_id and text: the first by the other columns stays
+        order = [c for c, kind in made.dtypes if c not in (key, text) and "map<" not in kind and "variant" not in kind] or [text]
+        number = F.row_number().over(Window.partitionBy(key, _row_key(key, text)).orderBy(*order))
+        kept = kept.unionByName(rows(again).withColumn("__n", number).where("__n = 1").drop("__n"))
+    return kept.select(*(F.col(k).alias(c) for k, c in names.items()))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
