@@ -2,9 +2,11 @@
 
 import html
 import json
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from hashlib import sha256
 
@@ -35,36 +37,40 @@ def test_chunked_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-def test_prefix_counts(spark):
-    rows = token_counts.prefix_tokens(docs(spark, EDGE, True), keep=["doc_id"]).orderBy("doc_id").collect()
-    tok = tokens.encoder(tokens.tokenizer_path()).library.tok
-    for r, text in zip(rows, EDGE):
-        raw = (text or "").encode()
-        assert (r.n_bytes, r.n_tokens) == (len(raw), len(tok.encode(text or "", add_special_tokens=False).ids))
-        assert len(r.chunk_ends) == len(raw.split()) == len(r.prefix_tokens)
-        for k in range(0, min(len(text or ""), 60)):
-            at = len((text or "")[:k].encode())
-            whole = tok.encode((text or "")[:k], add_special_tokens=False).ids
-            assert token_counts.tokens_upto(raw, r.chunk_ends, r.prefix_tokens, at) == len(whole)
-        cut = token_counts.truncate(raw, r.chunk_ends, r.prefix_tokens, 5)
-        assert len(tok.encode(cut.decode(), add_special_tokens=False).ids) <= 5
-
-
-def test_prefixes_inside_long_chunks(spark):
+LONG = ["你好,世界!这是一个很长的句子。没有空格的文本" * 2, "aGVsbG8gd29ybGQ/x9+Zz0" * 4, " see https://a.b/c?d=e's&f=İİ-c\u0308e\u0301é-ﬁ　ok!<|endoftext|>don't!!<|startoftext|>x then more ", "q" * 60, "é" * 140 + " tail", "x " + "qz" * 100 + "!! end " + "w" * 300, "....\x27\x27\x27\x27s 's't!s", "한글 각"]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_prefix_is_in_the_table(monkeypatch, block):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
     tok = tokens.encoder(tokens.tokenizer_path()).library.tok
     count = lambda raw: len(tok.encode(raw.decode(), add_special_tokens=False).ids)
-    texts = ["你好,世界!这是一个很长的句子。没有空格的文本" * 2, "aGVsbG8gd29ybGQ/x9+Zz0" * 4, " see https://a.b/c?d=e's&f=İİ-c\u0308e\u0301é-ﬁ　ok!<|endoftext|>don't!!<|startoftext|>x then more ", "q" * 60]
-    for r, text in zip(token_counts.prefix_tokens(docs(spark, texts), keep=["doc_id"]).orderBy("doc_id").collect(), texts):
-        raw = text.encode()
-        table = token_counts.all_borders(r.chunk_ends, r.prefix_tokens, r.piece_ends, r.piece_tokens)
+    enc = tokens.ChunkEncoder(tokens.tokenizer_path(), library=token_counts.Prefixes(tokens.tokenizer_path()))
+    texts = [t or "" for t in EDGE] + LONG
+    for text, raw in zip(texts, enc.payloads([t.encode() for t in texts])):
+        data = text.encode()
+        steps, *lists = token_counts.text_table(data, np.frombuffer(raw, "<u4"))
+        row = {"steps": steps.tobytes(), **dict(zip(("block_tokens", "long_ends", "long_tokens"), (x.tolist() for x in lists)))}
         edges = [len(text[:k].encode()) for k in range(len(text) + 1)]
-        counts = {at: count(raw[:at]) for at in edges}
-        assert all(token_counts.tokens_upto(raw, *table, at) == n for at, n in counts.items())
-        assert len(r.piece_ends) > 5 or text[0] == "q"
-        for budget in range(counts[len(raw)] + 2):
+        counts = {at: count(data[:at]) for at in (edges if len(edges) < 500 else edges[:200] + edges[-100:])}
+        inside = any(len(p) > token_counts.PIECE for p in re.findall(r"\w+", text))
+        for at, n in counts.items():
+            assert token_counts.tokens_upto(row, at, data if inside else None) == n
+        for budget in range(0, 30) if len(edges) < 500 else ():
+            got = token_counts.truncate(row, data, budget)
             want = max(at for at, n in counts.items() if n <= budget)
-            for t in (table, (r.chunk_ends, r.prefix_tokens)):
-                assert token_counts.truncate(raw, *t, budget).rstrip().decode().rstrip() == raw[:want].decode().rstrip()
+            assert count(got) <= budget and data.startswith(got)
+            assert inside or got.decode().rstrip() == data[:want].decode().rstrip()
+
+
+def test_prefix_rows(spark):
+    rows = token_counts.prefix_tokens(docs(spark, EDGE, True), keep=["doc_id"]).orderBy("doc_id").collect()
+    tok = tokens.encoder(tokens.tokenizer_path()).library.tok
+    for r, text in zip(rows, EDGE):
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        assert (r.n_bytes, r.n_tokens) == (len((text or "").encode()), len(ids))
+        assert len(r.steps) == r.n_bytes and token_counts.tokens_upto(r, r.n_bytes) == len(ids)
+    assert token_counts.prefix_tokens(docs(spark, EDGE).limit(0), keep=["doc_id"]).count() == 0
 
 
 def test_prefix_query_reads_its_table(spark, tmp_path):
@@ -130,6 +136,21 @@ def brute_contamination(text, items):
     return len(ws), len(hit), len(found), sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_own_columns_stay(spark):
+    """Columns named as those that stages make come back as they were."""
+    rows = [(i, f"some words of text number {i} " * 5, "en", "s", 9, 777, -1, "i", "c", 0.1) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words long, n_hit long, item_ids string, copy string, Score double")
+    bench = spark.createDataFrame([(1, "nothing that occurs")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    want = sorted(rows)
+    for got in (decontaminate.decontaminate(df, bench), quality.keep_good(df, labels, -1.0)):
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == want
+    kept = neardup.keep_one(df.withColumn("rid", df.n_hit))
+    assert {tuple(r)[:-1] for r in kept.collect()} <= set(rows)
+    copies = mixing.resample(df)
+    assert copies.columns == df.columns and {tuple(r) for r in copies.collect()} <= set(rows)
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     items = [(i, prose(r, n, 30)) for i, n in enumerate((40, 13, 12, 5, 2, 1, 14, 30, 13))] + [(9, None), (10, ""), (11, "ÄÖ straße, Ünï"), (12, "w1 w1 w1")]
@@ -170,11 +191,24 @@ def test_main_text(spark):
     assert got[2] == got[3] == got[4] == got[7] == ""
 
 
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<b>" * 50_000 + "<i>" * 50_000 + "</b>" * 50_000, "<ul>" + "<div>" * 50_000 + "<li></li>" * 50_000], ids=range(4))
+def test_reading_is_linear(page):
+    start = time.process_time()
+    dom.read(page)
+    assert time.process_time() - start < 20  # seconds; minutes to hours if each tag walked the stack
+
+
+def test_content_of_shown_elements_stays(spark):
+    df = spark.createDataFrame([(1, "u", "<article><math><mi>x</mi></math> and <object>fallback</object> words, all of them.</article>")], "page_id long, url string, html string")
+    assert extract.extract_main_text(df).first().text == "x and fallback words, all of them."
+    assert extract.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_layouts_held_out_from_training():
     m, right, n = extract.model(), 0, 0
     for page in extract.training_pages(60, seed=77):
         nodes = dom.read(page)
-        stay = dom.decode(nodes, m.logits(dom.features(nodes)))
+        stay = dom.decode(nodes, m.trees.logits(m.features(nodes)))
         assert all(stay[v.parent] for v, s in zip(nodes[1:], stay[1:]) if s)
         for v, y, s in zip(nodes, extract.training_labels(nodes), stay):
             if v.parts is not None:
@@ -214,9 +248,64 @@ def test_secrets(spark):
             assert kind != "guess" or secrets.guess_cost(t[s:e]) >= secrets.GUESS_BITS
     assert any(t[s:e] == "kX9$vQ2!mZ7#pL4" for t, f in [(texts[-3], got[len(texts) - 3])] for s, k, e in f if k == "guess")
     cost = secrets.guess_cost
+    assert secrets.find_secrets(docs(spark, []), words=secrets.common_words(docs(spark, []))).count() == 0
     assert cost("password123") < cost("hunter2x") < cost("kX9$vQ2!mZ7#pL4") and cost("qwertyuiop") < 20 and cost("20240101") < 20 and cost("a" * 500) < 30
 
 
+def test_secret_contexts():
+    value = "kX9vQ2mZ7pL4zz"
+    for text in (f"pwd =      {value}", f"Authorization: Basic {value}", f"secret: password: {value}", f"redis://:{value}@host", f"x://u:{value}@h", f"Bearer {value}", f"api_key\t=>\t{value}"):
+        at = text.index(value)
+        assert (at, "guess", at + len(value)) in secrets.spans(text.encode())
+    assert not [s for s in secrets.spans(b"pwd is welcome2024 and login: qwertyuiop") if s[1] == "guess"]
+
+
+def exhaustive_cost(value, words):
+    """The minimum over all segmentations, each part by its cheapest kind."""
+    n, (low, plain) = len(value), secrets.lower_forms(value)
+
+    def part(i, j):
+        s, out = value[i:j], [math.inf]
+        if j - i >= 2 and (w := secrets.word_cost(value, low, plain, i, j, words.bits)) is not None:
+            out.append(w)
+        out += [bits for size, bits in secrets.DATES if j - i == size and s[-1].isdigit() and secrets.DATE.fullmatch(low, i, j)]
+        for p in range(1, secrets.PERIODS + 1):
+            if j - i >= max(3, 2 * p) and all(s[k] == s[k - p] for k in range(p, j - i)):
+                out.append(sum(map(secrets._alphabet, s[-p:])) + math.log2(n))
+        if j - i >= 3 and all((low[k - 1], low[k]) in secrets._NEXT for k in range(i + 1, j)):
+            out.append(secrets.WALK_BITS + math.log2(n))
+        return min(out) + secrets.PART_BITS
+
+    best = [0.0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        one = secrets._alphabet(value[i]) + (secrets.PART_BITS if i == 0 else 0) + best[i + 1]
+        best[i] = min(one, *(part(i, j) + best[j] for j in range(i + 1, n + 1)))
+    return best[0]
+
+
+def test_guess_cost_is_the_minimum():
+    r, words = random.Random(1), secrets.Words(["alpha", "beta", "gammadelta"])
+    parts = ["password", "Alpha", "b3ta", "gammadelta", "qwerty", "asdf", "1990", "2024-01-02", "aaaa", "abab", "xyzxyzxyz", "123", "!", "Q", "z9", "0101"]
+    for k in range(600):
+        v = "".join(r.choice(parts) for _ in range(r.randrange(1, 5))) if k % 3 else "".join(r.choice("ab1Q!") for _ in range(r.randrange(1, 25)))
+        want = exhaustive_cost(v, words)
+        assert abs(secrets.guess_cost(v, words) - want) < 1e-9
+        assert all((secrets.guess_cost(v, words, limit) >= limit) == (want >= limit - 1e-12) for limit in (10, 20, 40))
+    assert secrets.guess_cost("password" + "d" * 100) < 15
+    start = time.process_time()
+    assert secrets.guess_cost("d" * 100_000) < 30 and time.process_time() - start < 60
+
+
+def test_values_told_apart():
+    """Recall of random values of 12 characters and more, and made passwords that are left alone."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+    strong = ["".join(r.choice(letters) for _ in range(r.randrange(12, 40))) for _ in range(1000)]
+    weak = [r.choice(secrets.WORDS).capitalize() + r.choice(["", "1", "123", "2024", "!", "qwerty"]) + r.choice(["", "!", "99"]) for _ in range(1000)]
+    found = [sum(secrets.guess_cost(v, None, secrets.GUESS_BITS) >= secrets.GUESS_BITS for v in values) for values in (strong, weak)]
+    assert found[0] >= 990 and found[1] <= 10
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
@@ -262,6 +351,66 @@ def test_jaccard_join(spark):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["many pivots", "no pivots", "salted", "shuffled sets", "half"])
+def test_jaccard_join_any_way(spark, monkeypatch, how):
+    """Components don't depend on pivots, salts or the way of the sets; also at another similarity."""
+    percent = 50 if how == "half" else 80
+    if how == "no pivots":
+        monkeypatch.setattr(neardup, "PIVOTS", 0)
+    if how == "salted":
+        monkeypatch.setattr(neardup, "PART_ROWS", 3)
+        monkeypatch.setattr(neardup, "SHINGLE_ROWS", 1)
+    if how == "shuffled sets":
+        monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
+    r = random.Random(how)
+    texts = []
+    for _ in range(5):  # families of near copies at all distances
+        base = prose(r, 80, 3000).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randrange(0, 14)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w[r.randrange(0, 9) :]))
+    sets = [set(next(neardup.shingle_sets([t.encode()])).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                comp[y] = x
+    got = neardup.near_duplicates(docs(spark, texts), percent=percent).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: find(i) for i in range(len(texts))}
+
+
+def test_linked_sets_share_a_region():
+    """Any two sets within reach of each other have a Voronoi region, or the outer one, in common."""
+    r = np.random.default_rng(3)
+    families = [r.integers(0, 10**9, 100) for _ in range(12)]
+    sets = []
+    for _ in range(400):
+        base = families[r.integers(len(families))].copy()
+        k = r.integers(0, 75)
+        base[r.permutation(100)[:k]] = r.integers(0, 10**9, k)
+        sets.append(np.unique(base))
+    near = neardup.Pivots(sets[:60], 80)
+    lie = [set(near.regions(s)) for s in sets]
+    assert len(near.sizes) > 5 and any(-1 not in x for x in lie) and any(len(x) > 1 for x in lie)
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                links += 1
+                assert lie[i] & lie[j]
+    assert links > 100
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     r = random.Random(8)
     base, b, c, d, e, hot = (prose(r, 40, 9999) for _ in range(6))
@@ -286,9 +435,36 @@ def test_quality(spark):
     assert set(quality.keep_good(df, labels).columns) == set(df.columns)
     none = quality.score_documents(df, quality.fit(df, labels.limit(0)))
     assert {x.score for x in none.collect()} == {0.5}
+    assert quality.score_documents(df.limit(0), quality.fit(df.limit(0), labels)).count() == 0
 
 
-def test_hamming(spark):
+def test_quality_by_a_plain_loop():
+    """Every score equals the vote that a loop over all labelled vectors gives."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    known = [x for x in rows if x["doc_id"] in labels and zlib.crc32(str(x["doc_id"]).encode()) % 5][:300]
+    space = quality.LatentSpace(quality.term_matrix([(x["text"] or "").encode() for x in known]), np.array([labels[x["doc_id"]] for x in known], np.float32))
+    texts = [(x["text"] or "").encode() for x in rows[:150]] + [b""]
+    for text, score in zip(texts, space.scores(quality.term_matrix(texts))):
+        v = quality.term_matrix([text])[0] @ space.axes
+        if not np.linalg.norm(v):
+            assert score == space.prior
+            continue
+        cosines = sorted(((float(v @ u / np.linalg.norm(v)), float(y)) for u, y in zip(space.vectors, space.labels)), reverse=True)
+        near = cosines[: quality.NEIGHBOURS]
+        w = [max(c, 0.0) ** 8 + 1e-9 for c, _ in near]
+        assert abs(score - sum(x * y for x, (_, y) in zip(w, near)) / sum(w)) < 2e-3
+
+
+def test_a_repeated_document_teaches_once(spark):
+    df = docs(spark, ["a b c"] * 3 + ["d e f"]).selectExpr("case when doc_id < 3 then 1L else 2L end as doc_id", "text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.fit(df, labels).labels) == 2
+
+
+def test_hamming(spark, monkeypatch):
     r = np.random.default_rng(0)
     center = r.normal(size=(5, 64))
     vecs = [(i, [float(x) for x in (center[i % 5] + r.normal(size=64) * (0.2 if i % 3 else 2))]) for i in range(400)]
@@ -296,14 +472,16 @@ def test_hamming(spark):
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
     codes = hamming.sign_codes(df)
     bits = {i: sum((x > 0) << (63 - k) for k, x in enumerate(v)) for i, v in vecs if v and len(v) == 64}
-    for k in (1, 10, 1000):
+    for k, rows in ((1, 50_000), (10, 50_000), (1000, 50_000), (10, 3)):
         got = {}
+        monkeypatch.setattr(hamming, "BUCKET_ROWS", rows)
         for x in hamming.top_k(codes, codes.where("vec_id % 50 = 0"), k).collect():
             got.setdefault(x.query_id, []).append((x["rank"], x.hamming, x.vec_id))
         for q in (i for i in bits if i % 50 == 0):
             want = sorted((bin(bits[q] ^ b).count("1"), i) for i, b in bits.items())[:k]
             assert [(d, i) for _, d, i in sorted(got[q])] == want
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
+    assert hamming.sign_codes(df.selectExpr("*", "1 as code", "2 as seg")).count() == 430
 
 
 def test_mixing(spark):
@@ -323,7 +501,7 @@ def test_mixing(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob b", "Yo é"), (1, 3, "ann", None), (1, 3, None, "x"), (2, None, "ann", "late"), (2, 0, "bob", ""), (None, 0, "eve", "who"), (3, 0, "system", "alone")]
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob b", "Yo é"), (1, 3, "ann", None), (1, 3, None, "x"), (2, None, "ann", "late"), (2, 0, "bob", ""), (None, 0, "eve", "who"), (3, 0, "system", "alone"), (5, 0, "a\\b", "1"), (5, 1, 'a"b', "2"), (5, 2, "a\nb", "3")]
     rows += [(4, 7, "ann" if i % 2 else "bob", f"same {i % 3}") for i in range(300)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as piece")
     got = chat.rotate_perspectives(df).collect()
@@ -339,7 +517,7 @@ def test_perspectives(spark):
         for me in {s for _, s, _ in turns} - {"system"}:
             text, mask = "", []
             for _, s, x in turns:
-                who = "assistant" if s == me else "system" if s == "system" else "user name=" + re.sub("[^A-Za-z0-9_-]", "_", s)
+                who = "assistant" if s == me else "system" if s == "system" else f"user name={json.dumps(s, ensure_ascii=False)}"
                 text += f"<|im_start|>{who}\n"
                 if s == me:
                     mask.append((len(text), len(text) + len(x) + 10))
