@@ -102,7 +102,7 @@ def crop_box(b: tuple, height, width, pad: float) -> tuple:
 def time_to_x(t, start, stop, width) -> Column:
     """A time's column in a window's image, clamped to the image."""
     t, start, stop, width = map(_c, (t, start, stop, width))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - start) / (stop - start))) * width
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(t - start, stop - start))) * width
 
 
 # polygons: flat arrays [x0, y0, x1, y1, ...]
@@ -140,9 +140,10 @@ def session_key(experiment, idx) -> Column:
 
 
 def session_of_path(path) -> Column:
-    """The session in a path: experiment_<e>/idx_<i> where it stands, else the file's folder."""
+    """The session in a path: a folder session=..., experiment_<e>/idx_<i>, else the file's folder."""
+    named = F.regexp_replace(F.regexp_extract(_c(path), r"/session=([^/]+)/", 1), "%(25)?2F", "/")
     nested = F.regexp_extract(_c(path), r"(experiment_\d+/idx_\d+)", 1)
-    return F.when(nested != "", nested).otherwise(F.regexp_extract(_c(path), r"([^/]+)/[^/]+$", 1))
+    return F.when(named != "", named).when(nested != "", nested).otherwise(F.regexp_extract(_c(path), r"([^/]+)/[^/]+$", 1))
 
 
 def natural_key(text, width: int = 12) -> Column:

@@ -146,8 +146,8 @@ def budget_intervals(totals: DataFrame, budgets: list[int], alpha: float = 0.05,
     """by, n: interval of recall at n annotated calls, and of precision on the detections that go with them."""
     t = totals.withColumn("n", F.explode(F.array(*map(F.lit, budgets))))
     accepted = F.col("pred_tp") + F.col("fp")
-    m = F.greatest(F.lit(1), F.round(accepted * F.col("n") / F.col("n_gt"))).cast("long")
-    t = t.withColumns({"m": m, "recall": F.col("tp") / F.col("n_gt"), "precision": F.try_divide("pred_tp", accepted)})
+    m = F.greatest(F.lit(1), F.round(F.try_divide(accepted * F.col("n"), F.col("n_gt")))).cast("long")
+    t = t.withColumns({"m": m, "recall": F.try_divide("tp", "n_gt"), "precision": F.try_divide("pred_tp", accepted)})
     t = t.withColumns({"__r": interval(F.round(F.col("recall") * F.col("n")), F.col("n"), alpha, method), "__p": interval(F.round(F.col("precision") * F.col("m")), F.col("m"), alpha, method)})
     return t.select(by, "n", "m", "recall", "precision", *(F.col(f"__{k}.{e}").alias(f"{name}_{e}") for k, name in (("r", "recall"), ("p", "precision")) for e in ("lo", "hi")))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirpline.functions.intervals import overlaps
 from chirpline.functions.metrics import curve_metrics, ratio
-from chirpline.operators.intervals import BUCKET_US, merge_intervals, overlap_flag_asof, overlap_join
+from chirpline.operators.intervals import BUCKET_US, in_context, merge_intervals, overlap_flag_asof, overlap_join
+from chirpline.operators.quantiles import quantile, quantiles, ranked
 
 LEVELS = 40
 
@@ -17,8 +17,9 @@ def thresholds(pred: DataFrame, by: list[str] = ("method",), levels: int = LEVEL
 
     seq 0 is the anchor that keeps everything (threshold NULL).
     """
-    cuts = F.percentile("score", F.array(*(F.lit(i / (levels - 1)) for i in range(levels))))
-    q = pred.where("score is not null").groupBy(*by).agg(F.array_sort(F.array_distinct(F.transform(cuts, lambda x: F.round(x, 6)))).alias("cuts"))
+    names = {f"q{i}": i / (levels - 1) for i in range(levels)}
+    got = quantiles(pred, list(by), "score", names)
+    q = got.select(*by, F.array_sort(F.array_distinct(F.array(*(F.round(n, 6) for n in names)))).alias("cuts"))
     return q.select(*by, F.posexplode(F.concat(F.array(F.lit(None).cast("double")), "cuts")).alias("seq", "threshold"))
 
 
@@ -37,19 +38,20 @@ def pr_curve(gt: DataFrame, pred: DataFrame, by: str = "method", levels: int = L
     rows = pred.join(F.broadcast(steps), by).where(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select(by, "seq", "session", "t0_us", "t1_us")
     lines = [by, "seq", "session"]
     events = merge_intervals(rows, lines, bucket_us=bucket_us)
-    truth = merge_intervals(gt.where("t1_us > t0_us"), ["session"]).select("session", "t0_us", "t1_us")
+    truth = merge_intervals(gt.where("t1_us > t0_us"), ["session"], bucket_us=bucket_us).select("session", "t0_us", "t1_us")
     truth = truth.join(F.broadcast(steps.select(by, "seq")))  # a copy of the merged calls per point of the curve
-    flagged = overlap_flag_asof(events.select(*lines, "t0_us", "t1_us"), truth, lines)
+    flagged = overlap_flag_asof(events.select(*lines, "t0_us", "t1_us"), truth, lines, bucket_us=bucket_us)
     side = flagged.groupBy(by, "seq").agg(F.count_if("hit").alias("pred_tp"), F.count_if(~F.col("hit")).alias("fp"))
     out = tp.join(side, [by, "seq"], "left").fillna(0, ["pred_tp", "fp"]).join(F.broadcast(n_gt)).withColumn("fn", F.col("n_gt") - F.col("tp")).drop("n_gt")
     return out.withColumns(curve_metrics())
 
 
 def area_under_curve(points: DataFrame, by: str = "method") -> DataFrame:
-    """Trapezoids over recall; equal recalls stay in order of seq."""
+    """Trapezoids over recall; equal recalls stay in order of seq. NULL for fewer than two points."""
     line = Window.partitionBy(by).orderBy("recall", "seq")
     step = (F.col("recall") - F.lag("recall").over(line)) * (F.col("precision") + F.lag("precision").over(line)) / 2
-    return points.withColumn("step", step).groupBy(by).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("auc"))
+    inner = points.where("recall is not null").withColumn("step", step).groupBy(by).agg(F.sum("step").alias("auc"))
+    return points.select(by).distinct().join(inner, by, "left")
 
 
 def precision_at_recall(points: DataFrame, targets: list[float], by: str = "method") -> DataFrame:
@@ -81,30 +83,31 @@ def signal_sweep(frames: DataFrame, gt: DataFrame, levels: list[float], at: str
 def feature_auc(df: DataFrame, features: list[str], label: str = "label", min_rows: int = 10) -> DataFrame:
     """feature, n_tp, n_fp, auc (folded to at least one half) and class medians.
 
-    Mann-Whitney from counts per distinct value, so ranks need no window over all rows: a window
-    runs over the distinct values of a feature only.
+    Mann-Whitney from counts per distinct value. Ranks come from counts per range of values, so a
+    continuous feature of any size is dealt over many tasks; medians come from the same ranks.
     """
     long = df.select(label, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("x")).select(label, "x.*").where("value is not null")
     cell = long.groupBy("feature", "value").agg(F.count_if(F.col(label) == "tp").alias("tp"), F.count_if(F.col(label) == "fp").alias("fp"))
-    below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cell.withColumn("under", F.coalesce(F.sum("fp").over(below), F.lit(0)))
-    wins = ranked.groupBy("feature").agg(F.sum("tp").alias("n_tp"), F.sum("fp").alias("n_fp"), F.sum(F.col("tp") * (F.col("under") + F.col("fp") / 2)).alias("u"))
-    auc = F.col("u") / (F.col("n_tp") * F.col("n_fp"))
+    rows = ranked(cell, ["feature"], "value", ["tp", "fp"])
+    wins = F.sum(F.col("tp") * (F.col("under_fp") + F.col("fp") / 2))
+    out = rows.groupBy("feature").agg(F.sum("tp").alias("n_tp"), F.sum("fp").alias("n_fp"), wins.alias("u"), *(F.when(F.max(f"all_{c}") > 0, quantile("value", 0.5, c)).alias(f"median_{c}") for c in ("tp", "fp")))
+    auc = F.try_divide(F.col("u"), F.col("n_tp") * F.col("n_fp"))
     known = (F.col("n_tp") > 0) & (F.col("n_fp") > 0) & (F.col("n_tp") + F.col("n_fp") >= min_rows)
-    wins = wins.select("feature", "n_tp", "n_fp", F.when(known, F.greatest(auc, 1 - auc)).alias("auc"))
-    mid = long.groupBy("feature").agg(*(F.median(F.when(F.col(label) == c, F.col("value"))).alias(f"median_{c}") for c in ("tp", "fp")))
-    return wins.join(mid, "feature")
+    return out.select("feature", "n_tp", "n_fp", F.when(known, F.greatest(auc, 1 - auc)).alias("auc"), "median_tp", "median_fp")
 
 
 def histogram(df: DataFrame, feature: str, label: str, bins: int = 20, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """label, bin, n, density on the common range between two percentiles, ends clipped into it."""
-    span = df.agg(F.percentile(feature, low).alias("lo"), F.percentile(feature, high).alias("hi"))
-    x = df.select(label, F.col(feature).cast("double").alias("v")).where("v is not null").join(F.broadcast(span))
-    inside = x.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    cells = inside.withColumn("bin", b).groupBy(label, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    """label, bin, n, density on the common range between two percentiles, ends clipped into it.
+
+    A constant feature has bin 0 alone, without a density.
+    """
+    x = df.select(label, F.col(feature).cast("double").alias("v")).where("v is not null")
+    span = quantiles(x, [], "v", {"lo": low, "hi": high})  # one row
+    inside = x.join(F.broadcast(span)).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    place = F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
+    cells = inside.withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")).groupBy(label, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(label))
-    return cells.select(label, "bin", "n", (F.col("n") / total / ((F.col("hi") - F.col("lo")) / bins)).alias("density"))
+    return cells.select(label, "bin", "n", F.try_divide(F.col("n") / total, (F.col("hi") - F.col("lo")) / bins).alias("density"))
 
 
 def presence(gt: DataFrame, pred: DataFrame, methods: list[str], by: str = "method") -> DataFrame:
@@ -124,10 +127,15 @@ def miss_categories(gt: DataFrame, pred: DataFrame, target: str, methods: list[s
     return missed.unionByName(spurious).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bout_relation(pred: DataFrame, bout_spans: DataFrame, gt: DataFrame) -> DataFrame:
-    """Per (bout, detection near it): does it hit the bout's calls, other calls, or none?"""
-    near = pred.join(bout_spans, "session").where((F.col("t0_us") < F.col("stop_us")) & (F.col("t1_us") > F.col("start_us")))
-    g = gt.select(F.col("session").alias("g_session"), F.col("bout_id").alias("g_bout"), F.col("t0_us").alias("g0"), F.col("t1_us").alias("g1"))
-    met = near.join(g, (F.col("session") == F.col("g_session")) & overlaps("t0_us", "t1_us", "g0", "g1"), "left")
-    own, other = F.bool_or(F.coalesce(F.col("g_bout") == F.col("bout_id"), F.lit(False))), F.bool_or(F.coalesce(F.col("g_bout") != F.col("bout_id"), F.lit(False)))
-    return met.groupBy("session", "bout_id", "event_id").agg(F.when(own, "in_bout").when(other, "other_call").otherwise("fp").alias("relation"))
+def bout_relation(pred: DataFrame, bout_spans: DataFrame, gt: DataFrame, pad_us: int = 0, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Per (bout, detection near it): does it hit the bout's calls, other calls, or none?
+
+    ``bout_spans`` has session, bout_id, start_us, stop_us, ``gt`` the calls with their bout_id. Both
+    joins are by session and bucket of time.
+    """
+    near = in_context(pred.select("session", "event_id", "t0_us", "t1_us"), bout_spans.select("session", "bout_id", "start_us", "stop_us"), ["session"], pad_us, bucket_us)
+    calls = gt.select("session", F.col("bout_id").alias("call_bout"), "t0_us", "t1_us")
+    met = overlap_join(pred.select("session", "event_id", "t0_us", "t1_us"), calls, ["session"], bucket_us).select("session", "event_id", F.col("b_call_bout").alias("call_bout")).distinct()
+    both = near.join(met, ["session", "event_id"], "left")
+    own, other = F.bool_or(F.coalesce(F.col("call_bout") == F.col("bout_id"), F.lit(False))), F.bool_or(F.coalesce(F.col("call_bout") != F.col("bout_id"), F.lit(False)))
+    return both.groupBy("session", "bout_id", "event_id").agg(F.when(own, "in_bout").when(other, "other_call").otherwise("fp").alias("relation"))

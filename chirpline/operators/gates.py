@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirpline.functions.metrics import f1, ratio
+from chirpline.functions.metrics import event_metrics, matching_metrics
+from chirpline.operators.intervals import BUCKET_US
+from chirpline.operators.scoring import COUNTS, counts, micro
 
 OPS = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
 
@@ -62,18 +64,38 @@ def clean_components(comp: DataFrame, image: list[str], share: float = 0.1, min_
     return comp.withColumns({"__top": F.max("area").over(of), "__all": F.sum("area").over(of)}).where((F.col("area") >= share * F.col("__top")) & (F.col("area") >= min_area) & (F.col("__all") >= min_total)).drop("__top", "__all")
 
 
-def strategies(det: DataFrame, named: dict[str, Column], by: list[str] = ()) -> DataFrame:
-    """tp, fp, fn kept or lost by each named gate set, all in one pass over the rows."""
+def skip_reason(box: tuple[str, str, str, str], min_px: float, min_score: float | None = None, missing: Column | None = None, score: str = "score") -> Column:
+    """Why a crop (x0, y0, x1, y1 of its columns) is skipped, else ``keep``. A NULL score counts as 1."""
+    x0, y0, x1, y1 = map(F.col, box)
+    low = F.coalesce(F.col(score), F.lit(1.0)) < min_score if min_score is not None else F.lit(False)
+    gone = F.lit(False) if missing is None else F.coalesce(missing, F.lit(False))
+    small = (x1 - x0 < min_px) | (y1 - y0 < min_px)
+    return F.when(low, "low_score").when(gone, "missing_png").when(small, "small_crop").otherwise("keep")
+
+
+def kept_by(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str], more: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(calls, detections) with a strategy each: all calls, and the detections that its gates keep.
+
+    There are as many copies as gate sets, a number that doesn't depend on the data.
+    """
     each = F.array(*(F.struct(F.lit(n).alias("strategy"), F.coalesce(c, F.lit(False)).alias("keep")) for n, c in named.items()))
-    x = det.select(*by, "label", F.explode(each).alias("s")).select(*by, "label", "s.*")
-    tp = F.col("label") == "tp"
-    out = x.groupBy(*by, "strategy").agg(F.count_if(tp & F.col("keep")).alias("tp"), F.count_if(~tp & F.col("keep")).alias("fp"), F.count_if(tp & ~F.col("keep")).alias("fn"))
-    return with_f1(out)
+    kept = det.select(*by, *more, "t0_us", "t1_us", F.explode(F.filter(each, lambda s: s["keep"])).alias("s")).select("s.strategy", *by, *more, "t0_us", "t1_us")
+    calls = gt.select(F.explode(F.array(*map(F.lit, named))).alias("strategy"), *by, "event_id", "t0_us", "t1_us")
+    return calls, kept
+
 
+def rescored(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session",), bucket_us: int | None = BUCKET_US) -> DataFrame:
+    """strategy, by and counts: the detections that each gate set keeps, merged to events and scored anew.
 
-def with_f1(counts: DataFrame) -> DataFrame:
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return counts.withColumns({"precision": p, "recall": r, "f1": f1(p, r)})
+    Recall is over all calls of a session, also of sessions that keep nothing.
+    """
+    calls, kept = kept_by(det, gt, named, list(by))
+    return counts(calls, kept, ["strategy", *by], bucket_us=bucket_us)
+
+
+def strategies(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session",)) -> DataFrame:
+    """Event counts and metrics of each named gate set, pooled over sessions, and the detections it keeps."""
+    return micro(rescored(det, gt, named, by), ["strategy"]).withColumnRenamed("n_boxes", "n_kept")
 
 
 def folds(sessions: DataFrame, key: str, k: int) -> DataFrame:
@@ -82,63 +104,89 @@ def folds(sessions: DataFrame, key: str, k: int) -> DataFrame:
     return names.withColumn("fold", (F.row_number().over(Window.orderBy(key)) - 1) % k)
 
 
-def grouped_cv(det: DataFrame, key: str, named: dict[str, Column], k: int) -> DataFrame:
-    """Mean and population deviation of each strategy's F1 over folds of sessions."""
-    per_fold = strategies(det.join(F.broadcast(folds(det, key, k)), key), named, ["fold"])
-    return per_fold.groupBy("strategy").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.count("f1").alias("n_folds"))
+def by_fold(det: DataFrame, gt: DataFrame, key: str, named: dict[str, Column], k: int) -> DataFrame:
+    """fold, strategy and counts, of the sessions with ground truth."""
+    per = rescored(det, gt, named, [key]).join(folds(gt, key, k), key)
+    return per.groupBy("fold", "strategy").agg(*(F.sum(c).cast("long").alias(c) for c in COUNTS))
+
 
+def grouped_cv(det: DataFrame, gt: DataFrame, key: str, named: dict[str, Column], k: int) -> DataFrame:
+    """Mean and population deviation of each strategy's event metrics over folds of sessions."""
+    per = by_fold(det, gt, key, named, k).withColumns(event_metrics())
+    stats = [f(m).alias(f"{m}_{n}") for m in ("recall", "precision", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return per.groupBy("strategy").agg(*stats, F.count("f1").alias("n_folds"))
 
-def train_and_held_out(det: DataFrame, key: str, named: dict[str, Column], k: int) -> DataFrame:
-    """fold, strategy: the best on the other folds (ties by name), with its F1 there and held out."""
-    counted = strategies(det.join(F.broadcast(folds(det, key, k)), key), named, ["fold"]).select("fold", "strategy", "tp", "fp", "fn")
+
+def train_and_held_out(det: DataFrame, gt: DataFrame, key: str, named: dict[str, Column], k: int) -> DataFrame:
+    """fold, strategy: the best event F1 on the other folds (ties by name), with its F1 there and held out."""
+    counted = by_fold(det, gt, key, named, k)
     total = Window.partitionBy("strategy")
-    rest = with_f1(counted.select("fold", "strategy", *((F.sum(c).over(total) - F.col(c)).alias(c) for c in ("tp", "fp", "fn")))).select("fold", "strategy", F.col("f1").alias("train_f1"))
-    first = Window.partitionBy("fold").orderBy(F.coalesce("train_f1", F.lit(-1.0)).desc(), "strategy")
-    best = rest.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    return best.join(with_f1(counted).select("fold", "strategy", F.col("f1").alias("test_f1")), ["fold", "strategy"])
-
-
-def two_stage(det: DataFrame, first: dict[str, Column], second: dict[str, Column], eps: float = 0.01) -> DataFrame:
-    """Best (stage 1, stage 2) by F1, and the recall-first choice: of the first stages within eps of
-    the best recall the one with fewest candidates, then the second stage of best precision."""
-    grid = strategies(det, {f"{a}|{b}": x & y for a, x in first.items() for b, y in second.items()})
-    alone = strategies(det, first)
-    joint = grid.orderBy(F.coalesce("f1", F.lit(-1.0)).desc(), "strategy").limit(1).select(F.lit("joint").alias("plan"), "strategy", "f1")
+    rest = counted.select("fold", "strategy", *((F.sum(c).over(total) - F.col(c)).alias(c) for c in ("tp", "fn", "pred_tp", "fp"))).withColumns(event_metrics())
+    first = Window.partitionBy("fold").orderBy(F.coalesce("f1", F.lit(-1.0)).desc(), "strategy")
+    best = rest.withColumn("n", F.row_number().over(first)).where("n = 1").select("fold", "strategy", F.col("f1").alias("train_f1"))
+    return best.join(counted.withColumns(event_metrics()).select("fold", "strategy", F.col("f1").alias("test_f1")), ["fold", "strategy"])
+
+
+def two_stage(det: DataFrame, gt: DataFrame, first: dict[str, Column], second: dict[str, Column], eps: float = 0.01) -> DataFrame:
+    """plan, strategy, f1: the best (stage 1, stage 2) by event F1, and the recall-first choice: of the
+    first stages within eps of the best recall the one with fewest candidates, then the second stage of
+    best F1."""
+    grid = strategies(det, gt, {f"{a}|{b}": x & y for a, x in first.items() for b, y in second.items()})
+    alone = strategies(det, gt, first)
+    best = [F.coalesce("f1", F.lit(-1.0)).desc(), F.col("strategy")]
+    joint = grid.orderBy(*best).limit(1).select(F.lit("joint").alias("plan"), "strategy", "f1")
     top = alone.agg(F.max("recall").alias("top"))
-    lean = alone.join(F.broadcast(top)).where(F.col("recall") >= F.col("top") - eps).orderBy(F.col("tp") + F.col("fp"), "strategy").limit(1).select(F.col("strategy").alias("a"))
-    staged = grid.join(F.broadcast(lean), F.split_part("strategy", F.lit("|"), F.lit(1)) == F.col("a")).orderBy(F.coalesce("precision", F.lit(-1.0)).desc(), "strategy").limit(1)
+    lean = alone.join(F.broadcast(top)).where(F.col("recall") >= F.col("top") - eps).orderBy("n_kept", "strategy").limit(1).select(F.col("strategy").alias("a"))
+    staged = grid.join(F.broadcast(lean), F.split_part("strategy", F.lit("|"), F.lit(1)) == F.col("a")).orderBy(*best).limit(1)
     return joint.unionByName(staged.select(F.lit("staged").alias("plan"), "strategy", "f1"))
 
 
-def forward_selection(det: DataFrame, pool: list[tuple[str, str, float]], min_gain: float = 0.002, most: int = 6) -> list[tuple[tuple[str, str, float], float]]:
-    """Gates chosen greedily by F1, each with the F1 it reaches. A round is one job over all gates."""
+def forward_selection(det: DataFrame, gt: DataFrame, pool: list[tuple[str, str, float]], min_gain: float = 0.002) -> list[tuple[tuple[str, str, float], float]]:
+    """Gates chosen greedily by event F1, one for each feature, with the F1 that each reaches.
+
+    A round is one job over all gates left; it ends where the best gains no more than ``min_gain``.
+    """
     chosen: list = []
-    best = with_f1(strategies(det, {"all": F.lit(True)})).first()["f1"] or 0.0
-    while len(chosen) < most:
-        named = {str(i): passes([g for g, _ in chosen] + [gate]) for i, gate in enumerate(pool) if gate not in [g for g, _ in chosen]}
+    best = strategies(det, gt, {"all": F.lit(True)}).first()["f1"] or 0.0
+    while True:
+        used = {g[0] for g, _ in chosen}
+        named = {str(i): passes([g for g, _ in chosen] + [gate]) for i, gate in enumerate(pool) if gate[0] not in used}
         if not named:
             break
-        top = strategies(det, named).orderBy(F.coalesce("f1", F.lit(-1.0)).desc(), F.col("strategy").cast("int")).first()
-        if (top["f1"] or 0.0) < best + min_gain:
+        top = strategies(det, gt, named).orderBy(F.coalesce("f1", F.lit(-1.0)).desc(), F.col("strategy").cast("int")).first()
+        if (top["f1"] or 0.0) <= best + min_gain:
             break
         best = top["f1"]
         chosen.append((pool[int(top["strategy"])], best))
     return chosen
 
 
+def matching_sweep(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session", "channel"), iou: float = 0.0) -> DataFrame:
+    """strategy, tp, fp, fn and metrics of greedy one-to-one matches, per ``by``, then summed."""
+    from chirpline.operators.matching import matching_score
+
+    calls, kept = kept_by(det, gt, named, list(by), ["event_id"])
+    per = matching_score(calls, kept, ["strategy", *by], iou)
+    return per.groupBy("strategy").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn"))).withColumns(matching_metrics())
+
+
 def random_configs(spark, n: int, ranges: dict[str, tuple[float, float]], seed: int = 0) -> DataFrame:
     """trial and a value per named range, drawn by hash: the same on every run."""
-    draw = lambda name: F.pmod(F.xxhash64("trial", F.lit(name), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return spark.range(n).select(F.col("id").alias("trial"), *((F.lit(lo) + draw(name) * (hi - lo)).alias(name) for name, (lo, hi) in ranges.items()))
+
+    def draw(name):
+        text = F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("trial").cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+    return spark.range(n).select(F.col("id").alias("trial")).withColumns({name: F.lit(lo) + draw(name) * (hi - lo) for name, (lo, hi) in ranges.items()})
 
 
-def search(det: DataFrame, configs: DataFrame, keep: Column) -> DataFrame:
-    """Counts and F1 of every trial. ``configs`` is a table of trials (its values are named cfg_...)."""
+def search(det: DataFrame, gt: DataFrame, configs: DataFrame, keep: Column, by: list[str] = ("session",)) -> DataFrame:
+    """Event counts and metrics of every trial. ``configs`` is a table of trials (its values are named cfg_...)."""
     cfg = configs.select("trial", *(F.col(c).alias(f"cfg_{c}") for c in configs.columns if c != "trial"))
-    x = det.join(F.broadcast(cfg)).withColumn("__keep", F.coalesce(keep, F.lit(False)))  # a few hundred trials
-    tp = F.col("label") == "tp"
-    out = x.groupBy(*cfg.columns).agg(F.count_if(tp & F.col("__keep")).alias("tp"), F.count_if(~tp & F.col("__keep")).alias("fp"), F.count_if(tp & ~F.col("__keep")).alias("fn"))
-    return with_f1(out)
+    kept = det.join(F.broadcast(cfg)).where(F.coalesce(keep, F.lit(False))).select("trial", *by, "t0_us", "t1_us")  # a few hundred trials
+    calls = gt.select(*by, "event_id", "t0_us", "t1_us").join(F.broadcast(cfg.select("trial")))
+    per = counts(calls, kept, ["trial", *by], bucket_us=BUCKET_US)
+    return micro(per, ["trial"]).withColumnRenamed("n_boxes", "n_kept").join(cfg, "trial")
 
 
 def rank(trials: DataFrame, metric: str = "f1", n: int = 5) -> DataFrame:

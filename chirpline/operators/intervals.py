@@ -113,19 +113,44 @@ def overlap_flag_asof(a: DataFrame, b: DataFrame, by: list[str], name: str = "hi
 
     b is merged to disjoint events first. The only event that can overlap a row is the last that
     starts before the row's end; probes stand before events of the same time, so touching ones
-    don't match. Points match nothing.
+    don't match. Points match nothing. With ``bucket_us`` a time line is dealt over buckets of time,
+    each begun by the last event of the buckets before it, so a busy line isn't one task's work.
     """
     events = merge_intervals(b.where(F.col("t1_us") > F.col("t0_us")), by, bucket_us=bucket_us)
     cols = [c for c in a.columns if c not in by]
-    probe = a.select(*by, F.col("t1_us").alias("__at"), F.lit(0).alias("__kind"), F.struct(*cols).alias("__row"), F.lit(None).cast("long").alias("__end"))
-    event = events.select(*by, F.col("t0_us").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(probe.schema["__row"].dataType).alias("__row"), F.col("t1_us").alias("__end"))
-    before = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = probe.unionByName(event).withColumn("__last", F.last("__end", ignorenulls=True).over(before)).where("__kind = 0")
+    probe = a.select(*by, F.col("t1_us").alias("__at"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__row"), F.lit(None).cast("long").alias("__end"))
+    no_row = F.lit(None).cast(probe.schema["__row"].dataType).alias("__row")
+    event = events.select(*by, F.col("t0_us").alias("__at"), F.lit(2).alias("__kind"), no_row, F.col("t1_us").alias("__end"))
+    both, line = probe.unionByName(event), list(by)
+    if bucket_us:
+        bucket = F.floor(F.col("__at") / bucket_us).alias("__bucket")
+        last = F.struct("__at", "__end")
+        steps = probe.select(*by, bucket, F.lit(None).cast("struct<__at:bigint,__end:bigint>").alias("__last")).unionByName(event.select(*by, bucket, last.alias("__last")))
+        steps = steps.groupBy(*by, "__bucket").agg(F.max("__last").alias("__last"))  # a row per bucket in use
+        sooner = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = steps.withColumn("__end", F.last("__last.__end", ignorenulls=True).over(sooner)).where("__end is not null")
+        carried = carried.select(*by, "__bucket", (F.col("__bucket") * bucket_us).alias("__at"), F.lit(0).alias("__kind"), no_row, "__end")
+        both, line = both.withColumn("__bucket", bucket).unionByName(carried), [*by, "__bucket"]
+    before = Window.partitionBy(*line).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__last", F.last("__end", ignorenulls=True).over(before)).where("__kind = 1")
     out = seen.select(*by, "__row.*", "__last")
     hit = (F.col("__last") > F.col("t0_us")) & (F.col("t1_us") > F.col("t0_us"))
     return out.select(*a.columns, F.coalesce(hit, F.lit(False)).alias(name))
 
 
+def in_context(rows: DataFrame, spans: DataFrame, by: list[str], pad_us: int = 0, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Rows beside each span (start_us, stop_us and its other columns) that they touch, ends included.
+
+    Spans are widened by ``pad_us``; both sides meet by bucket of time.
+    """
+    wide = spans.withColumns({"t0_us": F.col("start_us") - pad_us, "t1_us": F.col("stop_us") + pad_us})
+    s = in_buckets(wide, bucket_us).withColumnsRenamed({"t0_us": "__w0", "t1_us": "__w1"})
+    r = in_buckets(rows, bucket_us)
+    first = F.greatest(F.floor(F.col("t0_us") / bucket_us), F.floor(F.col("__w0") / bucket_us))
+    near = (F.col("t1_us") >= F.col("__w0")) & (F.col("t0_us") <= F.col("__w1")) & (F.col("__bucket") == first)
+    return r.join(s, [*by, "__bucket"]).where(near).drop("__bucket", "__w0", "__w1")
+
+
 def assign_chunk(mid: Column, start_us: int, length_us: int, chunks: int) -> Column:
     """Chunk of a time on a fixed grid; times past the last chunk fall into it, others before the first into 0."""
     return F.greatest(F.lit(0), F.least(F.lit(chunks - 1), F.floor((mid - start_us) / length_us))).cast("long")

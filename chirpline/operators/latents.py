@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chirpline.functions.intervals import cosine, l2_distance
+from chirpline.operators.quantiles import quantiles
+
+#: Clusters whose centroids are one row.
+CLUSTERS = 4_096
 
 
 def by_dim(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -19,12 +23,16 @@ def centroids(df: DataFrame, by: str = "cluster_id", vec: str = "embedding") ->
 
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, by: str = "cluster_id", vec: str = "embedding") -> DataFrame:
-    """``df`` with nearest and distance (L2; the lower cluster on ties). Clusters are few: broadcast."""
-    rest = [c for c in df.columns]
-    met = df.join(F.broadcast(cents.select(F.col(by).alias("__c"), "centroid"))).withColumn("__d", l2_distance(vec, "centroid"))
-    one = F.min(F.struct(F.col("__d").alias("distance"), F.col("__c").alias("nearest"))).alias("__m")
-    key = [c for c in rest if c != vec]
-    return met.groupBy(*key).agg(one).select(*key, "__m.nearest", "__m.distance")
+    """``df`` without its vector, with nearest and distance (L2; the lower cluster on ties).
+
+    All centroids are one row, so every row of ``df`` stays a row and none is shuffled. Clusters are
+    few (``CLUSTERS`` at most); more are refused rather than broadcast.
+    """
+    one = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("nearest"), "centroid"))).alias("__all"))
+    one = one.withColumn("__all", F.when(F.size("__all") <= CLUSTERS, F.col("__all")).otherwise(F.raise_error(F.lit(f"more than {CLUSTERS} clusters"))))
+    each = F.transform("__all", lambda c: F.struct(l2_distance(F.col(vec), c["centroid"]).alias("distance"), c["nearest"].alias("nearest")))
+    met = df.join(F.broadcast(one)).withColumn("__m", F.array_min(F.filter(each, lambda x: x["distance"].isNotNull())))
+    return met.select(*(c for c in df.columns if c != vec), "__m.nearest", "__m.distance")
 
 
 def own_distance(df: DataFrame, cents: DataFrame, by: str = "cluster_id", vec: str = "embedding") -> DataFrame:
@@ -33,7 +41,7 @@ def own_distance(df: DataFrame, cents: DataFrame, by: str = "cluster_id", vec: s
 
 def gate_threshold(df: DataFrame, cents: DataFrame, q: float = 0.95, by: str = "cluster_id") -> DataFrame:
     """The percentile of members' distances to their own centroid, per cluster."""
-    return own_distance(df, cents, by).groupBy(by).agg(F.percentile("distance", q).alias("threshold"))
+    return quantiles(own_distance(df, cents, by), [by], "distance", {"threshold": q})
 
 
 def exemplars(df: DataFrame, by: str = "cluster_id", conf: str = "confidence", key: str = "vec_id") -> DataFrame:
@@ -78,8 +86,8 @@ def agreement(pairs: DataFrame, vec: str = "embedding", other: str = "other") ->
 
 
 def weighted_r(dims: DataFrame, active: float = 0.01) -> DataFrame:
-    """Variance-weighted and active-dimension means of r."""
-    return dims.agg((F.sum(F.col("r") * F.col("variance")) / F.sum("variance")).alias("weighted_r"), F.avg(F.when(F.col("variance") > active, F.col("r"))).alias("active_r"), F.count_if(F.col("variance") > active).alias("n_active"))
+    """Variance-weighted and active-dimension means of r; NULL where no dimension varies."""
+    return dims.agg(F.try_divide(F.sum(F.col("r") * F.col("variance")), F.sum("variance")).alias("weighted_r"), F.avg(F.when(F.col("variance") > active, F.col("r"))).alias("active_r"), F.count_if(F.col("variance") > active).alias("n_active"))
 
 
 def active_dims(df: DataFrame, vec: str = "embedding", least: float = 0.01, share: float = 0.99) -> DataFrame:
@@ -138,7 +146,43 @@ def kmeans_medoids(df: DataFrame, k: int, vec: str = "embedding", key: str = "ve
 
 
 def robust_range(df: DataFrame, cols: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    return df.agg(*(F.percentile(c, q).alias(f"{c}_{n}") for c in cols for n, q in (("lo", low), ("hi", high))))
+    """<c>_lo and <c>_hi of each column, in one row."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols))).alias("x")).select("x.*")
+    got = quantiles(long, ["name"], "value", {"lo": low, "hi": high})
+    return got.agg(*(F.max(F.when(F.col("name") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in ("lo", "hi")))
+
+
+def with_features(latents: DataFrame, features: DataFrame, key: list[str]) -> DataFrame:
+    """Latents beside the features of the same provenance key (recording, file, annotation)."""
+    return latents.join(features, key)
+
+
+def stacked(arms: dict[str, DataFrame]) -> DataFrame:
+    """Aligned latent sets one below the other, tagged by their source."""
+    parts = [df.withColumn("source", F.lit(name)) for name, df in arms.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def split_rows(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
+    """``df`` with part: ``val`` for a seeded random share of the rows (one at least), else ``train``.
+
+    Rows are placed by range of a hash of seed and key, so no task sees all of them.
+    """
+    from chirpline.operators.matching import equal_shards, hash_order
+
+    placed = equal_shards(df.withColumn("__h", hash_order(seed, key)), 1, ["__h", key])
+    n = F.greatest(F.lit(1), F.floor(F.col("__rows") * share))
+    return placed.withColumn("__rows", F.lit(df.count())).withColumn("part", F.when(F.col("place") < n, "val").otherwise("train")).select(*df.columns, "part")
+
+
+def imbalance_weight(df: DataFrame, mask: str, most: float = 20.0) -> DataFrame:
+    """pos, neg and weight: background over foreground of the masks, ``most`` at most."""
+    ones = F.aggregate(mask, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    sums = df.agg(F.coalesce(F.sum(ones), F.lit(0.0)).alias("pos"), F.coalesce(F.sum(F.size(mask) - ones), F.lit(0.0)).alias("neg"))
+    return sums.withColumn("weight", F.least(F.col("neg") / F.greatest(F.col("pos"), F.lit(1.0)), F.lit(most)))
 
 
 def shallow_models(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", seed: int = 1) -> DataFrame:

@@ -121,7 +121,7 @@ def attribute_channel(df: DataFrame, by: str, order: list[str] = ()) -> DataFram
 
 def hash_order(seed: int, *cols: str):
     """A seeded pseudo-random order that doesn't depend on partitioning."""
-    return F.xxhash64(*cols, F.lit(seed))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols)))
 
 
 def capped_sample(df: DataFrame, category: str, capped: list[str], cap: int, seed: int, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.functions.metrics import event_metrics, ratio
-from chirpline.operators.intervals import bouts, merge_intervals, overlap_flag, overlap_flag_asof
+from chirpline.operators.intervals import BUCKET_US, bouts, merge_intervals, overlap_flag, overlap_flag_asof
 
 COUNTS = ["n_gt", "n_boxes", "n_pred", "tp", "fn", "pred_tp", "fp"]
 
@@ -82,9 +82,9 @@ def in_coverage(pred: DataFrame, spans: DataFrame, by: list[str] = ("session",))
     return pred.join(spans, list(by)).where(mid.between(F.col("cov0_us"), F.col("cov1_us"))).select(*pred.columns)
 
 
-def combined_windows(windows: DataFrame, pred: DataFrame, by: list[str] = ("session",)) -> DataFrame:
+def combined_windows(windows: DataFrame, pred: DataFrame, by: list[str] = ("session",), bucket_us: int | None = BUCKET_US) -> DataFrame:
     """How many ``combined`` windows any raw detection overlaps; the IoU threshold plays no part."""
-    hit = overlap_flag_asof(windows.select(*by, "t0_us", "t1_us"), pred.select(*by, "t0_us", "t1_us"), list(by))
+    hit = overlap_flag_asof(windows.select(*by, "t0_us", "t1_us"), pred.select(*by, "t0_us", "t1_us"), list(by), bucket_us=bucket_us)
     out = hit.groupBy(*by).agg(F.count(F.lit(1)).alias("n_combined"), F.count_if("hit").alias("combined_tp"))
     return out.withColumns({"combined_fn": F.col("n_combined") - F.col("combined_tp"), "combined_recall": ratio("combined_tp", "n_combined")})
 
@@ -92,7 +92,7 @@ def combined_windows(windows: DataFrame, pred: DataFrame, by: list[str] = ("sess
 def label_detections(pred: DataFrame, gt: DataFrame, by: list[str] = ("session",), key: list[str] = ("event_id",)) -> DataFrame:
     """``pred`` with label tp or fp; NULL where the session has no ground truth."""
     by = list(by)
-    flagged = overlap_flag_asof(pred, gt.select(*by, "t0_us", "t1_us"), by)
+    flagged = overlap_flag_asof(pred, gt.select(*by, "t0_us", "t1_us"), by, bucket_us=BUCKET_US)
     known = gt.select(*by).distinct().withColumn("__known", F.lit(True))
     return flagged.join(known, by, "left").withColumn("label", F.when(F.col("__known"), F.when(F.col("hit"), "tp").otherwise("fp"))).drop("hit", "__known")
 
@@ -104,7 +104,7 @@ def box_verdicts(pred: DataFrame, gt: DataFrame, by: list[str] = ("session",)) -
     by = list(by)
     tagged = tag_merged(pred, by, order=["event_id"])
     events = tagged.groupBy(*by, "event_no").agg(F.min("t0_us").alias("t0_us"), F.max("t1_us").alias("t1_us"))
-    verdict = overlap_flag_asof(events, gt.select(*by, "t0_us", "t1_us"), by).select(*by, "event_no", F.when(F.col("hit"), "tp").otherwise("fp").alias("verdict"))
+    verdict = overlap_flag_asof(events, gt.select(*by, "t0_us", "t1_us"), by, bucket_us=BUCKET_US).select(*by, "event_no", F.when(F.col("hit"), "tp").otherwise("fp").alias("verdict"))
     return tagged.join(verdict, [*by, "event_no"])
 
 

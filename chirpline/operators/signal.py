@@ -1,14 +1,22 @@
-"""Framed-signal jobs: rows of chunks in, rows of frames or features out; numpy does the transforms."""
+"""Framed-signal jobs: rows of chunks in, rows of frames, components or features out.
+
+Framing, scaling, bands, features, runs and components are column expressions, joins and groups;
+numpy transforms frames (``spectra``) and slices (``band_pass``) only.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chirpline.operators.graph import components
+from chirpline.operators.quantiles import quantiles
+
 FEATURES = ["centroid", "bandwidth", "rolloff", "flatness", "rms", "zcr", "peak_freq"]
 EPS = 1e-10
+DB_EPS = 1e-12
 
 
 def tukey(n: int, share: float = 0.25) -> np.ndarray:
@@ -22,199 +30,250 @@ def tukey(n: int, share: float = 0.25) -> np.ndarray:
     return w
 
 
-def power_frames(x: np.ndarray, sr: float, size: int, hop: int) -> np.ndarray:
-    """One-sided density of frames (frames by bins): Tukey window, mean removed, no padding."""
-    if len(x) < size:
-        return np.empty((0, size // 2 + 1))
-    f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::hop]
-    w = tukey(size)
-    p = np.abs(np.fft.rfft((f - f.mean(1, keepdims=True)) * w)) ** 2 / (sr * (w**2).sum())
-    p[:, 1 : -1 if size % 2 == 0 else None] *= 2
-    return p
+def total(values, of=lambda v: v) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + of(v))
 
 
-def spectrogram(chunks: DataFrame, keep: list[str], size: int = 512, hop: int = 256) -> DataFrame:
-    """keep, frame, power: a row per frame of each chunk (columns ``samples`` and ``sr``)."""
+def constants(values: np.ndarray) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
+def framed(samples: Column, size, hop: int) -> Column:
+    """The frames of an array of samples, in order; none if it is shorter than a frame."""
+    n = F.floor((F.size(samples) - size) / hop).cast("int")
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(samples, i * hop + 1, size))).otherwise(F.array().cast("array<array<double>>"))
+
+
+def spectrum(frame: Column) -> Column:
+    """Magnitudes of the real transform of a frame; all frames of a job have one length."""
+
+    @F.pandas_udf("array<double>")
+    def run(frames: pd.Series) -> pd.Series:
+        return pd.Series(list(np.abs(np.fft.rfft(np.stack(frames.to_numpy()))))) if len(frames) else pd.Series([], dtype=object)
+
+    return run(frame)
+
+
+def spectra(frames: Column) -> Column:
+    """The same for each frame of a row's array of frames."""
 
-    def run(batches):
-        for rows in batches:
-            parts = []
-            for r in rows.to_dict("records"):
-                p = power_frames(r["samples"], r["sr"], size, hop)
-                parts.append(pd.DataFrame({**{k: [r[k]] * len(p) for k in keep}, "frame": np.arange(len(p)), "power": list(p)}))
-            if parts:
-                yield pd.concat(parts)
+    @F.pandas_udf("array<array<double>>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([list(np.abs(np.fft.rfft(np.stack(r)))) if r is not None and len(r) else [] for r in rows], dtype=object)
 
-    schema = ", ".join(f"`{k}` {dict(chunks.dtypes)[k]}" for k in keep)
-    return chunks.select(*keep, "samples", "sr").mapInPandas(run, f"{schema}, frame int, power array<double>")
+    return run(frames)
+
+
+def band_pass(samples: Column, sr: Column, low: Column, high: Column) -> Column:
+    """The samples without what lies outside the band."""
+
+    @F.pandas_udf("array<double>")
+    def run(samples: pd.Series, sr: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        out = []
+        for x, rate, lo, hi in zip(samples, sr, low, high):
+            z, at = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / rate)
+            out.append(np.fft.irfft(np.where((at >= lo) & (at <= hi), z, 0), n=len(x)))
+        return pd.Series(out, dtype=object)
+
+    return run(samples, sr.cast("double"), low.cast("double"), high.cast("double"))
+
+
+def spectrogram(chunks: DataFrame, keep: list[str], size: int = 512, hop: int = 256) -> DataFrame:
+    """keep, frame, power: a row per frame of each chunk (columns ``samples`` and ``sr``).
+
+    One-sided density: Tukey window, mean removed, no padding.
+    """
+    w = tukey(size)
+    window, sum_squares = constants(w), float((w**2).sum())
+    frames = F.transform(framed(F.col("__x"), size, hop), lambda f: F.zip_with(f, window, lambda v, k: (v - total(f) / size) * k))
+    rows = chunks.select(*keep, "sr", F.transform("samples", lambda v: v.cast("double")).alias("__x"))
+    rows = rows.select(*keep, "sr", F.posexplode(frames).alias("frame", "__f")).select(*keep, "sr", "frame", spectrum(F.col("__f")).alias("__m"))
+    single = [0] if size % 2 else [0, size // 2]
+    power = F.transform("__m", lambda m, i: m * m / (F.col("sr") * sum_squares) * F.when(i.isin(single), 1.0).otherwise(2.0))
+    return rows.select(*keep, "frame", power.alias("power"))
 
 
 def band_envelope(frames: DataFrame, by: list[str], low_bin: int, high_bin: int) -> DataFrame:
     """by, frame, env: band energy in dB, the largest over what ``by`` leaves out (channels)."""
-    band = F.slice("power", low_bin + 1, high_bin - low_bin + 1)
-    db = 10 * F.log10(F.aggregate(band, F.lit(0.0), lambda s, v: s + v) + EPS)
+    db = 10 * F.log10(total(F.slice("power", low_bin + 1, high_bin - low_bin + 1)) + EPS)
     return frames.groupBy(*by, "frame").agg(F.max(db).alias("env"))
 
 
-def db_range(frames: DataFrame, by: list[str], low: float = 0.02, high: float = 0.998, step: float = 0.1) -> DataFrame:
-    """by, lo, hi: dB percentiles from counts per rounded dB, so no group holds its raw bins."""
-    from pyspark.sql import Window
-
-    db = frames.select(*by, F.explode("power").alias("p")).select(*by, (F.round(10 * F.log10(F.col("p") + EPS) / step) * step).alias("db"))
-    cells = db.groupBy(*by, "db").agg(F.count(F.lit(1)).alias("n"))
-    line = Window.partitionBy(*by)
-    share = F.sum("n").over(line.orderBy("db")) / F.sum("n").over(line)
-    at = cells.withColumn("share", share)
-    return at.groupBy(*by).agg(*(F.min(F.when(F.col("share") >= q, F.col("db"))).alias(n) for n, q in (("lo", low), ("hi", high))))
-
-
-def event_features(x: np.ndarray, sr: float, f_low: float, f_high: float, size: int = 512, hop: int = 128) -> dict[str, tuple[float, float]] | None:
-    """Mean and deviation over frames of the band's spectral features."""
-    x = np.asarray(x, float)
-    if not len(x):
-        return None
-    padded = np.pad(x, size // 2)
-    if len(padded) < size:
-        padded = np.pad(padded, (0, size - len(padded)))
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    s = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * w)).T + EPS
-    freqs = np.fft.rfftfreq(size, 1 / sr)
-    band = (freqs >= f_low) & (freqs <= f_high)
-    if not band.any():
-        band[np.argmin(np.abs(freqs - (f_low + f_high) / 2))] = True
-    s, freqs = s[band], freqs[band]
-    total = s.sum(0)
-    centroid = (s * freqs[:, None]).sum(0) / total
-    cumulative = s.cumsum(0)
-    z = np.fft.rfft(x)
-    zf = np.fft.rfftfreq(len(x), 1 / sr)
-    z[(zf < f_low) | (zf > f_high)] = 0
-    y = np.fft.irfft(z, n=len(x))
-    frame = min(size, max(2, len(y)))
-    signs = np.signbit(np.pad(y, frame // 2, mode="edge"))
-    crossed = np.concatenate(([False], signs[1:] != signs[:-1]))
-    got = {
+def spread_windows(frames: DataFrame, by: list[str], at: Column, length: int, windows: int = 6) -> DataFrame:
+    """The frames of each ``by`` that lie in windows of ``length`` frames, spread evenly from first to last.
+
+    ``at`` is a frame's place, from 0. A recording shorter than a window is taken whole.
+    """
+    last = frames.groupBy(*by).agg(F.max(at).alias("__last"))
+    room = F.greatest(F.col("__last") + 1 - length, F.lit(0))
+    start = lambda i: F.floor(i * room / max(1, windows - 1))
+    inside = F.exists(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: (at >= start(i)) & (at < start(i) + length))
+    return frames.join(last, by).where(inside).drop("__last")
+
+
+def db_range(frames: DataFrame, by: list[str], low: float = 0.01, high: float = 0.999) -> DataFrame:
+    """by, lo, hi: exact dB percentiles of all bins of the frames."""
+    db = frames.select(*by, F.explode(F.transform("power", lambda p: 10 * F.log10(p + DB_EPS))).alias("db"))
+    return quantiles(db, by, "db", {"lo": low, "hi": high})
+
+
+def frame_features(bins: Column, size: int) -> dict[str, Column]:
+    """Features of a frame from the bins (f, m) of its band."""
+    m, f = (lambda b: b["m"]), (lambda b: b["f"])
+    whole = total(bins, m)
+    centroid = total(bins, lambda b: f(b) * m(b)) / whole
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+
+    def climb(acc, b):
+        up = acc["sum"] + m(b)
+        return F.struct(up.alias("sum"), F.coalesce(acc["at"], F.when(up >= 0.85 * whole, f(b))).alias("at"))
+
+    power = lambda b: F.greatest(m(b) * m(b), F.lit(EPS))
+    n = F.size(bins)
+    return {
         "centroid": centroid,
-        "bandwidth": np.sqrt((s * (freqs[:, None] - centroid) ** 2).sum(0) / total),
-        "rolloff": freqs[(cumulative >= 0.85 * cumulative[-1]).argmax(0)],
-        "flatness": np.exp(np.log(s**2).mean(0)) / (s**2).mean(0),
-        "rms": np.sqrt(2 * (s**2).sum(0)) / size,
-        "zcr": np.lib.stride_tricks.sliding_window_view(crossed, frame)[::hop].mean(1),
-        "peak_freq": freqs[s.argmax(0)],
+        "bandwidth": F.sqrt(total(bins, lambda b: m(b) * F.pow(f(b) - centroid, F.lit(2))) / whole),
+        "rolloff": F.aggregate(bins, start, climb)["at"],
+        "flatness": F.exp(total(bins, lambda b: F.log(power(b))) / n) / (total(bins, power) / n),
+        "rms": F.sqrt(2 * total(bins, lambda b: m(b) * m(b))) / size,
+        "peak_freq": -F.array_max(F.transform(bins, lambda b: F.struct(m(b).alias("m"), (-f(b)).alias("f"))))["f"],
     }
-    return {k: (float(v.mean()), float(v.std())) for k, v in got.items()}
 
 
-def spectral_features(events: DataFrame, keep: list[str], features: list[str] = FEATURES) -> DataFrame:
-    """keep and each feature's mean and deviation (rows with samples, sr, f_low_hz, f_high_hz)."""
-    names = [f"{f}_{s}" for f in features for s in ("mean", "std")]
+def crossings(frame: Column, size: Column) -> Column:
+    """Share of a frame's samples that differ in sign from the one before."""
+    below = F.transform(frame, lambda v: v < -EPS)
+    change = F.zip_with(F.slice(below, 2, size - 1), F.slice(below, 1, size - 1), lambda a, b: a != b)
+    return F.size(F.filter(change, lambda c: c)) / size
 
-    def run(batches):
-        for rows in batches:
-            out = rows[keep].copy()
-            got = [event_features(x, sr, lo, hi) for x, sr, lo, hi in zip(rows.samples, rows.sr, rows.f_low_hz, rows.f_high_hz)]
-            for f in features:
-                for i, s in enumerate(("mean", "std")):
-                    out[f"{f}_{s}"] = pd.array([None if g is None else g[f][i] for g in got], dtype="Float64")
-            yield out
 
-    schema = ", ".join(f"`{k}` {dict(events.dtypes)[k]}" for k in keep)
-    return events.select(*keep, "samples", "sr", "f_low_hz", "f_high_hz").mapInPandas(run, schema + ", " + ", ".join(f"{n} double" for n in names))
+def _field(name: str):
+    return lambda v: v[name]
+
+
+def spectral_features(events: DataFrame, keep: list[str], features: list[str] = FEATURES, size: int = 512, hop: int = 128) -> DataFrame:
+    """keep and each feature's mean and deviation over frames, NULL without samples.
+
+    Rows have samples, sr, f_low_hz and f_high_hz; each stays one row, none is shuffled. Frames are
+    centred (zeros beyond the ends, Hann window); a band without a bin takes the nearest one.
+    """
+    rate, low, high = F.col("sr"), F.col("f_low_hz"), F.col("f_high_hz")
+    rows = events.select(*keep, "sr", "f_low_hz", "f_high_hz", F.transform("samples", lambda v: v.cast("double")).alias("__x"))
+    rows = rows.withColumn("__some", F.coalesce(F.size("__x") > 0, F.lit(False)))
+    edge = F.array_repeat(F.lit(0.0), size // 2)
+    hann = constants(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size))
+    rows = rows.withColumn("__p", F.when(F.col("__some"), F.concat(edge, "__x", edge)).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("__f", F.transform(framed(F.col("__p"), size, hop), lambda f: F.zip_with(f, hann, lambda v, w: v * w)))
+    rows = rows.withColumn("__s", spectra(F.col("__f"))).drop("__p", "__f")
+    near = F.greatest(F.lit(0), F.least(F.lit(size // 2), F.ceil((low + high) / 2 * size / rate - 0.5))).cast("int")
+
+    def band(spectrum):
+        every = F.transform(spectrum, lambda m, k: F.struct((k * rate / size).alias("f"), (m + EPS).alias("m")))
+        inside = F.filter(every, lambda b: (b["f"] >= low) & (b["f"] <= high))
+        return F.when(F.size(inside) > 0, inside).otherwise(F.slice(every, near + 1, 1))
+
+    rows = rows.withColumn("__b", F.transform("__s", band)).drop("__s")
+    named = [f for f in features if f != "zcr"]
+    rows = rows.withColumn("__v", F.transform("__b", lambda b: F.struct(*(c.alias(n) for n, c in frame_features(b, size).items() if n in named)))) if named else rows
+    values = {n: F.transform("__v", _field(n)) for n in named}
+    if "zcr" in features:
+        rows = rows.withColumn("__y", band_pass(F.when(F.col("__some"), F.col("__x")).otherwise(F.array(F.lit(0.0))), rate, low, high))
+        n = F.least(F.lit(size), F.greatest(F.lit(2), F.size("__y")))
+        half = F.floor(n / 2).cast("int")
+        ends = F.concat(F.array_repeat(F.element_at("__y", 1), half), "__y", F.array_repeat(F.element_at("__y", -1), half))
+        rows = rows.withColumns({"__n": n, "__e": ends})
+        values["zcr"] = F.transform(framed(F.col("__e"), F.col("__n"), hop), lambda f: crossings(f, F.col("__n")))
+
+    def stats(name):
+        mean = F.try_divide(total(values[name]), F.size(values[name]))
+        spread = F.sqrt(F.try_divide(total(values[name], lambda v: F.pow(v - mean, F.lit(2))), F.size(values[name])))
+        return [F.when(F.col("__some"), c).alias(f"{name}_{s}") for c, s in ((mean, "mean"), (spread, "std"))]
+
+    return rows.select(*keep, *(c for name in features for c in stats(name)))
 
 
 def attach_audio(events: DataFrame, chunks: DataFrame, chunk_us: int, pad_us: int = 0) -> DataFrame:
-    """``events`` with the samples they span, padded by ``pad_us``: chunks meet by number, then are cut.
+    """``events`` with sr and the samples they span, padded by ``pad_us``: chunks meet by number, each cut first.
 
-    An event touches the chunks of its span only; missing audio shortens the slice.
+    An event touches the chunks of its span only. Audio that is missing at an end shortens the slice;
+    a missing chunk between others counts as silence, so that what follows keeps its place. Every row
+    stays a row, repeated ones too; events without any audio go.
     """
     a, b = F.greatest(F.lit(0), F.col("t0_us") - pad_us), F.col("t1_us") + pad_us
-    touched = events.withColumns({"__a": a, "__b": b}).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__a") / chunk_us).cast("int"), F.floor(F.col("__b") / chunk_us).cast("int"))))
+    numbered = events.withColumns({"__row": F.monotonically_increasing_id(), "__a": a, "__b": b})
+    touched = numbered.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__a") / chunk_us).cast("int"), F.floor(F.col("__b") / chunk_us).cast("int"))))
     met = touched.join(chunks.select("session", "channel", "chunk", "sr", F.col("samples").alias("__s")), ["session", "channel", "chunk"])
-    whole = met.groupBy(*events.columns, "__a", "__b", "sr").agg(F.min("chunk").alias("__first"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "__s"))), lambda x: x["__s"])).alias("__all"))
-    skip = F.greatest(F.lit(0), F.round((F.col("__a") - F.col("__first").cast("bigint") * chunk_us) * F.col("sr") / 1e6)).cast("int")
-    size = F.round((F.col("__b") - F.col("__a")) * F.col("sr") / 1e6).cast("int")
-    return whole.select(*events.columns, "sr", F.slice("__all", skip + 1, F.greatest(size, F.lit(0))).alias("samples"))
-
-
-def mean_power(samples: str = "samples"):
-    return F.aggregate(F.transform(samples, lambda v: v.cast("double") * v), F.lit(0.0), lambda s, v: s + v) / F.size(samples)
-
-
-def snr(event: str, before: str, after: str):
-    """Power of an event against that of the samples around it, in dB."""
-    noise = (mean_power(before) + mean_power(after)) / 2
-    return 10 * F.log10(mean_power(event) / F.greatest(noise, F.lit(EPS)))
-
-
-def ridge_response(image: np.ndarray, widths=(1, 2, 3)) -> np.ndarray:
-    """Brightness of thin lines: the largest negative second difference across rows, over widths."""
-    out = np.zeros_like(image, float)
-    for k in widths:
-        p = np.pad(image, ((k, k), (0, 0)), mode="edge")
-        out = np.maximum(out, image - (p[: -2 * k] + p[2 * k :]) / 2)
-    return np.maximum(out, 0)
-
-
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components by runs of columns and union-find; 0 is the background."""
-    out, parent, before = np.zeros(mask.shape, np.int64), [0], []
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for r, row in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
-        now = []
-        for a, b in zip(edge[::2], edge[1::2]):
-            touch = [find(k) for s, e, k in before if s <= b and e >= a]
-            if touch:
-                k = min(touch)
-                for t in touch:
-                    parent[t] = k
-            else:
-                k = len(parent)
-                parent.append(k)
-            out[r, a:b] = k
-            now.append((a, b, k))
-        before = now
-    return np.array([find(k) for k in range(len(parent))])[out]
-
-
-def components(image: np.ndarray, percentile: float = 95.0, min_area: int = 30, response=ridge_response) -> list[dict]:
-    """Component table of an image: area, box, columns, sweep and mean response."""
-    r = response(np.asarray(image, float))
-    labels = label_components(r > np.percentile(r, percentile))
-    out = []
-    for k in np.unique(labels[labels > 0]):
-        ys, xs = np.nonzero(labels == k)
-        if len(ys) < min_area:
-            continue
-        mid = [np.median(ys[xs == c]) for c in np.unique(xs)]
-        out.append({"area_px": len(ys), "x_px": int(xs.min()), "y_px": int(ys.min()), "w_px": int(np.ptp(xs)) + 1, "h_px": int(np.ptp(ys)) + 1, "n_cols": len(mid), "sweep_frac": float((max(mid) - min(mid)) / image.shape[0]), "area_frac": float(len(ys) / image.size), "mean_response": float(r[labels == k].mean())})
-    return out
-
-
-COMPONENT = "area_px int, x_px int, y_px int, w_px int, h_px int, n_cols int, sweep_frac double, area_frac double, mean_response double"
+    first = F.round(F.col("__a") * F.col("sr") / 1e6).cast("long")
+    begin = F.round(F.col("chunk").cast("long") * chunk_us * F.col("sr") / 1e6).cast("long")
+    after = F.round((F.col("chunk").cast("long") + 1) * chunk_us * F.col("sr") / 1e6).cast("long")
+    stop = first + F.round((F.col("__b") - F.col("__a")) * F.col("sr") / 1e6).cast("long")
+    low, high = F.greatest(first, begin), F.least(stop, after)
+    part = F.struct(low.alias("low"), F.slice("__s", (low - begin + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("x"))
+    rows = met.withColumn("__part", part).groupBy("__row", *events.columns, "sr").agg(F.array_sort(F.collect_list("__part")).alias("__parts"))
+    none = F.array().cast(chunks.schema["samples"].dataType)
+    zero = F.lit(0).cast(chunks.schema["samples"].dataType.elementType)
+    start = F.struct(F.element_at("__parts", 1)["low"].alias("at"), none.alias("x"))
 
+    def join(acc, p):
+        gap = F.greatest(p["low"] - acc["at"], F.lit(0)).cast("int")
+        return F.struct((p["low"] + F.size(p["x"])).alias("at"), F.concat(acc["x"], F.array_repeat(zero, gap), p["x"]).alias("x"))
+
+    return rows.select(*events.columns, "sr", F.aggregate("__parts", start, join)["x"].alias("samples"))
 
-def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_area: int = 30, response=ridge_response) -> DataFrame:
-    """keep and a row per component: a chunk's frames make its image (rows are bins)."""
-    images = frames.groupBy(*keep).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "power"))), lambda x: x["power"]).alias("image"))
 
-    def run(batches):
-        for rows in batches:
-            parts = []
-            for r in rows.to_dict("records"):
-                image = 10 * np.log10(np.stack([np.asarray(c) for c in r["image"]], 1) + EPS)
-                parts += [{**{k: r[k] for k in keep}, **c} for c in components(image, percentile, min_area, response)]
-            if parts:
-                yield pd.DataFrame(parts)
+def mean_power(samples) -> Column:
+    """Mean square of samples, NULL without any."""
+    x = F.col(samples) if isinstance(samples, str) else samples
+    return F.try_divide(total(x, lambda v: v.cast("double") * v), F.size(x))
 
-    schema = ", ".join(f"`{k}` {dict(images.dtypes)[k]}" for k in keep)
-    return images.mapInPandas(run, f"{schema}, {COMPONENT}")
+
+def snr(event: str, before: str, after: str) -> Column:
+    """Power of an event against that of all samples around it, in dB; 0 without noise."""
+    noise = F.coalesce(mean_power(F.concat(F.coalesce(before, F.array().cast("array<double>")), F.coalesce(after, F.array().cast("array<double>")))), F.lit(0.0))
+    return F.when(noise > 0, 10 * F.log10(mean_power(event) / noise)).otherwise(0.0)
+
+
+def ridge_response(column: Column, widths: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """Brightness of thin lines in a frame's dB: the largest negative second difference along bins."""
+    last = F.size(column) - 1
+
+    def at(v, i):
+        return F.greatest(F.lit(0.0), *(v - (F.get(column, F.greatest(i - k, F.lit(0))) + F.get(column, F.least(i + k, last))) / 2 for k in widths))
+
+    return F.transform(column, at)
+
+
+COMPONENT = ["area_px", "x_px", "y_px", "w_px", "h_px", "n_cols", "sweep_frac", "area_frac", "mean_response"]
+
+
+def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_area: int = 30, response=ridge_response) -> DataFrame:
+    """keep and a row per 8-connected component of a chunk's image (frames by bins) above a percentile.
+
+    Bright bins become runs within frames, runs of neighbouring frames that touch become edges, and
+    edges components; every step is rows of chunks, dealt over tasks.
+    """
+    db = frames.select(*keep, "frame", F.transform("power", lambda p: 10 * F.log10(p + EPS)).alias("__db"))
+    bright = db.select(*keep, "frame", F.posexplode(response(F.col("__db"))).alias("bin", "r"))
+    cut_at = bright.groupBy(*keep).agg(F.percentile("r", percentile / 100).alias("__cut"), F.count(F.lit(1)).alias("__pixels"), (F.max("bin") + 1).alias("__bins"))  # a chunk's pixels
+    on = bright.join(cut_at, keep).where(F.col("r") >= F.col("__cut"))
+    line = Window.partitionBy(*keep, "frame").orderBy("bin")
+    runs = on.withColumn("__run", F.col("bin") - F.row_number().over(line)).groupBy(*keep, "frame", "__run").agg(
+        F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("r").alias("r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins")
+    )
+    runs = runs.withColumn("id", F.col("frame").cast("long") * (1 << 20) + F.col("lo"))
+    a = runs.select(*keep, (F.col("frame") + 1).alias("frame"), F.col("id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    touch = (F.col("lo") <= F.col("a_hi") + 1) & (F.col("hi") >= F.col("a_lo") - 1)
+    edges = runs.select(*keep, "frame", F.col("id").alias("b"), "lo", "hi").join(a, [*keep, "frame"]).where(touch)
+    labelled = runs.join(components(runs, edges, keep), [*keep, "id"])
+    # the middle of a component in each of its frames
+    middle = labelled.select(*keep, "label", "frame", F.explode(F.sequence("lo", "hi")).alias("bin")).groupBy(*keep, "label", "frame").agg(F.percentile("bin", 0.5).alias("mid"))
+    sweep = middle.groupBy(*keep, "label").agg((F.max("mid") - F.min("mid")).alias("__sweep"), F.count(F.lit(1)).cast("int").alias("n_cols"))
+    whole = labelled.groupBy(*keep, "label").agg(
+        F.sum(F.col("hi") - F.col("lo") + 1).cast("int").alias("area_px"), F.min("frame").alias("x_px"), F.min("lo").alias("y_px"), (F.max("frame") - F.min("frame") + 1).alias("w_px"),
+        (F.max("hi") - F.min("lo") + 1).alias("h_px"), F.sum("r").alias("__r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins"),
+    ).where(F.col("area_px") >= min_area)
+    out = whole.join(sweep, [*keep, "label"]).withColumns({"sweep_frac": F.col("__sweep") / F.col("__bins"), "area_frac": F.col("area_px") / F.col("__pixels"), "mean_response": F.col("__r") / F.col("area_px")})
+    return out.select(*keep, *COMPONENT)
 
 
 def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0) -> DataFrame:
@@ -243,8 +302,7 @@ def feature_table(detections: DataFrame, gt: DataFrame, chunks: DataFrame, chunk
     from chirpline.operators.scoring import label_detections
 
     labelled = label_detections(detections, gt)
-    keep = [c for c in labelled.columns if c not in ("f_low_hz", "f_high_hz")]
-    return spectral_features(attach_audio(labelled, chunks, chunk_us), [*keep, "f_low_hz", "f_high_hz"])
+    return spectral_features(attach_audio(labelled, chunks, chunk_us), labelled.columns)
 
 
 def flatness_variants(frames: DataFrame, keep: list[str], magnitude: str = "magnitude", mask: str = "mask") -> DataFrame:

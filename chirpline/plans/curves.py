@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from chirpline.operators import curves as C
 from chirpline.operators import gates as G
 from chirpline.plans import views as V
-from chirpline.plans.views import SQL, hit_sql, merged_sql
+from chirpline.operators.scoring import COUNTS
+from chirpline.plans.scoring import BOUTS_SQL, _counts_sql
+from chirpline.plans.views import METRICS_SQL, SQL, hit_sql, merged_sql
 
 Q, O = {}, {}
 
@@ -54,7 +56,7 @@ def pr_curve(spark, d):
     return _points(spark, d)
 
 
-@query(_CURVE + """, st as (select method, (recall - lag(recall) over w) * ("precision" + lag("precision") over w) / 2 as s from pts window w as (partition by method order by recall, seq)) select method, coalesce(sum(s), 0) as auc from st group by method""")
+@query(_CURVE + """, st as (select method, (recall - lag(recall) over w) * ("precision" + lag("precision") over w) / 2 as s from pts window w as (partition by method order by recall, seq)) select method, sum(s) as auc from st group by method""")
 def auc_pr(spark, d):
     return C.area_under_curve(_points(spark, d))
 
@@ -160,67 +162,157 @@ def refilter(spark, d):
 _GATES = {
     "short": [("n_cols", ">=", 9)],
     "pitch": [("centroid_hz", ">=", 25000.0)],
-    "tonal": [("flatness", "<=", 0.05)],
+    "tonal": [("flatness", "<=", 0.5)],
     "short_pitch": [("n_cols", ">=", 9), ("centroid_hz", ">=", 25000.0)],
-    "all": [("n_cols", ">=", 9), ("centroid_hz", ">=", 25000.0), ("flatness", "<=", 0.05)],
+    "all": [("n_cols", ">=", 9), ("centroid_hz", ">=", 25000.0), ("flatness", "<=", 0.5)],
 }
-_KEEP_SQL = " union all ".join(f"select session_no, label, '{n}' as strategy, {' and '.join(f'{f} {o} {v}' for f, o, v in g)} as keep from det" for n, g in _GATES.items())
-_PRF = """tp / nullif(tp + fp, 0)::double as "precision", tp / nullif(tp + fn, 0)::double as recall, case when tp > 0 then 2.0 * tp / (2 * tp + fp + fn) end as f1"""
-_CNT = "count(*) filter (label = 'tp' and keep) as tp, count(*) filter (label <> 'tp' and keep) as fp, count(*) filter (label = 'tp' and not keep) as fn"
+_SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in COUNTS)
+
+
+def _kept_sql(named: dict[str, str], source: str = "sdet") -> str:
+    """CTEs kept and calls: a strategy's detections by its condition, and all calls beside each strategy."""
+    rows = " union all ".join(f"select '{n}' as strategy, session, channel, event_id, t0_us, t1_us from {source} where {c}" for n, c in named.items())
+    names = ", ".join(f"('{n}')" for n in named)
+    return f", kept as ({rows}), calls as (select strategy, gt.* from gt, (values {names}) as names(strategy))"
+
+
+def _events_sql(named: dict[str, str]) -> str:
+    """CTE cnt: event counts per strategy and session."""
+    return SQL + _kept_sql(named) + _counts_sql("strategy, session", "calls", "kept")
+
+
+def _pooled_sql(named: dict[str, str]) -> str:
+    """CTE st: pooled counts and metrics per strategy."""
+    return _events_sql(named) + f", su as (select strategy, {_SUMS} from cnt group by strategy), st as (select strategy, n_gt, n_boxes as n_kept, n_pred, tp, fn, pred_tp, fp, {METRICS_SQL} from su)"
+
+
+def _where(gates) -> str:
+    return " and ".join(f"{f} {o} {v}" for f, o, v in gates) or "true"
 
 
 def _named():
     return {n: G.passes(g) for n, g in _GATES.items()}
 
 
-@query(SQL + f", k as ({_KEEP_SQL}), c as (select strategy, {_CNT} from k group by strategy) select *, {_PRF} from c")
+def _sides(spark, d):
+    return V.scored_detections(spark, d), V.ground_truth(spark, d)
+
+
+_NAMED_SQL = {n: _where(g) for n, g in _GATES.items()}
+
+
+@query(_pooled_sql(_NAMED_SQL) + "select * from st")
 def gate_strategies(spark, d):
-    return G.strategies(V.detections(spark, d), _named())
+    return G.strategies(*_sides(spark, d), _named())
 
 
-_FOLDS = SQL + f", k as ({_KEEP_SQL}), fo as (select session_no, cast((row_number() over (order by session_no) - 1) % 4 as int) as fold from (select distinct session_no from det)), c as (select fold, strategy, {_CNT} from k join fo using (session_no) group by all), m as (select *, {_PRF} from c)"
+_FOLDS = (
+    _events_sql(_NAMED_SQL)
+    + f", fo as (select session, cast((row_number() over (order by session) - 1) % 4 as int) as fold from (select distinct session from gt)), fs as (select fold, strategy, {_SUMS} from cnt join fo using (session) group by all), m as (select *, {METRICS_SQL} from fs)"
+)
 
 
-@query(_FOLDS + "select strategy, avg(f1) as f1_mean, stddev_pop(f1) as f1_std, count(f1) as n_folds from m group by strategy")
+@query(_FOLDS + 'select strategy, avg(recall) as recall_mean, stddev_pop(recall) as recall_std, avg("precision") as precision_mean, stddev_pop("precision") as precision_std, avg(f1) as f1_mean, stddev_pop(f1) as f1_std, count(f1) as n_folds from m group by strategy')
 def grouped_cv(spark, d):
-    return G.grouped_cv(V.detections(spark, d), "session_no", _named(), 4)
+    return G.grouped_cv(*_sides(spark, d), "session", _named(), 4)
 
 
-@query(_FOLDS + """, r as (select a.fold, a.strategy, 2.0 * sum(b.tp) / (2 * sum(b.tp) + sum(b.fp) + sum(b.fn)) as train_f1 from m a join m b on a.strategy = b.strategy and a.fold <> b.fold group by all),
-n as (select *, row_number() over (partition by fold order by coalesce(train_f1, -1) desc, strategy) as n from r) select n.fold, n.strategy, n.train_f1, m.f1 as test_f1 from n join m using (fold, strategy) where n = 1""")
+@query(_FOLDS + f""", o as (select a.fold, a.strategy, sum(b.tp) as tp, sum(b.fn) as fn, sum(b.pred_tp) as pred_tp, sum(b.fp) as fp from fs a join fs b on a.strategy = b.strategy and a.fold <> b.fold group by all),
+r as (select fold, strategy, {METRICS_SQL} from o),
+n as (select *, row_number() over (partition by fold order by coalesce(f1, -1) desc, strategy) as n from r) select n.fold, n.strategy, n.f1 as train_f1, m.f1 as test_f1 from n join m using (fold, strategy) where n = 1""")
 def train_and_held_out(spark, d):
-    return G.train_and_held_out(V.detections(spark, d), "session_no", _named(), 4)
+    return G.train_and_held_out(*_sides(spark, d), "session", _named(), 4)
 
 
 _ONE = {"a5": [("n_cols", ">=", 5)], "a9": [("n_cols", ">=", 9)], "a20": [("n_cols", ">=", 20)]}
-_TWO = {"b1": [("flatness", "<=", 0.03)], "b2": [("flatness", "<=", 0.08)]}
+_TWO = {"b1": [("flatness", "<=", 0.3)], "b2": [("flatness", "<=", 0.8)]}
+_GRID = {a: _where(g) for a, g in _ONE.items()} | {f"{a}|{b}": _where(x + y) for a, x in _ONE.items() for b, y in _TWO.items()}
 
 
-@query()
+@query(_pooled_sql(_GRID) + """, g as (select * from st where contains(strategy, '|')), al as (select * from st where not contains(strategy, '|')),
+lean as (select strategy as a from al where recall >= (select max(recall) from al) - 0.05 order by n_kept, strategy limit 1)
+(select 'joint' as plan, strategy, f1 from g order by coalesce(f1, -1) desc, strategy limit 1)
+union all (select 'staged', strategy, f1 from g where split_part(strategy, '|', 1) = (select a from lean) order by coalesce(f1, -1) desc, strategy limit 1)""")
 def two_stage(spark, d):
-    return G.two_stage(V.detections(spark, d), {n: G.passes(g) for n, g in _ONE.items()}, {n: G.passes(g) for n, g in _TWO.items()}, 0.05)
+    return G.two_stage(*_sides(spark, d), {n: G.passes(g) for n, g in _ONE.items()}, {n: G.passes(g) for n, g in _TWO.items()}, 0.05)
+
+
+#: Gates on the features, and on the score, which is an interval's length here: longer ones hit more calls.
+_POOL = [("n_cols", ">=", v) for v in (5.0, 20.0, 60.0, 100.0)] + [("flatness", "<=", v) for v in (0.3, 0.8)] + [("centroid_hz", ">=", v) for v in (10000.0, 25000.0)]
 
 
 @query()
 def forward_selection(spark, d):
-    pool = [("n_cols", ">=", v) for v in (5.0, 15.0, 30.0)] + [("flatness", "<=", v) for v in (0.03, 0.08)] + [("centroid_hz", ">=", v) for v in (10000.0, 25000.0)]
-    got = G.forward_selection(V.detections(spark, d).cache(), pool, 0.0)
+    det, gt = _sides(spark, d)
+    got = G.forward_selection(det.cache(), gt.cache(), _POOL)
     return spark.createDataFrame([(i, f, o, v, s) for i, ((f, o, v), s) in enumerate(got)], "step int, feature string, op string, threshold double, f1 double")
 
 
-@query()
+_DRAW = "cast('0x' || substr(md5('7|{0}|' || trial), 1, 13) as bigint) / 4503599627370496.0"
+
+
+@query(SQL + f""", cfg as (select trial, 1 + {_DRAW.format('min_cols')} * 29.0 as cfg_min_cols, 0.0 + {_DRAW.format('max_flatness')} * 1.0 as cfg_max_flatness from range(40) t(trial)),
+kept as (select trial, session, t0_us, t1_us from sdet, cfg where n_cols >= cfg_min_cols and flatness <= cfg_max_flatness), calls as (select trial, gt.* from gt, cfg)""" + _counts_sql("trial, session", "calls", "kept") + f""", su as (select trial, {_SUMS} from cnt group by trial), st as (select trial, n_gt, n_boxes as n_kept, n_pred, tp, fn, pred_tp, fp, {METRICS_SQL} from su)
+select st.*, cfg_min_cols, cfg_max_flatness from st join cfg using (trial) order by coalesce(f1, -1) desc, trial limit 5""")
 def random_search(spark, d):
-    cfg = G.random_configs(spark, 40, {"min_cols": (1, 30), "max_flatness": (0.0, 0.1)}, 7)
-    trials = G.search(V.detections(spark, d), cfg, (F.col("n_cols") >= F.col("cfg_min_cols")) & (F.col("flatness") <= F.col("cfg_max_flatness")))
+    """The five best of forty random gate settings by event F1."""
+    cfg = G.random_configs(spark, 40, {"min_cols": (1, 30), "max_flatness": (0.0, 1.0)}, 7)
+    trials = G.search(*_sides(spark, d), cfg, (F.col("n_cols") >= F.col("cfg_min_cols")) & (F.col("flatness") <= F.col("cfg_max_flatness")))
     return G.rank(trials, "f1", 5)
 
 
-@query(SQL + """, c as (select * from (values ('min_cols', 3.0), ('min_cols', 9.0), ('min_cols', 15.0), ('max_flatness', 0.02), ('max_flatness', 0.05)) t(variable, value)),
-k as (select variable, value, label, case when variable = 'min_cols' then n_cols >= value else flatness <= value end as keep from det, c)
-, s as (select variable, cast(value as double) as value, """ + _CNT + " from k group by all) select *, " + _PRF + " from s")
+_SWEPT = {f"{v}={x}": f"{v} {o} {x}" for v, o, xs in (("n_cols", ">=", (3.0, 9.0, 40.0)), ("flatness", "<=", (0.2, 0.5))) for x in xs}
+
+
+def _moved():
+    return {n: G.passes([(f, o, float(x))]) for n, c in _SWEPT.items() for f, o, x in (c.split(),)}
+
+
+@query(_pooled_sql(_SWEPT) + "select split_part(strategy, '=', 1) as variable, cast(split_part(strategy, '=', 2) as double) as value, st.* exclude (strategy) from st")
 def one_at_a_time_sweep(spark, d):
-    """M6: one variable moves at a time; the others stay open."""
-    points = [("min_cols", 3.0), ("min_cols", 9.0), ("min_cols", 15.0), ("max_flatness", 0.02), ("max_flatness", 0.05)]
-    named = {f"{v}={x}": (F.col("n_cols") >= x) if v == "min_cols" else (F.col("flatness") <= x) for v, x in points}
-    out = G.strategies(V.detections(spark, d), named)
-    return out.select(F.split_part("strategy", F.lit("="), F.lit(1)).alias("variable"), F.split_part("strategy", F.lit("="), F.lit(2)).cast("double").alias("value"), "tp", "fp", "fn", "precision", "recall", "f1")
+    """M6: one variable moves at a time, the others stay open; event metrics."""
+    out = G.strategies(*_sides(spark, d), _moved())
+    return out.select(F.split_part("strategy", F.lit("="), F.lit(1)).alias("variable"), F.split_part("strategy", F.lit("="), F.lit(2)).cast("double").alias("value"), *(c for c in out.columns if c != "strategy"))
+
+
+@query()
+def matching_sweep(spark, d):
+    """The same points by greedy one-to-one matches of each session and channel."""
+    det, gt = _sides(spark, d)
+    gt = gt.select("session", "event_id", "t0_us", "t1_us", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"))
+    return G.matching_sweep(det, gt, _moved())
+
+
+_BOUT_CALLS = SQL + BOUTS_SQL + ", bs as (select session, bout_id, min(t0_us) as start_us, max(t1_us) as stop_us from bc group by all)"
+_HIT = "p.t0_us < c.t1_us and p.t1_us > c.t0_us and c.t1_us > c.t0_us and p.t1_us > p.t0_us"
+
+
+def _bouts(spark, d):
+    from chirpline.operators.intervals import bouts
+
+    calls = bouts(V.ground_truth(spark, d), ["session"], V.GAP_US, ["event_id"])
+    return calls, calls.groupBy("session", "bout_id").agg(F.min("t0_us").alias("start_us"), F.max("t1_us").alias("stop_us"))
+
+
+@query(_BOUT_CALLS + f"""select b.session, b.bout_id, p.event_id,
+  case when exists (select 1 from bc c where c.session = p.session and c.bout_id = b.bout_id and {_HIT}) then 'in_bout'
+       when exists (select 1 from bc c where c.session = p.session and c.bout_id <> b.bout_id and {_HIT}) then 'other_call' else 'fp' end as relation
+from bs b join pred p on p.session = b.session and p.t1_us >= b.start_us - 600000000 and p.t0_us <= b.stop_us + 600000000""")
+def bout_relation(spark, d):
+    """Detections in the context of each bout, by what they hit."""
+    calls, spans = _bouts(spark, d)
+    return C.bout_relation(V.predictions(spark, d), spans, calls, 600_000_000)
+
+
+_CROP = "cast(greatest(0, floor(x1 - 0.1 * (x2 - x1))) as int) as cx0, cast(greatest(0, floor(y1 - 0.1 * (y2 - y1))) as int) as cy0, cast(least(120, ceil(x1 + (x2 - x1) + 0.1 * (x2 - x1))) as int) as cx1, cast(least(80, ceil(y1 + (y2 - y1) + 0.1 * (y2 - y1))) as int) as cy1"
+
+
+@query(SQL + f", cr as (select *, {_CROP} from box) select case when score < 10000 then 'low_score' when l_partkey % 17 = 0 then 'missing_png' when cx1 - cx0 < 8 or cy1 - cy0 < 8 then 'small_crop' else 'keep' end as reason, count(*) as n from cr group by 1")
+def crop_skips(spark, d):
+    """Crops counted by the reason they are skipped for."""
+    from chirpline.functions.intervals import crop_box
+
+    b = V.boxes(spark, d)
+    crop = crop_box((F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(80), F.lit(120), 0.1)
+    b = b.select("*", *(c.alias(n) for c, n in zip(crop, ("cx0", "cy0", "cx1", "cy1"))))
+    return G.reason_counts(b, G.skip_reason(("cx0", "cy0", "cx1", "cy1"), 8, 10000.0, F.col("l_partkey") % 17 == 0))

@@ -39,7 +39,9 @@ def band_envelope(spark, d):
 
 @query
 def db_calibration(spark, d):
-    return X.db_range(X.spectrogram(_chunks(spark, d), ["session", "chunk"], 64, 32), ["session"])
+    frames = X.spectrogram(_chunks(spark, d), ["session", "chunk"], 64, 32)
+    at = F.col("chunk") * (CHUNK // 32 - 1) + F.col("frame")
+    return X.db_range(X.spread_windows(frames, ["session"], at, 20), ["session"])
 
 
 @query

@@ -9,8 +9,11 @@ from chirpline.operators import latents as L
 from chirpline.operators import matching as M
 from chirpline.operators import scoring as S
 from chirpline.plans import views as V
-from chirpline.plans.scoring import _METHODS, _by_method
-from chirpline.plans.views import METRICS_SQL, SQL
+from chirpline.plans.scoring import _METHODS, _by_method, _counts_sql
+from chirpline.plans.views import METRICS_SQL, SQL, hit_sql, merged_sql
+from chirpline.sources import readers, writers
+from chirpline.sources.shared import shared_dir
+from chirpline.streaming import live
 
 Q, O = {}, {}
 
@@ -30,12 +33,34 @@ def _per_channel(spark, d):
     return gt, V.predictions(spark, d)
 
 
-@query()
+_IOU = "(least(g.t1_us, p.t1_us) - greatest(g.t0_us, p.t0_us)) / (greatest(g.t1_us, p.t1_us) - least(g.t0_us, p.t0_us))::double"
+#: Pairs of a session and channel, best first, taken one by one while both ends are free.
+_GREEDY = (
+    SQL.replace("with iv", "with recursive iv", 1)
+    + f""", gc as (select gt.*, channel from gt, (select unnest([0, 1]) as channel)),
+pr as (
+  select g.session, g.channel, g.event_id as g, p.event_id as p, {_IOU} as iou,
+         row_number() over (partition by g.session, g.channel order by {_IOU} desc, g.t0_us desc, g.t1_us desc, g.event_id desc, p.t0_us desc, p.t1_us desc, p.event_id desc) as k
+  from gc g join pred p on g.session = p.session and g.channel = p.channel and p.t0_us < g.t1_us and p.t1_us > g.t0_us and g.t1_us > g.t0_us and p.t1_us > p.t0_us),
+walk as (
+  select distinct session, channel, 0::bigint as k, null::bigint as g, null::bigint as p, null::double as iou, []::bigint[] as gs, []::bigint[] as ps from pr
+  union all
+  select w.session, w.channel, pr.k, case when free then pr.g end, case when free then pr.p end, pr.iou, case when free then list_append(gs, pr.g) else gs end, case when free then list_append(ps, pr.p) else ps end
+  from walk w join pr on pr.session = w.session and pr.channel = w.channel and pr.k = w.k + 1, lateral (select not list_contains(gs, pr.g) and not list_contains(ps, pr.p) as free)),
+gm as (select session, channel, g as gt_id, p as pred_id, iou from walk where g is not null)
+"""
+)
+
+
+@query(_GREEDY + "select * from gm")
 def greedy_matches(spark, d):
     return M.greedy_match(*_per_channel(spark, d), ["session", "channel"])
 
 
-@query()
+@query(_GREEDY + """, n as (select session, channel, sum(g) as n_gt, sum(p) as n_pred, sum(m) as tp from (
+  select session, channel, 1 as g, 0 as p, 0 as m from gc union all select session, channel, 0, 1, 0 from pred union all select session, channel, 0, 0, 1 from gm) group by all),
+c as (select session, channel, cast(tp as bigint) as tp, cast(n_pred - tp as bigint) as fp, cast(n_gt - tp as bigint) as fn from n)
+select *, coalesce(tp / nullif(tp + fp, 0)::double, 0) as "precision", coalesce(tp / nullif(tp + fn, 0)::double, 0) as recall, case when tp > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end as f1 from c""")
 def matching_score(spark, d):
     return M.matching_score(*_per_channel(spark, d), ["session", "channel"])
 
@@ -43,7 +68,15 @@ def matching_score(spark, d):
 _KEY = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
-@query()
+@query(SQL.replace("with iv", "with recursive iv", 1) + """, bx as (select *, row_number() over (partition by chunk_id order by score desc, l_linenumber, l_partkey, l_suppkey) as k from box),
+walk as (
+  select distinct chunk_id, 0::bigint as k, false as stays, []::struct(x1 double, y1 double, x2 double, y2 double)[] as kept from bx
+  union all
+  select w.chunk_id, b.k, free, case when free then list_append(kept, {'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) else kept end
+  from walk w join bx b on b.chunk_id = w.chunk_id and b.k = w.k + 1, lateral (select len(list_filter(kept, o ->
+    coalesce(greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1))
+      / nullif((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1)), 0), 0) > 0.3)) = 0 as free))
+select b.* exclude (k) from walk w join bx b using (chunk_id, k) where stays""")
 def box_suppression(spark, d):
     return M.suppress(V.boxes(spark, d), ["chunk_id"], 0.3, _KEY)
 
@@ -79,13 +112,13 @@ def equal_shards(spark, d):
     return M.equal_shards(V.table(spark, d, "orders").select("o_orderkey"), 128, ["o_orderkey"])
 
 
-@query()
+@query(SQL + "select event_id, event_type from (select *, row_number() over (partition by event_type order by md5('5|' || event_id), event_id) as n from iv) where event_type not in ('click', 'view') or n <= 100")
 def capped_sample(spark, d):
     iv = V.intervals(spark, d).select("event_id", "event_type")
     return M.capped_sample(iv, "event_type", ["click", "view"], 100, 5, "event_id")
 
 
-@query()
+@query(SQL + "select session from (select distinct session from iv) order by md5('5|' || session), session limit 8")
 def sampled_sessions(spark, d):
     return M.sample_rows(V.intervals(spark, d).select("session").distinct(), 8, 5, "session")
 
@@ -259,3 +292,100 @@ def session_sets(spark, d):
     g, p = V.ground_truth(spark, d).select("session"), V.predictions(spark, d).select("session")
     train = p.distinct().join(p.where(F.col("session").endswith("/idx_001")).distinct(), "session", "left_anti")
     return g.intersect(p).withColumn("side", F.lit("both")).unionByName(train.withColumn("side", F.lit("train")))
+
+
+# provenance, splits, stacks
+
+
+@query(SQL + f""", lb as (select event_id, session, score, case when session in (select session from gt) then case when {hit_sql('pred', 'gt')} then 'tp' else 'fp' end end as label from pred)
+select vec_id, cluster_id, session, score, label from lat join lb on event_id = vec_id""")
+def latents_with_features(spark, d):
+    """Latents beside the score and verdict of the detection they were cut from."""
+    labelled = S.label_detections(V.predictions(spark, d), V.ground_truth(spark, d)).select(F.col("event_id").alias("vec_id"), "session", "score", "label")
+    return L.with_features(V.latents(spark, d).select("vec_id", "cluster_id"), labelled, ["vec_id"])
+
+
+@query(SQL + "select source, cluster_id, count(*) as n from (select 'even' as source, cluster_id from lat where vec_id % 2 = 0 union all select 'odd', cluster_id from lat where vec_id % 2 = 1) group by all")
+def stacked_latents(spark, d):
+    """Two latent sets with a tag."""
+    lat = V.latents(spark, d)
+    return L.stacked({"even": lat.where("vec_id % 2 = 0"), "odd": lat.where("vec_id % 2 = 1")}).groupBy("source", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SQL + "select vec_id, case when row_number() over (order by md5('3|' || vec_id), vec_id) - 1 < greatest(1, floor(count(*) over () * 0.2)) then 'val' else 'train' end as part from lat")
+def train_validation_split(spark, d):
+    """M11."""
+    return L.split_rows(V.latents(spark, d).select("vec_id"), 0.2, "vec_id", 3)
+
+
+@query(SQL + ", s as (select sum(len(list_filter(embedding, x -> x > 0))) as pos, sum(len(list_filter(embedding, x -> not x > 0))) as neg from lat) select cast(pos as double) as pos, cast(neg as double) as neg, least(neg / greatest(pos, 1.0), 20.0) as weight from s")
+def imbalance_weight(spark, d):
+    """A27, with the positive components as the mask."""
+    return L.imbalance_weight(V.latents(spark, d).select(F.transform("embedding", lambda x: (x > 0).cast("int")).alias("mask")), "mask")
+
+
+# written and read again
+
+
+@query(SQL + _counts_sql() + f"select session, n_gt, n_pred, tp, pred_tp, fp, fn, recall, \"precision\", f1, 'm' as method from (select *, {METRICS_SQL} from cnt)")
+def metrics_written_and_read(spark, d):
+    """Session scores as CSV."""
+    path = shared_dir(spark, "metrics")
+    writers.write_csv(S.score_sessions(V.ground_truth(spark, d), V.predictions(spark, d)), path)
+    return readers.read_metrics(spark, path, "m").select("session", "n_gt", "n_pred", "tp", "pred_tp", "fp", "fn", "recall", "precision", "f1", "method")
+
+
+@query(SQL + "select session, name, t0_us, t1_us from gtall")
+def truth_written_and_read(spark, d):
+    """Ground truth as CSV per session."""
+    path = shared_dir(spark, "truth")
+    writers.write_gt(V.ground_truth(spark, d, None), path)
+    return readers.read_gt(spark, path)
+
+
+@query(SQL + f"select session, channel, t0_us - {V.CHUNK0_US} as t0_us, t1_us - {V.CHUNK0_US} as t1_us, score from pred where t1_us > t0_us")
+def documents_written_and_read(spark, d):
+    """Detections as documents per session and channel, and back from boxes to times."""
+    p = V.predictions(spark, d).where("t1_us > t0_us")
+    at = p.withColumn("chunk", F.floor((F.col("t0_us") - V.CHUNK0_US) / V.CHUNK_US)).withColumn("image_key", F.col("chunk").cast("string"))
+    width, span = 1000, V.CHUNK_US / 1e6
+    start = F.col("chunk") * span
+    images = at.select("session", "channel", "image_key", F.concat(F.lit("chunk_"), "image_key", F.lit(".png")).alias("file_name"), F.lit(width).alias("width"), F.lit(80).alias("height"), start.alias("window_start_sec"), (start + span).alias("window_end_sec")).distinct()
+    x = ((F.col("t0_us") - V.CHUNK0_US) / 1e6 - start) / span * width
+    boxes = at.select("session", "channel", "image_key", x.alias("x"), F.lit(0.0).alias("y"), ((F.col("t1_us") - F.col("t0_us")) / 1e6 / span * width).alias("w"), F.lit(10.0).alias("h"), "score")
+    path = shared_dir(spark, "documents")
+    writers.write_documents(images, boxes, path)
+    return readers.read_detections(spark, path).select("session", "channel", "t0_us", "t1_us", "score")
+
+
+@query("with t as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place, count(*) over () as total from orders) select shard, count(*) as n from (select floor(place / 128) as shard from t where floor(place / 128) < floor(total / 128) or floor(total / 128) = 0) group by shard")
+def shards_written_and_read(spark, d):
+    """K4: shards of exactly 128 rows."""
+    path = shared_dir(spark, "shards")
+    writers.write_shards(V.table(spark, d, "orders").select("o_orderkey"), 128, ["o_orderkey"], path)
+    return spark.read.parquet(path).groupBy(F.col("shard").cast("double").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# streams: the tables as a stream, each query run until its input is used up
+
+
+def _streamed(spark, df, operator):
+    """The complete result of a streaming operator over a table's rows."""
+    source, out = shared_dir(spark, "stream-source"), shared_dir(spark, "stream-result")
+    live.with_time(df).write.parquet(source)
+    stream = operator(spark.readStream.schema(live.with_time(df).schema).parquet(source))
+    run = stream.writeStream.outputMode("complete").option("checkpointLocation", shared_dir(spark, "stream-state")).trigger(availableNow=True)
+    run.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(SQL + ", pos as (select * from pred where t1_us > t0_us)" + merged_sql("ev", "pos", "session") + "select session, t0_us, t1_us, n_boxes from ev")
+def live_merged_events(spark, d):
+    """L1."""
+    return _streamed(spark, V.predictions(spark, d).select("session", "t0_us", "t1_us"), lambda s: live.live_merge(s, ["session"]))
+
+
+@query(SQL + f"select session, t0_us // {V.CHUNK_US} * {V.CHUNK_US} as t0_us, count(*) as n from pred group by all")
+def live_chunk_counts(spark, d):
+    """L3."""
+    return _streamed(spark, V.predictions(spark, d).select("session", "t0_us", "t1_us"), lambda s: live.live_counts(s, ["session"], "6 hours"))

@@ -54,6 +54,15 @@ def detections(spark, sf_dir) -> DataFrame:
     )
 
 
+def scored_detections(spark, sf_dir) -> DataFrame:
+    """Detections in time with features: n_cols (seconds), flatness, centroid_hz, area_frac."""
+    v = F.col("event_id")
+    return predictions(spark, sf_dir, methods=True).select(
+        "session", "channel", "event_id", "t0_us", "t1_us", "score", F.floor((F.col("t1_us") - F.col("t0_us")) / 1_000_000).alias("n_cols"),
+        (v % 97 / 97).alias("flatness"), (v * 7919 % 50000).cast("double").alias("centroid_hz"), (v % 11 / 40).alias("area_frac"),
+    )
+
+
 def channel_power(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(
         F.col("l_orderkey").alias("vox_idx"), F.col("l_linenumber").alias("channel"), "l_suppkey", "l_partkey", F.col("l_extendedprice").alias("power"), F.col("l_discount").alias("snr")
@@ -96,6 +105,9 @@ lab as (select session, event_id, t0_us, t1_us, case event_type when 'purchase'
 det as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_suppkey % 8 as int) as session_no, l_quantity as n_cols, l_discount as flatness, l_tax as sweep_frac,
          l_extendedprice as centroid_hz, case when l_linestatus = 'F' then 'tp' else 'fp' end as label from lineitem),
+sdet as (
+  select session, channel, event_id, t0_us, t1_us, score, cast(floor((t1_us - t0_us) / 1000000.0) as bigint) as n_cols,
+         event_id % 97 / 97.0::double as flatness, cast(event_id * 7919 % 50000 as double) as centroid_hz, event_id % 11 / 40.0::double as area_frac from predm),
 cpow as (select l_orderkey as vox_idx, l_linenumber as channel, l_suppkey, l_partkey, l_extendedprice as power, l_discount as snr from lineitem where l_linenumber <= 2),
 box as (
   select l_orderkey as chunk_id, l_linenumber, l_partkey, l_suppkey, cast(l_partkey % 100 as double) as x1, cast(l_suppkey % 50 as double) as y1,

@@ -70,7 +70,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Detection documents, one row each: session, channel, images, annotations."""
     rows = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     at = F.col("_metadata.file_path")
-    return rows.select(at.alias("file"), session_of_path(at).alias("session"), F.regexp_extract(at, r"_ch_(\d+)\.json$", 1).try_cast("int").alias("channel"), "images", "annotations")
+    return rows.select(at.alias("file"), session_of_path(at).alias("session"), F.coalesce(F.regexp_extract(at, r"_ch_(\d+)\.json$", 1).try_cast("int"), F.regexp_extract(at, r"/channel=(\d+)/", 1).try_cast("int")).alias("channel"), "images", "annotations")
 
 
 def read_detections(spark: SparkSession, path: str, channels: list[int] | None = None) -> DataFrame:
@@ -153,8 +153,8 @@ def qualifying_sessions(gt: DataFrame, audio: DataFrame, min_vox: int, n: int) -
 def read_vocalizations(spark: SparkSession, path: str, names: DataFrame, labels: int = 70) -> DataFrame:
     """The large call table: only the columns in use, only the named files; vectors parsed."""
     z = f"z_{labels}"
-    schema = f"audio_filename string, onset double, offset double, cohort string, {z} int, latent_means string, prob_{z} string"
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = raw.select("audio_filename", number("onset").alias("onset"), number("offset").alias("offset"), "cohort", F.col(z).try_cast("int").alias(z), "latent_means", f"prob_{z}")
     rows = rows.join(names.select("audio_filename").distinct(), "audio_filename", "left_semi")
     return rows.select("audio_filename", "onset", "offset", "cohort", z, parse_vector("latent_means").alias("embedding"), F.element_at(parse_vector(f"prob_{z}"), F.col(z) + 1).alias("confidence"))
 
@@ -164,6 +164,14 @@ def read_metrics(spark: SparkSession, path: str, method: str) -> DataFrame:
     return named_csv(spark, path, METRICS).withColumn("pred_tp", F.coalesce("pred_tp", "tp")).withColumn("method", F.lit(method))
 
 
+def resolve_metrics(spark: SparkSession, folder: str, name: str = "metrics.csv") -> str | None:
+    """The named metrics file of a folder, else its only metrics*.csv; None where there are several or none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "metrics*.csv").load(folder).select("path")
+    paths = sorted(r.path for r in files.collect())  # the files of one method's folder
+    exact = [p for p in paths if p.rsplit("/", 1)[-1] == name]
+    return exact[0] if exact else paths[0] if len(paths) == 1 else None
+
+
 def named_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header whose columns may be in any order or missing."""
     from pyspark.sql.types import StructType

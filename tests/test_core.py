@@ -8,6 +8,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chirpline.functions import intervals as FI
@@ -70,6 +71,7 @@ def test_overlap_forms_agree(spark):
     plain = {x.event_id for x in a.alias("a").crossJoin(b.alias("b")).where("a.t0_us < b.t1_us and a.t1_us > b.t0_us and a.t1_us > a.t0_us and b.t1_us > b.t0_us").select("a.event_id").collect()}
     asof = {x.event_id for x in I.overlap_flag_asof(a, b, ["session"]).where("hit").collect()}
     for bucket in (S, 17 * S, 10**9):
+        assert {x.event_id for x in I.overlap_flag_asof(a, b, ["session"], bucket_us=bucket).where("hit").collect()} == plain
         assert {x.event_id for x in I.overlap_flag(a, b, ["session"], ["event_id"], bucket_us=bucket).where("hit").collect()} == plain == asof
 
 
@@ -116,7 +118,7 @@ def test_matching(spark):
             used_g.append(a)
             used_p.append(b)
             n += 1
-    assert abs(matching.greedy_match(iv(spark, g), iv(spark, p), ["session"]).count() - n) <= 1
+    assert matching.greedy_match(iv(spark, sorted(g)), iv(spark, sorted(p)), ["session"]).count() == n
     box = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1, 0.0, 0.0, 9.0, 10.0, 0.8), (1, 2, 20.0, 0.0, 30.0, 10.0, 0.7), (2, 3, 0.0, 0.0, 9.0, 9.0, 0.5), (1, 4, 1.0, 1.0, 3.0, 3.0, 0.6)], "c int, id int, x1 double, y1 double, x2 double, y2 double, score double")
     kept = matching.suppress(box, ["c"], 0.3, ["id"])
     assert sorted(b.id for b in kept.collect()) == [0, 2, 3, 4]
@@ -144,10 +146,19 @@ def test_gates(spark):
     assert sorted(r.area for r in gates.clean_components(comp, ["image"]).collect()) == [50.0, 100.0]
     rows = [(i % 8, float(i % 10), "tp" if i % 10 > 4 else "fp") for i in range(400)]
     det = spark.createDataFrame(rows, "session_no int, v double, label string")
-    chosen = gates.forward_selection(det, [("v", ">=", x) for x in (2.0, 5.0, 8.0)])
-    assert chosen == [(("v", ">=", 5.0), 1.0)]
-    trials = gates.search(det, gates.random_configs(spark, 20, {"x": (0, 10)}, 1), F.col("v") >= F.col("cfg_x"))
-    assert gates.rank(trials, n=1).first().f1 > 0.85
+    # calls of 1 s every 10 s; detections with v > 4 hit one, the others lie between
+    det = det.selectExpr("concat('s', session_no) as session", "v", "monotonically_increasing_id() as event_id").withColumns({"t0_us": F.row_number().over(Window.partitionBy("session").orderBy("event_id")) * 10 * S})
+    det = det.withColumn("t0_us", F.col("t0_us") + F.when(F.col("v") > 4, 0).otherwise(5 * S)).withColumn("t1_us", F.col("t0_us") + S)
+    gt = spark.range(0, 8 * 50).selectExpr("concat('s', id % 8) as session", f"(1 + id div 8) * {10 * S} as t0_us", "id as event_id").withColumn("t1_us", F.col("t0_us") + S)
+    hit = det.where("v > 4").join(gt.withColumnRenamed("event_id", "g"), ["session", "t0_us"]).select("session", "g").distinct().count()
+    chosen = gates.forward_selection(det, gt, [("v", ">=", x) for x in (2.0, 5.0, 8.0)])
+    assert [g for g, _ in chosen] == [("v", ">=", 5.0)] and math.isclose(chosen[0][1], 2 * (r := hit / 400) / (1 + r))
+    got = {r.strategy: r for r in gates.strategies(det, gt, {"all": F.lit(True), "none": F.lit(False)}).collect()}
+    assert (got["all"].tp, got["all"].n_kept, got["none"].tp, got["none"].fn, got["none"].precision) == (hit, 400, 0, 400, None)
+    trials = gates.search(det, gt, gates.random_configs(spark, 20, {"x": (0, 10)}, 1), F.col("v") >= F.col("cfg_x"))
+    assert trials.count() == 20 and 4 < gates.rank(trials, n=1).first().cfg_x <= 5
+    swept = {r.strategy: r for r in gates.matching_sweep(det.withColumn("channel", F.lit(0)), gt.withColumn("channel", F.lit(0)), {"all": F.lit(True), "v": F.col("v") > 4}).collect()}
+    assert (swept["all"].tp, swept["all"].fp) == (hit, 400 - hit) and (swept["v"].tp, swept["v"].fp, swept["v"].fn) == (hit, 0, 400 - hit)
 
 
 def test_curve_limits(spark):
@@ -160,6 +171,53 @@ def test_curve_limits(spark):
     assert rec == sorted(rec, reverse=True)
 
 
+def test_undefined_values(spark):
+    flat = spark.createDataFrame([("tp", 1.0)] * 3 + [("fp", 1.0), ("fp", None)], "label string, x double")
+    assert sorted((r.label, r.bin, r.n, r.density) for r in curves.histogram(flat, "x", "label").collect()) == [("fp", 0, 1, None), ("tp", 0, 3, None)]
+    dims = spark.createDataFrame([(0, None, 0.0), (1, None, 0.0)], "dim int, r double, variance double")
+    assert tuple(latents.weighted_r(dims).first()) == (None, None, 0)
+    pts = spark.createDataFrame([("a", 0, 0.5, 1.0), ("b", 0, 0.1, 1.0), ("b", 1, 0.3, 0.5), ("b", 2, None, 1.0)], "method string, seq int, recall double, precision double")
+    got = {r.method: r.auc for r in curves.area_under_curve(pts).collect()}
+    assert got["a"] is None and math.isclose(got["b"], 0.15)
+    rows = spark.createDataFrame([(1, 0, [0.0]), (1, 0, [0.0]), (2, 0, [9.0])], "vec_id int, cluster_id int, embedding array<float>")
+    cents = spark.createDataFrame([(0, [1.0]), (1, [-1.0]), (2, [8.0])], "cluster_id int, centroid array<double>")
+    assert sorted(map(tuple, latents.nearest_centroid(rows, cents).collect())) == [(1, 0, 0, 1.0), (1, 0, 0, 1.0), (2, 0, 2, 1.0)]
+    t = spark.createDataFrame([("m", 0, 0, 0, 0)], "method string, n_gt long, tp long, pred_tp long, fp long")
+    assert budget.budget_intervals(t, [10]).first().recall is None
+    assert spark.range(1).select(FI.time_to_x(F.lit(1), F.lit(2), F.lit(2), F.lit(9)).alias("x")).count() == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_quantiles(spark, parts):
+    from chirpline.operators.quantiles import quantiles
+
+    r = random.Random(parts)
+    rows = [(g, r.choice((None, float(r.randrange(40)), r.random()))) for g in "abc" for _ in range(r.randrange(1, 200))] + [("d", None)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = {x.g: x for x in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "d" not in got
+    for g in "abc":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose([got[g].a, got[g].b, got[g].c], np.percentile(v, [0, 37, 100]))
+
+
+def test_contexts_and_splits(spark):
+    spans = spark.createDataFrame([("s", 0, 10 * S, 20 * S), ("s", 1, 90 * S, 95 * S)], "session string, bout_id long, start_us long, stop_us long")
+    rows = iv(spark, [(5, 8), (20, 30), (21, 22), (0, 100), (96, 97)])
+    want = {(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 1)}
+    for bucket in (3 * S, 10**12):
+        assert {(r.event_id, r.bout_id) for r in I.in_context(rows, spans, ["session"], 2 * S, bucket).collect()} == want
+    parts = latents.split_rows(spark.range(100).repartition(5), 0.2, "id", 3).groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in parts} == {"val": 20, "train": 80}
+    assert {r.part for r in latents.split_rows(spark.range(2), 0.1, "id").collect()} == {"val", "train"}
+    mask = spark.createDataFrame([([1, 0, 0],), ([0, 0, 0],)], "m array<int>")
+    assert tuple(latents.imbalance_weight(mask, "m").first()) == (1.0, 5.0, 5.0)
+    assert latents.imbalance_weight(mask.limit(0), "m").first().weight == 0.0
+    crops = spark.createDataFrame([(0.1, 0, 0, 9, 9), (None, 0, 0, 9, 9), (0.9, 0, 0, 3, 9)], "score double, a int, b int, c int, d int")
+    assert [r.x for r in crops.select(gates.skip_reason(("a", "b", "c", "d"), 5, 0.5).alias("x")).collect()] == ["low_score", "keep", "small_crop"]
+
+
 def test_feature_auc(spark):
     r = random.Random(2)
     rows = [(r.choice(("tp", "fp")), float(r.randrange(6))) for _ in range(200)]
@@ -232,6 +290,24 @@ def test_files(spark, tmp_path):
     keys = spark.createDataFrame([("e/s", 1), ("e/s", 2)], "session string, channel int")
     assert [r.channel for r in writers.pending(keys, images).collect()] == [2] and writers.pending(keys, images, overwrite=True).count() == 2
 
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "metrics_das.csv").write_text("session,tp\na,3\n")
+    assert readers.resolve_metrics(spark, str(tmp_path / "r1")).endswith("metrics_das.csv")
+    (tmp_path / "r1" / "metrics_gt.csv").write_text("session,tp\na,3\n")
+    assert readers.resolve_metrics(spark, str(tmp_path / "r1")) is None
+    assert readers.resolve_metrics(spark, str(tmp_path / "r1"), "metrics_gt.csv").endswith("metrics_gt.csv")
+    files = spark.createDataFrame([("/d/experiment_1/idx_002/mic_1_x_chunk_3_t3.0-4.0.png",), ("/d/experiment_1/idx_010/mic_0_x_chunk_1_t1.0-2.0.png",), ("/d/experiment_2/idx_001/other.png",)], "path string")
+    assert [(r.channel, r.chunk, r.t0_us) for r in readers.list_chunks(files, channels=[1]).collect()] == [(1, 3, 3 * S)]
+    assert [r.session for r in readers.discover_sessions(files, first=2).collect()] == ["experiment_1/idx_002", "experiment_1/idx_010"]
+    assert readers.discover_sessions(files, named=["experiment_2/idx_001"]).count() == 1
+    sessions = readers.discover_sessions(files)
+    many = sessions.crossJoin(spark.range(3)).select("session")
+    assert [r.session for r in readers.qualifying_sessions(many, sessions, 3, 9).collect()] == ["experiment_1/idx_002", "experiment_2/idx_001"]
+    (tmp_path / "exp1.csv").write_text("start_time_file_sec,stop_time_file_sec\n2,3\n0.5,1\nx,1\n")
+    assert [(r.session, r.name, r.t0_us) for r in readers.read_calls(spark, str(tmp_path / "exp1.csv")).collect()] == [("exp1", "vox", 500_000), ("exp1", "vox", 2 * S)]
+    (tmp_path / "voc.csv").write_text('odd,onset,audio_filename,offset,cohort,z_70,latent_means,prob_z_70\nx,1.0,a.wav,2.0,c1,1,"[0.5\n 1.5]","[0.1 0.9]"\nx,1.0,b.wav,2.0,c1,0,"[0.5]","[1.0]"\n')
+    names = spark.createDataFrame([("a.wav",)], "audio_filename string")
+    assert tuple(readers.read_vocalizations(spark, str(tmp_path / "voc.csv"), names).first()) == ("a.wav", 1.0, 2.0, "c1", 1, [0.5, 1.5], 0.9)
     (tmp_path / "m.csv").write_text("session,tp,fn,fp\na,3,1,0\n")
     m = readers.read_metrics(spark, str(tmp_path / "m.csv"), "x").first()
     assert (m.pred_tp, m.method, m.recall) == (3, "x", None)
@@ -267,14 +343,84 @@ def test_audio(spark, tmp_path):
     assert len(x) == 2400 and np.allclose(x, np.array(tone[7200:9600]) * 30000 / 32768, atol=1e-3)
     f = signal.spectral_features(cut.withColumns({"f_low_hz": F.lit(500.0), "f_high_hz": F.lit(2000.0)}), ["event_id"]).first()
     assert abs(f.centroid_mean - 1000) < 20 and f.flatness_mean < 0.05 and abs(f.peak_freq_mean - 1000) < 1e-6
-    noise = signal.event_features(np.random.default_rng(0).normal(size=50_000), sr, 0, 4000)
-    assert abs(noise["flatness"][0] - 0.56) < 0.03
-    image = np.zeros((40, 60))
+    noise = spark.createDataFrame([(0, np.random.default_rng(0).normal(size=20_000).tolist(), sr, 0.0, 4000.0), (1, [], sr, 0.0, 1.0)], "i int, samples array<double>, sr int, f_low_hz double, f_high_hz double")
+    got = {r.i: r for r in signal.spectral_features(noise, ["i"]).collect()}
+    assert abs(got[0].flatness_mean - 0.56) < 0.03 and got[1].flatness_mean is None and abs(got[0].zcr_mean - 0.5) < 0.03
+
+
+def plain_features(x, sr, low, high, size=512, hop=128):
+    """Means over frames, by loops."""
+    p = [0.0] * (size // 2) + list(x) + [0.0] * (size // 2)
+    out = {k: [] for k in ("centroid", "bandwidth", "rolloff", "flatness", "rms", "peak_freq")}
+    for at in range(0, len(p) - size + 1, hop):
+        s = np.abs(np.fft.rfft([v * (0.5 - 0.5 * math.cos(2 * math.pi * i / size)) for i, v in enumerate(p[at : at + size])])) + 1e-10
+        bins = [(k * sr / size, m) for k, m in enumerate(s) if low <= k * sr / size <= high] or [min(((k * sr / size, m) for k, m in enumerate(s)), key=lambda b: abs(b[0] - (low + high) / 2))]
+        whole = sum(m for _, m in bins)
+        c = sum(f * m for f, m in bins) / whole
+        out["centroid"].append(c)
+        out["bandwidth"].append(math.sqrt(sum(m * (f - c) ** 2 for f, m in bins) / whole))
+        out["rolloff"].append(next(f for i, (f, _) in enumerate(bins) if sum(m for _, m in bins[: i + 1]) >= 0.85 * whole))
+        power = [max(m * m, 1e-10) for _, m in bins]
+        out["flatness"].append(math.exp(sum(map(math.log, power)) / len(power)) / (sum(power) / len(power)))
+        out["rms"].append(math.sqrt(2 * sum(m * m for _, m in bins)) / size)
+        out["peak_freq"].append(max(bins, key=lambda b: b[1])[0])
+    return {k: (np.mean(v), np.std(v)) for k, v in out.items()}
+
+
+def test_features_by_loops(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=n).tolist(), 8000, lo, hi) for i, (n, lo, hi) in enumerate(((900, 500.0, 2000.0), (300, 0.0, 4000.0), (700, 1001.0, 1002.0)))]
+    got = signal.spectral_features(spark.createDataFrame(rows, "i int, samples array<double>, sr int, f_low_hz double, f_high_hz double"), ["i"]).collect()
+    for g in got:
+        for name, (mean, spread) in plain_features(*rows[g.i][1:]).items():
+            assert math.isclose(g[f"{name}_mean"], mean, rel_tol=1e-6) and math.isclose(g[f"{name}_std"], spread, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_components(spark):
+    def frames(image):  # columns are frames; the response is the image itself
+        rows = [(0, c, [float(v) for v in image[:, c]]) for c in range(image.shape[1])]
+        return spark.createDataFrame(rows, "chunk int, frame int, power array<double>")
+
+    image = np.full((40, 60), 1e-9)
     for c in range(10, 40):
         image[20 + c // 6, c] = 50
-    got = signal.components(image, 95, 20)
-    assert len(got) == 1 and got[0]["n_cols"] == 30 and got[0]["x_px"] == 10
-    assert signal.label_components(np.array([[1, 0, 1], [0, 1, 0], [0, 0, 0]], bool)).max() == 1
+    got = signal.segment(frames(image), ["chunk"], 98.9, 20).collect()
+    assert len(got) == 1 and got[0].n_cols == 30 and got[0].x_px == 10 and got[0].y_px == 21 and got[0].sweep_frac == 5 / 40
+    plain = lambda column: column
+    r = np.random.default_rng(4)
+    for _ in range(3):
+        image = 10.0 ** r.integers(0, 2, (9, 11))
+        on = image > 1
+        seen, sizes = np.zeros_like(on), []
+        for y, x in zip(*np.nonzero(on)):
+            todo, n = [(y, x)], 0
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 9 and 0 <= b < 11 and on[a, b] and not seen[a, b]:
+                    seen[a, b], n = True, n + 1
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            sizes += [n] if n else []
+        share = 100 * (1 - on.mean())
+        assert sorted(c.area_px for c in signal.segment(frames(image), ["chunk"], share + 0.5, 1, plain).collect()) == sorted(sizes)
+
+
+def test_slices_keep_their_place(spark):
+    chunks = spark.createDataFrame([("s", 0, c, 10, [float(10 * c + i) for i in range(10)]) for c in (0, 2, 3)], "session string, channel int, chunk int, sr int, samples array<double>")
+    ev = spark.createDataFrame([("s", 0, 800_000, 2_200_000), ("s", 0, 800_000, 2_200_000), ("s", 0, 2_500_000, 9_000_000), ("s", 0, 7_000_000, 8_000_000)], "session string, channel int, t0_us long, t1_us long")
+    got = sorted(r.samples for r in signal.attach_audio(ev, chunks, S).collect())
+    assert got == [[8.0, 9.0] + [0.0] * 10 + [20.0, 21.0]] * 2 + [[float(i) for i in range(25, 40)]]
+    rows = spark.createDataFrame([([2.0, 2.0], [1.0], []), ([2.0], [], []), ([2.0], [0.0], [0.0])], "e array<double>, b array<double>, a array<double>")
+    assert [round(r.x, 6) for r in rows.select(signal.snr("e", "b", "a").alias("x")).collect()] == [round(10 * math.log10(4), 6), 0.0, 0.0]
+
+
+def test_calibration_windows(spark):
+    frames = spark.createDataFrame([("s", i, [10.0 ** (i / 100)]) for i in range(100)], "session string, frame int, power array<double>")
+    kept = signal.spread_windows(frames, ["session"], F.col("frame"), 5, 6)
+    at = [int(k * 95 / 5) for k in range(6)]
+    assert sorted(r.frame for r in kept.collect()) == sorted({i for a in at for i in range(a, a + 5)})
+    assert signal.spread_windows(frames, ["session"], F.col("frame"), 500).count() == 100
+    r = signal.db_range(frames, ["session"], 0.1, 0.9).first()
+    assert math.isclose(r.lo, np.percentile([i / 10 for i in range(100)], 10)) and math.isclose(r.hi, np.percentile([i / 10 for i in range(100)], 90))
 
 
 def test_detect_gates_on_samples(spark):
