@@ -73,7 +73,7 @@ walk as (
   select distinct chunk_id, 0::bigint as k, false as stays, []::struct(x1 double, y1 double, x2 double, y2 double)[] as kept from bx
   union all
   select w.chunk_id, b.k, free, case when free then list_append(kept, {'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) else kept end
-  from walk w join bx b on b.chunk_id = w.chunk_id and b.k = w.k + 1, lateral (select len(list_filter(kept, o ->
+  from walk w join bx b on b.chunk_id = w.chunk_id and b.k = w.k + 1, lateral (select len(list_filter(kept, lambda o:
     coalesce(greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1))
       / nullif((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1)), 0), 0) > 0.3)) = 0 as free))
 select b.* exclude (k) from walk w join bx b using (chunk_id, k) where stays""")
@@ -318,7 +318,7 @@ def train_validation_split(spark, d):
     return L.split_rows(V.latents(spark, d).select("vec_id"), 0.2, "vec_id", 3)
 
 
-@query(SQL + ", s as (select sum(len(list_filter(embedding, x -> x > 0))) as pos, sum(len(list_filter(embedding, x -> not x > 0))) as neg from lat) select cast(pos as double) as pos, cast(neg as double) as neg, least(neg / greatest(pos, 1.0), 20.0) as weight from s")
+@query(SQL + ", s as (select sum(len(list_filter(embedding, lambda x: x > 0))) as pos, sum(len(list_filter(embedding, lambda x: not x > 0))) as neg from lat) select cast(pos as double) as pos, cast(neg as double) as neg, least(neg / greatest(pos, 1.0), 20.0) as weight from s")
 def imbalance_weight(spark, d):
     """A27, with the positive components as the mask."""
     return L.imbalance_weight(V.latents(spark, d).select(F.transform("embedding", lambda x: (x > 0).cast("int")).alias("mask")), "mask")
