@@ -344,8 +344,8 @@ def in_salts(rows: DataFrame) -> DataFrame:
 
 def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
     """fp, label of all classes that link with another, by rounds of pivots. ``meet`` verifies pairs."""
-    labels, near, n_pivots = None, None, 1
-    left = members
+    labels, n_pivots = None, 1
+    left = members.withColumn("far", F.lit(None).cast("double"))  # distance to the part's first pivot, where it was met
     while True:
         here = left
         if labels is not None:
@@ -354,12 +354,8 @@ def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
             here = here.withColumn("label", F.col("fp"))
         open_ = here.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("salts").alias("salts")).where("low < high")
         here = here.join(in_salts(open_).select("t", "salt"), ["t", "salt"], "left_semi")
-        if near is not None:
-            here = here.join(near, ["t", "salt", "fp"], "left")
-        else:
-            here = here.withColumn("far", F.lit(None).cast("double"))
-        here = cut(here.select("t", "salts", "salt", "fp", "n", "pos", "label", "far"), "open-parts")
-        if left is not members:
+        here = cut(here.select("t", "salts", "salt", "fp", "n", "pos", "far", "label"), "open-parts")
+        if n_pivots > 1:
             drop_cut(left)
         if here.isEmpty():
             drop_cut(here)
@@ -377,11 +373,12 @@ def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
         both = both.where(sizes & places & F.coalesce(window, F.lit(True)))
         pairs = cut(both.select(F.col("fp").alias("x"), F.col("p_fp").alias("p")).distinct(), "pairs")
         met = meet(pairs)
-        if near is None:
-            first = here.join(pivots.select("t", "salt", F.col("p_fp").alias("p")), ["t", "salt"]).select("t", "salt", "fp", "p")
-            near = cut(first.join(met.select(F.col("x").alias("fp"), "p", (1 - F.col("both") / F.col("all")).alias("far")), ["fp", "p"]).select("t", "salt", "fp", "far"), "first-distances")
-        done = pivots.groupBy("t", "salt").agg(F.max("p_fp").alias("done"))
-        left = cut(here.join(done, ["t", "salt"]).where("fp > done").select(*members.columns), "parts-left")
+        done = pivots.groupBy("t", "salt").agg(F.max("p_fp").alias("p"))
+        left = here.join(done, ["t", "salt"]).where("fp > p")
+        if n_pivots == 1:
+            far = met.select(F.col("x").alias("fp"), "p", (1 - F.col("both") / F.col("all")).alias("far"))
+            left = left.drop("far").join(far, ["fp", "p"], "left")
+        left = cut(left.select(*members.columns, "far"), "parts-left")
         links = met.where(100 * F.col("both").cast("long") >= percent * F.col("all").cast("long"))
         if not links.isEmpty():
             old, labels = labels, components(links, labels)
@@ -389,8 +386,6 @@ def link_classes(members: DataFrame, meet, percent: int) -> DataFrame | None:
                 drop_cut(old)
         drop_cut(pairs, here, met, pivots)
         n_pivots *= MORE_PIVOTS
-    if near is not None:
-        drop_cut(near)
     return labels
 
 

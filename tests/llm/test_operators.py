@@ -8,7 +8,7 @@ import re
 import struct
 import time
 import zlib
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pytest
@@ -528,9 +528,61 @@ def test_perspectives(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of it, over the stage before."""
     import corpus_pipeline
+    import pyarrow.parquet as pq
 
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
+    sf = "/root/testdata/sf0.001"
+    read = lambda name: pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+    rows, labels, items = read("documents"), {x["doc_id"]: x["quality"] for x in read("labels")}, [(x["item_id"], x["text"]) for x in read("benchmark")]
+    known = [x for x in rows if labels.get(x["doc_id"]) is not None and zlib.crc32(str(x["doc_id"]).encode()) % 5]
+    matrix = lambda some: quality.term_matrix([(x["text"] or "").encode() for x in some])
+    scores = quality.LatentSpace(matrix(known), np.array([labels[x["doc_id"]] for x in known], np.float32)).scores(matrix(rows))
+    kept = [x for x, score in zip(rows, scores) if score >= 0.3]
+    groups = brute_components([x["text"] for x in kept])
+    kept = [x for i, x in enumerate(kept) if groups[i][1] == i or not groups[i][0]]
+    clean = []
+    for x in kept:
+        n_words, n_hit, *_ = brute_contamination(x["text"], items)
+        if not (n_hit > 0 and 20 * n_hit >= n_words):
+            clean.append(x)
+    assert len(rows) > len(kept) > len(clean) > 50
+    counts = {s: sum(x["source"] == s for x in clean) for s in {x["source"] for x in clean}}
+    roots = sum(math.sqrt(n) for n in counts.values())
+    tok = tokens.encoder(tokens.tokenizer_path()).library.tok
+    want = []
+    for x in clean:
+        n = counts[x["source"]]
+        rate = math.sqrt(n) / roots * len(clean) / n
+        u = int(md5(f"20|{x['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        copies, upto, p = 0, 0.0, math.exp(-rate)
+        while (upto := upto + p) <= u:
+            copies += 1
+            p *= rate / copies
+        ids = [*tok.encode(x["text"] or "", add_special_tokens=False).ids, 1]
+        want += [(x["doc_id"], len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))] * copies
+    got = sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    assert sorted((d, n, c) for d, _, n, c in got) == sorted(want)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["good_quality", "near_duplicates", "decontaminated", "mixed", "tokens"]
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op5_jaccard_join", "op8_hamming_top_k", "op9_poisson_mixing", "op10_perspective_rotation"])
+def test_sql(spark, name):
+    """The registered queries and their SQL give the same rows."""
+    import glob
+    import os
+
+    import duckdb
+
+    from chirpline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        db.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    cur = db.execute(queries.oracle_sql()[name])
+    cols = [x[0] for x in cur.description]
+    got = queries.queries()[name](spark, sf).select(*cols)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(cur.fetchall(), key=str)
