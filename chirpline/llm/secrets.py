@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, text_bytes
+from .common import cut, drop_cut, map_arrow, table, text_bytes
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 40.0
@@ -81,10 +81,21 @@ class Words:
 
 
 def common_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) -> Words:
-    """The fixed words and the ``n`` most frequent words of all texts (ties by the word)."""
+    """The fixed words and the ``n`` most frequent words of all texts (ties by the word).
+
+    Words are first thinned by the size of their count, so that about ``n`` of them are put in order.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(n)
-    return Words([r.w for r in top.collect()])  # n short words
+    counted = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    least, seen = 0, 0
+    for r in counted.groupBy("size").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("size").desc()).collect():  # 8 rows for each doubling
+        least, seen = r["size"], seen + r.words
+        if seen >= n:
+            break
+    top = counted.where(F.col("size") >= least).orderBy(F.col("n").desc(), "w").limit(n)
+    found = Words([r.w for r in top.collect()])  # n short words
+    drop_cut(counted)
+    return found
 
 
 def _alphabet(c: str) -> float:
