@@ -64,6 +64,23 @@ def bbox_to_band(y, h, height, nyquist, clip: bool = True) -> tuple[Column, Colu
     return F.least(low, high), F.greatest(low, high)
 
 
+def component_features(box: tuple, area, height, width, nyquist, start, stop) -> dict[str, Column]:
+    """Shape, band and length of a component from its box (x, y, w, h) and area in pixels."""
+    x, y, w, h = map(_c, box)
+    area, height, width, nyquist, start, stop = map(_c, (area, height, width, nyquist, start, stop))
+    low, high = bbox_to_band(y, h, height, nyquist)
+    t0, t1 = bbox_to_time(x, w, start, stop, width)
+    return {
+        "aspect": h / F.greatest(w, F.lit(1)),
+        "solidity": area / F.greatest(w * h, F.lit(1)),
+        "area_frac": area / (height * width),
+        "f_low": low,
+        "f_high": high,
+        "f_band": high - low,
+        "duration": t1 - t0,
+    }
+
+
 def axis_lookup(axis, index) -> Column:
     """The axis value at an index, clamped to the axis."""
     axis, index = _c(axis), _c(index)

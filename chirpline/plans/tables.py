@@ -100,6 +100,18 @@ def topk_candidates(spark, d):
     return got.select("chunk_id", *_KEY, "score", "rank")
 
 
+@query(SQL + """, b as (select *, x2 - x1 as w, y2 - y1 as h, least(62500.0, (199 - y1) / 199.0 * 62500.0) as f_high, greatest(0.0, (199 - y2) / 199.0 * 62500.0) as f_low from box)
+select chunk_id, l_linenumber, l_partkey, l_suppkey, h / greatest(w, 1) as aspect, w * h / 2 / greatest(w * h, 1) as solidity, w * h / 2 / 60000.0 as area_frac, f_low, f_high, f_high - f_low as f_band, w / 300.0 as duration from b""")
+def component_features(spark, d):
+    """Shape, band and length of boxes in images of 200 by 300 pixels and one second."""
+    from chirpline.functions import intervals as I
+
+    b = V.boxes(spark, d)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    got = I.component_features((F.col("x1"), F.col("y1"), w, h), w * h / 2, F.lit(200.0), F.lit(300.0), F.lit(62500.0), F.lit(0.0), F.lit(1.0))
+    return b.select("chunk_id", *_KEY, *(c.alias(n) for n, c in got.items()))
+
+
 @query(SQL + "select chunk_id, max({'d': x2 - x1, 's': score})['s'] as score, max({'d': x2 - x1, 's': score})['d'] as duration from box where x2 - x1 >= 5 group by chunk_id")
 def best_event(spark, d):
     b = V.boxes(spark, d).select("chunk_id", "score", (F.col("x2") - F.col("x1")).alias("duration"))
