@@ -16,6 +16,8 @@ QUERIES = {
     "op8_hamming_top_k": "hamming",
     "op9_poisson_mixing": "mixing",
     "op10_perspective_rotation": "chat",
+    "op11_periodic_runs": "periodic",
+    "op13_embedding_whitening": "whitening",
 }
 #: query -> name of its SQL in the module
 SQL = {"op2_decontamination": "OP2_SQL", "op5_jaccard_join": "OP5_SQL", "op8_hamming_top_k": "OP8_SQL", "op9_poisson_mixing": "OP9_SQL", "op10_perspective_rotation": "OP10_SQL"}
