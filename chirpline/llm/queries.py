@@ -17,6 +17,7 @@ QUERIES = {
     "op9_poisson_mixing": "mixing",
     "op10_perspective_rotation": "chat",
     "op11_periodic_runs": "periodic",
+    "op12_toxicity": "toxicity",
     "op13_embedding_whitening": "whitening",
 }
 #: query -> name of its SQL in the module
