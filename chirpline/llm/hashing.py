@@ -1,16 +1,21 @@
-"""64-bit hashes of the white-space chunks of many texts at once, in numpy."""
+"""The white-space chunks of many texts at once, in numpy, and 64-bit hashes of them.
+
+A chunk of at most ``PACKED`` bytes is packed with its length into one number, which no other chunk
+has. Longer ones are hashed over their bytes (xxh3).
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-#: Bytes whose wide arrays exist at once.
-BLOCK = 1 << 18
+#: An odd factor by which hashes are chained.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a chunk that fit a number beside their count.
+PACKED = 7
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(PACKED + 1)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,39 +24,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int) -> np.ndarray:
-    if base not in _powers:
-        _powers[base] = np.cumprod(np.full(BLOCK, base, np.uint64))
-    return _powers[base]
-
-
-def chunk_hashes(a: np.ndarray, hashes: int = 2) -> tuple[np.ndarray, ...]:
-    """Starts and stops of the chunks in an array of bytes, and ``hashes`` 64-bit hashes of each.
-
-    Chunks are cut at ASCII white space. A hash is a polynomial of the bytes, mixed. It is summed
-    block by block, so a text of any length, or a chunk of any length, needs little memory.
-    """
-    blank = _BLANK[a]
+def chunk_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the chunks, which are cut at ASCII white space."""
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(a) and not blank[0]:
+    if len(blank) and not blank[0]:
         edges = np.concatenate(([0], edges))
     if len(edges) % 2:
-        edges = np.append(edges, len(a))
-    starts, stops = edges[::2], edges[1::2]
-    sums = [np.zeros(len(starts), np.uint64) for _ in range(hashes)]
-    for low in range(0, len(a), BLOCK):
-        high = min(low + BLOCK, len(a))
-        i, j = int(np.searchsorted(stops, low, "right")), int(np.searchsorted(starts, high))
-        if i == j:  # blanks only
-            continue
-        here = np.maximum(starts[i:j], low)
-        begin = int(here[0])
-        place = np.arange(high - begin) - np.repeat(here - begin, np.diff(np.append(here, high)))
-        values = np.where(blank[begin:high], np.uint8(0), a[begin:high]).astype(np.uint64)
-        before = begin - int(starts[i])  # bytes of the first chunk in blocks before
-        for out, base in zip(sums, BASES):
-            part = np.add.reduceat(values * _power(base)[place], here - begin)
-            if before:
-                part[:1] *= np.uint64(pow(base, before, 1 << 64))
-            out[i:j] += part
-    return starts, stops, *(mix(x + (stops - starts).astype(np.uint64)) for x in sums)
+        edges = np.append(edges, len(blank))
+    return edges[::2], edges[1::2]
+
+
+def packed(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of chunks of at most ``PACKED`` and their lengths, as one number each."""
+    padded = raw + bytes(8)
+    eight = np.ndarray((len(raw),), "<u8", padded, 0, (1,))[starts] if len(raw) else np.empty(0, np.uint64)
+    return (eight & _MASKS[lengths]) | (lengths.astype(np.uint64) << np.uint64(8 * PACKED))
+
+
+def chunk_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the chunks and a hash of each."""
+    from xxhash import xxh3_64_intdigest
+
+    starts, stops = chunk_edges(raw)
+    lengths = stops - starts
+    out = np.empty(len(starts), np.uint64)
+    short = lengths <= PACKED
+    out[short] = mix(packed(raw, starts[short], lengths[short]))
+    long = np.flatnonzero(~short)
+    out[long] = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(starts[long].tolist(), stops[long].tolist())), np.uint64, len(long))
+    return starts, out

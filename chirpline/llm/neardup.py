@@ -23,7 +23,9 @@ class from the start; only classes are joined.
 Parts of equal membership are joined once, and so is a pair that shares several parts. Every pair of
 classes that could link is either met, in one component, or ruled out, so the components are exact.
 Distances are computed from whole sets of 64-bit shingle hashes. What is exact up to hashes: two
-shingles, or two sets, of one 64-bit hash count as one (expected once in 2 ** 32 different ones).
+shingles, or two sets, of one 64-bit hash count as one. Words of up to seven bytes enter a shingle's
+hash as they are, longer ones by xxh3, which is not keyed: texts made to collide in it on purpose aren't
+told apart.
 
 A part of more than ``PART_ROWS`` members is dealt over several salts, to each of which its pivots are
 copied; margins of very frequent shingles are salted before they are shuffled. The frequency order comes
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, map_arrow, own_columns, table, text_bytes
-from .hashing import BASES, chunk_hashes, mix
+from .hashing import BASE, chunk_hashes, mix
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -67,8 +69,6 @@ MORE_PIVOTS = 4
 _GROUP_BYTES = 500_000
 _STEP = 1 << 17
 
-_BASE = np.uint64(BASES[0])
-
 
 def shingle_sets(texts: list[bytes], words: int = WORDS):
     """For each text its sorted array of distinct shingle hashes (int64)."""
@@ -82,8 +82,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
 
 
 def _shingles(texts: list[bytes], words: int):
-    a = np.frombuffer(b" ".join(texts).lower(), np.uint8)
-    starts, _, h = chunk_hashes(a, 1)
+    starts, h = chunk_hashes(b" ".join(texts).lower())
     ends = np.cumsum([len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, np.concatenate(([0], ends)))
     n = max(0, len(h) - words + 1)
@@ -91,7 +90,7 @@ def _shingles(texts: list[bytes], words: int):
     for i in range(0, n, _STEP):
         part = np.full(min(_STEP, n - i), words, np.uint64)
         for k in range(words):
-            part = mix(part * _BASE + h[i + k : i + k + len(part)])
+            part = mix(part * BASE + h[i + k : i + k + len(part)])
         g[i : i + len(part)] = part
     for i, j in zip(cuts, cuts[1:]):
         if j - i >= words:
@@ -99,7 +98,7 @@ def _shingles(texts: list[bytes], words: int):
         elif j > i:
             x = np.full(1, j - i, np.uint64)
             for k in range(i, j):
-                x = mix(x * _BASE + h[k : k + 1])
+                x = mix(x * BASE + h[k : k + 1])
             yield x.view(np.int64)
         else:
             yield np.empty(0, np.int64)

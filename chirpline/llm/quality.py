@@ -117,12 +117,13 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, references: int = REFERENCES, label: str = "quality") -> LatentSpace:
-    """Fit on at most ``references`` labelled rows outside the held-out fold.
+    """Fit on at most ``references`` labelled rows outside the held-out fold that have a document.
 
     Terms are counted where the rows lie; rows of 4 KB, not texts, are put in order of their hash.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min(label).alias("__label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * references)
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # a label without a document takes no place in the sample
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(references)
     rows = docs.select("doc_id", text_bytes().alias("__text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):

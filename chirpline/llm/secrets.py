@@ -4,10 +4,13 @@ Base patterns find assignments, access keys and hex keys. Beyond them, values th
 credential context (``pwd is ...``, ``Bearer ...``, ``user:value@host``, assignments) are priced:
 a dynamic programme finds the cheapest way to guess the value as a sequence of words, dates,
 repeats, keyboard walks and brute-force characters. A value that costs at least ``GUESS_BITS`` bits
-is a span of kind ``guess``. Base spans stay whatever their values cost.
+is a span of kind ``guess``. Base spans stay whatever their values cost. Values that end at one place (as
+those of keywords within another's value do) are priced together, by one pass from their common end
+backwards, so a text costs a number of steps that grows with its length alone.
 
-Words are common password words, then the ``DICTIONARY`` most frequent words of all the documents
-themselves, by rank: what a corpus says everywhere is no secret.
+Words are common password words, then the ``DICTIONARY`` words that most of the documents hold, by
+rank: what a corpus says everywhere is no secret. A word of fewer than ``LEAST_DOCUMENTS`` documents,
+of a smaller share than ``LEAST_SHARE``, or of one text only, however often it is copied, is not common.
 
 Spans are ``kind:start:stop`` in code points, in order of start, then kind as listed. Words are
 counted by one aggregation; the scan is one pass over the rows, no shuffle; whole texts are
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +41,10 @@ HEX = re.compile(rb"[0-9a-f]{32,}")  # a run of [0-9a-f]+ always starts a match,
 # a lookahead: a keyword that stands where another's value would be starts a match of its own
 CONTEXT = re.compile(
     rb"""(?=(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|passcode|pass|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|authorization|bearer|login)"""
-    rb"""["']?(?:[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]*(?::=|=>|[:=])[\x20\t]*|(?<=bearer)[\x20\t]+)["']?(?:(?:basic|bearer|digest|apikey)[\x20\t]+)?["']?([^\s"'<>,;]+))""",
+    rb"""["']?(?:[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]*(?::=|=>|[:=])[\x20\t]*|(?<=bearer)[\x20\t]+)["']?(?:(?:basic|bearer|digest|apikey)[\x20\t]+)?["']?([^\s"'<>,;]))""",
     re.I,
 )
+STOP = re.compile(rb"""[\s"'<>,;]""")  # ends a value whose first character CONTEXT has found
 URL = re.compile(rb"://[^\s/:@]*:([^\s/@]+)@")
 ASSIGN_HINTS = (b"pass", b"secret", b"token", b"key")
 CONTEXT_HINTS = (*ASSIGN_HINTS, b"pwd", b"credential", b"bearer", b"login", b"authoriz")
@@ -64,6 +69,7 @@ DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 #: Most frequent words of the documents that count as words of a value, and their lengths.
 DICTIONARY, SHORTEST, LONGEST = 10_000, 3, 24
+LEAST_DOCUMENTS, LEAST_SHARE = 20, 1e-4
 #: Longest period of a repeat.
 PERIODS = 8
 WALK_BITS = 5.6  # where a walk begins, and its way
@@ -77,16 +83,19 @@ class Words:
         self.bits: dict[str, float] = {}
         for i, w in enumerate([*WORDS, *more]):
             self.bits.setdefault(w, math.log2(i + 2))
-        self.longest = max(map(len, self.bits))
+        self.starts = {w[:k] for w in self.bits for k in range(1, len(w) + 1)}
 
 
 def common_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) -> Words:
-    """The fixed words and the ``n`` most frequent words of all texts (ties by the word).
+    """The fixed words and the ``n`` words of the most documents (ties by the word).
 
     Words are first thinned by the size of their count, so that about ``n`` of them are put in order.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
-    counted = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    words = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    enough = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * docs.count()))
+    counted = counted.where((F.col("n") >= enough) & (F.col("low") < F.col("high")))
+    counted = cut(counted.select("w", "n", F.floor(8 * F.log2("n")).cast("int").alias("size")), "word-counts")
     least, seen = 0, 0
     for r in counted.groupBy("size").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("size").desc()).collect():  # 8 rows for each doubling
         least, seen = r["size"], seen + r.words
@@ -121,57 +130,62 @@ def lower_forms(value: str) -> tuple[str, str]:
     return low, low.translate(LEET)
 
 
-def guess_cost(value: str, words: Words | None = None, enough: float = math.inf) -> float:
-    """Bits of the cheapest guess: the minimum over all segmentations of the sum of their costs.
+def suffix_costs(value: str, words: Words | None = None, enough: float = math.inf) -> list[float]:
+    """Bits of the cheapest guess of value[i:] for every i: the minimum over all segmentations of the sum of their costs.
 
     A repeat costs its block, a walk ``WALK_BITS``, and either log2(len(value)) for its length; so
-    the best start of one is a running minimum over the run, and the whole costs len(value) steps.
-    The search ends once every way on costs ``enough``.
+    the best end of one is a running minimum over the run, and all costs together take len(value)
+    steps. The search ends once every way on costs ``enough``; beginnings further left cost that too.
     """
     words = words or _fixed_words()
     n, (low, plain) = len(value), lower_forms(value)
-    bits, longest = words.bits, words.longest
+    bits, begins = words.bits, words.starts
     alphabet = [_alphabet(c) for c in value]
-    upto = [0.0]  # brute force of each prefix
-    for a in alphabet:
-        upto.append(upto[-1] + a)
-    best = [0.0] + [math.inf] * n
+    best, costs = [math.inf] * n + [0.0], [enough] * n
     any_length = math.log2(n) if n else 0.0
-    runs, starts = [0] * (PERIODS + 1), [math.inf] * (PERIODS + 1)  # for period p: characters that repeat the p before them; cheapest start
-    walk, walk_start = 0, math.inf
-    for j in range(1, n + 1):
-        c = value[j - 1]
-        cost = best[j - 1] + alphabet[j - 1] + (PART_BITS if j == 1 else 0)
-        for i in range(max(0, j - longest), j - 1):
-            if (got := word_cost(value, low, plain, i, j, bits)) is not None:
-                cost = min(cost, best[i] + got + PART_BITS)
-        for size, got in DATES:
-            if size <= j and value[j - 1].isdigit() and DATE.fullmatch(low, j - size, j):
-                cost = min(cost, best[j - size] + got + PART_BITS)
+    runs, ends = [0] * (PERIODS + 1), [math.inf] * (PERIODS + 1)  # for period p: characters that repeat p further on; cheapest end
+    walk, walk_end = 0, math.inf
+    for i in range(n - 1, -1, -1):
+        c = value[i]
+        cost = math.inf
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            if low[i:j] not in begins and plain[i:j] not in begins:
+                break
+            if j > i + 1 and (got := word_cost(value, low, plain, i, j, bits)) is not None:
+                cost = min(cost, best[j] + got + PART_BITS)
+        if c.isdigit():
+            for size, got in DATES:
+                if i + size <= n and value[i + size - 1].isdigit() and DATE.fullmatch(low, i, i + size):
+                    cost = min(cost, best[i + size] + got + PART_BITS)
         for p in range(1, PERIODS + 1):
-            if j > p and value[j - 1 - p] == c:
+            if i + p < n and value[i + p] == c:
                 runs[p] += 1
                 if runs[p] >= max(2, p):
-                    starts[p] = min(starts[p], best[j - max(3, 2 * p)])
-                    cost = min(cost, starts[p] + upto[j] - upto[j - p] + any_length + PART_BITS)
+                    ends[p] = min(ends[p], best[i + max(3, 2 * p)])
+                    cost = min(cost, ends[p] + sum(alphabet[i : i + p]) + any_length + PART_BITS)
             else:
-                runs[p], starts[p] = 0, math.inf
-        if j > 1 and (low[j - 2], low[j - 1]) in _NEXT:
+                runs[p], ends[p] = 0, math.inf
+        if i + 1 < n and (low[i], low[i + 1]) in _NEXT:
             walk += 1
             if walk >= 2:
-                walk_start = min(walk_start, best[j - 3])
-                cost = min(cost, walk_start + WALK_BITS + any_length + PART_BITS)
+                walk_end = min(walk_end, best[i + 3])
+                cost = min(cost, walk_end + WALK_BITS + any_length + PART_BITS)
         else:
-            walk, walk_start = 0, math.inf
-        best[j] = cost
-        if cost >= enough and min(*best[max(0, j - _reach(longest)) : j + 1], *starts, walk_start) >= enough:
-            return enough
-    return best[n]
+            walk, walk_end = 0, math.inf
+        brute = best[i + 1] + alphabet[i]
+        best[i], costs[i] = min(cost, brute), min(cost, brute + PART_BITS)
+        if best[i] >= enough and min(*best[i : i + _REACH + 1], *ends, walk_end) >= enough:
+            break
+    return costs
+
+
+def guess_cost(value: str, words: Words | None = None, enough: float = math.inf) -> float:
+    """Bits of the cheapest guess of a value, or a number of at least ``enough``."""
+    return suffix_costs(value, words, enough)[0] if value else 0.0
 
 
-def _reach(longest: int) -> int:
-    """How far back a segment may begin that is no repeat or walk under way."""
-    return max(longest, DATES[0][0], 2 * PERIODS, 3)
+#: How far on a segment may end that is no repeat or walk under way.
+_REACH = max(LONGEST, DATES[0][0], 2 * PERIODS, 3)
 
 
 _fixed: list[Words] = []
@@ -192,16 +206,27 @@ def spans(text: bytes, words: Words | None = None) -> list[tuple[int, str, int]]
     if b"AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    values = set()
+    values: dict[int, set[int]] = {}  # where values end: where they begin
     if any(h in low for h in CONTEXT_HINTS):
-        values |= {m.span(1) for m in CONTEXT.finditer(text)}
-        values |= {m.span(2) for m in ASSIGN.finditer(text)}
+        begins = [m.start(1) for m in CONTEXT.finditer(text)]
+        stops = [m.start() for m in STOP.finditer(text)] if begins else []
+        for a in begins:
+            at = bisect_left(stops, a)
+            values.setdefault(stops[at] if at < len(stops) else len(text), set()).add(a)
+        for m in ASSIGN.finditer(text):
+            values.setdefault(m.end(2), set()).add(m.start(2))
     if b"://" in text:
-        values |= {m.span(1) for m in URL.finditer(text)}
-    for a, b in values:
-        value = text[a:b].decode("utf-8", "replace")
-        if len(value) >= MIN_GUESS and guess_cost(value, words, GUESS_BITS) >= GUESS_BITS:
-            found.append((a, "guess", b))
+        for m in URL.finditer(text):
+            values.setdefault(m.end(1), set()).add(m.start(1))
+    for end, begins in values.items():
+        ordered = sorted(begins)
+        pieces = [text[a:b].decode("utf-8", "replace") for a, b in zip(ordered, [*ordered[1:], end])]
+        costs = suffix_costs("".join(pieces), words, GUESS_BITS)
+        at = 0
+        for a, piece in zip(ordered, pieces):
+            if len(costs) - at >= MIN_GUESS and costs[at] >= GUESS_BITS:
+                found.append((a, "guess", end))
+            at += len(piece)
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 

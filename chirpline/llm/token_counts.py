@@ -2,8 +2,14 @@
 
 ``count(prefix) = count(whole chunks before it) + count(whole pieces of the started chunk) +
 count(beginning of the started piece)``: tokens never span white space (see
-:mod:`chirpline.llm.tokens`) nor the tokenizer's piece borders. One left-to-right pass adds these
-up; beginnings of pieces are encoded once for each distinct chunk of a worker's bounded table.
+:mod:`chirpline.llm.tokens`) nor the tokenizer's piece borders. One left-to-right pass adds these up.
+
+Within a piece the programme keeps, for the symbols before each place, the last token of their
+encoding and how many tokens it has (:class:`Merges`). The encoding of one symbol more ends in a
+token whose pair with the last token before it is an encoding of its own: in byte-pair encoding the
+encodings are the sequences all of whose neighbours are such pairs, so there is one such token. A
+beginning that is a piece by itself ends in a token of word ends, found in the same way. So a piece costs
+a number of steps that grows with its length alone, and nothing is encoded twice.
 
 The table of a text answers for *every* prefix, so truncation and budget questions need no encoding:
 
@@ -11,20 +17,21 @@ The table of a text answers for *every* prefix, so truncation and budget questio
   grows by this byte (0 within a character). The count of a prefix is the sum of its steps.
 * ``block_tokens``: the count at every ``BLOCK`` bytes and at the end, so that at most ``BLOCK``
   steps are summed.
-* ``long_ends``, ``long_tokens``: pieces of more than ``PIECE`` characters (letter runs of encoded
-  data) have no steps inside (``OPEN``); their end and tokens stand here. Only a cut inside such a
-  piece needs its beginning encoded, as the count of a beginning follows from no shorter one and
-  all of them together cost the square of its length.
+* ``long_ends``, ``long_tokens``: changes that no signed byte holds, and the ends of open pieces. A piece
+  is open if it is longer than ``PIECE`` characters and holds combining marks, Hangul parts or other
+  characters that normalise together: how such a beginning normalises follows from no shorter one. Its
+  steps are ``OPEN``, and a cut inside it needs the text, to encode its beginning.
 
 Nulls: a null text is empty (0 bytes, 0 tokens, an empty table). Repeated rows give repeated
 results. An empty table gives an empty result. Other columns, whatever their names, are read only
-if they are kept; a kept column is not to have the name of a made one.
+if they are kept; a kept column of the name of a made one (in any case) is replaced by it.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
-from unicodedata import category, normalize
+from unicodedata import category, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +46,16 @@ from .workers import kept
 COUNTS = "n_bytes long, n_tokens long"
 TABLE = "steps binary, block_tokens array<int>, long_ends array<int>, long_tokens array<int>"
 BLOCK = 1024
-#: Characters of the longest piece of which all beginnings are counted.
+#: Characters of the longest piece whose beginnings are encoded where no programme holds.
 PIECE = 128
-#: Beginnings of letter runs that a worker remembers with their counts (about 110 bytes each).
-BEGINNINGS = 200_000
-#: Whole letter runs that a worker remembers (about 200 bytes each).
-RUNS = 100_000
+#: Beginnings of pieces that a worker remembers with their states (about 150 bytes each), and their longest.
+BEGINNINGS, REMEMBERED = 200_000, 16
+#: Pairs of tokens that a worker remembers to be encodings or not (about 200 bytes each; 9).
+PAIRS, MANY_PAIRS = 100_000, 1_000_000
+#: Whole letter runs that a worker remembers (about 200 bytes each), and their longest.
+RUNS, RUN = 100_000, 64
 OPEN = -128
+_NEVER = 1 << 60
 _UNKNOWN = np.uint32(0xFFFFFFFF)
 #: Bytes of steps to an Arrow batch.
 _BATCH_BYTES = 4 << 20
@@ -60,15 +70,196 @@ def piece_borders(chunk: str, tok) -> tuple[list[int], list[int]]:
     alone joins the piece before it) or a combining mark.
     """
     e = tok.encode(chunk, add_special_tokens=False)
-    at, before = [], []
-    for i in range(1, len(e.ids)):
-        begin = e.offsets[i][0]
-        if e.word_ids[i] != e.word_ids[i - 1] and begin > e.offsets[i - 1][0] and not chunk.startswith(SPECIAL, begin) and category(chunk[begin])[0] != "M":
+    at, before, offsets, words = [], [], e.offsets, e.word_ids
+    for i in range(1, len(words)):
+        begin = offsets[i][0]
+        if words[i] != words[i - 1] and begin >= offsets[i - 1][1] and not chunk.startswith(SPECIAL, begin) and category(chunk[begin])[0] != "M":
             at.append(begin)
             before.append(i)
     return [*at, len(chunk)], [*before, len(e.ids)]
 
 
+class Merges:
+    """Counts of all beginnings of a piece, from the vocabulary's merges."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.end = model["end_of_word_suffix"]
+        self.symbols = {t for t in model["vocab"] if len(t) == 1}
+        self.rank = {pair: i for i, pair in enumerate(pairs)}
+        self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(pairs)}
+        # ends of tokens, so that a search from a place backwards knows when to stop
+        self.tails = {t[k:] for a, b in pairs for t in (a + b,) for k in range(len(t) - (len(self.end) if t.endswith(self.end) else 0))}
+        self.spines: tuple[dict, dict] = ({}, {})  # of tokens, so no more than the vocabulary has
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, tuple[int, int, str]] = {}
+
+    def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The token, its outermost part on a side, that one's, ...; each with the rank of the merge that takes it."""
+        spines = self.spines[side]
+        if token not in spines:
+            parts = self.made.get(token)
+            spines[token] = [(token, _NEVER)] + ([(t, min(rank, parts[0])) for t, rank in self._spine(parts[1 + side], side)] if parts else [])
+        return spines[token]
+
+    def stay_apart(self, left: str, right: str) -> bool:
+        """Whether the encoding of both together is the two: no merge across happens before both sides' own."""
+        got = self.apart.get((left, right))
+        if got is None:
+            if len(self.apart) >= PAIRS:
+                self.apart.clear()
+            got = self.apart[left, right] = self._tried(left, right)
+        return got
+
+    def _tried(self, left: str, right: str) -> bool:
+        rank, right_side = self.rank.get, self._spine(right, 0)
+        for a, a_taken in self._spine(left, 1):
+            for b, b_taken in right_side:
+                merge = rank((a, b))
+                if merge is not None and merge < a_taken and merge <= b_taken:  # of equal merges the left one is first
+                    return False
+        return True
+
+    def counts(self, symbols: str) -> array:
+        """For each beginning of the symbols, as a piece of its own, its tokens."""
+        out, last, before = array("I"), [""], [0]
+        known, made, tails, end, apart = self.known, self.made, self.tails, self.end, self.stay_apart
+        if len(known) > BEGINNINGS:
+            known.clear()
+        for j in range(1, len(symbols) + 1):
+            begun = symbols[:j] if j <= REMEMBERED else None
+            state = known.get(begun)
+            if state is None:
+                whole, token, within = 0, "", 0
+                first = j - 1
+                while first and (symbols[first - 1 : j] in tails or symbols[first - 1 : j] + end in tails):
+                    first -= 1
+                for i in range(first, j):  # the longest first, as it mostly is the one
+                    part = symbols[i:j]
+                    if not token and (part in made or i == j - 1) and (not i or apart(last[i], part)):
+                        token, within = part, before[i] + 1
+                    if not whole and ((closed := part + end) in made or i == j - 1) and (not i or apart(last[i], closed)):
+                        whole = before[i] + 1
+                    if token and whole:
+                        break
+                state = (whole, within, token)
+                if begun:
+                    known[begun] = state
+            out.append(state[0])
+            before.append(state[1])
+            last.append(state[2])
+        return out
+
+
+class ManyMerges(Merges):
+    """The same programme for many short pieces at once, place by place, in numpy.
+
+    Tokens are numbers here: a piece's substrings walk a trie of the vocabulary together, which gives
+    all tokens that end at each place; those of one place of all pieces are then tried together.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        closed = len(self.end)
+        self.names: list[str] = []
+        edges: dict[int, int] = {}
+        plain, close = [-1], [-1]
+        for token in self.symbols | set(self.made):
+            for t in (token, token + self.end) if len(token) == 1 else (token,):
+                ends, node = t.endswith(self.end) and t != self.end, 0
+                for c in t[:-closed] if ends else t:
+                    edge = node << 9 | ord(c)
+                    if edge not in edges:
+                        edges[edge] = len(plain)
+                        plain.append(-1)
+                        close.append(-1)
+                    node = edges[edge]
+                (close if ends else plain)[node] = len(self.names)
+                self.names.append(t)
+        self.edges = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.plain, self.close = np.array(plain, np.int64), np.array(close, np.int64)
+        self.pairs, self.pair_apart = np.empty(0, np.int64), np.empty(0, bool)
+
+    def _step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The trie's nodes one symbol on, -1 where it has none."""
+        edge = node << 9 | code
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        return np.where(self.edges[at] == edge, self.to[at], -1)
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`stay_apart` of many pairs, those seen before from a sorted table."""
+        pair = left * len(self.names) + right
+        for _ in range(2):
+            if len(self.pairs):
+                at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+                known = self.pairs[at] == pair
+                if known.all():
+                    return self.pair_apart[at]
+                new = np.unique(pair[~known])
+            else:
+                new = np.unique(pair)
+            if not len(new):
+                return np.empty(0, bool)
+            names, many = self.names, len(self.names)
+            value = np.fromiter((self._tried(names[k // many], names[k % many]) for k in new.tolist()), bool, len(new))
+            if len(self.pairs) > MANY_PAIRS:
+                keep = np.isin(self.pairs, pair)
+                self.pairs, self.pair_apart = self.pairs[keep], self.pair_apart[keep]
+            into = np.searchsorted(self.pairs, new)
+            self.pairs, self.pair_apart = np.insert(self.pairs, into, new), np.insert(self.pair_apart, into, value)
+        at = np.searchsorted(self.pairs, pair)
+        return self.pair_apart[at]
+
+    def many(self, pieces: list[str]) -> list[np.ndarray]:
+        """:meth:`counts` of each of the pieces (not empty, of characters as the model spells them)."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if not len(sizes):
+            return []
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.int64)
+        stop = np.repeat(np.cumsum(sizes), sizes)
+        begin = stop - np.repeat(sizes, sizes)
+        start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found = []
+        length = 0
+        while len(start):
+            node = self._step(node, codes[start + length])
+            length += 1
+            alive = node >= 0
+            start, node = start[alive], node[alive]
+            found.append((start, np.full(len(start), start.dtype.type(length)), self.plain[node], self.close[node]))
+            more = start + length < stop[start]
+            start, node = start[more], node[more]
+        start, length, plain, close = (np.concatenate(x) for x in zip(*found))
+        some = (plain >= 0) | (close >= 0)
+        start, length, plain, close = start[some], length[some], plain[some], close[some]
+        place = start + length - begin[start]  # in the piece
+        order = np.argsort(place, kind="stable")
+        start, length, plain, close = start[order], length[order], plain[order], close[order]
+        borders = np.searchsorted(place[order], np.arange(1, int(sizes.max()) + 2))
+        whole, within, last = (np.zeros(len(codes), np.int64) for _ in range(3))
+        for i, j in zip(borders.tolist(), borders[1:].tolist()):
+            s, end = start[i:j], start[i:j] + length[i:j] - 1
+            first = s == begin[s]
+            before = np.where(first, 0, within[s - 1])
+            left = last[s - 1]
+            for token, count, is_inner in ((plain[i:j], within, True), (close[i:j], whole, False)):
+                ok = token >= 0
+                ask = ok & ~first
+                ok[ask] = self._apart(left[ask], token[ask])
+                count[end[ok]] = before[ok] + 1
+                if is_inner:
+                    last[end[ok]] = token[ok]
+        return np.split(whole.astype(np.uint32), np.cumsum(sizes)[:-1])
+
+
+def _together(piece: str) -> bool:
+    """Whether characters of a piece may normalise together."""
+    return any(category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or "\ua960" <= c <= "\ua97f" or "\ud7b0" <= c <= "\ud7ff" for c in piece) or not is_normalized("NFC", piece)
+
+
 class Prefixes(Library):
     """For each new chunk the tokens of each of its prefixes: a number for each byte."""
 
@@ -76,57 +267,71 @@ class Prefixes(Library):
         super().__init__(path)
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model, self.byte_level = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.beginnings: dict[str, int] = {}
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = ManyMerges(path)
         self.runs_seen: dict[str, array] = {}
         self.spelt: dict[str, str] = {}
-        self.tail_counts: dict[str, list[int]] = {}
+        self.tail_counts: dict[str, array] = {}
 
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spell(self, char: str) -> str:
-        """A letter as the model spells it: its bytes as byte-level characters."""
+        """A character as the model spells it: its bytes as byte-level characters."""
         if char not in self.spelt:
             self.spelt[char] = "".join(x for x, _ in self.byte_level.pre_tokenize_str(char))
         return self.spelt[char]
 
-    def _run_counts(self, run: str) -> array:
-        """Counts of all prefixes of a normalised letter run: each is one piece of its own."""
-        known, tokenize, out, begun = self.beginnings, self.model.tokenize, array("I"), ""
-        for x in run if run.isascii() else map(self._spell, run):
-            begun += x
-            n = known.get(begun)
-            if n is None:
-                n = known[begun] = len(tokenize(begun))
-            out.append(n)
+    def _piece_counts(self, piece: str) -> array:
+        """Counts at the characters of a normalised piece of one kind: each beginning is one piece of its own."""
+        if piece.isascii():
+            return self.merges.counts(piece)
+        spelt = [self._spell(c) for c in piece]
+        counts, out, at = self.merges.counts("".join(spelt)), array("I"), 0
+        for s in spelt:
+            at += len(s)
+            out.append(counts[at - 1])
         return out
 
-    def _tail(self, tail: str) -> list[int]:
+    def _tail(self, tail: str) -> array:
         if tail not in self.tail_counts:
-            if len(self.tail_counts) > 10_000:
+            if len(self.tail_counts) > 10_000 or len(tail) > RUN:
                 self.tail_counts.clear()
-            self.tail_counts[tail] = self._lengths([tail[: k + 1] for k in range(len(tail))])
+            self.tail_counts[tail] = self.merges.counts(tail)
         return self.tail_counts[tail]
 
     def _odd(self, chunk: str) -> list:
-        """Counts at the characters of any chunk; None within a piece too long."""
+        """Counts at the characters of any chunk; None within an open piece."""
         stops, upto = piece_borders(chunk, self.tok)
-        pieces = [(i, j) for i, j in zip([0, *stops], stops)]
-        lengths = iter(self._lengths([chunk[i : k + 1] for i, j in pieces if j - i <= PIECE for k in range(i, j - 1)]))
+        pieces = list(zip([0, *stops], stops))
+        plain = [self._plain(chunk[i:j]) for i, j in pieces]
+        lengths = iter(self._lengths([chunk[i : k + 1] for (i, j), p in zip(pieces, plain) if p is None and j - i <= PIECE for k in range(i, j - 1)]))
         out: list = []
-        for (i, j), before, after in zip(pieces, [0, *upto], upto):
-            out += [before + next(lengths) if j - i <= PIECE else None for _ in range(i, j - 1)]
-            out.append(after)
+        for (i, j), p, before, after in zip(pieces, plain, [0, *upto], upto):
+            if p is not None:
+                out += [before + n for n in self._piece_counts(p)]
+            else:
+                out += [before + next(lengths) if j - i <= PIECE else None for _ in range(i, j - 1)]
+                out.append(after)
         return out
 
+    def _plain(self, piece: str) -> str | None:
+        """The normalised piece, where each beginning of it is one piece that normalises as here; else None."""
+        if piece.isascii():
+            low = piece.lower()
+            return low if low.isalpha() or not any(c.isalnum() or c.isspace() or c < " " for c in low) else None
+        if _together(piece):
+            return None
+        low = "".join(x if len(x := c.lower()) == 1 else "\0" for c in piece)
+        if "\0" in low or low != self.tok.normalizer.normalize_str(piece):
+            return None
+        return low if low.isalpha() or not any(category(c)[0] in "LNZC" for c in low) else None
+
     def ids(self, chunks: list[bytes]) -> list[bytes]:
         """For each chunk the counts at its bytes, as little-endian u32 (``_UNKNOWN`` where not counted)."""
-        out = []
-        for known, most in ((self.beginnings, BEGINNINGS), (self.runs_seen, RUNS)):
-            if len(known) > most:
-                known.clear()
-        runs = self.runs_seen
+        out, runs, rows, fresh = [], self.runs_seen, [], {}
+        if len(runs) > RUNS:
+            runs.clear()
         for c in chunks:
             s = c.decode("utf-8", "replace")
             run = s.rstrip(TAIL)
@@ -134,11 +339,18 @@ class Prefixes(Library):
                 low = run.lower()
             else:
                 low = self._normal(run) if run else None
-            if low is None or len(s) > PIECE:
+            rows.append((c, s, run, low))
+            if low is not None and len(low) <= RUN and low not in runs and low not in fresh:
+                fresh[low] = low if low.isascii() else "".join(map(self._spell, low))
+        for (low, spelt), counts in zip(fresh.items(), self.merges.many(list(fresh.values()))):
+            if len(spelt) > len(low):
+                counts = counts[np.cumsum([len(self._spell(x)) for x in low]) - 1]
+            runs[low] = array("I", counts.tobytes())
+        for c, s, run, low in rows:
+            if low is None:
                 out.append(self._bytes(c, s, self._odd(s)))
                 continue
-            if (counts := runs.get(low)) is None:
-                counts = runs[low] = self._run_counts(low)
+            counts = runs[low] if len(low) <= RUN else self._piece_counts(low)
             if len(run) < len(s):
                 last = counts[-1]
                 counts = counts + array("I", [last + n for n in self._tail(s[len(run) :])])
@@ -210,7 +422,8 @@ def prefix_tokens(df: DataFrame, text: str = "text", keep: list[str] = (), path:
     the worker's chunk table.
     """
     path = path or tokenizer_path()
-    keep = list(keep)
+    made_names = {"n_bytes", "n_tokens", *(x.split()[0] for x in TABLE.split(", "))}
+    keep = [c for c in keep if c.lower() not in made_names]
     names = [*keep, "n_bytes", "n_tokens", *(x.split()[0] for x in TABLE.split(", "))]
 
     def run(batches):
@@ -251,13 +464,15 @@ def _counts(row, first: int, last: int) -> np.ndarray:
 def tokens_upto(row, at: int, text: bytes | None = None, path: str | None = None) -> int:
     """Tokens of the first ``at`` bytes (at a character's edge), from a row of the table.
 
-    ``text`` is needed only for a cut inside a piece of more than ``PIECE`` characters.
+    ``text`` is needed only for a cut inside an open piece (see the module).
     """
     if at <= 0:
         return 0
     n = int(_counts(row, at - 1, at)[0])
     if n >= 0:
         return n
+    if text is None:
+        raise ValueError("the prefix ends within an open piece: its count needs the text")
     steps = np.frombuffer(row["steps"], np.int8, at)
     shut = np.flatnonzero(steps != OPEN)
     start = int(shut[-1]) + 1 if len(shut) else 0
@@ -271,8 +486,7 @@ def truncate(row, text: bytes, budget: int, path: str | None = None) -> bytes:
     """The longest beginning of a text, in whole characters, that has at most ``budget`` tokens.
 
     Read from the table: a longer beginning may have fewer tokens, so the last that fits is taken.
-    Within a piece of more than ``PIECE`` characters it ends at one of that piece's tokens. Blanks at
-    its end go.
+    Within an open piece (see the module) it ends at one of that piece's tokens. Blanks at its end go.
     """
     if not text:
         return text

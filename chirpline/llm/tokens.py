@@ -6,8 +6,9 @@ and special strings hold none. So the ids of a text are the ids of its chunks in
 chunk seen before need not be encoded again. Chunks are cut at ASCII white space only; other
 white space stays inside a chunk and is left to the library.
 
-Chunks are told apart by two 64-bit hashes, computed for all bytes of a group of texts at once,
-so that the texts' chunks never become Python objects; only chunks that are new do.
+Chunks are told apart by their bytes: those of up to seven, packed with their length into a number,
+for all of a group of texts at once, so that they never become Python objects unless they are new;
+longer ones by a dictionary.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from unicodedata import normalize
 
 import numpy as np
 
-from .hashing import chunk_hashes
+from .hashing import PACKED, chunk_edges, packed
 from .workers import kept
 
-#: Chunks and letter runs that a worker's tables hold (about 60 bytes each; twice 200 bytes each).
-CACHE_CHUNKS, CACHE_RUNS = 400_000, 150_000
+#: Chunks and letter runs that a worker's tables hold (about 120 bytes each; twice 200 bytes each).
+CACHE_CHUNKS, CACHE_RUNS = 300_000, 150_000
 #: ASCII punctuation that starts a piece of its own after a letter (all but the apostrophe).
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes that are looked up at once; a longer text is looked up part by part.
@@ -118,11 +119,16 @@ class Library:
 
 
 class ChunkEncoder:
-    """Encodes groups of texts by a table of chunks in sorted numpy arrays, of bounded size."""
+    """Encodes groups of texts by a table of chunks of bounded size.
+
+    ``at`` and ``count`` say where the ids of each row of the table stand in ``flat``. Short chunks
+    find their row by their packed bytes in a sorted array, long ones in a dictionary.
+    """
 
     def __init__(self, path: str, limit: int | None = None, library: Library | None = None):
         self.library, self.limit, self.clock = library or Library(path), limit or CACHE_CHUNKS, 0
-        self.keys, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.keys, self.key_rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.long: dict[bytes, int] = {}
         self.at, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))
         self.flat = np.empty(0, "<u4")
 
@@ -160,52 +166,59 @@ class ChunkEncoder:
     def _look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the texts' chunks begin and end, the table rows of the distinct chunks, and each chunk's place among those."""
         joined = b" ".join(texts)
-        starts, stops, h, check = chunk_hashes(np.frombuffer(joined, np.uint8))
+        starts, stops = chunk_edges(joined)
+        lengths = stops - starts
         cuts = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if not (check[first][inverse] == check).all():  # two chunks of one hash: tell them by the other
-            keys, first, inverse = np.unique(h ^ (check << np.uint64(1)), return_index=True, return_inverse=True)
+        short = lengths <= PACKED
+        at = np.flatnonzero(short)
+        keys, first, inverse_short = np.unique(packed(joined, starts[at], lengths[at]), return_index=True, return_inverse=True)
+        first = at[first]
+        own: dict[bytes, int] = {}
+        long = np.flatnonzero(~short)
+        inverse = np.empty(len(starts), np.int64)
+        inverse[at] = inverse_short
+        inverse[long] = len(keys) + np.fromiter((own.setdefault(joined[i:j], len(own)) for i, j in zip(starts[long].tolist(), stops[long].tolist())), np.int64, len(long))
         self.clock += 1
-        if len(self.keys) > self.limit:
+        if len(self.at) > self.limit:
             self._forget()
-        place, known = self._find(keys, check[first])
-        new = np.flatnonzero(~known)
-        if len(new):
-            where = first[new]
-            got = self.library.ids([joined[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist())])
+        rows = np.concatenate((self._find(keys), np.fromiter((self.long.get(c, -1) for c in own), np.int64, len(own))))
+        new_short = np.flatnonzero(rows[: len(keys)] < 0)
+        new_long = [c for c, row in zip(own, rows[len(keys) :].tolist()) if row < 0]
+        if len(new_short) or new_long:
+            where = first[new_short]
+            got = self.library.ids([joined[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist())] + new_long)
             sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
-            into = np.searchsorted(self.keys, keys[new])
-            at = len(self.flat) + np.cumsum(sizes) - sizes
+            made = np.arange(len(self.at), len(self.at) + len(got))
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.count = np.concatenate((self.count, sizes))
+            self.used = np.concatenate((self.used, np.zeros(len(got), np.int64)))
             self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), "<u4")))
-            for name, values in (("keys", keys[new]), ("check", check[where]), ("at", at), ("count", sizes), ("used", np.zeros(len(new), np.int64))):
-                setattr(self, name, np.insert(getattr(self, name), into, values))
-            place, known = self._find(keys, check[first])
-        self.used[place] = self.clock
-        return cuts, place, inverse
-
-    def _find(self, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            into = np.searchsorted(self.keys, keys[new_short])
+            self.keys = np.insert(self.keys, into, keys[new_short])
+            self.key_rows = np.insert(self.key_rows, into, made[: len(new_short)])
+            self.long.update(zip(new_long, made[len(new_short) :].tolist()))
+            rows[rows < 0] = made
+        self.used[rows] = self.clock
+        return cuts, rows, inverse
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of packed chunks, -1 where the table has none."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.full(len(keys), -1)
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[place] == keys
-        clash = np.flatnonzero(known & (self.check[place] != check))
-        if len(clash):  # another chunk of the same hash is in the table: it makes room
-            stay = np.ones(len(self.keys), bool)
-            stay[place[clash]] = False
-            self._keep(stay)
-            return self._find(keys, check)
-        return place, known
+        return np.where(self.keys[place] == keys, self.key_rows[place], -1)
 
     def _forget(self) -> None:
         """Keep the half of the table that was used last."""
-        self._keep(self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
-
-    def _keep(self, stay: np.ndarray) -> None:
+        stay = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        moved = np.cumsum(stay) - 1
         at, count = self.at[stay], self.count[stay]
         ends = np.cumsum(count)
         source = np.repeat(at - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-        self.flat, self.at, self.count = self.flat[source], ends - count, count
-        self.keys, self.check, self.used = self.keys[stay], self.check[stay], self.used[stay]
+        self.flat, self.at, self.count, self.used = self.flat[source], ends - count, count, self.used[stay]
+        kept_keys = stay[self.key_rows]
+        self.keys, self.key_rows = self.keys[kept_keys], moved[self.key_rows[kept_keys]]
+        self.long = {c: int(moved[row]) for c, row in self.long.items() if stay[row]}
 
 
 def _parts(text: bytes, limit: int):
