@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, text_bytes
-from .hashing import _BLANK
+from .hashing import _BLANK, BASE
 from .tokens import TAIL, ChunkEncoder, Library, tokenizer_path
 from .workers import kept
 
@@ -50,10 +50,14 @@ BLOCK = 1024
 PIECE = 128
 #: Beginnings of pieces that a worker remembers with their states (about 150 bytes each), and their longest.
 BEGINNINGS, REMEMBERED = 200_000, 16
-#: Pairs of tokens that a worker remembers to be encodings or not (about 200 bytes each; 9).
-PAIRS, MANY_PAIRS = 100_000, 1_000_000
+#: Pairs of tokens that a worker remembers to be encodings or not (about 200 bytes each).
+PAIRS = 100_000
 #: Whole letter runs that a worker remembers (about 200 bytes each), and their longest.
 RUNS, RUN = 100_000, 64
+#: Slots of the table in which edges of the vocabulary's trie are looked up first.
+SLOT_BITS = 19
+#: Slots of pairs that are remembered to stay apart or not (9 bytes each).
+PAIR_BITS = 21
 OPEN = -128
 _NEVER = 1 << 60
 _UNKNOWN = np.uint32(0xFFFFFFFF)
@@ -153,6 +157,10 @@ class Merges:
         return out
 
 
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.astype(np.uint64) * BASE >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class ManyMerges(Merges):
     """The same programme for many short pieces at once, place by place, in numpy.
 
@@ -180,41 +188,41 @@ class ManyMerges(Merges):
                 self.names.append(t)
         self.edges = np.array(sorted(edges), np.int64)
         self.to = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.slots, self.slot_to = np.full(1 << SLOT_BITS, -1), np.zeros(1 << SLOT_BITS, np.int64)
+        self.slots[_slot(self.edges, SLOT_BITS)], self.slot_to[_slot(self.edges, SLOT_BITS)] = self.edges, self.to
         self.plain, self.close = np.array(plain, np.int64), np.array(close, np.int64)
-        self.pairs, self.pair_apart = np.empty(0, np.int64), np.empty(0, bool)
+        self.pairs, self.pair_apart = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
 
     def _step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie's nodes one symbol on, -1 where it has none."""
         edge = node << 9 | code
-        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
-        return np.where(self.edges[at] == edge, self.to[at], -1)
+        slot = _slot(edge, SLOT_BITS)
+        held = self.slots[slot]
+        out = np.where(held == edge, self.slot_to[slot], -1)
+        other = np.flatnonzero((held != edge) & (held >= 0))  # another edge has the slot
+        if len(other):
+            at = np.minimum(np.searchsorted(self.edges, edge[other]), len(self.edges) - 1)
+            out[other] = np.where(self.edges[at] == edge[other], self.to[at], -1)
+        return out
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """:meth:`stay_apart` of many pairs, those seen before from a sorted table."""
+        """:meth:`stay_apart` of many pairs; each has a slot, where it is found if no other took it since."""
         pair = left * len(self.names) + right
-        for _ in range(2):
-            if len(self.pairs):
-                at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-                known = self.pairs[at] == pair
-                if known.all():
-                    return self.pair_apart[at]
-                new = np.unique(pair[~known])
-            else:
-                new = np.unique(pair)
-            if not len(new):
-                return np.empty(0, bool)
+        slot = _slot(pair, PAIR_BITS)
+        out = self.pair_apart[slot]
+        miss = np.flatnonzero(self.pairs[slot] != pair)
+        if len(miss):
+            new, inverse = np.unique(pair[miss], return_inverse=True)
             names, many = self.names, len(self.names)
             value = np.fromiter((self._tried(names[k // many], names[k % many]) for k in new.tolist()), bool, len(new))
-            if len(self.pairs) > MANY_PAIRS:
-                keep = np.isin(self.pairs, pair)
-                self.pairs, self.pair_apart = self.pairs[keep], self.pair_apart[keep]
-            into = np.searchsorted(self.pairs, new)
-            self.pairs, self.pair_apart = np.insert(self.pairs, into, new), np.insert(self.pair_apart, into, value)
-        at = np.searchsorted(self.pairs, pair)
-        return self.pair_apart[at]
-
-    def many(self, pieces: list[str]) -> list[np.ndarray]:
-        """:meth:`counts` of each of the pieces (not empty, of characters as the model spells them)."""
+            out[miss] = value[inverse]
+            slot = _slot(new, PAIR_BITS)
+            self.pairs[slot] = -1
+            self.pairs[slot], self.pair_apart[slot] = new, value  # of two of one slot the last stays, in both
+        return out
+
+    def many(self, pieces: list[str]) -> list[bytes]:
+        """:meth:`counts` of each of the pieces (not empty, of characters as the model spells them), as little-endian u32."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if not len(sizes):
             return []
@@ -252,7 +260,8 @@ class ManyMerges(Merges):
                 count[end[ok]] = before[ok] + 1
                 if is_inner:
                     last[end[ok]] = token[ok]
-        return np.split(whole.astype(np.uint32), np.cumsum(sizes)[:-1])
+        raw, ends = whole.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def _together(piece: str) -> bool:
@@ -329,7 +338,7 @@ class Prefixes(Library):
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
         """For each chunk the counts at its bytes, as little-endian u32 (``_UNKNOWN`` where not counted)."""
-        out, runs, rows, fresh = [], self.runs_seen, [], {}
+        runs, rows, fresh = self.runs_seen, [], {}
         if len(runs) > RUNS:
             runs.clear()
         for c in chunks:
@@ -339,26 +348,34 @@ class Prefixes(Library):
                 low = run.lower()
             else:
                 low = self._normal(run) if run else None
-            rows.append((c, s, run, low))
+            rows.append((s, len(run), low))
             if low is not None and len(low) <= RUN and low not in runs and low not in fresh:
                 fresh[low] = low if low.isascii() else "".join(map(self._spell, low))
         for (low, spelt), counts in zip(fresh.items(), self.merges.many(list(fresh.values()))):
             if len(spelt) > len(low):
-                counts = counts[np.cumsum([len(self._spell(x)) for x in low]) - 1]
-            runs[low] = array("I", counts.tobytes())
-        for c, s, run, low in rows:
+                counts = np.frombuffer(counts, "<u4")[np.cumsum([len(self._spell(x)) for x in low]) - 1].tobytes()
+            runs[low] = counts
+        out: list = []
+        wide = []
+        for i, (c, (s, size, low)) in enumerate(zip(chunks, rows)):
             if low is None:
                 out.append(self._bytes(c, s, self._odd(s)))
                 continue
-            counts = runs[low] if len(low) <= RUN else self._piece_counts(low)
-            if len(run) < len(s):
-                last = counts[-1]
-                counts = counts + array("I", [last + n for n in self._tail(s[len(run) :])])
-            out.append(counts.tobytes() if len(c) == len(s) else self._bytes(c, s, counts))
+            counts = runs[low] if len(low) <= RUN else self._piece_counts(low).tobytes()
+            if size < len(s):
+                last = int.from_bytes(counts[-4:], "little")
+                counts += b"".join([(last + n).to_bytes(4, "little") for n in self._tail(s[size:])])
+            if len(c) > len(s):
+                wide.append(i)
+            out.append(counts)
+        for i, counts in zip(wide, _spread([chunks[i] for i in wide], [out[i] for i in wide])):
+            out[i] = counts
         return out
 
     def _normal(self, run: str) -> str | None:
         """The run as the normaliser makes it, where it is letters, one by one as they were; else None."""
+        if "\ufffd" in run:  # perhaps bytes that aren't UTF-8
+            return None
         low = self.tok.normalizer.normalize_str(run)
         same = len(low) == len(run) and low.isalpha() and all(x == y or normalize("NFC", x).lower() == y for x, y in zip(run, low))
         return low if same else None
@@ -377,6 +394,22 @@ class Prefixes(Library):
         return np.array(out, "<u4").tobytes()
 
 
+def _spread(chunks: list[bytes], counts: list[bytes]) -> list[bytes]:
+    """Counts at the characters of chunks as counts at their bytes: within a character that of the one before."""
+    if not chunks:
+        return []
+    raw = np.frombuffer(b"".join(chunks), np.uint8)
+    value = np.frombuffer(b"".join(counts), "<u4")
+    begins = (raw & 0xC0) != 0x80
+    char = np.cumsum(begins) - 1
+    first = np.zeros(len(value), bool)
+    first[np.cumsum([0] + [len(x) // 4 for x in counts[:-1]])] = True
+    before = np.where(first[char], 0, value[char - 1])
+    out = np.where(np.append(begins[1:], True), value[char], before).astype("<u4").tobytes()
+    ends = (4 * np.cumsum([len(c) for c in chunks])).tolist()
+    return [out[i:j] for i, j in zip([0, *ends], ends)]
+
+
 def prefix_encoder(path: str) -> ChunkEncoder:
     return kept(("prefixes", path), lambda: ChunkEncoder(path, library=Prefixes(path)))
 
