@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chirpline.functions.metrics import curve_metrics, ratio
 from chirpline.operators.intervals import BUCKET_US, in_context, merge_intervals, overlap_flag_asof, overlap_join
 from chirpline.operators.quantiles import quantile, quantiles, ranked
+from chirpline.operators.scan import EARLIER, LINE, UPTO, carried, in_bucket, on_lines
+from chirpline.sources.shared import cut
 
 LEVELS = 40
 
@@ -26,23 +28,54 @@ def thresholds(pred: DataFrame, by: list[str] = ("method",), levels: int = LEVEL
 def pr_curve(gt: DataFrame, pred: DataFrame, by: str = "method", levels: int = LEVELS, bucket_us: int = BUCKET_US) -> DataFrame:
     """by, seq, threshold, counts and metrics at each threshold, pooled over sessions.
 
-    Recall at all thresholds comes from one join: a call is found as long as the best score that
-    overlaps it stays. Precision needs the merged events of each threshold; the threshold table is
-    small (41 rows a method at most) and its size doesn't depend on the data.
+    All thresholds come from one scan of the detections in order of time; none is copied for a
+    threshold. A detection that ``k`` thresholds keep has level ``k``. The scan knows, for each level,
+    the furthest end of the detections of at least that level: a structure of what covers a place, and
+    down to which threshold. So it gives for each detection the range of thresholds at which
+    a merged event starts with it (those it passes and that nothing before reaches it at), and for each call,
+    which comes once a method, the thresholds at which it is found. An event counts as right with the
+    first of its detections that overlaps a call; which that is at each threshold follows from the
+    last start and the last such detection of each level. Furthest ends, starts and such
+    detections are carried from bucket to bucket.
     """
-    steps = thresholds(pred, [by], levels).cache()
-    best = overlap_join(gt, pred, ["session"], bucket_us).groupBy("session", "event_id", F.col(f"b_{by}").alias(by)).agg(F.max(F.coalesce("b_score", F.lit(float("-inf")))).alias("best"))
-    kept = (F.col("threshold").isNull()) | (F.col("best") >= F.col("threshold"))
-    tp = steps.join(best, by, "left").groupBy(by, "seq", "threshold").agg(F.count_if(kept & F.col("best").isNotNull()).alias("tp"))
+    cuts = cut(thresholds(pred, [by], levels).where("seq > 0").groupBy(by).agg(F.array_sort(F.collect_list("threshold")).alias("cuts")), "cuts")  # a row per method
+    top = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
+    scale = range(top + 1)
+    hits = overlap_flag_asof(pred.select(by, "session", "t0_us", "t1_us", "score"), gt.select("session", "t0_us", "t1_us"), ["session"], bucket_us=bucket_us)
+    level = F.size(F.filter("cuts", lambda c: F.coalesce(F.col("score") >= c, F.lit(False))))
+    found = hits.join(F.broadcast(cuts), by).select(by, "session", F.col("t0_us").alias("at"), F.lit(2).alias("kind"), "t0_us", "t1_us", level.alias("level"), "hit")
+    calls = gt.join(F.broadcast(cuts.select(by))).select(by, "session", F.col("t1_us").alias("at"), F.lit(1).alias("kind"), "t0_us", "t1_us", F.lit(-1).alias("level"), F.lit(False).alias("hit"))
+    rows = on_lines(found.unionByName(calls), [by, "session"], F.col("at"), bucket_us)
+    order = ["at", "kind", "t1_us", "level", "hit"]
+    # the furthest end so far, for each level
+    end = lambda k: F.when(F.col("level") >= k, F.col("t1_us"))
+    rows = carried(rows, {f"e{k}": F.max(end(k)) for k in scale}, {f"r{k}": lambda before, after, k=k: F.max(f"e{k}").over(before) for k in scale})
+    earlier = in_bucket(*order, frame=EARLIER)
+    reach = [F.greatest(F.col(f"r{k}"), F.max(end(k)).over(earlier)) for k in scale]
+    rows = rows.select(LINE, by, *order, "t0_us", F.array(*reach).alias("reach"))
+    passed = lambda test: F.size(F.filter("reach", lambda e: F.coalesce(test(e), F.lit(False)))) - 1
+    call_found = F.when(F.col("t1_us") > F.col("t0_us"), passed(lambda e: e > F.col("t0_us")))
+    joins = passed(lambda e: e >= F.col("t0_us"))  # the highest level at which something before reaches the detection
+    rows = rows.withColumn("joins", F.when(F.col("kind") == 1, F.coalesce(call_found, F.lit(-1))).otherwise(joins)).drop("reach")
+    # the last start and the last detection on a call so far, for each level
+    is_found = F.col("kind") == 2
+    start = lambda k: F.when(is_found & (F.col("joins") < k) & (F.col("level") >= k), F.col("t0_us"))
+    right = lambda k: F.when(F.col("hit") & (F.col("level") >= k), F.col("t0_us"))
+    last = {f"s{k}": F.max(start(k)) for k in scale} | {f"h{k}": F.max(right(k)) for k in scale}
+    rows = carried(rows, last, {f"c{n}": lambda before, after, n=n: F.max(n).over(before) for n in last})
+    upto = in_bucket(*order, frame=UPTO)
+    first_right = [F.col("hit") & (F.col("level") >= k) & F.coalesce(F.greatest(F.col(f"ch{k}"), F.max(right(k)).over(earlier)) < F.greatest(F.col(f"cs{k}"), F.max(start(k)).over(upto)), F.greatest(F.col(f"ch{k}"), F.max(right(k)).over(earlier)).isNull()) for k in scale]
+    rows = rows.select(by, "kind", "level", "joins", F.array(*first_right).alias("first_right"))
+    tally = lambda test: F.array(*(F.count_if(test(k)) for k in scale))
+    sums = rows.groupBy(by).agg(
+        tally(lambda k: is_found & (F.col("joins") < k) & (F.col("level") >= k)).alias("events"),
+        tally(lambda k: F.col("first_right")[k]).alias("right"),
+        tally(lambda k: (F.col("kind") == 1) & (F.col("joins") >= k)).alias("tp"),
+    )
     n_gt = gt.agg(F.count(F.lit(1)).alias("n_gt"))
-    rows = pred.join(F.broadcast(steps), by).where(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select(by, "seq", "session", "t0_us", "t1_us")
-    lines = [by, "seq", "session"]
-    events = merge_intervals(rows, lines, bucket_us=bucket_us)
-    truth = merge_intervals(gt.where("t1_us > t0_us"), ["session"], bucket_us=bucket_us).select("session", "t0_us", "t1_us")
-    truth = truth.join(F.broadcast(steps.select(by, "seq")))  # a copy of the merged calls per point of the curve
-    flagged = overlap_flag_asof(events.select(*lines, "t0_us", "t1_us"), truth, lines, bucket_us=bucket_us)
-    side = flagged.groupBy(by, "seq").agg(F.count_if("hit").alias("pred_tp"), F.count_if(~F.col("hit")).alias("fp"))
-    out = tp.join(side, [by, "seq"], "left").fillna(0, ["pred_tp", "fp"]).join(F.broadcast(n_gt)).withColumn("fn", F.col("n_gt") - F.col("tp")).drop("n_gt")
+    points = cuts.select(by, F.posexplode(F.concat(F.array(F.lit(None).cast("double")), "cuts")).alias("seq", "threshold")).join(F.broadcast(sums), by).join(F.broadcast(n_gt))  # rows per method and threshold
+    at = lambda c: F.col(c)[F.col("seq")]
+    out = points.select(by, "seq", "threshold", at("tp").alias("tp"), at("right").alias("pred_tp"), (at("events") - at("right")).alias("fp"), (F.col("n_gt") - at("tp")).alias("fn"))
     return out.withColumns(curve_metrics())
 
 

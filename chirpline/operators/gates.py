@@ -84,7 +84,7 @@ def kept_by(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[st
     return calls, kept
 
 
-def rescored(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session",), bucket_us: int | None = BUCKET_US) -> DataFrame:
+def rescored(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session",), bucket_us: int = BUCKET_US) -> DataFrame:
     """strategy, by and counts: the detections that each gate set keeps, merged to events and scored anew.
 
     Recall is over all calls of a session, also of sessions that keep nothing.

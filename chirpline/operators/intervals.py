@@ -9,70 +9,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chirpline.functions.intervals import iou_1d, overlaps
+from chirpline.operators.scan import EARLIER, LINE, UPTO, carried, in_bucket, on_lines, running_count
 
 #: Default bucket of the range join: 6 hours.
 BUCKET_US = 21_600_000_000
+#: Frames of a bucket in which runs are looked for.
+BUCKET_FRAMES = 65_536
 
 
-def tag_merged(df: DataFrame, by: list[str], strict: bool = False, gap_us: int = 0, order: list[str] = ()) -> DataFrame:
+def tag_merged(df: DataFrame, by: list[str], strict: bool = False, gap_us: int = 0, order: list[str] = (), bucket_us: int = BUCKET_US) -> DataFrame:
     """``df`` with event_no: which merged event of its time line a row falls into, from 0.
 
-    Touching intervals merge, or with ``strict`` only overlapping ones; ``gap_us`` bridges gaps.
+    Touching intervals merge, or with ``strict`` only overlapping ones; ``gap_us`` bridges gaps. The
+    furthest end so far, then the number of events so far, is carried from bucket to bucket.
     """
-    line = Window.partitionBy(*by).orderBy("t0_us", "t1_us", *order)
-    reach = F.max("t1_us").over(line.rowsBetween(Window.unboundedPreceding, -1)) + gap_us
+    rows = _event_starts(on_lines(df, by, F.col("t0_us"), bucket_us), strict, gap_us, order)
+    out = running_count(rows, "__new", "event_no", ["t0_us", "t1_us", *order])
+    return out.select(*df.columns, (F.col("event_no") - 1).alias("event_no"))
+
+
+def _event_starts(rows: DataFrame, strict: bool, gap_us: int, order: list[str] = ()) -> DataFrame:
+    """Rows on lines with ``__new``: does a merged event start here?"""
+    rows = carried(rows, {"__furthest": F.max("t1_us")}, {"__reach": lambda before, after: F.max("__furthest").over(before)})
+    reach = F.greatest(F.col("__reach"), F.max("t1_us").over(in_bucket("t0_us", "t1_us", *order, frame=EARLIER))) + gap_us
     new = F.col("t0_us") >= reach if strict else F.col("t0_us") > reach
-    starts = F.when(reach.isNull() | new, 1).otherwise(0)
-    return df.withColumn("__new", starts).withColumn("event_no", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__new")
+    return rows.withColumn("__new", F.coalesce(new, reach.isNull())).drop("__reach")
 
 
-def merge_intervals(df: DataFrame, by: list[str], strict: bool = False, gap_us: int = 0, first: list[str] = (), bucket_us: int | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, by: list[str], strict: bool = False, gap_us: int = 0, first: list[str] = (), bucket_us: int = BUCKET_US) -> DataFrame:
     """Disjoint events: by, event_no, t0_us, t1_us, n_boxes and the first interval's ``first`` columns.
 
-    With ``bucket_us`` the intervals of a bucket of start times are merged first, in parallel, and
-    the partial events after that: merging is associative, and a long time line is then one task's
-    work only in its merged, much smaller form.
+    The intervals of a bucket that fall into one event are merged where they lie, so that only parts
+    of events are numbered and, where an event reaches over buckets, put together.
     """
-    rows = df.select(*by, "t0_us", "t1_us", F.lit(1).cast("long").alias("n_boxes"), F.struct(F.col("t0_us"), F.col("t1_us"), *first).alias("__first"))
-    if bucket_us:
-        rows = rows.withColumn("__bucket", F.floor(F.col("t0_us") / bucket_us))
-        rows = _collapse(tag_merged(rows, [*by, "__bucket"], strict, gap_us), [*by, "__bucket"]).drop("event_no", "__bucket")
-    out = _collapse(tag_merged(rows, by, strict, gap_us), by)
+    rows = df.select(*by, "t0_us", "t1_us", F.struct(F.col("t0_us"), F.col("t1_us"), *first).alias("__first"))
+    rows = _event_starts(on_lines(rows, by, F.col("t0_us"), bucket_us), strict, gap_us)
+    rows = rows.withColumn("__no", F.sum(F.col("__new").cast("long")).over(in_bucket("t0_us", "t1_us", frame=UPTO)))
+    parts = rows.groupBy(LINE, "__no").agg(*(F.first(c).alias(c) for c in by), F.min("t0_us").alias("t0_us"), F.max("t1_us").alias("t1_us"), F.count(F.lit(1)).alias("n_boxes"), F.min("__first").alias("__first"))
+    parts = carried(parts, {"__n": F.max("__no")}, {"__base": lambda before, after: F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    out = parts.groupBy(*by, (F.col("__base") + F.col("__no") - 1).alias("event_no")).agg(F.min("t0_us").alias("t0_us"), F.max("t1_us").alias("t1_us"), F.sum("n_boxes").alias("n_boxes"), F.min("__first").alias("__first"))
     return out.select(*by, "event_no", "t0_us", "t1_us", "n_boxes", *(F.col(f"__first.{c}").alias(c) for c in first))
 
 
-def _collapse(tagged: DataFrame, by: list[str]) -> DataFrame:
-    return tagged.groupBy(*by, "event_no").agg(F.min("t0_us").alias("t0_us"), F.max("t1_us").alias("t1_us"), F.sum("n_boxes").alias("n_boxes"), F.min("__first").alias("__first"))
-
-
-def bouts(df: DataFrame, by: list[str], gap_us: int, order: list[str] = ()) -> DataFrame:
+def bouts(df: DataFrame, by: list[str], gap_us: int, order: list[str] = (), bucket_us: int = BUCKET_US) -> DataFrame:
     """``df`` with bout_id (from 0 in each time line) and ici_us, the gap to the next call of the bout.
 
-    The gap is measured to the end of the call before, not to the furthest end so far.
+    The gap is measured to the end of the call before, not to the furthest end so far. The last call
+    of the buckets before and the first of those after stand in for the neighbours of a bucket's ends.
     """
-    line = Window.partitionBy(*by).orderBy("t0_us", "t1_us", *order)
-    new = F.coalesce(F.col("t0_us") - F.lag("t1_us").over(line) > gap_us, F.lit(False)).cast("int")
-    numbered = df.withColumn("__new", new).withColumn("bout_id", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "bout_id").orderBy("t0_us", "t1_us", *order)
-    return numbered.withColumn("ici_us", F.lead("t0_us").over(inside) - F.col("t1_us")).drop("__new")
-
-
-def runs(df: DataFrame, by: list[str], flag: Column, at: str, min_us: int = 0, gap_us: int | None = None) -> DataFrame:
+    key = ["t0_us", "t1_us", *order]
+    place = F.struct(*key)
+    rows = carried(
+        on_lines(df, by, F.col("t0_us"), bucket_us),
+        {"__low": F.min(place), "__high": F.max(place)},
+        {"__was": lambda before, after: F.last("__high").over(before)["t1_us"], "__next": lambda before, after: F.first("__low").over(after)["t0_us"]},
+    )
+    line = in_bucket(*key)
+    here = F.row_number().over(line)
+    size = F.count(F.lit(1)).over(Window.partitionBy(LINE))
+    was = F.when(here == 1, F.col("__was")).otherwise(F.lag("t1_us").over(line))
+    following = F.when(here == size, F.col("__next")).otherwise(F.lead("t0_us").over(line))
+    apart = lambda gap: F.coalesce(gap > gap_us, F.lit(False))
+    rows = rows.withColumns({"__new": apart(F.col("t0_us") - was), "ici_us": F.when(~apart(following - F.col("t1_us")), following - F.col("t1_us"))})
+    return running_count(rows, "__new", "bout_id", key).select(*df.columns, "bout_id", "ici_us")
+
+
+def runs(df: DataFrame, by: list[str], flag: Column, at: str, min_us: int = 0, gap_us: int | None = None, bucket: int = BUCKET_FRAMES) -> DataFrame:
     """Runs of true flags as t0_us, t1_us: a run ends at the first frame after it, the last frame at most.
 
     ``gap_us`` bridges gaps between runs (a bridged run ends where the later one ends); runs
-    shorter than ``min_us`` are dropped after that.
+    shorter than ``min_us`` are dropped after that. Frames are dealt over buckets of ``bucket`` of ``at``.
     """
-    line = Window.partitionBy(*by).orderBy(at)
-    marked = df.select(*by, F.col(at).alias("__at"), flag.alias("__on"), F.coalesce(F.lead(at).over(line), F.col(at)).alias("__next"), F.lag(flag).over(line).alias("__was"))
-    upto = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    on = marked.withColumn("__run", F.sum((F.col("__on") & ~F.coalesce("__was", F.lit(False))).cast("int")).over(upto)).where("__on")
-    out = on.groupBy(*by, "__run").agg(F.min("__at").alias("t0_us"), F.max("__next").alias("t1_us"))
+    rows = df.select(*by, F.col(at).alias("__at"), flag.alias("__on"))
+    rows = carried(
+        on_lines(rows, by, F.col("__at"), bucket),
+        {"__low": F.min("__at"), "__high": F.max(F.struct("__at", "__on"))},
+        {"__lit": lambda before, after: F.last("__high").over(before)["__on"], "__beyond": lambda before, after: F.first("__low").over(after)},
+    )
+    line = in_bucket("__at")
+    here, size = F.row_number().over(line), F.count(F.lit(1)).over(Window.partitionBy(LINE))
+    was = F.when(here == 1, F.col("__lit")).otherwise(F.lag("__on").over(line))
+    end = F.coalesce(F.when(here == size, F.col("__beyond")).otherwise(F.lead("__at").over(line)), F.col("__at"))
+    rows = rows.withColumns({"__end": end, "__new": F.coalesce(F.col("__on"), F.lit(False)) & ~F.coalesce(was, F.lit(False))})
+    on = running_count(rows, "__new", "__run", ["__at"]).where("__on")
+    out = on.groupBy(*by, "__run").agg(F.min("__at").alias("t0_us"), F.max("__end").alias("t1_us")).drop("__run")
     if gap_us is not None:
-        line = Window.partitionBy(*by).orderBy("t0_us")
-        new = F.coalesce(F.col("t0_us") - F.lag("t1_us").over(line) > gap_us, F.lit(True)).cast("int")
-        out = out.withColumn("__new", new).withColumn("__run", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        out = out.groupBy(*by, "__run").agg(F.min("t0_us").alias("t0_us"), F.max_by("t1_us", "t0_us").alias("t1_us"))
+        out = bouts(out, by, gap_us, bucket_us=bucket).groupBy(*by, "bout_id").agg(F.min("t0_us").alias("t0_us"), F.max_by("t1_us", "t0_us").alias("t1_us"))
     return out.where(F.col("t1_us") - F.col("t0_us") >= min_us).select(*by, "t0_us", "t1_us")
 
 
@@ -108,33 +130,21 @@ def overlap_flag(a: DataFrame, b: DataFrame, by: list[str], key: list[str], iou:
     return a.join(found.withColumn("__hit", F.lit(True)), on, "left").select(*a.columns, F.coalesce("__hit", F.lit(False)).alias(name))
 
 
-def overlap_flag_asof(a: DataFrame, b: DataFrame, by: list[str], name: str = "hit", bucket_us: int | None = None) -> DataFrame:
-    """The same flag for plain overlap, without a join: one sort of both sides.
+def overlap_flag_asof(a: DataFrame, b: DataFrame, by: list[str], name: str = "hit", bucket_us: int = BUCKET_US) -> DataFrame:
+    """The same flag for plain overlap, without a join of the two: one sort of both sides.
 
-    b is merged to disjoint events first. The only event that can overlap a row is the last that
-    starts before the row's end; probes stand before events of the same time, so touching ones
-    don't match. Points match nothing. With ``bucket_us`` a time line is dealt over buckets of time,
-    each begun by the last event of the buckets before it, so a busy line isn't one task's work.
+    A row is overlapped if, of the rows of b that start before its end, the one that ends last ends
+    after its start. So the furthest end runs along the line; probes stand before rows of b of the same
+    time, so touching ones don't match. Points match nothing.
     """
-    events = merge_intervals(b.where(F.col("t1_us") > F.col("t0_us")), by, bucket_us=bucket_us)
     cols = [c for c in a.columns if c not in by]
     probe = a.select(*by, F.col("t1_us").alias("__at"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__row"), F.lit(None).cast("long").alias("__end"))
     no_row = F.lit(None).cast(probe.schema["__row"].dataType).alias("__row")
-    event = events.select(*by, F.col("t0_us").alias("__at"), F.lit(2).alias("__kind"), no_row, F.col("t1_us").alias("__end"))
-    both, line = probe.unionByName(event), list(by)
-    if bucket_us:
-        bucket = F.floor(F.col("__at") / bucket_us).alias("__bucket")
-        last = F.struct("__at", "__end")
-        steps = probe.select(*by, bucket, F.lit(None).cast("struct<__at:bigint,__end:bigint>").alias("__last")).unionByName(event.select(*by, bucket, last.alias("__last")))
-        steps = steps.groupBy(*by, "__bucket").agg(F.max("__last").alias("__last"))  # a row per bucket in use
-        sooner = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = steps.withColumn("__end", F.last("__last.__end", ignorenulls=True).over(sooner)).where("__end is not null")
-        carried = carried.select(*by, "__bucket", (F.col("__bucket") * bucket_us).alias("__at"), F.lit(0).alias("__kind"), no_row, "__end")
-        both, line = both.withColumn("__bucket", bucket).unionByName(carried), [*by, "__bucket"]
-    before = Window.partitionBy(*line).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__last", F.last("__end", ignorenulls=True).over(before)).where("__kind = 1")
-    out = seen.select(*by, "__row.*", "__last")
-    hit = (F.col("__last") > F.col("t0_us")) & (F.col("t1_us") > F.col("t0_us"))
+    event = b.where(F.col("t1_us") > F.col("t0_us")).select(*by, F.col("t0_us").alias("__at"), F.lit(2).alias("__kind"), no_row, F.col("t1_us").alias("__end"))
+    both = carried(on_lines(probe.unionByName(event), by, F.col("__at"), bucket_us), {"__furthest": F.max("__end")}, {"__reach": lambda before, after: F.max("__furthest").over(before)})
+    reach = F.greatest("__reach", F.max("__end").over(in_bucket("__at", "__kind", frame=UPTO)))
+    out = both.withColumn("__reach", reach).where("__kind = 1").select(*by, "__row.*", "__reach")
+    hit = (F.col("__reach") > F.col("t0_us")) & (F.col("t1_us") > F.col("t0_us"))
     return out.select(*a.columns, F.coalesce(hit, F.lit(False)).alias(name))
 
 
@@ -163,15 +173,20 @@ def chunks_touched(df: DataFrame, start_us: int, length_us: int, chunks: int, pa
     return df.withColumn("__span", F.when(last >= first, F.sequence(first.cast("long"), last.cast("long")))).withColumn("chunk", F.explode("__span")).drop("__span")
 
 
-def assign_window(points: DataFrame, windows: DataFrame, by: list[str], at: str) -> DataFrame:
+def assign_window(points: DataFrame, windows: DataFrame, by: list[str], at: str, bucket_us: int = BUCKET_US) -> DataFrame:
     """``points`` with w_start_us of the last window that starts at or before them, else the first window.
 
-    For windows of any length: one sort, no join. Half-open: a point at a border falls in the later.
+    For windows of any length: one sort, no join of the two. Half-open: a point at a border falls in the later.
     """
     cols = [c for c in points.columns if c not in by]
     p = points.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__row"), F.lit(None).cast("long").alias("__w"))
     w = windows.select(*by, F.col("w_start_us").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col("w_start_us").alias("__w"))
-    line = Window.partitionBy(*by)
-    before = line.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = p.unionByName(w).withColumn("w_start_us", F.coalesce(F.last("__w", ignorenulls=True).over(before), F.min("__w").over(line)))
+    both = carried(
+        on_lines(p.unionByName(w), by, F.col("__at"), bucket_us),
+        {"__high": F.max("__w"), "__low": F.min("__w")},
+        {"__was": lambda before, after: F.max("__high").over(before), "__next": lambda before, after: F.min("__low").over(after)},
+    )
+    own = F.max("__w").over(in_bucket("__at", "__kind", frame=UPTO))
+    later = F.least(F.min("__w").over(Window.partitionBy(LINE)), F.col("__next"))  # of a point before all windows
+    out = both.withColumn("w_start_us", F.coalesce(own, F.col("__was"), later))
     return out.where("__kind = 1").select(*by, "__row.*", "w_start_us")

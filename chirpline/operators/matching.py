@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,35 +16,85 @@ from chirpline.sources.shared import cut, drop_cut
 BOX = ("x1", "y1", "x2", "y2")
 #: Bucket of the join for candidate pairs: 10 minutes, so that dense time lines have small buckets.
 MATCH_BUCKET_US = 600_000_000
+#: Growth of the stretches from round to round of a matching.
+WIDER = 16
 
 
 def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int = MATCH_BUCKET_US) -> DataFrame:
     """by, gt id, pred id, iou of the pairs chosen best first; ties go to the higher place in time.
 
-    Candidate pairs come from the bucketed join. Each round takes all pairs that are the best of
-    both their ends and drops the pairs of used ends, which gives the same pairs as one by one;
-    every round takes at least the best pair left. No stretch of time is gathered in one task.
+    Candidate pairs come from the bucketed join and are dealt over stretches of time. Within a stretch
+    pairs stream past in falling order and are decided as one by one, as far as that can be known there: a
+    pair is left open if a better one of its ends is open, or if its detection has a better pair in
+    another stretch. What is open goes on to the next round, over stretches ``WIDER`` times as long, so the
+    rounds grow with the logarithm of the longest chain of pairs that wait for each other. A
+    stretch's open pairs pass through one task, which keeps their ends, never the pairs.
     """
     side = lambda df: df.select(*by, F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
     end = lambda x: F.struct(*(F.col(f"{x}{c}").alias(c) for c in ("t0_us", "t1_us", "id")))
     pairs = overlap_join(side(gt), side(pred), by, bucket_us, iou)
     left = cut(pairs.select(*by, iou_of().alias("iou"), end("").alias("g"), end("b_").alias("p")).distinct(), "pairs")
-    of_g, of_p, chosen = Window.partitionBy(*by, "g"), Window.partitionBy(*by, "p"), []
+    columns, chosen, width = left.columns, [], bucket_us
     while not left.isEmpty():
-        rank = F.struct("iou", "g", "p")
-        best = left.withColumn("__g", F.max(rank).over(of_g)).withColumn("__p", F.max(rank).over(of_p))
-        best = best.withColumn("__take", (rank == F.col("__g")) & (rank == F.col("__p"))).drop("__g", "__p")
-        used = F.max("__take").over(of_g) | F.max("__take").over(of_p)
-        done = cut(best.withColumn("__used", used), "match-round")
-        chosen.append(cut(done.where("__take").select(*left.columns), "matches"))
-        rest = cut(done.where("not __used").select(*left.columns), "pairs")
+        done = cut(_decide(left, by, width), "match-round")
+        taken = done.where("state = 1").select(*columns)
+        chosen.append(taken)
+        open_ = done.where("state = 0").select(*columns).join(taken.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("p").alias("__p")), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("p") == F.col("__p")], "left_anti")
+        rest = cut(open_, "pairs")
         drop_cut(left)
-        drop_cut(done)
-        left = rest
+        left, width = rest, width * WIDER
     out = reduce(DataFrame.unionByName, chosen, left)
     return out.select(*by, F.col("g.id").alias("gt_id"), F.col("p.id").alias("pred_id"), "iou")
 
 
+def _decide(pairs: DataFrame, by: list[str], width: int) -> DataFrame:
+    """``pairs`` with state: 1 taken, -1 dropped, 0 open; decided within stretches of ``width`` µs.
+
+    A call's pairs all lie in one stretch. A detection's may lie in several; the best of its pairs in
+    the others comes with each.
+    """
+    rows = pairs.withColumn("__line", F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.floor(F.col("g.t0_us") / width).alias("at")))
+    rank = F.struct("iou", "g", "p")
+    here = rows.groupBy("__line", *by, "p").agg(F.max(rank).alias("best"))
+    # detections that reach into several stretches: their best pair, and the best outside its stretch
+    named = lambda df: df.select(*(F.col(c).alias(f"__{c}") for c in (*by, "p")), *(c for c in df.columns if c not in (*by, "p")))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("p") == F.col("__p")]
+    first = here.groupBy(*by, "p").agg(F.max(F.struct("best", "__line")).alias("first"), F.count(F.lit(1)).alias("stretches")).where("stretches > 1").drop("stretches")
+    both = here.join(named(first), same).where(F.col("__line") != F.col("first.__line")).groupBy(*by, "p").agg(F.first("first").alias("first"), F.max("best").alias("second"))
+    rows = rows.join(named(both), same, "left")
+    other = F.when(F.col("first.__line") == F.col("__line"), F.col("second")).otherwise(F.col("first.best"))
+    rows = rows.select("__line", *pairs.columns, F.coalesce(other > rank, F.lit(False)).alias("__later"))
+
+    def run(batches):
+        line, used, waiting = None, set(), set()
+        for b in batches:
+            lines = b.column("__line").to_pylist()
+            g, p = (zip(b.column(f"{x}_0").to_pylist(), b.column(f"{x}_1").to_pylist(), b.column(f"{x}_2").to_pylist()) for x in "gp")
+            states = []
+            for at, x, y, later in zip(lines, g, p, b.column("__later").to_pylist()):
+                if at != line:
+                    line, used, waiting = at, set(), set()
+                call, found = ("g", *x), ("p", *y)
+                if call in used or found in used:
+                    states.append(-1)
+                elif later or call in waiting or found in waiting:
+                    waiting |= {call, found}
+                    states.append(0)
+                else:
+                    used |= {call, found}
+                    states.append(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(states, pa.int32())], [*kept, "state"])
+
+    kept = [*(f"k{i}" for i in range(len(by))), "iou", *(f"{x}_{i}" for x in "gp" for i in range(3))]
+    parts = ("t0_us", "t1_us", "id")
+    flat = rows.select(F.to_json("__line", {"ignoreNullFields": "false"}).alias("__line"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), "iou", *(F.col(f"{x}.{c}").alias(f"{x}_{i}") for x in "gp" for i, c in enumerate(parts)), "__later")
+    dealt = flat.repartition("__line").sortWithinPartitions("__line", *(F.col(c).desc() for c in ("iou", *(f"{x}_{i}" for x in "gp" for i in range(3)))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in kept)
+    got = dealt.mapInArrow(run, schema + ", state int")
+    ends = [F.struct(*(F.col(f"{x}_{i}").alias(c) for i, c in enumerate(parts))).alias(x) for x in "gp"]
+    return got.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(by)), "iou", *ends, "state")
+
+
 def matching_score(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0) -> DataFrame:
     """Counts and metrics of greedy one-to-one matches per ``by``."""
     n = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))

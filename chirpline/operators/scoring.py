@@ -21,7 +21,7 @@ def keep_scored(pred: DataFrame, at_least: float | None = None, above: float | N
     return pred
 
 
-def counts(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, gt_key: list[str] = ("event_id",), bucket_us: int | None = None) -> DataFrame:
+def counts(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, gt_key: list[str] = ("event_id",), bucket_us: int = BUCKET_US) -> DataFrame:
     """COUNTS per ``by``, of every group with ground truth or detections.
 
     Recall counts ground truth against raw detections; precision counts merged events against
@@ -44,7 +44,7 @@ def counts(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, gt_k
     return out.withColumns({"fn": F.col("n_gt") - F.col("tp"), "fp": F.col("n_pred") - F.col("pred_tp")}).select(*by, *COUNTS)
 
 
-def score_sessions(gt: DataFrame, pred: DataFrame, by: list[str] = ("session",), iou: float = 0.0, at_least: float | None = None, bucket_us: int | None = None) -> DataFrame:
+def score_sessions(gt: DataFrame, pred: DataFrame, by: list[str] = ("session",), iou: float = 0.0, at_least: float | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """Counts, recall, precision and F1 per session."""
     return counts(gt, keep_scored(pred, at_least), list(by), iou, bucket_us=bucket_us).withColumns(event_metrics())
 
@@ -82,7 +82,7 @@ def in_coverage(pred: DataFrame, spans: DataFrame, by: list[str] = ("session",))
     return pred.join(spans, list(by)).where(mid.between(F.col("cov0_us"), F.col("cov1_us"))).select(*pred.columns)
 
 
-def combined_windows(windows: DataFrame, pred: DataFrame, by: list[str] = ("session",), bucket_us: int | None = BUCKET_US) -> DataFrame:
+def combined_windows(windows: DataFrame, pred: DataFrame, by: list[str] = ("session",), bucket_us: int = BUCKET_US) -> DataFrame:
     """How many ``combined`` windows any raw detection overlaps; the IoU threshold plays no part."""
     hit = overlap_flag_asof(windows.select(*by, "t0_us", "t1_us"), pred.select(*by, "t0_us", "t1_us"), list(by), bucket_us=bucket_us)
     out = hit.groupBy(*by).agg(F.count(F.lit(1)).alias("n_combined"), F.count_if("hit").alias("combined_tp"))
