@@ -47,16 +47,18 @@ def pr_curve(gt: DataFrame, pred: DataFrame, by: str = "method", levels: int = L
     calls = gt.join(F.broadcast(cuts.select(by))).select(by, "session", F.col("t1_us").alias("at"), F.lit(1).alias("kind"), "t0_us", "t1_us", F.lit(-1).alias("level"), F.lit(False).alias("hit"))
     rows = on_lines(found.unionByName(calls), [by, "session"], F.col("at"), bucket_us)
     order = ["at", "kind", "t1_us", "level", "hit"]
-    # the furthest end so far, for each level
+    # the furthest end so far, for each level: of all detections, which events reach over, and of those that aren't points, which can find a call
     end = lambda k: F.when(F.col("level") >= k, F.col("t1_us"))
-    rows = carried(rows, {f"e{k}": F.max(end(k)) for k in scale}, {f"r{k}": lambda before, after, k=k: F.max(f"e{k}").over(before) for k in scale})
+    solid = lambda k: F.when((F.col("level") >= k) & (F.col("t1_us") > F.col("t0_us")), F.col("t1_us"))
+    ends = {f"e{k}": end(k) for k in scale} | {f"f{k}": solid(k) for k in scale}
+    rows = carried(rows, {n: F.max(c) for n, c in ends.items()}, {f"r{n}": lambda before, after, n=n: F.max(n).over(before) for n in ends})
     earlier = in_bucket(*order, frame=EARLIER)
-    reach = [F.greatest(F.col(f"r{k}"), F.max(end(k)).over(earlier)) for k in scale]
-    rows = rows.select(LINE, by, *order, "t0_us", F.array(*reach).alias("reach"))
-    passed = lambda test: F.size(F.filter("reach", lambda e: F.coalesce(test(e), F.lit(False)))) - 1
-    call_found = F.when(F.col("t1_us") > F.col("t0_us"), passed(lambda e: e > F.col("t0_us")))
-    joins = passed(lambda e: e >= F.col("t0_us"))  # the highest level at which something before reaches the detection
-    rows = rows.withColumn("joins", F.when(F.col("kind") == 1, F.coalesce(call_found, F.lit(-1))).otherwise(joins)).drop("reach")
+    reach = {n: F.greatest(F.col(f"r{n}"), F.max(c).over(earlier)) for n, c in ends.items()}
+    rows = rows.select(LINE, by, *order, "t0_us", F.array(*(reach[f"e{k}"] for k in scale)).alias("reach"), F.array(*(reach[f"f{k}"] for k in scale)).alias("solid"))
+    passed = lambda c, test: F.size(F.filter(c, lambda e: F.coalesce(test(e), F.lit(False)))) - 1
+    call_found = F.when(F.col("t1_us") > F.col("t0_us"), passed("solid", lambda e: e > F.col("t0_us")))
+    joins = passed("reach", lambda e: e >= F.col("t0_us"))  # the highest level at which something before reaches the detection
+    rows = rows.withColumn("joins", F.when(F.col("kind") == 1, F.coalesce(call_found, F.lit(-1))).otherwise(joins)).drop("reach", "solid")
     # the last start and the last detection on a call so far, for each level
     is_found = F.col("kind") == 2
     start = lambda k: F.when(is_found & (F.col("joins") < k) & (F.col("level") >= k), F.col("t0_us"))

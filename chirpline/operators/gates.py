@@ -142,15 +142,22 @@ def two_stage(det: DataFrame, gt: DataFrame, first: dict[str, Column], second: d
 
 
 def forward_selection(det: DataFrame, gt: DataFrame, pool: list[tuple[str, str, float]], min_gain: float = 0.002) -> list[tuple[tuple[str, str, float], float]]:
-    """Gates chosen greedily by event F1, one for each feature, with the F1 that each reaches.
+    """Gates chosen greedily by event F1, one for each feature, with the F1 that each reaches."""
+    return selection_steps(det, gt, pool, min_gain)[1:]
 
-    A round is one job over all gates left; it ends where the best gains no more than ``min_gain``.
+
+def selection_steps(det: DataFrame, gt: DataFrame, pool: list[tuple[str, str, float]], min_gain: float = 0.002) -> list[tuple[tuple[str, str, float] | None, float]]:
+    """The steps of :func:`forward_selection`.
+
+    The first entry, without a gate (None), is the F1 of all detections. A round is one job over all
+    gates left; it ends where the best gains no more than ``min_gain``.
     """
-    chosen: list = []
     best = strategies(det, gt, {"all": F.lit(True)}).first()["f1"] or 0.0
+    chosen: list = [(None, best)]
     while True:
-        used = {g[0] for g, _ in chosen}
-        named = {str(i): passes([g for g, _ in chosen] + [gate]) for i, gate in enumerate(pool) if gate[0] not in used}
+        gates = [g for g, _ in chosen if g]
+        used = {g[0] for g in gates}
+        named = {str(i): passes([*gates, gate]) for i, gate in enumerate(pool) if gate[0] not in used}
         if not named:
             break
         top = strategies(det, gt, named).orderBy(F.coalesce("f1", F.lit(-1.0)).desc(), F.col("strategy").cast("int")).first()

@@ -154,9 +154,10 @@ def top_k(df: DataFrame, by: list[str], k: int, first, order: list[str] = ()) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(first, *order))).where(F.col("rank") <= k)
 
 
-def best_event(df: DataFrame, by: list[str], duration: str, pitch: str, min_duration: float) -> DataFrame:
-    """The longest event of each window, ties by pitch, after a least duration."""
+def best_event(df: DataFrame, by: list[str], duration: str, pitch: str, min_duration: float, min_pitch: float | None = None) -> DataFrame:
+    """The longest event of each window, ties by pitch, after a least duration and, where given, pitch."""
     rest = [c for c in df.columns if c not in by]
+    df = df if min_pitch is None else df.where(F.col(pitch) >= min_pitch)
     return df.where(F.col(duration) >= min_duration).groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(duration, pitch)).alias("e")).select(*by, "e.*")
 
 

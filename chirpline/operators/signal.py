@@ -6,6 +6,8 @@ numpy transforms frames (``spectra``) and slices (``band_pass``) only.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chirpline.operators.graph import components
 from chirpline.operators.quantiles import quantiles
+from chirpline.sources.shared import cut
 
 FEATURES = ["centroid", "bandwidth", "rolloff", "flatness", "rms", "zcr", "peak_freq"]
 EPS = 1e-10
@@ -221,6 +224,53 @@ def attach_audio(events: DataFrame, chunks: DataFrame, chunk_us: int, pad_us: in
     return rows.select(*events.columns, "sr", F.aggregate("__parts", start, join)["x"].alias("samples"))
 
 
+def context_window(events: DataFrame, chunks: DataFrame, chunk_us: int, before_us: int, after_us: int, length: int | None = None) -> DataFrame:
+    """``events`` with sr and ``samples``: all samples from ``before_us`` before their start to ``after_us`` after their end.
+
+    A window has one length always: what lies outside a recording, and any chunk that is missing, is
+    silence. With ``length`` the windows have so many samples, from the same first one. Every row stays,
+    repeated ones too, but rows of recordings without any chunk go.
+    """
+    rate = chunks.groupBy("session", "channel").agg(F.max("sr").alias("sr"))
+    rows = events.withColumn("__row", F.monotonically_increasing_id()).join(rate, ["session", "channel"])
+    at = lambda us: F.round(us * F.col("sr") / 1e6).cast("long")
+    first = at(F.col("t0_us") - before_us)
+    size = F.lit(length).cast("long") if length is not None else F.greatest(F.lit(0), F.round((F.col("t1_us") - F.col("t0_us") + before_us + after_us) * F.col("sr") / 1e6)).cast("long")
+    rows = cut(rows.withColumns({"__first": first, "__size": size}), "windows")
+    begin, end = F.col("__first") * 1e6 / F.col("sr"), (F.col("__first") + F.col("__size")) * 1e6 / F.col("sr")
+    touched = rows.select("session", "channel", "__row", "__first", "__size", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(begin / chunk_us)).cast("int"), F.greatest(F.lit(0), F.floor(end / chunk_us)).cast("int"))).alias("chunk"))
+    met = touched.join(chunks.select("session", "channel", "chunk", "sr", F.col("samples").alias("__s")), ["session", "channel", "chunk"])
+    start = at(F.col("chunk").cast("long") * chunk_us)
+    low, high = F.greatest(F.col("__first"), start), F.least(F.col("__first") + F.col("__size"), start + F.size("__s"))
+    part = F.struct(low.alias("low"), F.slice("__s", (low - start + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("x"))
+    parts = met.where(high > low).groupBy("__row").agg(F.array_sort(F.collect_list(part)).alias("__parts"))  # the chunks of one window
+    kind = chunks.schema["samples"].dataType
+    zeros = lambda n: F.array_repeat(F.lit(0).cast(kind.elementType), F.greatest(n, F.lit(0)).cast("int"))
+    begun = F.struct(F.col("__first").alias("at"), F.array().cast(kind).alias("x"))
+    join = lambda acc, p: F.struct((p["low"] + F.size(p["x"])).alias("at"), F.concat(acc["x"], zeros(p["low"] - acc["at"]), p["x"]).alias("x"))
+    none = F.array().cast("array<struct<low:bigint,x:%s>>" % kind.simpleString())
+    out = rows.join(parts, "__row", "left").withColumn("__all", F.aggregate(F.coalesce("__parts", none), begun, join))
+    return out.select(*events.columns, "sr", F.concat("__all.x", zeros(F.col("__first") + F.col("__size") - F.col("__all.at"))).alias("samples"))
+
+
+#: Samples on either side of an event that are its noise, and least samples of an event.
+NOISE_SAMPLES, LEAST_SAMPLES = 2_000, 257
+
+
+def band_power(rows: DataFrame, event: str = "event", before: str = "before", after: str = "after") -> DataFrame:
+    """``rows`` with power and snr of the event's samples within its band (sr, f_low_hz, f_high_hz).
+
+    The event alone is band-passed; the noise is all of ``before`` and ``after``. An event whose band is
+    empty or open at an end (0) is taken unfiltered; one of fewer than ``LEAST_SAMPLES`` has neither.
+    """
+    whole = (F.col("f_low_hz") >= F.col("f_high_hz")) | (F.col("f_low_hz") == 0) | (F.col("f_high_hz") == 0)
+    x = F.transform(event, lambda v: v.cast("double"))
+    long_enough = F.coalesce(F.size(event) >= LEAST_SAMPLES, F.lit(False))
+    some = F.when(long_enough, x).otherwise(F.array(F.lit(0.0)))  # never an empty array
+    banded = rows.withColumn("__y", band_pass(some, F.col("sr"), F.coalesce(F.when(whole, 0.0).otherwise(F.col("f_low_hz")), F.lit(0.0)), F.coalesce(F.when(whole, F.col("sr") / 2).otherwise(F.col("f_high_hz")), F.col("sr") / 2)))
+    return banded.withColumns({"power": F.when(long_enough, mean_power("__y")), "snr": F.when(long_enough, snr("__y", before, after))}).drop("__y")
+
+
 def mean_power(samples) -> Column:
     """Mean square of samples, NULL without any."""
     x = F.col(samples) if isinstance(samples, str) else samples
@@ -246,51 +296,96 @@ def ridge_response(column: Column, widths: tuple[int, ...] = (1, 2, 3)) -> Colum
 COMPONENT = ["area_px", "x_px", "y_px", "w_px", "h_px", "n_cols", "sweep_frac", "area_frac", "mean_response"]
 
 
-def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_area: int = 30, response=ridge_response) -> DataFrame:
-    """keep and a row per 8-connected component of a chunk's image (frames by bins) above a percentile.
+def ellipse(width: int, height: int) -> list[tuple[int, int]]:
+    """(frame, bin) offsets of an elliptic kernel: in each row of bins the pixels within the ellipse."""
+    rx, ry = width // 2, height // 2
+    half = lambda y: round(rx * np.sqrt((ry * ry - y * y) / (ry * ry))) if ry else rx
+    return [(x, y) for y in range(-ry, ry + 1) for x in range(-int(half(y)), int(half(y)) + 1)]
 
-    Bright bins become runs within frames, runs of neighbouring frames that touch become edges, and
-    edges components; every step is rows of chunks, dealt over tasks.
+
+def close_pixels(pixels: DataFrame, keep: list[str], kernel: list[tuple[int, int]]) -> DataFrame:
+    """Morphological closing of a chunk's pixels (keep, frame, bin, __frames, __bins): dilation, then erosion.
+
+    Places outside the image neither grow nor hinder. Pixels are rows, dealt by chunk and place.
     """
-    db = frames.select(*keep, "frame", F.transform("power", lambda p: 10 * F.log10(p + EPS)).alias("__db"))
-    bright = db.select(*keep, "frame", F.posexplode(response(F.col("__db"))).alias("bin", "r"))
-    cut_at = bright.groupBy(*keep).agg(F.percentile("r", percentile / 100).alias("__cut"), F.count(F.lit(1)).alias("__pixels"), (F.max("bin") + 1).alias("__bins"))  # a chunk's pixels
-    on = bright.join(cut_at, keep).where(F.col("r") >= F.col("__cut"))
+    offsets = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in kernel))
+    inside = lambda o: (F.col("frame") + o["x"]).between(0, F.col("__frames") - 1) & (F.col("bin") + o["y"]).between(0, F.col("__bins") - 1)
+    spread = lambda df: df.select(*keep, "__frames", "__bins", F.explode(F.transform(F.filter(offsets, inside), lambda o: F.struct((F.col("frame") + o["x"]).alias("frame"), (F.col("bin") + o["y"]).alias("bin")))).alias("to")).select(*keep, "__frames", "__bins", "to.*")
+    grown = spread(pixels).distinct()
+    # a place stays if all places of the kernel around it that lie in the image are grown
+    met = spread(grown).groupBy(*keep, "__frames", "__bins", "frame", "bin").agg(F.count(F.lit(1)).alias("__met"))
+    return met.where(F.col("__met") == F.size(F.filter(offsets, inside))).drop("__met")
+
+
+def _labelled(on: DataFrame, keep: list[str]) -> DataFrame:
+    """Runs of bright bins within frames with the label of their 8-connected component."""
     line = Window.partitionBy(*keep, "frame").orderBy("bin")
     runs = on.withColumn("__run", F.col("bin") - F.row_number().over(line)).groupBy(*keep, "frame", "__run").agg(
-        F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("r").alias("r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins")
+        F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("r").alias("r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins"), F.max("__frames").alias("__frames")
     )
-    runs = runs.withColumn("id", F.col("frame").cast("long") * (1 << 20) + F.col("lo"))
+    runs = cut(runs.withColumn("id", F.col("frame").cast("long") * (1 << 20) + F.col("lo")), "runs")
     a = runs.select(*keep, (F.col("frame") + 1).alias("frame"), F.col("id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     touch = (F.col("lo") <= F.col("a_hi") + 1) & (F.col("hi") >= F.col("a_lo") - 1)
     edges = runs.select(*keep, "frame", F.col("id").alias("b"), "lo", "hi").join(a, [*keep, "frame"]).where(touch)
-    labelled = runs.join(components(runs, edges, keep), [*keep, "id"])
+    return runs.join(components(runs, edges, keep), [*keep, "id"])
+
+
+def _boxes(labelled: DataFrame, keep: list[str]) -> DataFrame:
+    return labelled.groupBy(*keep, "label").agg(
+        F.sum(F.col("hi") - F.col("lo") + 1).cast("int").alias("area_px"), F.min("frame").alias("x_px"), F.min("lo").alias("y_px"), (F.max("frame") - F.min("frame") + 1).alias("w_px"),
+        (F.max("hi") - F.min("lo") + 1).alias("h_px"), F.sum("r").alias("__r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins"),
+    )
+
+
+def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_area: int = 30, response=ridge_response, gate: Column | None = None, closing: tuple[int, int] | None = None) -> DataFrame:
+    """keep and a row per 8-connected component of a chunk's image (frames by bins) above a percentile.
+
+    Bright bins become runs within frames, runs of neighbouring frames that touch become edges, and
+    edges components; every step is rows of chunks, dealt over tasks. ``gate`` (over a component's
+    measures) drops components; with ``closing``, the frames and bins of an elliptic kernel, what passes
+    is closed, and components are taken, and gated, again.
+    """
+    db = frames.select(*keep, "frame", F.transform("power", lambda p: 10 * F.log10(p + EPS)).alias("__db"))
+    bright = db.select(*keep, "frame", F.posexplode(response(F.col("__db"))).alias("bin", "r"))
+    cut_at = bright.groupBy(*keep).agg(F.percentile("r", percentile / 100).alias("__cut"), F.count(F.lit(1)).alias("__pixels"), (F.max("bin") + 1).alias("__bins"), (F.max("frame") + 1).alias("__frames"))  # a chunk's pixels
+    labelled = _labelled(bright.join(cut_at, keep).where(F.col("r") >= F.col("__cut")), keep)
+    passing = (F.col("area_px") >= min_area) if gate is None else (F.col("area_px") >= min_area) & gate
+    if closing is not None:
+        stay = _boxes(labelled, keep).where(passing).select(*keep, "label")
+        pixels = labelled.join(stay, [*keep, "label"], "left_semi").select(*keep, "frame", F.explode(F.sequence("lo", "hi")).alias("bin"), "__frames", "__bins")
+        closed = close_pixels(pixels, keep, ellipse(*closing)).select(*keep, "frame", "bin")
+        labelled = _labelled(bright.join(closed, [*keep, "frame", "bin"], "left_semi").join(cut_at.drop("__cut"), keep), keep)
     # the middle of a component in each of its frames
     middle = labelled.select(*keep, "label", "frame", F.explode(F.sequence("lo", "hi")).alias("bin")).groupBy(*keep, "label", "frame").agg(F.percentile("bin", 0.5).alias("mid"))
     sweep = middle.groupBy(*keep, "label").agg((F.max("mid") - F.min("mid")).alias("__sweep"), F.count(F.lit(1)).cast("int").alias("n_cols"))
-    whole = labelled.groupBy(*keep, "label").agg(
-        F.sum(F.col("hi") - F.col("lo") + 1).cast("int").alias("area_px"), F.min("frame").alias("x_px"), F.min("lo").alias("y_px"), (F.max("frame") - F.min("frame") + 1).alias("w_px"),
-        (F.max("hi") - F.min("lo") + 1).alias("h_px"), F.sum("r").alias("__r"), F.max("__pixels").alias("__pixels"), F.max("__bins").alias("__bins"),
-    ).where(F.col("area_px") >= min_area)
+    whole = _boxes(labelled, keep).where(passing)
     out = whole.join(sweep, [*keep, "label"]).withColumns({"sweep_frac": F.col("__sweep") / F.col("__bins"), "area_frac": F.col("area_px") / F.col("__pixels"), "mean_response": F.col("__r") / F.col("area_px")})
     return out.select(*keep, *COMPONENT)
 
 
-def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0) -> DataFrame:
+#: Stage 1 of the detection job: tallest and widest component, and the kernel that closes masks.
+ASPECT, CLOSING = 5.0, (7, 3)
+
+
+def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0, closing: tuple[int, int] | None = CLOSING) -> DataFrame:
     """Components with the reason of the gates (``keep`` or why not): the whole detection job.
 
-    ``keep`` identifies a chunk (columns ``samples`` and ``sr``). Components that fail the stage-1
-    gates (aspect, or no bin up to ``min_hz``) are none; the others get the centroid and flatness
-    of their band and span of samples, on which the spectral gates act.
+    ``keep`` identifies a chunk (columns ``samples`` and ``sr``, which is one rate). Components that fail the stage-1
+    gates (aspect, or no bin above ``min_hz``) are none, before masks are closed and after; the others
+    get the centroid and flatness of their band and span of samples, on which the spectral gates act.
     """
     from chirpline.operators.gates import stage1_ok
 
-    found = segment(spectrogram(chunks, keep, size, hop), keep, percentile, min_area)
+    rates = [r.sr for r in chunks.select("sr").distinct().limit(2).collect()]
+    if len(rates) > 1:
+        raise ValueError("chunks of one rate only: split them by sr")
+    bin_of = size // 2 - math.floor(size // 2 - min_hz * size / rates[0]) if rates else 0
+    # stage1_ok counts rows from the highest bin, components from the lowest: the top bin must reach that of min_hz
+    in_pitch = F.col("y_px") + F.col("h_px") - 1 >= bin_of
+    found = segment(spectrogram(chunks, keep, size, hop), keep, percentile, min_area, gate=stage1_ok(min_area, ASPECT, ASPECT) & in_pitch, closing=closing)
     columns = found.columns
     met = found.join(chunks.select(*(F.col(k).alias(f"__{k}") for k in keep), "samples", "sr"), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keep])
     top, bin_hz = F.col("y_px") + F.col("h_px") - 1, F.col("sr") / size
-    # stage1_ok counts rows from the highest bin, components from the lowest
-    met = met.withColumns({"__y": F.col("y_px"), "y_px": size // 2 - top}).where(stage1_ok(min_area, max_row=F.floor(size // 2 - F.lit(min_hz) / bin_hz))).withColumn("y_px", F.col("__y"))
     span = F.slice("samples", F.col("x_px") * hop + 1, (F.col("w_px") - 1) * hop + size)
     met = met.select(*columns, span.alias("samples"), "sr", ((F.col("y_px") - 1) * bin_hz).alias("f_low_hz"), (top * bin_hz).alias("f_high_hz"))
     got = spectral_features(met, columns, ["centroid", "flatness"])

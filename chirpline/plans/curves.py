@@ -238,14 +238,47 @@ def two_stage(spark, d):
 
 
 #: Gates on the features, and on the score, which is an interval's length here: longer ones hit more calls.
-_POOL = [("n_cols", ">=", v) for v in (5.0, 20.0, 60.0, 100.0)] + [("flatness", "<=", v) for v in (0.3, 0.8)] + [("centroid_hz", ">=", v) for v in (10000.0, 25000.0)]
-
-
-@query()
+_POOL = [("n_cols", ">=", v) for v in (5.0, 20.0, 60.0, 100.0, 140.0, 200.0)] + [("flatness", "<=", v) for v in (0.3, 0.8)] + [("centroid_hz", ">=", v) for v in (10000.0, 25000.0)]
+
+
+def _pool_sql() -> str:
+    """Every choice of at most one gate a feature, scored; then the greedy way through them."""
+    names = {"n_cols": "a", "flatness": "b", "centroid_hz": "c"}
+    lists = {f: ", ".join(str(v) for g, _, v in _POOL if g == f) for f in names}
+    axes = ", ".join(f"(select unnest([null, {lists[f]}]::double[]) as {k}) x{k}" for f, k in names.items())
+    ops = {f: o for f, o, _ in _POOL}
+    keep = " and ".join(f"({k} is null or {f} {ops[f]} {k})" for f, k in names.items())
+    pool = " union all ".join(f"select {i} as i, '{f}' as feature, '{o}' as op, {v}::double as threshold" for i, (f, o, v) in enumerate(_POOL))
+    held = lambda s: " and ".join(f"({s}.{k} is null or {s}.{k} = f1s.{k})" for k in names.values())
+    added = lambda s: "case " + " ".join(f"when {s}.{k} is null and f1s.{k} is not null then '{f}'" for f, k in names.items()) + " end"
+    value = lambda s: "case " + " ".join(f"when {s}.{k} is null and f1s.{k} is not null then f1s.{k}" for k in names.values()) + " end"
+    steps = [", s0 as (select a, b, c, f1 from f1s where n = 0)"]
+    for k in (1, 2, 3):
+        was = f"s{k - 1}"
+        steps.append(
+            f", s{k} as (select f1s.a, f1s.b, f1s.c, f1s.f1, p.feature, p.op, p.threshold from f1s join {was} on f1s.n = {k} and {held(was)} join pool p on p.feature = {added(was)} and p.threshold = {value(was)} "
+            f"qualify row_number() over (order by coalesce(f1s.f1, -1) desc, p.i) = 1 and coalesce(f1s.f1, 0) > coalesce({was}.f1, 0) + 0.002)"
+        )
+    rows = " union all ".join(["select 0 as step, cast(null as varchar) as feature, cast(null as varchar) as op, cast(null as double) as threshold, coalesce(f1, 0) as f1 from s0", *(f"select {k}, feature, op, threshold, f1 from s{k}" for k in (1, 2, 3))])
+    return (
+        SQL
+        + f""", sets as (select row_number() over () as trial, * from {axes}),
+kept as (select trial, session, t0_us, t1_us from sdet, sets where {keep}), calls as (select trial, gt.* from gt, sets)"""
+        + _counts_sql("trial, session", "calls", "kept")
+        + f""", su as (select trial, {_SUMS} from cnt group by trial), sc as (select trial, {METRICS_SQL} from su),
+f1s as (select a, b, c, (a is not null)::int + (b is not null)::int + (c is not null)::int as n, f1 from sets left join sc using (trial)), pool as ({pool})"""
+        + "".join(steps)
+        + " "
+        + rows
+    )
+
+
+@query(_pool_sql())
 def forward_selection(spark, d):
+    """M3: step 0 is all detections, without a gate."""
     det, gt = _sides(spark, d)
-    got = G.forward_selection(det.cache(), gt.cache(), _POOL)
-    return spark.createDataFrame([(i, f, o, v, s) for i, ((f, o, v), s) in enumerate(got)], "step int, feature string, op string, threshold double, f1 double")
+    got = G.selection_steps(det, gt, _POOL)
+    return spark.createDataFrame([(i, *(gate or (None, None, None)), s) for i, (gate, s) in enumerate(got)], "step int, feature string, op string, threshold double, f1 double")
 
 
 _DRAW = "cast('0x' || substr(md5('7|{0}|' || trial), 1, 13) as bigint) / 4503599627370496.0"

@@ -55,3 +55,14 @@ def ridge_detections(spark, d):
     # the gates' frequencies are for 125 kHz audio: the same shares of this signal's rate
     gates = G.reason(min_cols=3, min_sweep_frac=0.0, min_centroid_hz=25000.0 * SR / 125000)
     return X.detect(_chunks(spark, d), ["session", "chunk"], gates, 90.0, 4, 64, 16, min_hz=20000.0 * SR / 125000)
+
+
+@query
+def labelled_features(spark, d):
+    """Spans of the signal with their label by the true ones and the features of their band."""
+    span = CHUNK * 1_000_000 // SR
+    chunks = _chunks(spark, d)
+    at = F.col("chunk").cast("long") * span
+    found = chunks.select("session", "channel", F.col("chunk").cast("long").alias("event_id"), (at + span // 10).alias("t0_us"), (at + span // 2).alias("t1_us"), F.lit(50.0).alias("f_low_hz"), F.lit(400.0).alias("f_high_hz"))
+    truth = chunks.where(F.col("chunk") % 3 == 0).select("session", F.col("chunk").cast("long").alias("event_id"), at.alias("t0_us"), (at + span // 4).alias("t1_us"))
+    return X.feature_table(found, truth, chunks, span)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chirpline.functions import intervals as boxes
 from chirpline.operators import budget as B
 from chirpline.operators import latents as L
 from chirpline.operators import matching as M
@@ -355,9 +356,7 @@ def truth_written_and_read(spark, d):
     return readers.read_gt(spark, path)
 
 
-@query(SQL + f"select session, channel, t0_us - {V.CHUNK0_US} as t0_us, t1_us - {V.CHUNK0_US} as t1_us, score from pred where t1_us > t0_us")
-def documents_written_and_read(spark, d):
-    """Detections as documents per session and channel, and back from boxes to times."""
+def _write_documents(spark, d) -> str:
     p = V.predictions(spark, d).where("t1_us > t0_us")
     at = p.withColumn("chunk", F.floor((F.col("t0_us") - V.CHUNK0_US) / V.CHUNK_US)).withColumn("image_key", F.col("chunk").cast("string"))
     width, span = 1000, V.CHUNK_US / 1e6
@@ -367,7 +366,59 @@ def documents_written_and_read(spark, d):
     boxes = at.select("session", "channel", "image_key", x.alias("x"), F.lit(0.0).alias("y"), ((F.col("t1_us") - F.col("t0_us")) / 1e6 / span * width).alias("w"), F.lit(10.0).alias("h"), "score")
     path = shared_dir(spark, "documents")
     writers.write_documents(images, boxes, path)
-    return readers.read_detections(spark, path).select("session", "channel", "t0_us", "t1_us", "score")
+    return path
+
+
+@query(SQL + f"select session, channel, t0_us - {V.CHUNK0_US} as t0_us, t1_us - {V.CHUNK0_US} as t1_us, score from pred where t1_us > t0_us")
+def documents_written_and_read(spark, d):
+    """Detections as documents per session and channel, and back from boxes to times."""
+    return readers.read_detections(spark, _write_documents(spark, d)).select("session", "channel", "t0_us", "t1_us", "score")
+
+
+@query(SQL + f"select (t0_us - {V.CHUNK0_US}) / 1e6 as start_seconds, (t1_us - {V.CHUNK0_US}) / 1e6 as stop_seconds from pred where t1_us > t0_us")
+def vox_times_read(spark, d):
+    """S6."""
+    return readers.vox_table(spark, _write_documents(spark, d))
+
+
+@query(SQL + _counts_sql() + f", s as (select {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in S.COUNTS)} from cnt) select *, {METRICS_SQL} from s")
+def summary_written_and_read(spark, d):
+    """K5: the pooled scores as one JSON file."""
+    path = shared_dir(spark, "summary")
+    scored = S.micro(S.score_sessions(V.ground_truth(spark, d), V.predictions(spark, d)))
+    writers.write_summary(scored, path)
+    return spark.read.schema(scored.schema).json(path)
+
+
+@query(SQL + "select vec_id, cluster_id, len(embedding) as dims from lat where vec_id % 3 = 1")
+def latents_written_and_read(spark, d):
+    """The latents of one cohort."""
+    path = shared_dir(spark, "latents")
+    V.latents(spark, d).withColumn("cohort", F.concat(F.lit("c"), F.col("vec_id") % 3)).write.parquet(path)
+    return readers.read_latents(spark, path, "c1").select("vec_id", "cluster_id", F.size("embedding").cast("long").alias("dims"))
+
+
+@query(SQL + "select vec_id, list_max(list_transform(embedding, lambda x: case when x > 0 then x else 0 end)) as top, cast(len(list_filter(embedding, lambda x: x > 0)) as bigint) as kept from lat")
+def masked_arms(spark, d):
+    """The masked arm of the latents, with the positive components as the mask."""
+    arms = L.masked_arms(V.latents(spark, d).withColumn("mask", F.transform("embedding", lambda x: (x > 0).cast("int"))), "embedding")
+    return arms.select("vec_id", F.array_max("masked").cast("float").alias("top"), F.size(F.filter("masked", lambda x: x != 0)).cast("long").alias("kept"))
+
+
+@query(SQL + """select chunk_id, l_linenumber, l_partkey, l_suppkey, cast(10 * least(greatest(cast(trunc(x2) as int), 0), 99) as double) as at, (x1 + (x2 - x1) / 2) / 200 as cx, (y1 + (y2 - y1) / 2) / 100 as cy, (x2 - x1) / 200 as w, (y2 - y1) / 100 as h, score / 1000 as khz from box""")
+def box_axes(spark, d):
+    """A box's end on an axis of 100 places, its centre and size as shares, and a pitch in kHz."""
+    b = V.boxes(spark, d)
+    axis = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (i * 10).cast("double"))
+    cx, cy, w, h = boxes.xywh_to_center(boxes.xyxy_to_xywh(("x1", "y1", "x2", "y2")), F.lit(200), F.lit(100))
+    return b.select("chunk_id", *_KEY, boxes.axis_lookup(axis, "x2").alias("at"), cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"), boxes.to_khz("score").alias("khz"))
+
+
+@query(SQL + ", c as (select *, score / 100000 * (1 - (x2 - x1) / 50) as value from box) select chunk_id, l_linenumber, l_partkey, l_suppkey, value from c where value > 0 qualify row_number() over (partition by chunk_id order by value desc, l_linenumber, l_partkey, l_suppkey) = 1")
+def best_candidates(spark, d):
+    """The candidate of the brightest and least filled box of each chunk."""
+    c = V.boxes(spark, d).withColumns({"mean_response": F.col("score") / 100000, "extent": (F.col("x2") - F.col("x1")) / 50})
+    return M.best_candidate(c.withColumn("value", M.candidate_score()), ["chunk_id"], "value", _KEY).select("chunk_id", *_KEY, "value")
 
 
 @query("with t as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place, count(*) over () as total from orders) select shard, count(*) as n from (select floor(place / 128) as shard from t where floor(place / 128) < floor(total / 128) or floor(total / 128) = 0) group by shard")

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chirpline.functions.intervals import bbox_to_time, natural_key, parse_vector, session_key, session_of_path
+from chirpline.functions.intervals import bbox_to_time, micros, natural_key, parse_vector, session_key, session_of_path
+from chirpline.sources.audio import samples_of
 
 GT = "name string, start_seconds string, stop_seconds string"
 LABELS = "experiment string, idx string, start_seconds string, stop_seconds string, is_vocalization string"
@@ -34,10 +35,6 @@ def number(c) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def micros(seconds: Column) -> Column:
-    return F.round(seconds * 1_000_000).cast("bigint")
-
-
 def _times(df: DataFrame, start: str, stop: str) -> DataFrame:
     df = df.withColumns({"t0_us": micros(number(start)), "t1_us": micros(number(stop))})
     return df.where("t0_us is not null and t1_us is not null").drop(start, stop)
@@ -91,7 +88,10 @@ def vox_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wav(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """session, channel, sr, samples: the first file in order of name of each session and channel."""
+    """session, channel, sr, samples: the first file in order of name of each session and channel.
+
+    A file is a row here; :func:`chirpline.sources.audio.read_wav_chunks` reads long ones by ranges.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}_*.wav").load(path)
     files = files.select("path", "content", session_of_path(F.col("path")).alias("session"), F.regexp_extract("path", rf"{prefix}_(\d+)_[^/]*\.wav$", 1).try_cast("int").alias("channel"))
     first = files.groupBy("session", "channel").agg(F.min("path").alias("path"))
@@ -107,9 +107,7 @@ def read_wav(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 def pcm(raw: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and the first channel of a PCM file as numbers in [-1, 1)."""
     with wave.open(io.BytesIO(raw)) as w:
-        width, n = w.getsampwidth(), w.getnchannels()
-        data = np.frombuffer(w.readframes(w.getnframes()), {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).reshape(-1, n)[:, 0]
-        return w.getframerate(), ((data.astype(np.float32) - 128) / 128 if width == 1 else data / float(1 << (8 * width - 1))).astype(np.float32)
+        return w.getframerate(), samples_of(w.readframes(w.getnframes()), w.getnchannels(), w.getsampwidth())
 
 
 def slice_chunks(audio: DataFrame, seconds: float = 1.0) -> DataFrame:
