@@ -9,7 +9,7 @@ from chirpline.operators import gates as G
 from chirpline.plans import views as V
 from chirpline.operators.scoring import COUNTS
 from chirpline.plans.scoring import BOUTS_SQL, _counts_sql
-from chirpline.plans.views import METRICS_SQL, SQL, hit_sql, merged_sql
+from chirpline.plans.views import MATCHING_SQL, METRICS_SQL, RECURSIVE_SQL, SQL, greedy_sql, hit_sql, merged_sql
 
 Q, O = {}, {}
 
@@ -308,7 +308,21 @@ def one_at_a_time_sweep(spark, d):
     return out.select(F.split_part("strategy", F.lit("="), F.lit(1)).alias("variable"), F.split_part("strategy", F.lit("="), F.lit(2)).cast("double").alias("value"), *(c for c in out.columns if c != "strategy"))
 
 
-@query()
+_SWEPT_SQL = (
+    RECURSIVE_SQL
+    + ", sw as ("
+    + " union all ".join(f"select '{n}' as strategy, session, channel, event_id, t0_us, t1_us from sdet where {c}" for n, c in _SWEPT.items())
+    + f"), sg as (select strategy, channel, gt.* from gt, (select unnest([0, 1]) as channel), (select unnest({list(_SWEPT)}) as strategy))"
+    + greedy_sql("strategy, session, channel", "sg", "sw")
+    + """, n as (select strategy, sum(g) as n_gt, sum(p) as n_pred, sum(m) as tp from (
+  select strategy, 1 as g, 0 as p, 0 as m from sg union all select strategy, 0, 1, 0 from sw union all select strategy, 0, 0, 1 from gm) group by all),
+c as (select strategy, cast(tp as bigint) as tp, cast(n_pred - tp as bigint) as fp, cast(n_gt - tp as bigint) as fn from n) select *, """
+    + MATCHING_SQL
+    + " from c"
+)
+
+
+@query(_SWEPT_SQL)
 def matching_sweep(spark, d):
     """The same points by greedy one-to-one matches of each session and channel."""
     det, gt = _sides(spark, d)

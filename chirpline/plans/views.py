@@ -134,6 +134,30 @@ def hit_sql(a: str, b: str, by: str = "session") -> str:
     return f"exists (select 1 from {b} where {same} and {b}.t0_us < {a}.t1_us and {b}.t1_us > {a}.t0_us and {a}.t1_us > {a}.t0_us and {b}.t1_us > {b}.t0_us)"
 
 
+RECURSIVE_SQL = SQL.replace("with iv", "with recursive iv", 1)
+
+
+def greedy_sql(by: str, g: str, p: str) -> str:
+    """CTEs after RECURSIVE_SQL: ``gm`` has the pairs of g and p, best first, taken one by one while both ends are free."""
+    keys = by.split(", ")
+    of = lambda t: ", ".join(f"{t}.{c}" for c in keys)
+    same = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    iou = "(least(g.t1_us, p.t1_us) - greatest(g.t0_us, p.t0_us)) / (greatest(g.t1_us, p.t1_us) - least(g.t0_us, p.t0_us))::double"
+    return f""", pr as (
+  select {of("g")}, g.event_id as g, p.event_id as p, {iou} as iou,
+         row_number() over (partition by {of("g")} order by {iou} desc, g.t0_us desc, g.t1_us desc, g.event_id desc, p.t0_us desc, p.t1_us desc, p.event_id desc) as k
+  from {g} g join {p} p on {same("g", "p")} and p.t0_us < g.t1_us and p.t1_us > g.t0_us and g.t1_us > g.t0_us and p.t1_us > p.t0_us),
+walk as (
+  select distinct {by}, 0::bigint as k, null::bigint as g, null::bigint as p, null::double as iou, []::bigint[] as gs, []::bigint[] as ps from pr
+  union all
+  select {of("w")}, pr.k, case when free then pr.g end, case when free then pr.p end, pr.iou, case when free then list_append(gs, pr.g) else gs end, case when free then list_append(ps, pr.p) else ps end
+  from walk w join pr on {same("pr", "w")} and pr.k = w.k + 1, lateral (select not list_contains(gs, pr.g) and not list_contains(ps, pr.p) as free)),
+gm as (select {by}, g as gt_id, p as pred_id, iou from walk where g is not null)
+"""
+
+
+MATCHING_SQL = """coalesce(tp / nullif(tp + fp, 0)::double, 0) as "precision", coalesce(tp / nullif(tp + fn, 0)::double, 0) as recall, case when tp > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end as f1"""
+
 METRICS_SQL = """
   tp / nullif(tp + fn, 0)::double as recall, pred_tp / nullif(pred_tp + fp, 0)::double as "precision",
   case when tp / nullif(tp + fn, 0)::double + pred_tp / nullif(pred_tp + fp, 0)::double > 0
