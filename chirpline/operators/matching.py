@@ -16,6 +16,8 @@ from chirpline.sources.shared import cut, drop_cut
 BOX = ("x1", "y1", "x2", "y2")
 #: Bucket of the join for candidate pairs: 10 minutes, so that dense time lines have small buckets.
 MATCH_BUCKET_US = 600_000_000
+#: Boxes of an image from which they are dealt over a grid.
+DENSE = 20_000
 #: Growth of the stretches from round to round of a matching.
 WIDER = 16
 
@@ -103,11 +105,53 @@ def matching_score(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0
     return out.select(*by, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn")).withColumns(matching_metrics())
 
 
-def suppress(boxes: DataFrame, by: list[str], iou: float = 0.3, order: list[str] = ()) -> DataFrame:
+def suppress(boxes: DataFrame, by: list[str], iou: float = 0.3, order: list[str] = (), dense: int = DENSE) -> DataFrame:
     """Non-maximum suppression by score in each ``by`` (an image's boxes; ties by ``order``).
 
-    Boxes stream through a task in order of score; only an image's kept boxes are remembered.
+    An image's boxes stream through a task in order of score, and only kept boxes are remembered; those
+    of images with more than ``dense`` boxes are dealt over the cells of a grid instead. Both give the same.
     """
+    sizes = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg(F.abs(F.col("x2") - F.col("x1"))).alias("__w"), F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("__h")).where(F.col("__n") > dense)
+    crowded = cut(sizes.select(*(F.col(c).alias(f"__{c}") for c in by), "__w", "__h"), "crowded")
+    if crowded.isEmpty():
+        return _suppress_streamed(boxes, by, iou, order)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    big = boxes.join(crowded, same).select(*boxes.columns, "__w", "__h")
+    small = boxes.join(crowded, same, "left_anti")
+    return _suppress_streamed(small, by, iou, order).unionByName(_suppress_by_cells(big, by, iou, order).select(*boxes.columns))
+
+
+def _suppress_by_cells(boxes: DataFrame, by: list[str], iou: float, order: list[str]) -> DataFrame:
+    """Rounds over a grid with cells (__w, __h) of about a box.
+
+    Boxes that overlap share a cell, so a box that is the best left in all its cells stays. There
+    is one such box at most in a cell; what it hides there goes, and the next round begins.
+    """
+    left = cut(boxes.withColumn("__id", F.monotonically_increasing_id()), "boxes")
+    kept = []
+    rank = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("low"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col("__id").alias("id"))
+    span = lambda lo, hi, size: F.sequence(F.floor(F.col(lo) / F.greatest(F.col(size), F.lit(1e-9))), F.floor(F.greatest(F.col(lo), F.col(hi)) / F.greatest(F.col(size), F.lit(1e-9))))
+    line = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
+    while not left.isEmpty():
+        at = left.select("__id", rank.alias("rank"), F.struct(*BOX).alias("box"), F.struct(*line).alias("image"), F.explode(span("x1", "x2", "__w")).alias("i"), "y1", "y2", "__h")
+        at = at.select("__id", "rank", "box", "image", "i", F.explode(span("y1", "y2", "__h")).alias("j"))
+        best = at.groupBy("image", "i", "j").agg(F.min("rank").alias("top"), F.min_by("box", "rank").alias("over"))
+        met = cut(at.join(best, ["image", "i", "j"]).select("__id", "box", (F.col("rank") == F.col("top")).alias("first"), F.col("top.id").alias("top"), "over"), "cells")
+        won = met.groupBy("__id").agg(F.bool_and("first").alias("won")).where("won").select("__id")
+        over, mine = [F.col(f"over.{c}") for c in BOX], [F.col(f"box.{c}") for c in BOX]
+        inter = F.greatest(F.lit(0.0), F.least(mine[2], over[2]) - F.greatest(mine[0], over[0])) * F.greatest(F.lit(0.0), F.least(mine[3], over[3]) - F.greatest(mine[1], over[1]))
+        both = (mine[2] - mine[0]) * (mine[3] - mine[1]) + (over[2] - over[0]) * (over[3] - over[1])
+        hides = F.when(both > inter, inter / (both - inter) > iou).otherwise(False)
+        gone = met.where(~F.col("first")).join(won.select(F.col("__id").alias("top")), "top", "left_semi").where(hides).select("__id").distinct()
+        kept.append(cut(left.join(won, "__id", "left_semi"), "kept"))
+        rest = cut(left.join(won.unionByName(gone), "__id", "left_anti"), "boxes")
+        drop_cut(left, met)
+        left = rest
+    return reduce(DataFrame.unionByName, kept, left)
+
+
+def _suppress_streamed(boxes: DataFrame, by: list[str], iou: float, order: list[str]) -> DataFrame:
+    """The same, an image's boxes through one task."""
 
     def run(batches):
         image, kept = None, []

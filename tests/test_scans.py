@@ -175,6 +175,19 @@ def test_a_long_chain_is_matched_in_few_rounds(spark):
     assert got == want and pairs >= want and time.time() - start < 120
 
 
+def test_boxes_over_a_grid_give_the_same(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(260):
+        x, y, w, h = rng.uniform(-20, 60), rng.uniform(0, 40), rng.choice([0.0, 3.0, 8.0, 30.0]), rng.uniform(1, 9)
+        rows.append((rng.choice(["a", "b", None]), i, x, y, x + w, y + h, rng.choice([None, 0.5, round(rng.random(), 1)])))
+    df = table(spark, rows + [rows[0]], "image string, id long, x1 double, y1 double, x2 double, y2 double, score double")
+    streamed = sorted(map(str, matching.suppress(df, ["image"], 0.3, ["id"]).collect()))
+    for dense in (0, 90):
+        assert sorted(map(str, matching.suppress(df, ["image"], 0.3, ["id"], dense).collect())) == streamed
+    assert matching.suppress(df.where("false"), ["image"], 0.3, ["id"], 0).collect() == [] and len(streamed) < len(rows)
+
+
 def test_ellipse():
     assert sorted(signal.ellipse(7, 3)) == sorted([(0, -1), (0, 1), *((x, 0) for x in range(-3, 4))])
     assert signal.ellipse(1, 1) == [(0, 0)]
