@@ -26,13 +26,16 @@ def method_pairs(counts: DataFrame, by: str = "method") -> DataFrame:
 def bootstrap_draws(sessions: DataFrame, sizes: list[int], trials: int, seed: int, key: str = "session") -> DataFrame:
     """size, trial, session, times: sessions drawn with replacement, by hash, the same for all methods.
 
-    Draws are summed to a multiplicity per session before anything is joined to them.
+    A trial is a vector of counts: draws are summed to a multiplicity per session before anything is
+    joined to them. The hash (md5 of seed, size, trial and draw) is one that SQL has too.
     """
     numbered = sessions.select(key).distinct().withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)  # a row per session
-    n = numbered.count()
+    n = numbered.agg(F.count(F.lit(1)).alias("__sessions"))
     grid = sessions.sparkSession.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(*map(F.lit, sizes))).alias("size"))
-    draws = grid.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("size")))).withColumn("__i", F.pmod(F.xxhash64("size", "trial", "draw", F.lit(seed)), F.lit(max(1, n))).cast("int"))
-    return draws.groupBy("size", "trial", "__i").agg(F.count(F.lit(1)).alias("times")).join(F.broadcast(numbered), "__i").drop("__i")
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("size").cast("string"), F.col("trial").cast("string"), F.col("draw").cast("string"))
+    at = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % F.col("__sessions")
+    draws = grid.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("size")))).join(F.broadcast(n.where("__sessions > 0"))).withColumn("__i", at.cast("int"))  # one row
+    return draws.groupBy("size", "trial", "__i").agg(F.count(F.lit(1)).alias("times")).join(numbered, "__i").drop("__i")
 
 
 def bootstrap(counts: DataFrame, sizes: list[int], trials: int = 200, alpha: float = 0.05, seed: int = 0, by: str = "method") -> DataFrame:

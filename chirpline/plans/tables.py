@@ -251,12 +251,27 @@ def common_sessions(spark, d):
     return B.common_sessions(_by_method(spark, d))
 
 
-@query()
+#: Two hundred trials of 5, 10 and 20 sessions that every method has.
+_TRIALS = (
+    _METHODS
+    + f""", com as (select session from cnt group by session having count(distinct method) = (select count(distinct method) from cnt)),
+num as (select session, row_number() over (order by session) - 1 as i from com),
+dr as (select size, trial, cast('0x' || substr(md5('0|' || size || '|' || trial || '|' || draw), 1, 13) as bigint) % (select count(*) from num) as i
+       from (select size, trial, unnest(range(1, size + 1)) as draw from (select unnest([5, 10, 20]) as size), range(200) t(trial))),
+tm as (select size, trial, session, count(*) as times from dr join num using (i) group by all),
+ps as (select method, size, trial, {', '.join(f'sum({c} * times) as {c}' for c in ('tp', 'fn', 'pred_tp', 'fp'))} from cnt join tm using (session) group by all),
+tr as (select *, {METRICS_SQL} from ps)
+"""
+)
+
+
+@query(_TRIALS + "select method, size, " + ", ".join(f'quantile_cont("{m}", {q}) as {m}_{n}' for m in ("recall", "precision") for n, q in (("lo", 0.025), ("med", 0.5), ("hi", 0.975))) + " from tr group by method, size")
 def bootstrap_intervals(spark, d):
     return B.bootstrap(B.common_sessions(_by_method(spark, d)), [5, 10, 20], 200)
 
 
-@query()
+@query(_TRIALS + """, df as (select size, trial, max(case when method = 'm_click' then f1 end) - max(case when method = 'm_view' then f1 end) as d from tr group by all),
+q as (select size, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from df group by size) select *, lo > 0 or hi < 0 as excludes_zero from q""")
 def bootstrap_difference(spark, d):
     return B.bootstrap_difference(B.common_sessions(_by_method(spark, d)), "m_click", "m_view", [5, 10, 20], 200)
 
