@@ -363,11 +363,11 @@ def segment(frames: DataFrame, keep: list[str], percentile: float = 95.0, min_ar
     return out.select(*keep, *COMPONENT)
 
 
-#: Stage 1 of the detection job: tallest and widest component, and the kernel that closes masks.
-ASPECT, CLOSING = 5.0, (7, 3)
+#: The kernel that closes masks in the detection job.
+CLOSING = (7, 3)
 
 
-def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0, closing: tuple[int, int] | None = CLOSING) -> DataFrame:
+def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0, min_area: int = 30, size: int = 512, hop: int = 256, min_hz: float = 20000.0, closing: tuple[int, int] | None = CLOSING, max_vertical: float = 8.0, max_horizontal: float = 30.0) -> DataFrame:
     """Components with the reason of the gates (``keep`` or why not): the whole detection job.
 
     ``keep`` identifies a chunk (columns ``samples`` and ``sr``, which is one rate). Components that fail the stage-1
@@ -382,7 +382,7 @@ def detect(chunks: DataFrame, keep: list[str], gates, percentile: float = 95.0,
     bin_of = size // 2 - math.floor(size // 2 - min_hz * size / rates[0]) if rates else 0
     # stage1_ok counts rows from the highest bin, components from the lowest: the top bin must reach that of min_hz
     in_pitch = F.col("y_px") + F.col("h_px") - 1 >= bin_of
-    found = segment(spectrogram(chunks, keep, size, hop), keep, percentile, min_area, gate=stage1_ok(min_area, ASPECT, ASPECT) & in_pitch, closing=closing)
+    found = segment(spectrogram(chunks, keep, size, hop), keep, percentile, min_area, gate=stage1_ok(min_area, max_vertical, max_horizontal) & in_pitch, closing=closing)
     columns = found.columns
     met = found.join(chunks.select(*(F.col(k).alias(f"__{k}") for k in keep), "samples", "sr"), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keep])
     top, bin_hz = F.col("y_px") + F.col("h_px") - 1, F.col("sr") / size

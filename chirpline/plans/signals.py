@@ -54,7 +54,7 @@ def spectral_features(spark, d):
 def ridge_detections(spark, d):
     # the gates' frequencies are for 125 kHz audio: the same shares of this signal's rate
     gates = G.reason(min_cols=3, min_sweep_frac=0.0, min_centroid_hz=25000.0 * SR / 125000)
-    return X.detect(_chunks(spark, d), ["session", "chunk"], gates, 90.0, 4, 64, 16, min_hz=20000.0 * SR / 125000)
+    return X.detect(_chunks(spark, d), ["session", "chunk"], gates, 90.0, 4, 64, 16, min_hz=20000.0 * SR / 125000, max_vertical=5.0, max_horizontal=5.0)
 
 
 @query
