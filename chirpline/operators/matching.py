@@ -2,99 +2,132 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirpline.functions.intervals import box_area, box_containment, iou_1d, natural_key
+from chirpline.functions.intervals import box_area, box_containment, natural_key
 from chirpline.functions.metrics import matching_metrics
-from chirpline.operators.intervals import overlap_join
 from chirpline.sources.shared import cut, drop_cut
 
 BOX = ("x1", "y1", "x2", "y2")
-#: Bucket of the join for candidate pairs: 10 minutes, so that dense time lines have small buckets.
+#: Least stretch of time in which a matching begins, 10 minutes, and how many mean lengths of an interval it has.
 MATCH_BUCKET_US = 600_000_000
+LENGTHS = 32
 #: Boxes of an image from which they are dealt over a grid.
 DENSE = 20_000
 #: Growth of the stretches from round to round of a matching.
 WIDER = 16
 
 
-def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int = MATCH_BUCKET_US) -> DataFrame:
+def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int | None = None) -> DataFrame:
     """by, gt id, pred id, iou of the pairs chosen best first; ties go to the higher place in time.
 
-    Candidate pairs come from the bucketed join and are dealt over stretches of time. Within a stretch
-    pairs stream past in falling order and are decided as one by one, as far as that can be known there: a
-    pair is left open if a better one of its ends is open, or if its detection has a better pair in
-    another stretch. What is open goes on to the next round, over stretches ``WIDER`` times as long, so the
-    rounds grow with the logarithm of the longest chain of pairs that wait for each other. A
-    stretch's open pairs pass through one task, which keeps their ends, never the pairs.
+    Intervals, never pairs, are dealt over stretches of time, to all that they touch. A stretch decides
+    its pairs as one by one, as far as that can be known there: one that reaches over a border waits, and
+    what it could still take waits with it. What waits goes on to the next round, over stretches ``WIDER``
+    times as long with other borders, so rounds grow with the logarithm of the longest chain of intervals
+    that wait for each other. Files and a task's memory grow with the intervals, not with their pairs.
     """
-    side = lambda df: df.select(*by, F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
-    end = lambda x: F.struct(*(F.col(f"{x}{c}").alias(c) for c in ("t0_us", "t1_us", "id")))
-    pairs = overlap_join(side(gt), side(pred), by, bucket_us, iou)
-    left = cut(pairs.select(*by, iou_of().alias("iou"), end("").alias("g"), end("b_").alias("p")).distinct(), "pairs")
-    columns, chosen, width = left.columns, [], bucket_us
-    while not left.isEmpty():
-        done = cut(_decide(left, by, width), "match-round")
-        taken = done.where("state = 1").select(*columns)
-        chosen.append(taken)
-        open_ = done.where("state = 0").select(*columns).join(taken.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("p").alias("__p")), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("p") == F.col("__p")], "left_anti")
-        rest = cut(open_, "pairs")
-        drop_cut(left)
-        left, width = rest, width * WIDER
-    out = reduce(DataFrame.unionByName, chosen, left)
-    return out.select(*by, F.col("g.id").alias("gt_id"), F.col("p.id").alias("pred_id"), "iou")
-
-
-def _decide(pairs: DataFrame, by: list[str], width: int) -> DataFrame:
-    """``pairs`` with state: 1 taken, -1 dropped, 0 open; decided within stretches of ``width`` µs.
-
-    A call's pairs all lie in one stretch. A detection's may lie in several; the best of its pairs in
-    the others comes with each.
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in gt.select(*by).schema.fields]
+    side = lambda df, n: df.where("t1_us > t0_us").select(*by, F.lit(n).alias("side"), F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
+    left = side(gt, 0).unionByName(side(pred, 1))
+    if bucket_us is None:
+        mean = left.agg(F.avg(F.col("t1_us") - F.col("t0_us"))).first()[0]
+        bucket_us = max(MATCH_BUCKET_US, int(LENGTHS * (mean or 0)))
+    match = _decide(by, iou)
+    schema = ", ".join([*kinds, "side int", "id long", "t0_us long", "t1_us long", "pred_id long", "iou double"])
+    chosen, width = [], bucket_us
+    while True:
+        first, last = (F.floor((F.col(c) + d + width // 2) / width) for c, d in (("t0_us", 0), ("t1_us", -1)))
+        dealt = left.withColumns({"__first": first, "__last": last}).withColumn("__at", F.explode(F.sequence("__first", "__last"))).withColumn("__over", F.col("__first") < F.col("__last"))
+        done = cut(dealt.drop("__first", "__last").groupBy(*by, "__at").applyInArrow(match, schema), "match-round")
+        chosen.append(done.where("iou is not null"))
+        left, width = done.where("iou is null").select(*by, "side", "id", "t0_us", "t1_us"), width * WIDER
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, chosen).select(*by, F.col("id").alias("gt_id"), "pred_id", "iou")
+
+
+def _decide(by: list[str], least: float):
+    """A function of a stretch's intervals: matched ones with pred_id and iou, waiting ones without.
+
+    Intervals of one side, start and end stand together, highest id first. Calls lie in a heap by their
+    best pair with a detection that has copies left, so the top is the best of all free pairs. Those of
+    an interval are looked up among the detections that start before its end, never all kept.
     """
-    rows = pairs.withColumn("__line", F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.floor(F.col("g.t0_us") / width).alias("at")))
-    rank = F.struct("iou", "g", "p")
-    here = rows.groupBy("__line", *by, "p").agg(F.max(rank).alias("best"))
-    # detections that reach into several stretches: their best pair, and the best outside its stretch
-    named = lambda df: df.select(*(F.col(c).alias(f"__{c}") for c in (*by, "p")), *(c for c in df.columns if c not in (*by, "p")))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("p") == F.col("__p")]
-    first = here.groupBy(*by, "p").agg(F.max(F.struct("best", "__line")).alias("first"), F.count(F.lit(1)).alias("stretches")).where("stretches > 1").drop("stretches")
-    both = here.join(named(first), same).where(F.col("__line") != F.col("first.__line")).groupBy(*by, "p").agg(F.first("first").alias("first"), F.max("best").alias("second"))
-    rows = rows.join(named(both), same, "left")
-    other = F.when(F.col("first.__line") == F.col("__line"), F.col("second")).otherwise(F.col("first.best"))
-    rows = rows.select("__line", *pairs.columns, F.coalesce(other > rank, F.lit(False)).alias("__later"))
 
-    def run(batches):
-        line, used, waiting = None, set(), set()
-        for b in batches:
-            lines = b.column("__line").to_pylist()
-            g, p = (zip(b.column(f"{x}_0").to_pylist(), b.column(f"{x}_1").to_pylist(), b.column(f"{x}_2").to_pylist()) for x in "gp")
-            states = []
-            for at, x, y, later in zip(lines, g, p, b.column("__later").to_pylist()):
-                if at != line:
-                    line, used, waiting = at, set(), set()
-                call, found = ("g", *x), ("p", *y)
-                if call in used or found in used:
-                    states.append(-1)
-                elif later or call in waiting or found in waiting:
-                    waiting |= {call, found}
-                    states.append(0)
-                else:
-                    used |= {call, found}
-                    states.append(1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(states, pa.int32())], [*kept, "state"])
-
-    kept = [*(f"k{i}" for i in range(len(by))), "iou", *(f"{x}_{i}" for x in "gp" for i in range(3))]
-    parts = ("t0_us", "t1_us", "id")
-    flat = rows.select(F.to_json("__line", {"ignoreNullFields": "false"}).alias("__line"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), "iou", *(F.col(f"{x}.{c}").alias(f"{x}_{i}") for x in "gp" for i, c in enumerate(parts)), "__later")
-    dealt = flat.repartition("__line").sortWithinPartitions("__line", *(F.col(c).desc() for c in ("iou", *(f"{x}_{i}" for x in "gp" for i in range(3)))))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in kept)
-    got = dealt.mapInArrow(run, schema + ", state int")
-    ends = [F.struct(*(F.col(f"{x}_{i}").alias(c) for i, c in enumerate(parts))).alias(x) for x in "gp"]
-    return got.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(by)), "iou", *ends, "state")
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("side", "ascending"), ("t0_us", "ascending"), ("t1_us", "ascending"), ("id", "descending")]
+        rows = rows.sort_by(order).combine_chunks()
+        side, start, end = (rows.column(c).to_numpy().astype("int64") for c in ("side", "t0_us", "t1_us"))
+        known, ids = rows.column("id").is_valid().to_numpy(), rows.column("id").fill_null(0).to_numpy()
+        differs = lambda *cols: np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        once = np.flatnonzero(differs(side, start, end, known, ids))
+        side, start, end, over = side[once], start[once], end[once], rows.column("__over").to_numpy()[once]
+        heads = np.flatnonzero(differs(side, start, end))
+        left = np.diff([*heads, len(once)])
+        n = int((side[heads] == 0).sum())
+        g0, g1, p0, p1 = start[heads[:n]], end[heads[:n]], start[heads[n:]], end[heads[n:]]
+        g_left, p_left, g_over, p_over = left[:n].tolist(), left[n:].copy(), over[heads[:n]], over[heads[n:]]
+        g_next, p_next = heads[:n].tolist(), heads[n:].tolist()
+        reach = np.maximum.accumulate(p1) if len(p1) else p1
+        lows, highs = np.searchsorted(reach, g0, "right").tolist(), np.searchsorted(p0, g1, "left").tolist()
+        waits, near = np.where(p_over, np.inf, -np.inf), np.zeros(len(p0), bool)
+        taken, with_, share, waiting = [], [], [], []
+
+        def pairs(i):
+            """Free detections that call i overlaps, and their shared over joint length."""
+            at = lows[i] + np.flatnonzero((p1[lows[i] : highs[i]] > g0[i]) & (p_left[lows[i] : highs[i]] > 0))
+            both = np.minimum(p1[at], g1[i]) - np.maximum(p0[at], g0[i])
+            value = both / ((g1[i] - g0[i]) + (p1[at] - p0[at]) - both)
+            return (at[value > least], value[value > least]) if least > 0 else (at, value)
+
+        def push(i):
+            at, value = pairs(i)
+            if len(at):
+                j = len(value) - 1 - int(value[::-1].argmax())  # detections are in order of time
+                heapq.heappush(heap, (-float(value[j]), -i, int(at[j])))
+
+        def wait(i, top):
+            at, value = pairs(i)
+            at, value = at[value <= top], value[value <= top]
+            waits[at], near[at] = np.maximum(waits[at], value), True
+            waiting.append(i)
+
+        heap = []
+        for i in range(n):
+            wait(i, np.inf) if g_over[i] else push(i)
+        while heap:
+            low, i, j = heapq.heappop(heap)
+            i = -i
+            if p_left[j] == 0:
+                push(i)
+            elif waits[j] >= -low:
+                wait(i, -low)
+            else:
+                m = min(g_left[i], int(p_left[j]))
+                taken += range(g_next[i], g_next[i] + m)
+                with_ += range(p_next[j], p_next[j] + m)
+                share += [-low] * m
+                g_left[i] -= m
+                p_left[j] -= m
+                g_next[i] += m
+                p_next[j] += m
+                if g_left[i]:
+                    push(i)
+        open_ = [x for i in waiting if len(pairs(i)[0]) for x in range(g_next[i], g_next[i] + g_left[i])]
+        open_ += [x for j in np.flatnonzero(near & (p_left > 0)).tolist() for x in range(p_next[j], p_next[j] + int(p_left[j]))]
+        out = rows.select([*by, "side", "id", "t0_us", "t1_us"]).take(pa.array(once[np.array(taken + open_, "int64")]))
+        pred_id = rows.column("id").take(pa.array(once[np.array(with_, "int64")])).combine_chunks()
+        none = len(open_)
+        return out.append_column("pred_id", pa.chunked_array([pred_id, pa.nulls(none, pa.int64())])).append_column("iou", pa.chunked_array([pa.array(share, pa.float64()), pa.nulls(none, pa.float64())]))
+
+    return run
 
 
 def matching_score(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0) -> DataFrame:
@@ -258,7 +291,3 @@ def natural_order(df: DataFrame, text: str, order: list[str] = ()) -> DataFrame:
     """All rows with their place, from 1, by the text's embedded numbers; no task sees all rows."""
     keyed = equal_shards(df.withColumn("__k", natural_key(text)), 1, ["__k", text, *order])
     return keyed.withColumn("place", (F.col("place") + 1).cast("long")).drop("__k", "shard")
-
-
-def iou_of(a: str = "", b: str = "b_"):
-    return iou_1d(f"{a}t0_us", f"{a}t1_us", f"{b}t0_us", f"{b}t1_us")

@@ -154,6 +154,35 @@ def test_matching_equals_one_by_one(spark):
         assert {(r.gt_id, r.pred_id) for r in got.collect()} == one_by_one(calls, found)
 
 
+def rows_written(monkeypatch):
+    """The rows of every table that a matching writes, as a list that grows."""
+    rows, write = [], matching.cut
+
+    def counted(df, tag, *more):
+        out = write(df, tag, *more)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "cut", counted)
+    return rows
+
+
+def crowd(n, m):
+    """Copies of a few intervals and others that overlap them all."""
+    calls = [("a", i, -200 + i % 3, 300 + i % 3) for i in range(n)] + [("a", n + i, i - 150, i + 290) for i in range(m)]
+    found = [("a", 5000 + i, -199 + i % 2, 301 + i % 2) for i in range(n)] + [("a", 7000 + i, i - 160, 2 * i + 280) for i in range(m)]
+    return calls, found
+
+
+@pytest.mark.parametrize("bucket", [40, 700, None])
+def test_matching_of_crowds_writes_intervals_and_not_pairs(spark, monkeypatch, bucket):
+    rows = rows_written(monkeypatch)
+    calls, found = crowd(70, 25)
+    got = matching.greedy_match(table(spark, calls + calls[:9]), table(spark, found + found[:9]), ["session"], bucket_us=bucket).collect()
+    assert {(r.gt_id, r.pred_id) for r in got} == one_by_one(calls, found) and len(got) == 95
+    assert max(rows) <= 20 * (len(calls) + len(found)) and (bucket == 40 or sum(rows) <= 2 * (len(calls) + len(found)))
+
+
 def test_a_long_chain_is_matched_in_few_rounds(spark):
     n = 10_000
     calls = [("a", i, i * 2_000_000, i * 2_000_000 + 1_000_000 + i * 20) for i in range(n)]
