@@ -183,6 +183,14 @@ def test_matching_of_crowds_writes_intervals_and_not_pairs(spark, monkeypatch, b
     assert max(rows) <= 20 * (len(calls) + len(found)) and (bucket == 40 or sum(rows) <= 2 * (len(calls) + len(found)))
 
 
+def test_matching_score_of_crowds_writes_intervals_and_not_pairs(spark, monkeypatch):
+    rows = rows_written(monkeypatch)
+    calls, found = crowd(60, 20)
+    got = matching.matching_score(table(spark, calls), table(spark, [*found, ("b", 1, 0, 9)]), ["session"]).collect()
+    assert sorted((r.session, r.tp, r.fp, r.fn) for r in got) == [("a", 80, 0, 0), ("b", 0, 1, 0)]
+    assert sum(rows) <= 2 * (len(calls) + len(found) + 1)
+
+
 def test_a_long_chain_is_matched_in_few_rounds(spark):
     n = 10_000
     calls = [("a", i, i * 2_000_000, i * 2_000_000 + 1_000_000 + i * 20) for i in range(n)]
