@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chirpline.operators import curves, matching, signal
+from chirpline.operators import curves, gates, matching, signal
 from chirpline.operators import intervals as I
 from chirpline.sources import audio, readers
 
@@ -191,6 +191,14 @@ def test_matching_score_of_crowds_writes_intervals_and_not_pairs(spark, monkeypa
     assert sum(rows) <= 2 * (len(calls) + len(found) + 1)
 
 
+def test_matching_sweep_of_crowds_writes_intervals_and_not_pairs(spark, monkeypatch):
+    rows = rows_written(monkeypatch)
+    calls, found = crowd(60, 20)
+    got = gates.matching_sweep(table(spark, found), table(spark, calls), {"all": F.lit(True), "early": F.col("event_id") < 5030}, ["session"]).collect()
+    assert sorted((r.strategy, r.tp, r.fp, r.fn) for r in got) == [("all", 80, 0, 0), ("early", 30, 0, 50)]
+    assert sum(rows) <= 4 * (len(calls) + len(found))
+
+
 def test_a_long_chain_is_matched_in_few_rounds(spark):
     n = 10_000
     calls = [("a", i, i * 2_000_000, i * 2_000_000 + 1_000_000 + i * 20) for i in range(n)]
