@@ -164,9 +164,10 @@ def session_of_path(path) -> Column:
 
 
 def natural_key(text, width: int = 12) -> Column:
-    """Sort key in which embedded numbers order by value."""
+    """Sort key in which embedded numbers order by value, whatever their length: it goes before the digits."""
     parts = F.regexp_extract_all(_c(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), width, "0"), digits(x))).otherwise(x)), "")
 
 
 def parse_vector(text) -> Column:

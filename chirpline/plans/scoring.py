@@ -212,6 +212,6 @@ def chunk_outcomes(spark, d):
 
 @query("select c_custkey, c_name, row_number() over (order by regexp_extract(c_name, '\\D*(\\d+)', 1)::bigint, c_name) as place, 'experiment_' || (c_custkey % 7) || '/idx_' || lpad(cast(c_custkey % 5 as varchar), 3, '0') as session from customer")
 def natural_sort(spark, d):
-    """All customers by the number in their name, with a session key."""
-    c = M.natural_order(V.table(spark, d, "customer"), "c_name")
+    """All customers by the number in their name, with a session key; of one name by their key."""
+    c = M.natural_order(V.table(spark, d, "customer"), "c_name", ["c_custkey"])
     return c.select("c_custkey", "c_name", "place", session_key(F.col("c_custkey") % 7, F.col("c_custkey") % 5).alias("session"))

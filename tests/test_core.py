@@ -447,6 +447,19 @@ def test_natural_order_places_all_rows(spark):
     assert sorted((x.place, x.name) for x in got) == [(i + 1, f"c{i}") for i in range(1500)]
 
 
+def test_natural_order_of_copies_and_long_numbers(spark, tmp_path):
+    from chirpline.plans import catalog
+
+    names = ["c9", "c09", "c10", "c1000000000001", "c2000000000000", "c99999999999999999999"]
+    got = matching.natural_order(spark.createDataFrame([(n,) for n in names[::-1]], "name string"), "name").orderBy("place").collect()
+    assert [x.name for x in got] == ["c09", *names[:1], *names[2:]]
+    rows = [(k * 40 + i, f"Customer#{i:09d}") for k in range(6) for i in range(40)]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "c_custkey long, c_name string").repartition(5).write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.queries()["natural_sort"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [(x.c_name, x.c_custkey) for x in got] == sorted((n, k) for k, n in rows) and [x.place for x in got] == list(range(1, 241))
+
+
 def test_matching_in_rounds(spark):
     r = random.Random(5)
     rows = lambda n: [(a := r.randrange(400) / 4, a + r.randrange(1, 30)) for _ in range(n)]
