@@ -47,8 +47,13 @@ def write_documents(images: DataFrame, annotations: DataFrame, path: str) -> Non
 
 
 def write_shards(df: DataFrame, n: int, order: list[str], path: str) -> None:
-    """Shards of exactly n rows; both arms of a row are columns, so they stay in step."""
-    equal_shards(df, n, order).write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Shards of exactly n rows; both arms of a row are columns, so they stay in step.
+
+    A shard is a row group, found by its column ``shard``; a file holds many whole shards in order, as
+    a folder for each would make more files than a store or the driver can list.
+    """
+    placed = equal_shards(df, n, order).repartitionByRange("shard").sortWithinPartitions("shard", "place")
+    placed.write.mode("overwrite").option("parquet.block.row.count.limit", n).parquet(path)
 
 
 def pending(wanted: DataFrame, done: DataFrame | None, overwrite: bool = False, key: tuple[str, ...] = ("session", "channel")) -> DataFrame:

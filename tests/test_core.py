@@ -320,6 +320,18 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sh")).groupBy("shard").count().where("count = 128").count() == 2
 
 
+@pytest.mark.parametrize("rows, want", [(128 * 150 + 5, 150), (40, 1)])
+def test_shards_are_row_groups_of_few_files(spark, tmp_path, rows, want):
+    import pyarrow.parquet as pq
+
+    writers.write_shards(spark.range(rows).select((F.col("id") * 7919 % rows).alias("id")), 128, ["id"], str(tmp_path / "sh"))
+    files = [pq.ParquetFile(f) for f in (tmp_path / "sh").rglob("*.parquet")]
+    groups = [f.read_row_group(i).to_pydict() for f in files for i in range(f.num_row_groups)]
+    assert len(files) <= 8 and len(groups) == want
+    for g in groups:
+        assert len(set(g["shard"])) == 1 and g["id"] == [g["shard"][0] * 128 + i for i in range(min(128, rows))]
+
+
 def test_audio(spark, tmp_path):
     d = tmp_path / "experiment_1" / "idx_000"
     d.mkdir(parents=True)
