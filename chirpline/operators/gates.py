@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chirpline.functions.metrics import event_metrics, matching_metrics
 from chirpline.operators.intervals import BUCKET_US
-from chirpline.operators.scoring import COUNTS, counts, micro
+from chirpline.operators.scoring import COUNTS, counts_by_set, micro
 
 OPS = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
 
@@ -89,8 +89,8 @@ def rescored(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[s
 
     Recall is over all calls of a session, also of sessions that keep nothing.
     """
-    calls, kept = kept_by(det, gt, named, list(by))
-    return counts(calls, kept, ["strategy", *by], bucket_us=bucket_us)
+    got = counts_by_set(gt, det, list(named.values()), list(by), bucket_us)
+    return got.select(F.array(*map(F.lit, named))[F.col("set")].alias("strategy"), *by, *COUNTS)
 
 
 def strategies(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session",)) -> DataFrame:
@@ -190,9 +190,12 @@ def random_configs(spark, n: int, ranges: dict[str, tuple[float, float]], seed:
 def search(det: DataFrame, gt: DataFrame, configs: DataFrame, keep: Column, by: list[str] = ("session",)) -> DataFrame:
     """Event counts and metrics of every trial. ``configs`` is a table of trials (its values are named cfg_...)."""
     cfg = configs.select("trial", *(F.col(c).alias(f"cfg_{c}") for c in configs.columns if c != "trial"))
-    kept = det.join(F.broadcast(cfg)).where(F.coalesce(keep, F.lit(False))).select("trial", *by, "t0_us", "t1_us")  # a few hundred trials
-    calls = gt.select(*by, "event_id", "t0_us", "t1_us").join(F.broadcast(cfg.select("trial")))
-    per = counts(calls, kept, ["trial", *by], bucket_us=BUCKET_US)
+    settings = cfg.collect()  # a few hundred trials
+    named = [c for c in cfg.columns if c != "trial"]
+    for i, s in enumerate(settings):
+        det = det.withColumns({c: F.lit(s[c]) for c in named}).withColumn(f"__keep{i}", keep)
+    per = counts_by_set(gt, det, [F.col(f"__keep{i}") for i in range(len(settings))], list(by))
+    per = per.withColumn("trial", F.array(*(F.lit(s["trial"]).cast(cfg.schema["trial"].dataType) for s in settings))[F.col("set")])
     return micro(per, ["trial"]).withColumnRenamed("n_boxes", "n_kept").join(cfg, "trial")
 
 

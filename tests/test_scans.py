@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chirpline.operators import curves, gates, matching, signal
+from chirpline.operators import curves, gates, matching, scoring, signal
 from chirpline.operators import intervals as I
 from chirpline.sources import audio, readers
 
@@ -131,6 +131,18 @@ def test_curve_equals_merging_at_each_threshold(spark, bucket):
         assert (r.tp, r.fn, r.pred_tp, r.fp) == (tp, len(calls) - tp, right, len(events) - right)
 
 
+@pytest.mark.parametrize("bucket", [11, 90, 10**9])
+def test_gate_sets_counted_at_once_equal_counting_each(spark, monkeypatch, bucket):
+    rng = random.Random(bucket)
+    calls, found = table(spark, drawn(rng, 40)), table(spark, drawn(rng, 90) + [("d", 999, 3, 9)])
+    v = F.col("event_id")
+    keep = [F.lit(True), v % 3 == 0, F.when(v % 2 == 0, v > 40), F.lit(False), v < 15]
+    key = lambda r: tuple(map(str, r))
+    got = scoring.counts_by_set(calls, found, keep, ["session"], bucket).collect()
+    want = [(i, *r) for i, k in enumerate(keep) for r in scoring.counts(calls, found.where(k), ["session"], bucket_us=bucket).collect()]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def one_by_one(calls, found):
     pairs = []
     for _, i, a, b in calls:
