@@ -143,6 +143,16 @@ def test_gate_sets_counted_at_once_equal_counting_each(spark, monkeypatch, bucke
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_selection_copies_no_rows_for_each_gate(spark, monkeypatch):
+    def copied(*_):
+        raise AssertionError("rows copied for each gate set")
+
+    monkeypatch.setattr(gates, "kept_by", copied)
+    rng = random.Random(3)
+    steps = gates.selection_steps(table(spark, drawn(rng, 30)), table(spark, drawn(rng, 20)), [("event_id", ">=", 10**6)])
+    assert len(steps) == 1 and steps[0][0] is None and steps[0][1] > 0
+
+
 def one_by_one(calls, found):
     pairs = []
     for _, i, a, b in calls:
