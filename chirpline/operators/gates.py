@@ -169,12 +169,15 @@ def selection_steps(det: DataFrame, gt: DataFrame, pool: list[tuple[str, str, fl
 
 
 def matching_sweep(det: DataFrame, gt: DataFrame, named: dict[str, Column], by: list[str] = ("session", "channel"), iou: float = 0.0) -> DataFrame:
-    """strategy, tp, fp, fn and metrics of greedy one-to-one matches, per ``by``, then summed."""
-    from chirpline.operators.matching import matching_score
-
-    calls, kept = kept_by(det, gt, named, list(by), ["event_id"])
-    per = matching_score(calls, kept, ["strategy", *by], iou)
-    return per.groupBy("strategy").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn"))).withColumns(matching_metrics())
+    """strategy, tp, fp, fn and metrics of greedy one-to-one matches within each ``by``, over all of them."""
+    from chirpline.operators.matching import greedy_match
+
+    keep = list(named.values())
+    m = greedy_match(gt, det, list(by), iou, keep=keep).groupBy("set").agg(F.count(F.lit(1)).alias("tp"))
+    kept = det.agg(F.array(*map(F.count_if, keep)).alias("n")).select(F.posexplode("n").alias("set", "n_pred"))
+    n = kept.crossJoin(gt.agg(F.count(F.lit(1)).alias("n_gt"))).join(m, "set", "left").fillna(0, ["tp"]).where("n_gt > 0 or n_pred > 0")
+    name = F.array(*map(F.lit, named))[F.col("set")].alias("strategy")
+    return n.select(name, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn")).withColumns(matching_metrics())
 
 
 def random_configs(spark, n: int, ranges: dict[str, tuple[float, float]], seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chirpline.functions.intervals import box_area, box_containment, natural_key
@@ -24,33 +24,41 @@ DENSE = 20_000
 WIDER = 16
 
 
-def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int | None = None) -> DataFrame:
+def greedy_match(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0, key: str = "event_id", bucket_us: int | None = None, keep: list[Column] | None = None) -> DataFrame:
     """by, gt id, pred id, iou of the pairs chosen best first; ties go to the higher place in time.
 
+    With ``keep`` each condition's detections are matched for themselves, and ``set`` (the condition's place)
+    comes first; intervals are still dealt once, with the sets that they belong to.
+
     Intervals, never pairs, are dealt over stretches of time, to all that they touch. A stretch decides
     its pairs as one by one, as far as that can be known there: one that reaches over a border waits, and
     what it could still take waits with it. What waits goes on to the next round, over stretches ``WIDER``
     times as long with other borders, so rounds grow with the logarithm of the longest chain of intervals
     that wait for each other. Files and a task's memory grow with the intervals, not with their pairs.
     """
+    line, more, match = list(by), [], _decide(by, iou)
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in gt.select(*by).schema.fields]
-    side = lambda df, n: df.where("t1_us > t0_us").select(*by, F.lit(n).alias("side"), F.col(key).cast("long").alias("id"), "t0_us", "t1_us")
+    if keep is not None:
+        line, more, kinds, match = ["set", *by], ["__keep"], ["set int", *kinds], _decide_sets(by, iou, len(keep))
+        gt = gt.withColumn("__keep", F.array_repeat(F.lit(True), len(keep)))
+        pred = pred.withColumn("__keep", F.array(*(F.coalesce(k, F.lit(False)) for k in keep))).where(F.array_contains("__keep", True))
+    side = lambda df, n: df.where("t1_us > t0_us").select(*by, F.lit(n).alias("side"), F.col(key).cast("long").alias("id"), "t0_us", "t1_us", *more)
     left = side(gt, 0).unionByName(side(pred, 1))
     if bucket_us is None:
         mean = left.agg(F.avg(F.col("t1_us") - F.col("t0_us"))).first()[0]
         bucket_us = max(MATCH_BUCKET_US, int(LENGTHS * (mean or 0)))
-    match = _decide(by, iou)
     schema = ", ".join([*kinds, "side int", "id long", "t0_us long", "t1_us long", "pred_id long", "iou double"])
-    chosen, width = [], bucket_us
+    chosen, width, groups = [], bucket_us, list(by)
     while True:
         first, last = (F.floor((F.col(c) + d + width // 2) / width) for c, d in (("t0_us", 0), ("t1_us", -1)))
         dealt = left.withColumns({"__first": first, "__last": last}).withColumn("__at", F.explode(F.sequence("__first", "__last"))).withColumn("__over", F.col("__first") < F.col("__last"))
-        done = cut(dealt.drop("__first", "__last").groupBy(*by, "__at").applyInArrow(match, schema), "match-round")
+        done = cut(dealt.drop("__first", "__last").groupBy(*groups, "__at").applyInArrow(match, schema), "match-round")
         chosen.append(done.where("iou is not null"))
-        left, width = done.where("iou is null").select(*by, "side", "id", "t0_us", "t1_us"), width * WIDER
+        left, width = done.where("iou is null").select(*line, "side", "id", "t0_us", "t1_us"), width * WIDER
         if left.isEmpty():
             break
-    return reduce(DataFrame.unionByName, chosen).select(*by, F.col("id").alias("gt_id"), "pred_id", "iou")
+        groups, match = line, _decide(line, iou)
+    return reduce(DataFrame.unionByName, chosen).select(*line, F.col("id").alias("gt_id"), "pred_id", "iou")
 
 
 def _decide(by: list[str], least: float):
@@ -130,6 +138,20 @@ def _decide(by: list[str], least: float):
     return run
 
 
+def _decide_sets(by: list[str], least: float, n: int):
+    """The same for each of n sets, with its place; an interval comes once, with a flag for each set."""
+    match = _decide(by, least)
+
+    def run(rows: pa.Table) -> pa.Table:
+        keep = rows.column("__keep").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        there = np.flatnonzero(keep.any(axis=0))
+        rows = rows.drop_columns(["__keep"])
+        each = [match(rows.filter(pa.array(keep[:, i]))) for i in there]
+        return pa.concat_tables(each).add_column(0, "set", pa.array(np.repeat(there, [len(x) for x in each]), pa.int32()))
+
+    return run
+
+
 def matching_score(gt: DataFrame, pred: DataFrame, by: list[str], iou: float = 0.0) -> DataFrame:
     """Counts and metrics of greedy one-to-one matches per ``by``."""
     n = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))

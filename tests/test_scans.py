@@ -221,6 +221,23 @@ def test_matching_sweep_of_crowds_writes_intervals_and_not_pairs(spark, monkeypa
     assert sum(rows) <= 4 * (len(calls) + len(found))
 
 
+def test_matching_of_sets_deals_intervals_once(spark, monkeypatch):
+    plans, write = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df, *more: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *more))[1])
+    rng = random.Random(8)
+    calls, found = ([("a", i, a, a + rng.randint(0, 300)) for i, a in enumerate(rng.choices(range(1500), k=n))] for n in (40, 60))
+    of = {"all": (F.lit(True), lambda p: True), "none": (F.lit(False), lambda p: False), "odd": (F.when(F.col("event_id") % 2 == 1, True), lambda p: p[1] % 2), "late": (F.col("t0_us") > 700, lambda p: p[2] > 700)}
+    want = {n: one_by_one(calls, [p for p in found if f(p)]) for n, (_, f) in of.items()}
+    for bucket in (60, None):
+        got = matching.greedy_match(table(spark, calls), table(spark, found), ["session"], bucket_us=bucket, keep=[c for c, _ in of.values()]).collect()
+        assert {n: {(r.gt_id, r.pred_id) for r in got if r.set == i} for i, n in enumerate(of)} == want and len(got) == sum(map(len, want.values()))
+    plans.clear()
+    named = {n: c for n, (c, _) in of.items()}
+    swept = gates.matching_sweep(table(spark, found), table(spark, calls), named, ["session"]).collect()
+    assert plans and plans[0].count("Generate ") == 1  # over the stretches only, not over the strategies
+    assert {r.strategy: (r.tp, r.fp, r.fn) for r in swept} == {n: (len(want[n]), sum(map(bool, map(f, found))) - len(want[n]), len(calls) - len(want[n])) for n, (_, f) in of.items()}
+
+
 def test_a_long_chain_is_matched_in_few_rounds(spark):
     n = 10_000
     calls = [("a", i, i * 2_000_000, i * 2_000_000 + 1_000_000 + i * 20) for i in range(n)]
