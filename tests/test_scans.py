@@ -153,6 +153,21 @@ def test_selection_copies_no_rows_for_each_gate(spark, monkeypatch):
     assert len(steps) == 1 and steps[0][0] is None and steps[0][1] > 0
 
 
+def test_forward_selection_scores_no_gate_with_the_first_gates(spark, monkeypatch):
+    jobs, score = [], gates.strategies
+    monkeypatch.setattr(gates, "strategies", lambda det, gt, named: (jobs.append(len(named)), score(det, gt, named))[1])
+    calls = [("a", i, 100 * i, 100 * i + 10) for i in range(8)]
+    found = [("a", 10 + i, 100 * i + 5, 100 * i + 15) for i in range(6)] + [("a", i, 100 * i + 50, 100 * i + 60) for i in range(6)]
+    pool = [("event_id", ">=", x) for x in (5, 10, 12)]
+    steps = gates.selection_steps(table(spark, found), table(spark, calls), pool)
+    f1 = lambda tp, ok, n: 2 * (tp / 8) * (ok / n) / (tp / 8 + ok / n)
+    assert [g for g, _ in steps] == [None, pool[1]] and jobs == [4]
+    assert np.allclose([s for _, s in steps], [f1(6, 6, 12), f1(6, 6, 6)])
+    assert gates.selection_steps(table(spark, found), table(spark, calls), []) == [(None, steps[0][1])]
+    none = table(spark, found).where("false")
+    assert gates.selection_steps(none, none, pool) == [(None, 0.0)]
+
+
 def one_by_one(calls, found):
     pairs = []
     for _, i, a, b in calls:
